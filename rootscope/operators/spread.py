@@ -28,42 +28,62 @@ def block_chunk(order: str, size: int) -> Column:
     return F.floor(F.col(order) / F.lit(size))
 
 
-def _rows(before: bool) -> tuple[int, int]:
-    span = (Window.unboundedPreceding, Window.currentRow)
-    return span if before else (Window.currentRow, Window.unboundedFollowing)
-
-
 def _chunked(df: DataFrame, keys: list[str], chunk: Column) -> DataFrame:
     return df.withColumn(_CHUNK, chunk).repartition(*keys, _CHUNK)
 
 
-def carry_known(
-    df: DataFrame,
-    keys: list[str],
-    order: str,
-    value: str,
-    chunk: Column,
-    forward: bool = True,
-    out: str = "_known",
+def known_neighbours(
+    df: DataFrame, keys: list[str], order: str, value: str, chunk: Column
 ) -> DataFrame:
-    """Last (or next) non-NULL ``value`` at or before (after) every row."""
-    base = _chunked(df, keys, chunk)
-    pick = F.last if forward else F.first
-    local_w = Window.partitionBy(*keys, _CHUNK).orderBy(order).rowsBetween(*_rows(forward))
-    edge = F.max_by if forward else F.min_by
-    edges = base.groupBy(*keys, _CHUNK).agg(
-        edge(F.col(value), F.when(F.col(value).isNotNull(), F.col(order))).alias("_edge")
+    """Adds ``_row`` (row number in the group) and the nearest known values.
+
+    ``_prev`` and ``_next`` are ``struct(pos, v)`` of the last non-NULL value at or before
+    the row and the first at or after it.
+    """
+    by_chunk = Window.partitionBy(*keys, _CHUNK)
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    base = (
+        _chunked(df, keys, chunk)
+        .withColumn("_row", F.row_number().over(by_chunk.orderBy(order)).cast("bigint"))
+        .withColumn(
+            "_here", F.when(F.col(value).isNotNull(), F.struct(F.col("_row").alias("pos"), F.col(value).alias("v")))
+        )
+    )
+    sums = base.groupBy(*keys, _CHUNK).agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_here").alias("_end"), F.min("_here").alias("_start")
     )
-    span = (
-        (Window.unboundedPreceding, -1) if forward else (1, Window.unboundedFollowing)
+    chunks = Window.partitionBy(*keys)
+    earlier = chunks.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    later = chunks.orderBy(F.desc(_CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
+
+    def shifted(c: str) -> Column:
+        return F.when(
+            F.col(c).isNotNull(),
+            F.struct((F.col(c).getField("pos") + F.col("_skip")).alias("pos"), F.col(c).getField("v").alias("v")),
+        )
+
+    carried = (
+        sums.withColumn("_skip", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
+        .withColumn("_end", shifted("_end"))
+        .withColumn("_start", shifted("_start"))
+        .select(
+            *keys,
+            _CHUNK,
+            "_skip",
+            F.last("_end", ignorenulls=True).over(earlier).alias("_from_before"),
+            F.last("_start", ignorenulls=True).over(later).alias("_from_after"),
+        )
     )
-    edge_w = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(*span)
-    carried = edges.select(*keys, _CHUNK, pick("_edge", ignorenulls=True).over(edge_w).alias("_carry"))
+    local_prev = F.last("_here", ignorenulls=True).over(by_chunk.orderBy(order).rowsBetween(*so_far))
+    local_next = F.last("_here", ignorenulls=True).over(by_chunk.orderBy(F.desc(order)).rowsBetween(*so_far))
     return (
-        base.withColumn("_local", pick(value, ignorenulls=True).over(local_w))
+        base.withColumn("_prev", local_prev)
+        .withColumn("_next", local_next)
         .join(carried, [*keys, _CHUNK])
-        .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_local", "_carry", _CHUNK)
+        .withColumn("_prev", F.coalesce(shifted("_prev"), "_from_before"))
+        .withColumn("_next", F.coalesce(shifted("_next"), "_from_after"))
+        .withColumn("_row", F.col("_row") + F.col("_skip"))
+        .drop("_here", "_skip", "_from_before", "_from_after", _CHUNK)
     )
 
 

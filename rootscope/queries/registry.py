@@ -6,7 +6,7 @@ from importlib import import_module
 
 from rootscope.session import use_utc
 
-FAMILIES = ["traces"]
+FAMILIES = ["traces", "metrics"]
 
 
 def _modules():
