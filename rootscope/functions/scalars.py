@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Characters that Python's str.split() treats as white space, as a
@@ -21,11 +21,11 @@ MASK_RULES = [
 ]
 
 # Time stamps looked for in a text log line, in this order, with the
-# format that reads them.
+# groups that make up an ISO date and time.
 LINE_TIME_RULES = [
-    (r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", "yyyy-MM-dd HH:mm:ss"),
-    (r"(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})", "yyyy/MM/dd HH:mm:ss"),
-    (r"(\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2})", "MM-dd-yyyy HH:mm:ss"),
+    (r"(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})", r"^(\d{4})-(\d{2})-(\d{2}) (.*)$", "$1-$2-$3 $4"),
+    (r"(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})", r"^(\d{4})/(\d{2})/(\d{2}) (.*)$", "$1-$2-$3 $4"),
+    (r"(\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2})", r"^(\d{2})-(\d{2})-(\d{4}) (.*)$", "$3-$1-$2 $4"),
 ]
 SYSLOG_TIME = r"([\p{L}\p{Nd}_]{3} \d{1,2} \d{2}:\d{2}:\d{2})"
 
@@ -82,35 +82,36 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_col(c), f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
-def parse_log_line(line: Column | str, year: int | None = None) -> Column:
-    """``struct(timestamp, message, ts_ok)`` of one text line; NULL for a blank line.
+def parse_log_lines(lines: DataFrame, column: str = "line", year: int | None = None) -> DataFrame:
+    """Adds ``timestamp``, ``message`` and ``ts_ok``; blank lines are dropped.
 
     The first pattern that matches and reads as a date wins; every copy of the
     matched text is removed.  A syslog stamp has no year: it is removed too, but only
-    read when ``year`` is given.
+    read when ``year`` is given.  The steps are columns of their own so that no pattern
+    runs twice.
     """
-    line = strip(line)
-    found, times = [], []
-    for pattern, fmt in LINE_TIME_RULES:
-        text = F.regexp_extract(line, pattern, 1)
-        moment = F.try_to_timestamp(F.nullif(text, F.lit("")), F.lit(fmt)).cast("timestamp_ntz")
-        found.append(F.when(moment.isNotNull(), text))
-        times.append(moment)
-    syslog = F.nullif(F.regexp_extract(line, SYSLOG_TIME, 1), F.lit(""))
-    found.append(syslog)
+    staged = lines.withColumn("_line", strip(column)).where(F.col("_line") != "")
+    texts = [F.regexp_extract("_line", pattern, 1) for pattern, _, _ in LINE_TIME_RULES]
+    syslog = F.nullif(F.regexp_extract("_line", SYSLOG_TIME, 1), F.lit(""))
+    staged = staged.withColumns({**{f"_m{i}": t for i, t in enumerate(texts)}, "_syslog": syslog})
+    # a cast reads ISO text without the cost of failed format parsing
+    times = {
+        f"_t{i}": F.regexp_replace(f"_m{i}", parts, iso).try_cast("timestamp_ntz")
+        for i, (_, parts, iso) in enumerate(LINE_TIME_RULES)
+    }
+    staged = staged.withColumns(times)
+    count = range(len(LINE_TIME_RULES))
+    matched = F.coalesce(*[F.when(F.col(f"_t{i}").isNotNull(), F.col(f"_m{i}")) for i in count], "_syslog")
+    moments = [F.col(f"_t{i}") for i in count]
     if year is not None:
-        spaced = F.concat(F.lit(f"{year} "), syslog)
-        times.append(
-            F.try_to_timestamp(spaced, F.lit("yyyy MMM d HH:mm:ss")).cast("timestamp_ntz")
-        )
-    matched = F.coalesce(*found)
-    # an earlier pattern that reads as a date always wins over the syslog form
-    moment = F.coalesce(*times)
-    message = F.when(matched.isNull(), line).otherwise(strip(F.replace(line, matched, F.lit(""))))
-    parsed = F.struct(
-        moment.alias("timestamp"), message.alias("message"), moment.isNotNull().alias("ts_ok")
-    )
-    return F.when(line != "", parsed)
+        spaced = F.concat(F.lit(f"{year} "), F.col("_syslog"))
+        moments.append(F.try_to_timestamp(spaced, F.lit("yyyy MMM d HH:mm:ss")).cast("timestamp_ntz"))
+    staged = staged.withColumns({"timestamp": F.coalesce(*moments), "_matched": matched})
+    rest = strip(F.replace(F.col("_line"), F.col("_matched"), F.lit("")))
+    helpers = ["_line", "_syslog", "_matched", *[f"_m{i}" for i in count], *times]
+    return staged.withColumns(
+        {"message": F.coalesce(rest, "_line"), "ts_ok": F.col("timestamp").isNotNull()}
+    ).drop(*helpers)
 
 
 def mask_message(message: Column | str) -> Column:
@@ -134,7 +135,7 @@ def log_ip(message: Column | str) -> Column:
 
 
 def date_to_epoch(day: Column | str, tz: str = "UTC") -> Column:
-    moment = F.to_timestamp(_col(day), F.lit("yyyy-MM-dd"))
+    moment = F.to_timestamp(_col(day), "yyyy-MM-dd")
     return F.unix_seconds(F.to_utc_timestamp(moment, tz))
 
 

@@ -97,10 +97,10 @@ def with_ordinal(
     sizes_w = Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, _CHUNK, F.coalesce(F.sum("_n").over(sizes_w), F.lit(0)).alias("_offset"))
     return (
-        base.withColumn("_row", F.row_number().over(local_w))
+        base.withColumn("_local_row", F.row_number().over(local_w))
         .join(offsets, [*keys, _CHUNK])
-        .withColumn(out, (F.col("_offset") + F.col("_row") + (start - 1)).cast("bigint"))
-        .drop("_row", "_offset", _CHUNK)
+        .withColumn(out, (F.col("_offset") + F.col("_local_row") + (start - 1)).cast("bigint"))
+        .drop("_local_row", "_offset", _CHUNK)
     )
 
 

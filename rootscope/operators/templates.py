@@ -44,10 +44,9 @@ def _token_count(text: str):
 
 
 def distinct_messages(rows: DataFrame) -> DataFrame:
-    """``(text, n, pos)``: distinct non-empty messages at their first position."""
-    return (
-        rows.where(F.col("text") != "").groupBy("text").agg(F.min("pos").alias("pos")).withColumn("n", _token_count("text"))
-    )
+    """``(text, n, pos)``: distinct messages at their first position; ``n`` is 0 for empty."""
+    n = F.when(F.col("text") == "", 0).otherwise(_token_count("text"))
+    return rows.groupBy("text").agg(F.min("pos").alias("pos")).withColumn("n", n)
 
 
 # --- leader rule on one bounded batch --------------------------------------------
@@ -67,7 +66,7 @@ def _encode(texts, n: int, vocabulary: dict, grow: bool) -> np.ndarray:
 
 def _leaders(sim_th: float):
     def lead(batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.sort_values("pos", kind="stable")
+        batch = batch.sort_values(["pos", "text"], kind="stable")
         n = int(batch["n"].iloc[0])
         ids = _encode(batch["text"].tolist(), n, {}, grow=True)
         kept = np.empty_like(ids)
@@ -83,7 +82,7 @@ def _leaders(sim_th: float):
 
 
 def _open_templates(undecided: DataFrame, sim_th: float, batch: int) -> DataFrame:
-    first = Window.partitionBy("n").orderBy("pos")
+    first = Window.partitionBy("n").orderBy("pos", "text")
     return (
         undecided.withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") <= batch)
@@ -102,7 +101,7 @@ class _Book:
     def __init__(self, rows):
         self.words: dict = {}
         grouped: dict = {}
-        for text, n, pos, tid in sorted(rows, key=lambda r: r[2]):
+        for text, n, pos, tid in sorted(rows, key=lambda r: (r[2], r[3])):
             grouped.setdefault(n, []).append((text, pos, tid))
         self.by_length = {
             n: (
@@ -202,32 +201,28 @@ def mine_templates(rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own",
     An empty message never matches, so each opens a template of its own; with
     ``empty='merge'`` they share one.
     """
-    undecided = materialise(distinct_messages(rows), "messages")
-    parts = []
+    messages = materialise(distinct_messages(rows), "messages")
+    undecided = messages.where("n > 0")
+    found = messages.where("n = 0")
+    if empty == "own" and not found.isEmpty():
+        found = rows.where(F.col("text") == "").select("text", "pos", F.lit(0).alias("n"))
     while True:
         new = materialise(_open_templates(undecided, sim_th, batch), "templates")
         if new.isEmpty():
             break
-        parts.append(new)
+        found = found.unionByName(new)
         undecided = materialise(_strike_out(undecided, new, sim_th), "messages")
         if undecided.isEmpty():
             break
-    blank = rows.where(F.col("text") == "")
-    if empty == "merge":
-        blank = blank.agg(F.min("pos").alias("pos")).where(F.col("pos").isNotNull())
-    found = blank.select(F.lit("").alias("text"), F.lit(0).alias("n"), "pos")
-    for part in parts:
-        found = found.unionByName(part)
-    found = materialise(found, "templates")
-    return number_templates(found)
+    return number_templates(materialise(found, "templates"))
 
 
 def number_templates(found: DataFrame) -> DataFrame:
-    """Template ids from 0 in order of position."""
+    """Template ids from 0 in order of position; ``found`` is a stored table."""
     low, high, count = found.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
     width = max(1, (high - low + 1) // max(1, count // 50_000 + 1)) if count else 1
-    numbered = with_ordinal(found, [], ["pos"], block_chunk("pos", width), "template_id", start=0)
-    return numbered.select("template_id", "pos", "n", "text")
+    numbered = with_ordinal(found, [], ["pos", "text"], block_chunk("pos", width), "template_id", start=0)
+    return materialise(numbered.select("template_id", "pos", "n", "text"), "templates")
 
 
 def assign_templates(rows: DataFrame, templates: DataFrame, sim_th: float = SIM_TH, assign: str = "pos") -> DataFrame:
@@ -241,14 +236,16 @@ def assign_templates(rows: DataFrame, templates: DataFrame, sim_th: float = SIM_
     worded = templates.where(F.col("text") != "")
     book = _send(rows.sparkSession, worded, with_id=True)
     texts = rows.where(F.col("text") != "")
+    # templates are a stored table, so these look-ups are cheap
     if book is None:
         done = _assign_by_join(texts, worded, sim_th, assign)
     else:
         schema = StructType([*rows.schema.fields, StructField("template_id", LongType())])
         done = texts.mapInArrow(_assigner(book, sim_th, assign == "pos"), schema)
-    blank = rows.where(F.col("text") == "")
     empties = templates.where(F.col("text") == "").select("template_id", "pos")
-    own = blank.join(empties, "pos", "left")
+    if empties.isEmpty():
+        return done
+    own = rows.where(F.col("text") == "").join(empties, "pos", "left")
     merged = empties.agg(F.min("template_id")).scalar()
     own = own.withColumn("template_id", F.coalesce("template_id", merged))
     return done.unionByName(own.select(*done.columns))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from rootscope.operators import align, metrics
+from rootscope.session import materialise
 
 
 def metric_features(
@@ -17,8 +18,9 @@ def metric_features(
 ) -> DataFrame:
     """Averaged cells to aligned features.
 
-    Filling comes before resampling, so bins that resampling adds stay NULL.
+    Filling comes before resampling, so bins that resampling adds stay NULL.  The two
+    tables that several later steps read are stored once instead of being recomputed.
     """
-    dense = metrics.dense_cells(cells, schema, fill)
-    cleaned = metrics.clean(dense, threshold, skip_null, fill)
+    dense = materialise(metrics.dense_cells(cells, schema, fill), "dense")
+    cleaned = materialise(metrics.clean(dense, threshold, skip_null, fill), "cleaned")
     return align.align_ranges(metrics.resample(cleaned, seconds))
