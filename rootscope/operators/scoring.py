@@ -93,7 +93,7 @@ def rank_nodes(scores: DataFrame) -> DataFrame:
 
 def rankings_wide(ranked: DataFrame, top: int) -> DataFrame:
     """``Top1 … TopN`` as ``node:score`` text, one row per case."""
-    text = F.concat("node", F.lit(":"), F.col("score").cast("string"))
+    text = F.concat("node", F.lit(":"), F.coalesce(F.col("score").cast("string"), F.lit("nan")))
     picks = [F.max(F.when(F.col("rank") == i, text)).alias(f"Top{i}") for i in range(1, top + 1)]
     return ranked.where(F.col("rank") <= top).groupBy("case_id").agg(*picks)
 

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from rootscope.session import use_utc
 
-FAMILIES = ["traces", "metrics", "logs", "graph", "scoring"]
+FAMILIES = ["traces", "metrics", "logs", "graph", "scoring", "sources"]
 
 
 def _modules():

@@ -33,7 +33,7 @@ if __name__ == "__main__":
                 rows = query(spark, data_dir(sf)).count()
                 problems, note = [], f"rows {rows}"
         except Exception as e:  # noqa: BLE001
-            problems, note = [repr(e)[:1500]], "ERROR"
+            problems, note = [f"{type(e).__name__} {e}"[:1500]], "ERROR"
         print(f"{key:28s} {note:10s} {time.time() - start:6.2f}s", flush=True)
         for p in problems:
             print("    ", str(p)[:700], flush=True)
