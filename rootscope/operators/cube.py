@@ -123,13 +123,14 @@ def cube_profile(cube: DataFrame) -> DataFrame:
 
 def cube_metadata(cube: DataFrame, nodes: DataFrame, source: str) -> DataFrame:
     """One row: node order, number of times, first and last, where the axis is from."""
-    order = nodes.agg(F.array_sort(F.collect_list(F.struct("node_id", "node")))).scalar()
+    listed = F.array_sort(F.collect_list(F.struct("node_id", "node")))
+    order = nodes.agg(F.array_join(F.transform(listed, lambda n: n.getField("node")), ",")).scalar()
     return cube.agg(
         F.count_distinct("ts").alias("total_timestamps"),
         F.min("ts").alias("first_timestamp"),
         F.max("ts").alias("last_timestamp"),
     ).select(
-        F.array_join(F.transform(order, lambda n: n.getField("node")), ",").alias("service_order"),
+        order.alias("service_order"),
         "*",
         F.lit(source).alias("source"),
     )

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from rootscope.session import use_utc
 
-FAMILIES = ["traces", "metrics", "logs", "graph", "scoring", "sources"]
+FAMILIES = ["traces", "spans", "metrics", "logs", "graph", "scoring", "cube", "sources"]
 
 
 def _modules():

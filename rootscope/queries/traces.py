@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from rootscope.operators import traces as T
-from rootscope.queries.adapters import MONTH, SIX_HOURS, rounded, spans, spans_bulk, spans_flat, with_sql
+from rootscope.queries.adapters import MONTH, SIX_HOURS, rounded, spans_bulk, spans_flat, with_sql
 
 _BIN = """instance_id, time_bucket(INTERVAL '6 hours', "timestamp", TIMESTAMP '1970-01-01') AS "timestamp" """
 _BIN30 = """instance_id, time_bucket(INTERVAL '30 days', "timestamp", TIMESTAMP '1970-01-01') AS "timestamp" """
@@ -45,7 +43,6 @@ QUERIES = {
     "trace_type_counts": lambda s, d: T.trace_type_counts(spans_flat(s, d), SIX_HOURS),
     "trace_distinct": lambda s, d: T.trace_distinct(spans_flat(s, d), SIX_HOURS),
     "trace_stats": lambda s, d: rounded(T.trace_statistics(T.trace_features(spans_flat(s, d), SIX_HOURS))),
-    "span_filter": lambda s, d: spans(s, d).where(F.col("parent_span_id").isNotNull()).select("span_id", "parent_span_id"),
 }
 
 ORACLE = {
