@@ -2,25 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def align_intersection(table: DataFrame) -> DataFrame:
+def align_intersection(table: DataFrame, scope: Column | None = None) -> DataFrame:
     """Rows at times every instance has.
 
-    The kept times are one row each; how they are joined is left to their size.
+    ``scope`` is an expression of ``instance_id``; instances are then only compared within
+    their scope.  The kept times are one row each; how they are joined is left to
+    their size.
     """
-    total = table.agg(F.count_distinct("instance_id")).scalar()
+    scope = F.lit("") if scope is None else scope
+    placed = table.withColumn("_scope", scope)
+    pairs = placed.select("_scope", "timestamp", "instance_id").distinct()
+    totals = placed.groupBy("_scope").agg(F.count_distinct("instance_id").alias("_all"))
     shared = (
-        table.select("timestamp", "instance_id")
-        .distinct()
-        .groupBy("timestamp")
+        pairs.groupBy("_scope", "timestamp")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") == total)
-        .select("timestamp")
+        .join(totals, "_scope")
+        .where(F.col("_n") == F.col("_all"))
+        .select("_scope", "timestamp")
     )
-    return table.join(shared, "timestamp", "left_semi")
+    return placed.join(shared, ["_scope", "timestamp"], "left_semi").drop("_scope")
 
 
 def align_union(dense: DataFrame) -> DataFrame:
@@ -41,11 +45,17 @@ def align_union(dense: DataFrame) -> DataFrame:
     return dense.select("instance_id", "timestamp", "feature", "value").unionByName(empty)
 
 
-def align_ranges(dense: DataFrame) -> DataFrame:
+def align_ranges(dense: DataFrame, scope: Column | None = None) -> DataFrame:
     """Intersection for gap-free tables: from the latest first to the earliest last time."""
-    ends = dense.groupBy("instance_id").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
-    start, stop = ends.agg(F.max("_first")).scalar(), ends.agg(F.min("_last")).scalar()
-    return dense.where((F.col("timestamp") >= start) & (F.col("timestamp") <= stop))
+    scope = F.lit("") if scope is None else scope
+    placed = dense.withColumn("_scope", scope)
+    ends = placed.groupBy("_scope", "instance_id").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    common = ends.groupBy("_scope").agg(F.max("_first").alias("_start"), F.min("_last").alias("_stop"))
+    return (
+        placed.join(common, "_scope")
+        .where((F.col("timestamp") >= F.col("_start")) & (F.col("timestamp") <= F.col("_stop")))
+        .drop("_scope", "_start", "_stop")
+    )
 
 
 def concat_files(tables: list[DataFrame]) -> DataFrame:

@@ -42,7 +42,7 @@ def attach_timestamps(vectors: DataFrame, truth: DataFrame, order: list[str], bl
     last vector of equal times.
     """
     times = with_ordinal(truth.select("timestamp", *order), [], order, block_chunk(order[0], block), "t_idx", start=0)
-    dated = vectors.join(times.select("t_idx", F.col("timestamp").alias("ts")), "t_idx", "left").withColumn(
+    dated = vectors.select("t_idx", "node_id", "vec").join(times.select("t_idx", F.col("timestamp").alias("ts")), "t_idx", "left").withColumn(
         "ts", F.coalesce("ts", F.lit(0).cast("bigint"))
     )
     if dedupe == "last":

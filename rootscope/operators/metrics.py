@@ -40,38 +40,35 @@ def instance_features(cells: DataFrame) -> DataFrame:
     return cells.groupBy("instance_id").agg(F.collect_set("feature").alias("own"))
 
 
-def common_features(cells: DataFrame) -> DataFrame:
-    """Features every instance has."""
-    pairs = cells.select(*SERIES).distinct()
-    total = cells.agg(F.count_distinct("instance_id")).scalar()
-    return pairs.groupBy("feature").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == total).select("feature")
+def common_features(cells: DataFrame, scope: Column | None = None) -> DataFrame:
+    """``(_scope, feature)``: features every instance (of a scope) has."""
+    scope = F.lit("") if scope is None else scope
+    pairs = cells.select(*SERIES).distinct().withColumn("_scope", scope)
+    totals = pairs.groupBy("_scope").agg(F.count_distinct("instance_id").alias("_all"))
+    seen = pairs.groupBy("_scope", "feature").agg(F.count(F.lit(1)).alias("_n"))
+    return seen.join(totals, "_scope").where(F.col("_n") == F.col("_all")).select("_scope", "feature")
 
 
-def all_features(cells: DataFrame) -> DataFrame:
-    return cells.select("feature").distinct()
-
-
-def _name_list(features: DataFrame) -> Column:
-    """The metric names as one array value; as long as the schema is wide."""
-    return features.agg(F.array_sort(F.collect_set("feature"))).scalar()
-
-
-def dense_cells(cells: DataFrame, schema: str = "own", fill: float = 0.0) -> DataFrame:
+def dense_cells(cells: DataFrame, schema: str = "own", fill: float = 0.0, scope: Column | None = None) -> DataFrame:
     """All cells of the wide tables, empty ones as NULL.
 
     ``schema``: ``own`` keeps every instance's metrics, ``intersection`` the metrics all
     instances have, ``union`` all metrics, with ``fill`` where an instance lacks one.
-    One shuffle by (instance, time); the names come as an array, no join with a grid.
+    ``scope``, an expression of ``instance_id``, bounds what "all instances" means.  One
+    shuffle by (instance, time); the names come as an array, no join with a grid.
     """
+    scope = F.lit("") if scope is None else scope
     rows = _rows_as_maps(cells)
     value = F.try_element_at("_cells", F.col("feature"))
     if schema == "intersection":
-        names = rows.withColumn("feature", F.explode(_name_list(common_features(cells))))
-        return names.select(*CELL, value.alias("value"))
+        common = common_features(cells, scope).groupBy("_scope").agg(F.collect_set("feature").alias("_names"))
+        named = rows.withColumn("_scope", scope).join(common, "_scope").withColumn("feature", F.explode("_names"))
+        return named.select(*CELL, value.alias("value"))
     rows = rows.join(instance_features(cells), "instance_id")
     if schema == "own":
         return rows.withColumn("feature", F.explode("own")).select(*CELL, value.alias("value"))
-    rows = rows.withColumn("feature", F.explode(_name_list(all_features(cells))))
+    every = cells.select(scope.alias("_scope"), "feature").groupBy("_scope").agg(F.collect_set("feature").alias("_names"))
+    rows = rows.withColumn("_scope", scope).join(every, "_scope").withColumn("feature", F.explode("_names"))
     known = F.array_contains("own", F.col("feature"))
     return rows.select(*CELL, F.when(known, value).otherwise(F.lit(float(fill))).alias("value"))
 

@@ -13,14 +13,17 @@ import pandas as pd
 from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootscope.functions.vectors import mse
 from rootscope.operators.graph import neighbour_max
 from rootscope.operators.scoring import case_labels, ranking_terms, series_window
+from rootscope.session import materialise
 
 POINT = ["ts", "node_id"]
+# edges up to this number are sent to every executor
+MAX_SENT_EDGES = 2_000_000
 
 
 def neighbour_sum(cube: DataFrame, edges: DataFrame) -> DataFrame:
@@ -54,12 +57,18 @@ def graph_conv(cube: DataFrame, edges: DataFrame, layers: list[Layer], slope: fl
     """Graph layers in turn: sum over in-neighbours, linear map, leaky ReLU.
 
     All nodes of a time go through the layers together, so the cube is shuffled by time
-    once however many layers there are.  A group holds one vector per node.
+    once however many layers there are.  A group holds one vector per node.  A graph of
+    more than ``MAX_SENT_EDGES`` edges is not sent out but joined, layer by layer.
     """
     spark = cube.sparkSession
-    link = {tuple(r) for r in edges.select("src", "dst").distinct().collect()}
+    links = materialise(edges.select("src", "dst").distinct(), "edges")
+    if links.count() > MAX_SENT_EDGES:
+        return _graph_conv_by_join(cube, links, layers, slope)
     shared = spark.sparkContext.broadcast(
-        (sorted(link), [(np.asarray(x.weight), None if x.bias is None else np.asarray(x.bias), x.norm) for x in layers])
+        (
+            [tuple(r) for r in links.orderBy("src", "dst").collect()],
+            [(np.asarray(x.weight), None if x.bias is None else np.asarray(x.bias), x.norm) for x in layers],
+        )
     )
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,6 +92,24 @@ def graph_conv(cube: DataFrame, edges: DataFrame, layers: list[Layer], slope: fl
     return cube.select(*POINT, "vec").groupBy("ts").applyInPandas(run, "ts bigint, node_id int, vec array<double>")
 
 
+def _graph_conv_by_join(cube: DataFrame, links: DataFrame, layers: list[Layer], slope: float) -> DataFrame:
+    out_deg = links.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("_deg"))
+    in_deg = links.groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_deg"))
+
+    def scaled(table: DataFrame, degrees: DataFrame) -> DataFrame:
+        root = F.sqrt(F.coalesce("_deg", F.lit(1)))
+        return table.join(degrees, "node_id", "left").select(*POINT, F.transform("vec", lambda x: x / root).alias("vec"))
+
+    now = cube.select(*POINT, "vec")
+    for layer in layers:
+        sent = scaled(now, out_deg) if layer.norm == "both" else now
+        zero = F.transform("vec", lambda x: x * 0.0)
+        got = now.join(neighbour_sum(sent, links), POINT, "left").select(*POINT, F.coalesce("near", zero).alias("vec"))
+        got = scaled(got, in_deg) if layer.norm == "both" else got
+        now = materialise(dense_layers(got, [layer], slope=slope), "layer")
+    return now
+
+
 def dense_layers(
     cube: DataFrame, layers: list[Layer], activated: list[bool] | None = None, slope: float = 0.01
 ) -> DataFrame:
@@ -200,8 +227,7 @@ def feedback_losses(
     """Mean ranking loss of every candidate, all in one job.
 
     Each case and node carries one small score row per candidate; candidates are a
-    grid the caller chose, not data.  Softmax keeps order and is undone by the
-    scaling of the ranking loss only in shape, so it is applied as in scoring.
+    grid the caller chose, not data.
     """
     length = length or window
     grid = F.array(
@@ -220,7 +246,10 @@ def feedback_losses(
     near = neighbour_max(scores, edges, ["candidate", "case_id"])
     total = F.col("score") + F.col("_p") * F.col("predecessor_max") + F.col("_s_w") * F.col("successor_max")
     labels = case_labels(cases, nodes).select("case_id", "node_id", "label")
-    labelled = near.withColumn("score", F.exp(total)).join(labels, ["case_id", "node_id"])
+    # the softmax of a case up to its constant factor, which min-max scaling removes
+    case = Window.partitionBy("candidate", "case_id")
+    soft = near.withColumn("_total", total).withColumn("score", F.exp(F.col("_total") - F.max("_total").over(case)))
+    labelled = soft.join(labels, ["case_id", "node_id"])
     terms = ranking_terms(labelled, ["candidate", "case_id"])
     return terms.groupBy("candidate").agg(F.avg("loss").alias("loss"))
 

@@ -43,10 +43,15 @@ def _token_count(text: str):
     return F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit(""))) + 1
 
 
+def scoped(rows: DataFrame) -> DataFrame:
+    """Rows with a ``scope``: messages of different scopes never meet (default: one scope)."""
+    return rows if "scope" in rows.columns else rows.withColumn("scope", F.lit(""))
+
+
 def distinct_messages(rows: DataFrame) -> DataFrame:
-    """``(text, n, pos)``: distinct messages at their first position; ``n`` is 0 for empty."""
+    """``(scope, text, n, pos)``: distinct messages at their first position; ``n`` is 0 for empty."""
     n = F.when(F.col("text") == "", 0).otherwise(_token_count("text"))
-    return rows.groupBy("text").agg(F.min("pos").alias("pos")).withColumn("n", n)
+    return scoped(rows).groupBy("scope", "text").agg(F.min("pos").alias("pos")).withColumn("n", n)
 
 
 # --- leader rule on one bounded batch --------------------------------------------
@@ -76,19 +81,19 @@ def _leaders(sim_th: float):
             if not ((equal > 0) & (equal / n >= sim_th)).any():
                 kept[len(chosen)] = ids[r]
                 chosen.append(r)
-        return batch.iloc[chosen][["text", "n", "pos"]]
+        return batch.iloc[chosen][["scope", "text", "n", "pos"]]
 
     return lead
 
 
 def _open_templates(undecided: DataFrame, sim_th: float, batch: int) -> DataFrame:
-    first = Window.partitionBy("n").orderBy("pos", "text")
+    first = Window.partitionBy("scope", "n").orderBy("pos", "text")
     return (
         undecided.withColumn("_rank", F.row_number().over(first))
         .where(F.col("_rank") <= batch)
         .drop("_rank")
-        .groupBy("n")
-        .applyInPandas(_leaders(sim_th), "text string, n int, pos bigint")
+        .groupBy("scope", "n")
+        .applyInPandas(_leaders(sim_th), "scope string, text string, n int, pos bigint")
     )
 
 
@@ -96,25 +101,25 @@ def _open_templates(undecided: DataFrame, sim_th: float, batch: int) -> DataFram
 
 
 class _Book:
-    """Templates by length, as token id matrices in order of position."""
+    """Templates by scope and length, as token id matrices in order of position."""
 
     def __init__(self, rows):
         self.words: dict = {}
         grouped: dict = {}
-        for text, n, pos, tid in sorted(rows, key=lambda r: (r[2], r[3])):
-            grouped.setdefault(n, []).append((text, pos, tid))
-        self.by_length = {
-            n: (
-                _encode([g[0] for g in group], n, self.words, grow=True),
+        for scope, text, n, pos, tid in sorted(rows, key=lambda r: (r[3], r[4])):
+            grouped.setdefault((scope, n), []).append((text, pos, tid))
+        self.groups = {
+            key: (
+                _encode([g[0] for g in group], key[1], self.words, grow=True),
                 np.array([g[1] for g in group], dtype=np.int64),
                 np.array([g[2] for g in group], dtype=np.int64),
             )
-            for n, group in grouped.items()
+            for key, group in grouped.items()
         }
 
-    def shares(self, texts, n: int, sim_th: float):
+    def shares(self, texts, key: tuple, sim_th: float):
         """Slices of the texts with their matrix of equal tokens (0 below the limit)."""
-        ids = self.by_length[n][0]
+        ids, n = self.groups[key][0], key[1]
         step = max(1, _CELLS // len(ids))
         for at in range(0, len(texts), step):
             mine = _encode(texts[at : at + step], n, self.words, grow=False)
@@ -131,7 +136,7 @@ def _send(spark, templates: DataFrame, with_id: bool):
     if size > SEND_CHARS:
         return None
     tid = F.col("template_id") if with_id else F.lit(0).cast("bigint")
-    rows = [tuple(r) for r in templates.select("text", "n", "pos", tid).collect()]
+    rows = [tuple(r) for r in templates.select("scope", "text", "n", "pos", tid).collect()]
     return spark.sparkContext.broadcast(_Book(rows))
 
 
@@ -139,16 +144,16 @@ def _strike_out(undecided: DataFrame, new: DataFrame, sim_th: float) -> DataFram
     """Undecided messages that match none of the new templates."""
     book = _send(undecided.sparkSession, new, with_id=False)
     if book is None:
-        matched = match_pairs(undecided, new.select("text", "n", "pos", F.lit(0).alias("template_id")), sim_th)
-        return undecided.join(matched.select("text").distinct(), "text", "left_anti")
+        matched = match_pairs(undecided, new.withColumn("template_id", F.lit(0)), sim_th)
+        return undecided.join(matched.select("scope", "text").distinct(), ["scope", "text"], "left_anti")
 
     def keep(batches):
         for pdf in batches:
             open_ = np.ones(len(pdf), dtype=bool)
-            for n, where in pdf.groupby("n").indices.items():
-                if n in book.value.by_length:
+            for key, where in pdf.groupby(["scope", "n"]).indices.items():
+                if key in book.value.groups:
                     texts = pdf["text"].to_numpy()[where]
-                    for at, equal in book.value.shares(texts, int(n), sim_th):
+                    for at, equal in book.value.shares(texts, key, sim_th):
                         open_[where[at : at + len(equal)]] = ~(equal > 0).any(axis=1)
             yield pdf[open_]
 
@@ -164,31 +169,30 @@ def match_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> Dat
     """
     token_at = F.posexplode(F.split("text", " ")).alias("i", "token")
     need = F.array_min(F.filter(F.sequence(F.lit(1), F.col("n")), lambda k: k / F.col("n") >= sim_th))
-    spots = templates.select("template_id", "n", "text", "pos", need.alias("need"), token_at)
-    rarity = spots.groupBy("n", "i", "token").agg(F.count(F.lit(1)).alias("_freq"))
+    spot = ["scope", "n", "i", "token"]
+    spots = templates.select("scope", "template_id", "n", "text", "pos", need.alias("need"), token_at)
+    rarity = spots.groupBy(*spot).agg(F.count(F.lit(1)).alias("_freq"))
     # one partition per template: as many rows as it has tokens
-    rank = F.row_number().over(Window.partitionBy("template_id", "pos").orderBy("_freq", "i"))
+    rank = F.row_number().over(Window.partitionBy("scope", "template_id", "pos", "text").orderBy("_freq", "i"))
     filed = (
-        spots.join(rarity, ["n", "i", "token"])
+        spots.join(rarity, spot)
         .withColumn("_rank", rank)
         .where(F.col("_rank") <= F.col("n") - F.col("need") + 1)
-        .select(
-            "n", "i", "token", "template_id", F.col("pos").alias("template_pos"), F.col("text").alias("template_text")
-        )
+        .select(*spot, "template_id", F.col("pos").alias("template_pos"), F.col("text").alias("template_text"))
     )
-    asked = messages.select("text", "n", token_at)
+    asked = messages.select("scope", "text", "n", token_at)
     equal = F.aggregate(
         F.zip_with(F.split("text", " "), F.split("template_text", " "), lambda a, b: (a == b).cast("int")),
         F.lit(0),
         lambda acc, x: acc + x,
     )
     return (
-        asked.join(filed, ["n", "i", "token"])
-        .select("text", "n", "template_id", "template_pos", "template_text")
+        asked.join(filed, spot)
+        .select("scope", "text", "n", "template_id", "template_pos", "template_text")
         .distinct()
         .withColumn("equal", equal)
         .where((F.col("equal") > 0) & (F.col("equal") / F.col("n") >= sim_th))
-        .select("text", "template_id", "template_pos", "equal")
+        .select("scope", "text", "template_id", "template_pos", "equal")
     )
 
 
@@ -196,7 +200,9 @@ def match_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> Dat
 
 
 def mine_templates(rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own", batch: int = BATCH) -> DataFrame:
-    """``(template_id, pos, n, text)`` from rows with ``text`` and a unique ``pos``.
+    """``(scope, template_id, pos, n, text)`` from rows with ``text`` and a unique ``pos``.
+
+    With a ``scope`` column every scope is mined on its own and numbered from 0.
 
     An empty message never matches, so each opens a template of its own; with
     ``empty='merge'`` they share one.
@@ -205,7 +211,7 @@ def mine_templates(rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own",
     undecided = messages.where("n > 0")
     found = messages.where("n = 0")
     if empty == "own" and not found.isEmpty():
-        found = rows.where(F.col("text") == "").select("text", "pos", F.lit(0).alias("n"))
+        found = scoped(rows).where(F.col("text") == "").select("scope", "text", "pos", F.lit(0).alias("n"))
     while True:
         new = materialise(_open_templates(undecided, sim_th, batch), "templates")
         if new.isEmpty():
@@ -221,8 +227,8 @@ def number_templates(found: DataFrame) -> DataFrame:
     """Template ids from 0 in order of position; ``found`` is a stored table."""
     low, high, count = found.agg(F.min("pos"), F.max("pos"), F.count(F.lit(1))).first()
     width = max(1, (high - low + 1) // max(1, count // 50_000 + 1)) if count else 1
-    numbered = with_ordinal(found, [], ["pos", "text"], block_chunk("pos", width), "template_id", start=0)
-    return materialise(numbered.select("template_id", "pos", "n", "text"), "templates")
+    numbered = with_ordinal(found, ["scope"], ["pos", "text"], block_chunk("pos", width), "template_id", start=0)
+    return materialise(numbered.select("scope", "template_id", "pos", "n", "text"), "templates")
 
 
 def assign_templates(rows: DataFrame, templates: DataFrame, sim_th: float = SIM_TH, assign: str = "pos") -> DataFrame:
@@ -233,31 +239,33 @@ def assign_templates(rows: DataFrame, templates: DataFrame, sim_th: float = SIM_
     messages always agree.  Small template tables go to the executors and rows are
     never shuffled; larger ones are joined on rare tokens.
     """
+    columns = [*rows.columns, "template_id"]
+    rows = scoped(rows)
     worded = templates.where(F.col("text") != "")
     book = _send(rows.sparkSession, worded, with_id=True)
     texts = rows.where(F.col("text") != "")
-    # templates are a stored table, so these look-ups are cheap
     if book is None:
         done = _assign_by_join(texts, worded, sim_th, assign)
     else:
         schema = StructType([*rows.schema.fields, StructField("template_id", LongType())])
         done = texts.mapInArrow(_assigner(book, sim_th, assign == "pos"), schema)
-    empties = templates.where(F.col("text") == "").select("template_id", "pos")
+    # templates are a stored table, so these look-ups are cheap
+    empties = templates.where(F.col("text") == "").select("scope", "template_id", "pos")
     if empties.isEmpty():
-        return done
-    own = rows.where(F.col("text") == "").join(empties, "pos", "left")
-    merged = empties.agg(F.min("template_id")).scalar()
-    own = own.withColumn("template_id", F.coalesce("template_id", merged))
-    return done.unionByName(own.select(*done.columns))
+        return done.select(*columns)
+    shared = empties.groupBy("scope").agg(F.min("template_id").alias("_shared"))
+    own = rows.where(F.col("text") == "").join(empties, ["scope", "pos"], "left").join(shared, "scope", "left")
+    own = own.withColumn("template_id", F.coalesce("template_id", "_shared"))
+    return done.select(*columns).unionByName(own.select(*columns))
 
 
 def _assigner(book, sim_th: float, by_pos: bool):
-    def best(texts, n: int, pos, group) -> np.ndarray:
+    def best(texts, key: tuple, pos, group) -> np.ndarray:
         """Template id per row: ``group`` is the row's index into ``texts``."""
-        ids, opened, names = book.value.by_length[n]
+        _, opened, names = book.value.groups[key]
         out = np.full(len(group), -1, dtype=np.int64)
         cut = np.searchsorted(opened, pos, side="right") - 1 if by_pos else np.full(len(group), len(opened) - 1)
-        for at, equal in book.value.shares(texts, n, sim_th):
+        for at, equal in book.value.shares(texts, key, sim_th):
             here = np.flatnonzero((group >= at) & (group < at + len(equal)) & (cut >= 0))
             top = np.maximum.accumulate(equal, axis=1)
             rises = np.diff(top, axis=1, prepend=0) > 0
@@ -268,19 +276,13 @@ def _assigner(book, sim_th: float, by_pos: bool):
 
     def run(batches):
         for batch in batches:
-            text = batch.column(batch.schema.get_field_index("text")).to_pandas()
-            pos = batch.column(batch.schema.get_field_index("pos")).to_numpy(zero_copy_only=False)
-            codes, words = pd.factorize(text)
-            lengths = np.array([w.count(" ") + 1 for w in words], dtype=np.int64)
-            ids = np.full(len(text), -1, dtype=np.int64)
-            for n in np.unique(lengths):
-                if n not in book.value.by_length:
-                    continue
-                mine = np.flatnonzero(lengths == n)
-                rank = np.full(len(words), -1)
-                rank[mine] = np.arange(len(mine))
-                rows = np.flatnonzero(rank[codes] >= 0)
-                ids[rows] = best([words[i] for i in mine], int(n), pos[rows], rank[codes[rows]])
+            rows = pd.DataFrame({c: batch.column(batch.schema.get_field_index(c)).to_pandas() for c in ("scope", "text", "pos")})
+            rows["n"] = rows["text"].str.count(" ") + 1
+            ids = np.full(len(rows), -1, dtype=np.int64)
+            for key, where in rows.groupby(["scope", "n"]).indices.items():
+                if key in book.value.groups:
+                    codes, words = pd.factorize(rows["text"].to_numpy()[where])
+                    ids[where] = best(list(words), key, rows["pos"].to_numpy()[where], codes)
             column = pa.array(ids, type=pa.int64(), mask=ids < 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "template_id"])
 
@@ -288,14 +290,15 @@ def _assigner(book, sim_th: float, by_pos: bool):
 
 
 def _assign_by_join(texts: DataFrame, templates: DataFrame, sim_th: float, assign: str) -> DataFrame:
-    distinct = texts.select("text").distinct().withColumn("n", _token_count("text"))
+    distinct = texts.select("scope", "text").distinct().withColumn("n", _token_count("text"))
     pairs = match_pairs(distinct, templates, sim_th)
+    key = ["scope", "text"]
     if assign == "final":
-        best = F.max_by("template_id", F.struct("equal", -F.col("template_pos"))).alias("template_id")
-        return texts.join(pairs.groupBy("text").agg(best), "text", "left").select(*texts.columns, "template_id")
+        best = F.max_by("template_id", F.struct("equal", -F.col("template_id"))).alias("template_id")
+        return texts.join(pairs.groupBy(*key).agg(best), key, "left")
     # per share of equal tokens only the oldest template can win: at most n per message
-    oldest = pairs.groupBy("text", "equal").agg(F.min(F.struct("template_pos", "template_id")).alias("t"))
-    steps = oldest.groupBy("text").agg(F.collect_list(F.struct("equal", "t")).alias("_steps"))
+    oldest = pairs.groupBy(*key, "equal").agg(F.min(F.struct("template_pos", "template_id")).alias("t"))
+    steps = oldest.groupBy(*key).agg(F.collect_list(F.struct("equal", "t")).alias("_steps"))
     seen = F.filter("_steps", lambda s: s.getField("t").getField("template_pos") <= F.col("pos"))
     pick = F.array_max(seen).getField("t").getField("template_id")
-    return texts.join(steps, "text", "left").withColumn("template_id", pick).select(*texts.columns, "template_id")
+    return texts.join(steps, key, "left").withColumn("template_id", pick).drop("_steps")
