@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rootscope.session import materialise
+
 
 def align_intersection(table: DataFrame, scope: Column | None = None) -> DataFrame:
     """Rows at times every instance has.
@@ -13,17 +15,16 @@ def align_intersection(table: DataFrame, scope: Column | None = None) -> DataFra
     their scope.  The kept times are one row each; how they are joined is left to
     their size.
     """
-    scope = F.lit("") if scope is None else scope
+    if scope is None:
+        total = table.agg(F.count_distinct("instance_id")).scalar()
+        pairs = table.select("timestamp", "instance_id").distinct()
+        seen = pairs.groupBy("timestamp").agg(F.count(F.lit(1)).alias("_n"))
+        return table.join(seen.where(F.col("_n") == total).select("timestamp"), "timestamp", "left_semi")
     placed = table.withColumn("_scope", scope)
     pairs = placed.select("_scope", "timestamp", "instance_id").distinct()
     totals = placed.groupBy("_scope").agg(F.count_distinct("instance_id").alias("_all"))
-    shared = (
-        pairs.groupBy("_scope", "timestamp")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .join(totals, "_scope")
-        .where(F.col("_n") == F.col("_all"))
-        .select("_scope", "timestamp")
-    )
+    seen = pairs.groupBy("_scope", "timestamp").agg(F.count(F.lit(1)).alias("_n")).join(totals, "_scope")
+    shared = seen.where(F.col("_n") == F.col("_all")).select("_scope", "timestamp")
     return placed.join(shared, ["_scope", "timestamp"], "left_semi").drop("_scope")
 
 
@@ -47,12 +48,15 @@ def align_union(dense: DataFrame) -> DataFrame:
 
 def align_ranges(dense: DataFrame, scope: Column | None = None) -> DataFrame:
     """Intersection for gap-free tables: from the latest first to the earliest last time."""
-    scope = F.lit("") if scope is None else scope
-    placed = dense.withColumn("_scope", scope)
-    ends = placed.groupBy("_scope", "instance_id").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    keys = [] if scope is None else ["_scope"]
+    placed = dense if scope is None else dense.withColumn("_scope", scope)
+    ends = placed.groupBy(*keys, "instance_id").agg(F.min("timestamp").alias("_first"), F.max("timestamp").alias("_last"))
+    if scope is None:
+        start, stop = ends.agg(F.max("_first")).scalar(), ends.agg(F.min("_last")).scalar()
+        return dense.where((F.col("timestamp") >= start) & (F.col("timestamp") <= stop))
     common = ends.groupBy("_scope").agg(F.max("_first").alias("_start"), F.min("_last").alias("_stop"))
     return (
-        placed.join(common, "_scope")
+        placed.join(materialise(common, "ranges"), "_scope")
         .where((F.col("timestamp") >= F.col("_start")) & (F.col("timestamp") <= F.col("_stop")))
         .drop("_scope", "_start", "_stop")
     )

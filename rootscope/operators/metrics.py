@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rootscope.functions.scalars import epoch_seconds, seconds_to_ts, time_floor
 from rootscope.operators.spread import DAY, grouped_quantiles, known_neighbours, time_chunk
+from rootscope.session import materialise
 
 SERIES = ["instance_id", "feature"]
 CELL = ["instance_id", "timestamp", "feature"]
@@ -42,13 +43,23 @@ def instance_features(cells: DataFrame) -> DataFrame:
 
 def common_features(cells: DataFrame, scope: Column | None = None) -> DataFrame:
     """``(_scope, feature)``: features every instance (of a scope) has."""
-    scope = F.lit("") if scope is None else scope
-    pairs = cells.select(*SERIES).distinct().withColumn("_scope", scope)
-    totals = pairs.groupBy("_scope").agg(F.count_distinct("instance_id").alias("_all"))
+    pairs = cells.select(*SERIES).distinct().withColumn("_scope", F.lit("") if scope is None else scope)
     seen = pairs.groupBy("_scope", "feature").agg(F.count(F.lit(1)).alias("_n"))
+    if scope is None:
+        total = cells.agg(F.count_distinct("instance_id")).scalar()
+        return seen.where(F.col("_n") == total).select("_scope", "feature")
+    totals = pairs.groupBy("_scope").agg(F.count_distinct("instance_id").alias("_all"))
     return seen.join(totals, "_scope").where(F.col("_n") == F.col("_all")).select("_scope", "feature")
 
 
+def _with_feature(rows: DataFrame, names: DataFrame, scope: Column | None) -> DataFrame:
+    """One row per listed feature; ``names`` is ``(_scope, feature)``, as long as the schema is wide."""
+    if scope is None:
+        return rows.withColumn("feature", F.explode(names.agg(F.collect_set("feature")).scalar()))
+    listed = materialise(names.groupBy("_scope").agg(F.collect_set("feature").alias("_names")), "names")
+    return rows.withColumn("_scope", scope).join(listed, "_scope").withColumn("feature", F.explode("_names"))
+
+
 def dense_cells(cells: DataFrame, schema: str = "own", fill: float = 0.0, scope: Column | None = None) -> DataFrame:
     """All cells of the wide tables, empty ones as NULL.
 
@@ -57,20 +68,18 @@ def dense_cells(cells: DataFrame, schema: str = "own", fill: float = 0.0, scope:
     ``scope``, an expression of ``instance_id``, bounds what "all instances" means.  One
     shuffle by (instance, time); the names come as an array, no join with a grid.
     """
-    scope = F.lit("") if scope is None else scope
     rows = _rows_as_maps(cells)
     value = F.try_element_at("_cells", F.col("feature"))
     if schema == "intersection":
-        common = common_features(cells, scope).groupBy("_scope").agg(F.collect_set("feature").alias("_names"))
-        named = rows.withColumn("_scope", scope).join(common, "_scope").withColumn("feature", F.explode("_names"))
-        return named.select(*CELL, value.alias("value"))
+        return _with_feature(rows, common_features(cells, scope), scope).select(*CELL, value.alias("value"))
     rows = rows.join(instance_features(cells), "instance_id")
     if schema == "own":
         return rows.withColumn("feature", F.explode("own")).select(*CELL, value.alias("value"))
-    every = cells.select(scope.alias("_scope"), "feature").groupBy("_scope").agg(F.collect_set("feature").alias("_names"))
-    rows = rows.withColumn("_scope", scope).join(every, "_scope").withColumn("feature", F.explode("_names"))
+    every = cells.select((F.lit("") if scope is None else scope).alias("_scope"), "feature").distinct()
     known = F.array_contains("own", F.col("feature"))
-    return rows.select(*CELL, F.when(known, value).otherwise(F.lit(float(fill))).alias("value"))
+    return _with_feature(rows, every, scope).select(
+        *CELL, F.when(known, value).otherwise(F.lit(float(fill))).alias("value")
+    )
 
 
 # --- cleaning --------------------------------------------------------------------

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from rootscope.session import use_utc
 
-FAMILIES = ["traces", "spans", "metrics", "logs", "graph", "scoring", "cube", "sources"]
+FAMILIES = ["traces", "spans", "metrics", "logs", "graph", "scoring", "cube", "sources", "plans"]
 
 
 def _modules():
