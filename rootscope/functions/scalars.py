@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 # Java character class.
 SPACE = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+# the ASCII part of it
+ASCII_SPACE = r"\t-\r\x1c-\x20"
+
 # Message masking rules, applied in this order.
 MASK_RULES = [
     (r"\p{Nd}{4}-\p{Nd}{2}-\p{Nd}{2} \p{Nd}{2}:\p{Nd}{2}:\p{Nd}{2}", "<TIMESTAMP>"),
@@ -114,20 +117,51 @@ def parse_log_lines(lines: DataFrame, column: str = "line", year: int | None = N
     ).drop(*helpers)
 
 
-def mask_message(message: Column | str) -> Column:
-    masked = _col(message)
-    for pattern, name in MASK_RULES:
+def _once(value: Column, rule) -> Column:
+    """``rule(value)`` with the value computed once, however often the rule names it.
+
+    The optimizer copies column definitions into filters; a lambda keeps long chains
+    from being copied many times over.
+    """
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
+def _mask(message: Column) -> Column:
+    masked = message
+    for pattern, name in MASK_RULES[:-1]:
         masked = F.regexp_replace(masked, pattern, name)
-    return masked
+    pattern, name = MASK_RULES[-1]
+
+    def ids(text: Column) -> Column:
+        return F.when(text.like("%-%-%-%-%"), F.regexp_replace(text, pattern, name)).otherwise(text)
+
+    return _once(F.when(message.rlike(r"\p{Nd}"), masked).otherwise(message), ids)
+
+
+def mask_message(message: Column | str) -> Column:
+    """Time stamps, addresses, numbers and ids replaced by their names.
+
+    Rules that need a digit, or the dashes of an id, are skipped where there is none.
+    """
+    return _once(_col(message), _mask)
 
 
 def tokens(message: Column | str) -> Column:
     return F.regexp_extract_all(_col(message), F.lit(f"[^{SPACE}]+"), F.lit(0))
 
 
+def _blanks(text: Column) -> Column:
+    ascii_only = F.octet_length(text) == F.char_length(text)
+    short = F.regexp_replace(text, f"[{ASCII_SPACE}]+", " ")
+    return F.when(ascii_only, short).otherwise(F.regexp_replace(text, f"[{SPACE}]+", " "))
+
+
 def masked_text(message: Column | str) -> Column:
-    """Masked tokens joined by one blank: equal token lists have equal text."""
-    return F.array_join(tokens(mask_message(message)), " ")
+    """Masked tokens joined by one blank: equal token lists have equal text.
+
+    Plain ASCII text takes a shorter class of white space.
+    """
+    return F.trim(_once(mask_message(message), _blanks))
 
 
 def log_ip(message: Column | str) -> Column:

@@ -243,20 +243,21 @@ def assign_templates(rows: DataFrame, templates: DataFrame, sim_th: float = SIM_
     rows = scoped(rows)
     worded = templates.where(F.col("text") != "")
     book = _send(rows.sparkSession, worded, with_id=True)
-    texts = rows.where(F.col("text") != "")
     if book is None:
-        done = _assign_by_join(texts, worded, sim_th, assign)
+        done = _assign_by_join(rows, worded, sim_th, assign)
     else:
         schema = StructType([*rows.schema.fields, StructField("template_id", LongType())])
-        done = texts.mapInArrow(_assigner(book, sim_th, assign == "pos"), schema)
+        done = rows.mapInArrow(_assigner(book, sim_th, assign == "pos"), schema)
     # templates are a stored table, so these look-ups are cheap
     empties = templates.where(F.col("text") == "").select("scope", "template_id", "pos")
     if empties.isEmpty():
         return done.select(*columns)
+    # only empty messages get here, matched by position or to the shared template
     shared = empties.groupBy("scope").agg(F.min("template_id").alias("_shared"))
-    own = rows.where(F.col("text") == "").join(empties, ["scope", "pos"], "left").join(shared, "scope", "left")
+    blank = done.where(F.col("text") == "").drop("template_id")
+    own = blank.join(empties, ["scope", "pos"], "left").join(shared, "scope", "left")
     own = own.withColumn("template_id", F.coalesce("template_id", "_shared"))
-    return done.select(*columns).unionByName(own.select(*columns))
+    return done.where(F.col("text") != "").select(*columns).unionByName(own.select(*columns))
 
 
 def _assigner(book, sim_th: float, by_pos: bool):
@@ -290,7 +291,7 @@ def _assigner(book, sim_th: float, by_pos: bool):
 
 
 def _assign_by_join(texts: DataFrame, templates: DataFrame, sim_th: float, assign: str) -> DataFrame:
-    distinct = texts.select("scope", "text").distinct().withColumn("n", _token_count("text"))
+    distinct = texts.select("scope", "text").where(F.col("text") != "").distinct().withColumn("n", _token_count("text"))
     pairs = match_pairs(distinct, templates, sim_th)
     key = ["scope", "text"]
     if assign == "final":
