@@ -10,20 +10,30 @@ def call_pairs(spans: DataFrame, scope: str = "trace", order: str = "timestamp",
     """Distinct ``(caller, callee)`` services from parent spans.
 
     ``scope`` says where a parent is looked for: in the same ``trace``, the same ``file``
-    or everywhere (``global``).  Of equal span ids in a scope the latest wins.  Callees
-    are reduced to distinct rows first, so a parent with very many children stays small.
+    or everywhere (``global``).  Of equal span ids in a scope the latest wins.  Every span
+    tells its own id who it is and its parent's id who was called; one grouping by id
+    brings both together.  Called services are a set, so a parent with very many children
+    stays small, and it is reduced before the shuffle.
     """
     within = {"trace": ["trace_id"], "file": [file], "global": []}[scope]
-    parents = (
-        spans.where(F.col("span_id").isNotNull())
-        .groupBy(*within, F.col("span_id").alias("_parent"))
-        .agg(F.max_by("service_name", order).alias("caller"))
-        .where(F.col("caller").isNotNull())
+    service = F.col("service_name")
+    me = F.when(service.isNotNull(), F.struct(F.col(order).alias("at"), service.alias("caller")))
+    nobody = F.lit(None).cast(f"struct<at: {dict(spans.dtypes)[order]}, caller: string>")
+    told = F.array(
+        F.struct(F.col("span_id").alias("id"), me.alias("me"), F.lit(None).cast("string").alias("callee")),
+        F.struct(F.col("parent_span_id").alias("id"), nobody.alias("me"), service.alias("callee")),
     )
-    children = spans.where(F.col("parent_span_id").isNotNull() & F.col("service_name").isNotNull()).select(
-        *within, F.col("parent_span_id").alias("_parent"), F.col("service_name").alias("callee")
+    met = (
+        spans.select(*within, F.inline(told))
+        .where(F.col("id").isNotNull())
+        .groupBy(*within, "id")
+        .agg(F.max("me").alias("me"), F.collect_set("callee").alias("callees"))
+    )
+    return (
+        met.where(F.col("me").isNotNull())
+        .select(F.col("me.caller").alias("caller"), F.explode("callees").alias("callee"))
+        .distinct()
     )
-    return parents.join(children.distinct(), [*within, "_parent"]).select("caller", "callee").distinct()
 
 
 def to_node_ids(pairs: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -87,6 +87,23 @@ def known_neighbours(
     )
 
 
+def previous_in_group(
+    df: DataFrame, keys: list[str], order: list[str], value: str, chunk: Column, out: str
+) -> DataFrame:
+    """``value`` of the row before, by ``order``; ``chunk`` must rise with it."""
+    base = _chunked(df, keys, chunk)
+    local_w = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    ends = base.groupBy(*keys, _CHUNK).agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    ends_w = Window.partitionBy(*keys).orderBy(_CHUNK)
+    carried = ends.select(*keys, _CHUNK, F.lag("_end").over(ends_w).alias("_carry"))
+    return (
+        base.withColumn("_local", F.lag(value).over(local_w))
+        .join(carried, [*keys, _CHUNK])
+        .withColumn(out, F.coalesce("_local", "_carry"))
+        .drop("_local", "_carry", _CHUNK)
+    )
+
+
 def with_ordinal(
     df: DataFrame, keys: list[str], order: list[str], chunk: Column, out: str, start: int = 1
 ) -> DataFrame:

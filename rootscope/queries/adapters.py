@@ -6,10 +6,11 @@ expression with the same name.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootscope.functions.scalars import epoch_seconds, time_floor
+from rootscope.operators.spread import previous_in_group, time_chunk
 
 SIX_HOURS = 21_600
 MONTH = 2_592_000
@@ -86,29 +87,28 @@ def spans(spark, sf):
     """Parsed spans: eleven columns."""
     ev = table(spark, sf, "events")
     trace = F.concat(F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyy-MM-dd"))
-    # one trace is one user's day
-    by_trace = Window.partitionBy("trace_id").orderBy("timestamp", "event_id")
     r = F.col("event_id") % 20
     op = F.col("event_id") % 4
     status = F.when(r == 0, "500").when(r == 1, "404").when(r == 2, "503").when(r == 3, "302").otherwise("200")
     operation = F.when(op == 0, "GET /x").when(op == 1, "grpc.call").when(op == 2, "db.select").otherwise("cron")
     kind = F.when(op == 0, "http").when(op == 1, "rpc").when(op == 2, "db").otherwise("unknown")
-    return (
-        ev.select(
-            F.col("ts").alias("timestamp"),
-            trace.alias("trace_id"),
-            "event_id",
-            F.col("event_id").cast("string").alias("span_id"),
-            F.col("event_type").alias("service_name"),
-            F.concat("event_type", F.lit("-"), (F.col("user_id") % 2).cast("string")).alias("instance_id"),
-            operation.alias("operation_name"),
-            F.col("value").alias("duration"),
-            status.alias("status_code"),
-            status.rlike("^[45]").alias("is_error"),
-            kind.alias("request_type"),
-        )
-        .withColumn("parent_span_id", F.lag("span_id").over(by_trace))
-        .drop("event_id")
+    plain = ev.select(
+        F.col("ts").alias("timestamp"),
+        trace.alias("trace_id"),
+        "event_id",
+        F.col("event_id").cast("string").alias("span_id"),
+        F.col("event_type").alias("service_name"),
+        F.concat("event_type", F.lit("-"), (F.col("user_id") % 2).cast("string")).alias("instance_id"),
+        operation.alias("operation_name"),
+        F.col("value").alias("duration"),
+        status.alias("status_code"),
+        status.rlike("^[45]").alias("is_error"),
+        kind.alias("request_type"),
+    )
+    # the parent is the span before in the trace, one user's day
+    order = ["timestamp", "event_id"]
+    return previous_in_group(plain, ["trace_id"], order, "span_id", time_chunk("timestamp", 3600), "parent_span_id").drop(
+        "event_id"
     )
 
 
