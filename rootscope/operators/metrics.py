@@ -19,8 +19,9 @@ CELL = ["instance_id", "timestamp", "feature"]
 
 
 def average_cells(metrics: DataFrame, name: str = "metric_name") -> DataFrame:
-    """Mean per instance, time and metric."""
-    return metrics.groupBy("instance_id", "timestamp", F.col(name).alias("feature")).agg(F.avg("value").alias("value"))
+    """Mean per instance, time and metric; cells without any value do not exist."""
+    keyed = metrics.where(F.col("value").isNotNull()).select("instance_id", "timestamp", F.col(name).alias("feature"), "value")
+    return keyed.dropna(subset=CELL).groupBy(*CELL).agg(F.avg("value").alias("value"))
 
 
 def _rows_as_maps(cells: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from rootscope.operators import scoring as Q
 from rootscope.queries.adapters import (
     CUBE_START, CUBE_STEP, cases, edges, groundtruth, loss_long, nodes, rounded, table, vectors, vectors_sparse, with_sql,
 )
+from rootscope.queries.scoring import _SERIES
 from rootscope.sources.cases import project_cases
 
 OUT_DIM = 4
@@ -82,13 +83,12 @@ def _reconstruct(s, d):
     return rounded(M.reconstruct(vectors(s, d).select("ts", "node_id", "vec"), ring(s, d), 8))
 
 
-def _fit_weights(s, d):
-    candidates = M.weight_candidates(8, [1.0, 0.8, 0.5], [0.0, 0.5], [0.0, 0.5])
-    return rounded(M.feedback_losses(_hour_loss(s, d), cases(s, d), nodes(s, d), edges(s, d), candidates, 360, 8))
+CANDIDATES = M.weight_candidates(8, [1.0, 0.8, 0.5], [0.0, 0.5], [0.0, 0.5])
 
 
-def _hour_loss(s, d):
-    return loss_long(s, d).withColumn("loss", F.col("loss") / 1000.0)
+def _fit_weights(s, d):
+    small = loss_long(s, d).withColumn("loss", F.col("loss") / 1000.0)
+    return rounded(M.feedback_losses(small, cases(s, d), nodes(s, d), edges(s, d), CANDIDATES, 360, 8))
 
 
 QUERIES = {
@@ -155,7 +155,32 @@ def _draw(*parts: str) -> str:
     return f"({mixed} * 48271 % 10007 < {int(0.2 * 10_007)})"
 
 
+def _near(column: str, this: str, other: str) -> str:
+    return f"""coalesce((SELECT max(o.score) FROM grid o JOIN edges e ON e.{other} = o.node_id WHERE e.{this} = g.node_id
+        AND o.case_id = g.case_id AND o.candidate = g.candidate AND e.src <> e.dst), 0) AS {column}"""
+
+
+_WEIGHTS = {
+    **_SERIES,
+    "candidates": " UNION ALL ".join(f"SELECT {i} AS candidate, {w} AS w, {p} AS p, {q} AS q" for i, w, p, q in CANDIDATES),
+    "grid": """SELECT candidate, case_id, node, node_id, p, q, list_inner_product(series, CAST(w AS DOUBLE[])) / 1000 AS score
+        FROM series JOIN nodes USING (node) CROSS JOIN candidates""",
+    "near": f"SELECT g.*, {_near('smax', 'src', 'dst')}, {_near('pmax', 'dst', 'src')} FROM grid g",
+    "soft": """SELECT candidate, case_id, node, node_id, exp(score + p * pmax + q * smax - max(score + p * pmax + q * smax) OVER w) AS e
+        FROM near WINDOW w AS (PARTITION BY candidate, case_id)""",
+    "scaled": """SELECT s.*, starts_with(node, cmdb_id) AS hit, (e - min(e) OVER w) / nullif(max(e) OVER w - min(e) OVER w, 0) AS v
+        FROM soft s JOIN cases USING (case_id) WINDOW w AS (PARTITION BY candidate, case_id)""",
+    "placed": """SELECT *, avg(v) FILTER (hit) OVER (PARTITION BY candidate, case_id) AS mu,
+        row_number() OVER (PARTITION BY candidate, case_id ORDER BY v DESC, node_id) AS rk FROM scaled""",
+}
+
 ORACLE = {
+    "fit_feedback_weights": with_sql(
+        "cases loss_long edges",
+        """SELECT candidate, round(avg(loss), 6) AS loss FROM (SELECT CAST(candidate AS INTEGER) AS candidate, case_id,
+        sum(greatest((v - mu) / rk, 0)) AS loss FROM placed GROUP BY 1, 2) GROUP BY 1""",
+        _WEIGHTS,
+    ),
     "modal_join": with_sql("vectors", f"{_flat('ts, node_id', 'vectors')} WHERE ts IS NOT NULL AND (ts - {CUBE_START}) // {CUBE_STEP} * 10 + node_id IN (SELECT vec_id FROM vectors WHERE vec_id % 7 <> 0)"),
     "modal_join_strict": with_sql("vectors", "SELECT ts, node_id, 'log' AS missing FROM vectors WHERE vec_id % 7 = 0"),
     "dense_cube": with_sql(

@@ -9,8 +9,10 @@ from rootscope.functions import scalars as S
 from rootscope.operators import cube as C
 from rootscope.operators import evaluate as E
 from rootscope.operators import logs as L
+from rootscope.operators import metrics as M
 from rootscope.operators.traces import parse_spans
 from rootscope.queries import scoring as Q
+from rootscope.queries.metrics import ORACLE as METRICS
 from rootscope.queries.adapters import (
     cases, groundtruth, logs_short, metrics_binned, metrics_long, rounded, spans, vectors, with_sql,
 )
@@ -145,7 +147,26 @@ def _write_results(s, d):
     return back.select(F.col("case_id").cast("bigint").alias("case_id"), "cmdb_id", *[F.split_part(f"Top{i}", F.lit(":"), F.lit(1)).alias(f"top{i}") for i in range(1, 6)])
 
 
+def _trace_by_service(s, d):
+    path = scratch_path(s, "by-service")
+    rows = spans(s, d).select(
+        "span_id", F.col("parent_span_id").alias("parent_id"), "service_name",
+        F.col("service_name").alias("service"), F.date_format("timestamp", "yyyy-MM").alias("month"),
+    )
+    rows.write.partitionBy("service", "month").option("header", True).csv(path)
+    read = R.read_trace_by_service(s, path, "*/*/*.csv")
+    return read.select("folder_service", "date", "span_id", "parent_span_id", "service_name")
+
+
+def _features_table(s, d):
+    path = scratch_path(s, "tables")
+    M.metric_statistics(metrics_binned(s, d)).write.option("header", True).csv(f"{path}/stats.csv")
+    return rounded(R.load_features_table(s, path, "stats.csv").withColumn("count", F.col("count").cast("bigint")))
+
+
 QUERIES = {
+    "discover_trace_by_service": _trace_by_service,
+    "load_features_table": _features_table,
     "read_metrics": _read_metrics,
     "read_logs": _read_logs,
     "read_spans": _read_spans,
@@ -165,6 +186,11 @@ QUERIES = {
 _POINTS = "CAST(generate_subscripts(vec, 1) - 1 AS INTEGER) AS i, unnest(vec) AS value FROM vectors"
 
 ORACLE = {
+    "discover_trace_by_service": with_sql(
+        "spans",
+        """SELECT service_name AS folder_service, strftime("timestamp", '%Y-%m') AS date, span_id, parent_span_id, service_name FROM spans""",
+    ),
+    "load_features_table": METRICS["metric_stats"],
     "read_metrics": with_sql("metrics_long", 'SELECT instance_id, "timestamp", metric_name, round(value, 6) AS value FROM metrics_long'),
     "read_logs": with_sql(
         "logs_short",

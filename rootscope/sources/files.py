@@ -264,12 +264,12 @@ def discover_files(spark: SparkSession, root: str) -> DataFrame:
     return files.where(fits & (depth == level)).select(modality.alias("modality"), date.alias("date"), "path")
 
 
-_BY_SERVICE = r"/([^/]+)/([^/]+)/trace/trace\.csv$"
+_BY_SERVICE = r"/(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)/(?:trace/)?[^/]+$"
 
 
-def read_trace_by_service(spark: SparkSession, root: str) -> DataFrame:
+def read_trace_by_service(spark: SparkSession, root: str, pattern: str = "*/*/trace/trace.csv") -> DataFrame:
     """Spans of ``root/<service>/<date>/trace/trace.csv`` with the folder's service and date."""
-    raw = _csv(spark, f"{root.rstrip('/')}/*/*/trace/trace.csv").withColumn("file", F.col("_metadata.file_path"))
+    raw = _csv(spark, f"{root.rstrip('/')}/{pattern}").withColumn("file", F.col("_metadata.file_path"))
     return normalise_spans(raw).withColumns(
         {"folder_service": F.regexp_extract("file", _BY_SERVICE, 1), "date": F.regexp_extract("file", _BY_SERVICE, 2)}
     )
