@@ -20,6 +20,15 @@ DAY = 86_400
 _CHUNK = "_chunk"
 
 
+def deal_out(df: DataFrame) -> DataFrame:
+    """A table in fewer partitions than cores, dealt out for work that is heavy per row.
+
+    Large tables have more partitions than cores and pass unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def time_chunk(order: str, seconds: int = DAY) -> Column:
     return F.floor(epoch_seconds(order) / F.lit(seconds))
 

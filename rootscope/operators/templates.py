@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from rootscope.functions.scalars import masked_text
-from rootscope.operators.spread import block_chunk, with_ordinal
+from rootscope.operators.spread import block_chunk, deal_out, with_ordinal
 from rootscope.session import materialise
 
 SIM_TH = 0.4
@@ -30,7 +30,7 @@ SIM_TH = 0.4
 # before it shuffles
 BATCH = 1000
 # templates up to this many characters are sent to every executor; more are joined
-SEND_CHARS = 64_000_000
+SEND_CHARS = 32_000_000
 _CELLS = 4_000_000
 
 
@@ -59,14 +59,13 @@ def distinct_messages(rows: DataFrame) -> DataFrame:
 
 def _encode(texts, n: int, vocabulary: dict, grow: bool) -> np.ndarray:
     """Token ids, one row per text; unknown tokens get -1 unless the vocabulary grows."""
-    ids = np.empty((len(texts), n), dtype=np.int32)
-    for r, text in enumerate(texts):
-        for c, token in enumerate(text.split(" ")):
-            if grow:
-                ids[r, c] = vocabulary.setdefault(token, len(vocabulary))
-            else:
-                ids[r, c] = vocabulary.get(token, -1)
-    return ids
+    flat = " ".join(texts).split(" ")
+    if grow:
+        add = vocabulary.setdefault
+        ids = [add(token, len(vocabulary)) for token in flat]
+    else:
+        ids = [vocabulary.get(token, -1) for token in flat]
+    return np.array(ids, dtype=np.int32).reshape(len(texts), n)
 
 
 def _leaders(sim_th: float):
@@ -157,7 +156,7 @@ def _strike_out(undecided: DataFrame, new: DataFrame, sim_th: float) -> DataFram
                         open_[where[at : at + len(equal)]] = ~(equal > 0).any(axis=1)
             yield pdf[open_]
 
-    return undecided.mapInPandas(keep, undecided.schema)
+    return deal_out(undecided).mapInPandas(keep, undecided.schema)
 
 
 def match_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> DataFrame:

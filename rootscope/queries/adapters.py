@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootscope.functions.scalars import epoch_seconds, time_floor
-from rootscope.operators.spread import previous_in_group, time_chunk
+from rootscope.operators.spread import deal_out, previous_in_group, time_chunk
 
 SIX_HOURS = 21_600
 MONTH = 2_592_000
@@ -22,12 +22,6 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer file splits than cores, dealt out for work that is heavy per row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _svc(c: str, n: int) -> F.Column:
     return F.concat(F.lit("svc"), (F.col(c) % n).cast("string"))
 
@@ -55,7 +49,7 @@ def metrics_uneven(spark, sf):
 
 def logs_short(spark, sf):
     used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"]
-    li = spread(table(spark, sf, "lineitem").select(*used))
+    li = deal_out(table(spark, sf, "lineitem").select(*used))
     body = F.concat(
         F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "), F.col("l_linenumber").cast("string"),
         F.lit(" status "), "l_returnflag", "l_linestatus",
@@ -72,7 +66,7 @@ def logs_short(spark, sf):
 
 
 def logs_long(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    docs = deal_out(table(spark, sf, "documents").select("doc_id", "source", "text"))
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "message"))
     minutes = F.expr("make_dt_interval(0, 0, cast(doc_id AS INT), 0)")
     return lines.select(

@@ -36,7 +36,7 @@ def frame(spark, lists, parts=3):
 
 @pytest.mark.parametrize("th,batch,parts", [(0.4, 1000, 3), (0.4, 3, 1), (0.7, 5, 17), (0.0, 4, 4), (1.0, 1000, 2)])
 def test_matches_sequential_rule(spark, th, batch, parts):
-    lists = random_lists(int(th * 10) + batch, 300)
+    lists = random_lists(int(th * 10) + batch, 120)
     opened, ids = leader_rule(lists, th)
     rows = frame(spark, lists, parts)
     mined = T.mine_templates(rows, th, batch=batch)
@@ -48,7 +48,7 @@ def test_matches_sequential_rule(spark, th, batch, parts):
 
 def test_large_template_tables_are_joined(spark, monkeypatch):
     monkeypatch.setattr(T, "SEND_CHARS", -1)
-    lists = random_lists(7, 250)
+    lists = random_lists(7, 80)
     opened, ids = leader_rule(lists, 0.4)
     rows = frame(spark, lists)
     mined = T.mine_templates(rows, 0.4, batch=4)
@@ -68,7 +68,7 @@ def test_repeat_moves_to_a_newer_template(spark):
 
 
 def test_final_assignment_agrees_both_ways(spark, monkeypatch):
-    rows = frame(spark, random_lists(11, 200))
+    rows = frame(spark, random_lists(11, 100))
     mined = T.mine_templates(rows, 0.4)
     sent = {r.pos: r.template_id for r in T.assign_templates(rows, mined, assign="final").collect()}
     monkeypatch.setattr(T, "SEND_CHARS", -1)
@@ -97,3 +97,15 @@ def test_masking_order(spark):
         "u <UUID> v <NUM>-abcd-abcd-abcd-abcdefabcdef",
         "<NUM> x y",
     ]
+
+
+def test_scopes_never_meet(spark):
+    a, b = random_lists(3, 60), random_lists(4, 60)
+    rows = frame(spark, a).withColumn("scope", F.lit("a")).unionByName(frame(spark, b).withColumn("scope", F.lit("b")))
+    mined = T.mine_templates(rows)
+    ids = T.assign_templates(rows, mined)
+    for name, lists in (("a", a), ("b", b)):
+        opened, want = leader_rule(lists, 0.4)
+        got = sorted((r.template_id, r.text) for r in mined.where(F.col("scope") == name).collect())
+        assert got == [(i, " ".join(t)) for i, t in enumerate(opened)]
+        assert [r.template_id for r in ids.where(F.col("scope") == name).orderBy("pos").collect()] == want
