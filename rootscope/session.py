@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,19 +29,14 @@ def use_utc(spark: SparkSession) -> None:
 def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    A temporary folder is taken only in local mode, when nothing is set.
+    Where it is unset, a folder below the warehouse, which executors share as well.
     """
     sc = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if sc.getCheckpointDir() is None:
-            sc.setCheckpointDir(configured)
-        return configured
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    root = root or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="rootscope-"))
-    return sc.getCheckpointDir()
+        sc.setCheckpointDir(root)
+    return root
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -54,6 +48,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 
     Survives lost executors, and gives the next plan exact size statistics.
     """
-    path = scratch_path(df.sparkSession, label)
+    return materialise_at(df, scratch_path(df.sparkSession, label))
+
+
+def materialise_at(df: DataFrame, path: str) -> DataFrame:
+    """As ``materialise``, at a path that the caller can hand to ``discard``."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete stored tables that no later step reads."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
