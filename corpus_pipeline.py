@@ -1,10 +1,61 @@
-"""From documents to packed training sequences, in five stages."""
+"""From documents to packed training sequences, in five stages.
+
+Each stage takes all that its predecessor kept, written as Parquet and read again.
+"""
 
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+
+from rootscope.llm.common import table
+from rootscope.llm.decontaminate import drop_contaminated
+from rootscope.llm.exact import drop_exact_duplicates
+from rootscope.llm.neardup import drop_near_duplicates
+from rootscope.llm.packing import pack
+from rootscope.llm.quality import drop_low_quality
+from rootscope.session import materialise
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rule ensemble does not reject."""
+    return drop_low_quality(docs, table(spark, sf_dir, "labels"))
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return drop_exact_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that near-duplicate links join."""
+    return drop_near_duplicates(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with the benchmark."""
+    return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of at most 4096 tokens."""
+    return pack(docs)
+
+
+STAGES = [
+    ("quality", quality),
+    ("exact", exact),
+    ("near", near),
+    ("decontaminate", decontaminate),
+    ("packing", packing),
+]
+
+#: Shingle links and learnt rules are not SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other, from ``documents`` to the rows of the last."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs
