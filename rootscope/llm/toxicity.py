@@ -1,28 +1,34 @@
 """Operator 7, toxicity: a word classifier with a counterfactual penalty.
 
-A logistic regression over the presence of words. For each labelled text that names a group, the
+A logistic regression over words and word beginnings. A beginning (``stem~``) counts in words that
+go on after it, and has three features: it occurs, it occurs twice, it begins one word in a
+hundred. For each labelled text that names a group, the
 same text with each group's name exchanged for another's is made; the squared difference of
 the two scores is added to the loss. Names of groups then carry no weight of their own, so
 neutral mentions are not taken for insults.
 
 Learning takes at most ``MAX_LABELLED`` labelled rows, those with the smallest hashes of ``doc_id``,
-so its data are bounded; words are chosen from their counts by Spark, and the regression
-runs on the chosen words only. Scoring reads every whole text, without a shuffle.
+so its data are bounded; features are chosen from their counts by Spark, and the regression
+runs on the chosen ones only. Scoring reads every whole text, without a shuffle.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootscope.llm.common import held_out, map_texts, whole_text
 from rootscope.session import materialise
 
-#: Bounds of the learner: labelled rows, words, and what a word needs to be considered.
-MAX_LABELLED, MAX_WORDS, LEAST_TEXTS, LEAST_CHI2 = 20_000, 3_000, 5, 12.0
+#: Bounds of the learner: labelled rows, features, and what a feature needs to be considered.
+MAX_LABELLED, MAX_FEATURES, LEAST_TEXTS, LEAST_CHI2 = 12_000, 3_000, 5, 12.0
+#: Lengths of beginnings.
+STEMS = (5, 6, 7)
 RIDGE, COUNTERFACTUAL, STEPS = 1.0, 10.0, 400
 THRESHOLD = 0.5
 
@@ -38,28 +44,73 @@ EXCHANGED = {w: line[(i + 1) % len(line)] for line in map(str.split, GROUPS) for
 WORD = re.compile(r"\w+")
 
 
-def words_in(text: str) -> set[str]:
-    return set(WORD.findall(text.lower()))
+def words_of(text: str) -> Counter[str]:
+    return Counter(WORD.findall(text.lower()))
 
 
-def counterfactual(words: set[str]) -> set[str]:
+def stems(word: str) -> list[str]:
+    return [word[:k] for k in STEMS if len(word) > k]
+
+
+def features(words: Counter[str]) -> set[str]:
+    """Words, and beginnings of words by how often they occur."""
+    begun: Counter[str] = Counter()
+    for word, n in words.items():
+        for stem in stems(word):
+            begun[stem] += n
+    return words.keys() | _levels(begun, words.total())
+
+
+def _levels(begun: Counter[str], total: int) -> set[str]:
+    found = {f"{s}~" for s in begun}
+    found |= {f"{s}~2" for s, n in begun.items() if n > 1}
+    return found | {f"{s}~%" for s, n in begun.items() if n > 1 and 100 * n >= total}
+
+
+def counterfactual(words: Counter[str]) -> Counter[str]:
     """The words of the text with all names of groups exchanged."""
-    return {EXCHANGED.get(w, w) for w in words}
+    swapped: Counter[str] = Counter()
+    for word, n in words.items():
+        swapped[EXCHANGED.get(word, word)] += n
+    return swapped
+
+
+def labelled_features(text: str) -> tuple[list[str], list[str] | None]:
+    """Features of a text, and of its counterfactual if it names a group."""
+    words = words_of(text)
+    named = not EXCHANGED.keys().isdisjoint(words)
+    return sorted(features(words)), sorted(features(counterfactual(words))) if named else None
 
 
 class WordModel:
-    """Weights of words and an intercept."""
+    """Weights of features and an intercept."""
 
     def __init__(self, intercept: float, weights: dict[str, float]):
         self.intercept, self.weights = intercept, weights
+        self.stems = {f.partition("~")[0] for f in weights if "~" in f}
+        # words of which the model knows a beginning; a bounded memory
+        self.begun: dict[str, list[str]] = {}
 
     def score(self, text: str) -> float:
-        total = self.intercept + sum(self.weights[w] for w in words_in(text) & self.weights.keys())
+        words = words_of(text)
+        begun: Counter[str] = Counter()
+        for word, n in words.items():
+            known = self.begun.get(word)
+            if known is None:
+                known = self.begun[word] = [s for s in stems(word) if s in self.stems]
+            for stem in known:
+                begun[stem] += n
+        if len(self.begun) > 300_000:
+            self.begun.clear()
+        found = (words.keys() | _levels(begun, words.total())) & self.weights.keys()
+        total = self.intercept + sum(self.weights[w] for w in sorted(found))
         return float(1 / (1 + np.exp(-total)))
 
     @classmethod
-    def fit(cls, texts: list[set[str]], labels: list[int], strength: float = COUNTERFACTUAL) -> WordModel:
-        """From sets of chosen words. Accelerated gradient steps on
+    def fit(
+        cls, texts: list[set[str]], exchanged: list[set[str]], labels: list[int], strength: float = COUNTERFACTUAL
+    ) -> WordModel:
+        """From features of texts and of their counterfactuals. Accelerated gradient steps on
 
         sum of log losses + RIDGE/2 |w|^2 + strength/2 * sum over texts (w.(x - x'))^2
         """
@@ -67,7 +118,6 @@ class WordModel:
         share = (positive + 1) / (len(labels) + 2)
         if not 0 < positive < len(labels):
             return cls(float(np.log(share / (1 - share))), {})
-        exchanged = [counterfactual(t) for t in texts]
         names = sorted(set().union(*texts, *exchanged))
         place = {w: i for i, w in enumerate(names)}
         x = _Rows([[(place[w], 1.0) for w in t] for t in texts])
@@ -114,22 +164,34 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame) -> WordModel:
     # bounded by MAX_LABELLED rows of two numbers, so it may be sent to every task
     chosen = materialise(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED), "toxic-rows")
     texts = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
-    found = materialise(map_texts(texts, ["doc_id", "label"], lambda b: {"words": [sorted(words_in(t)) for t in b]}, "words array<string>"), "toxic-words")
+    found = materialise(
+        map_texts(texts, ["doc_id", "label"], _labelled, "features array<string>, swapped array<string>"), "toxic-features"
+    )
     n, positive = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
-    counts = found.select("label", F.explode("words").alias("word")).groupBy("word").agg(
+    counts = found.select("label", F.explode("features").alias("feature")).groupBy("feature").agg(
         F.count(F.lit(1)).alias("seen"), F.sum("label").alias("toxic")
     )
-    # one degree of freedom: word and label
+    # one degree of freedom: feature and label
     a, s, p = F.col("toxic"), F.col("seen"), F.lit(float(positive))
     cells = s * (n - s) * p * (n - p)
     chi2 = F.when(cells > 0, F.lit(float(n)) * F.pow(a * (n - s) - (p - a) * (s - a), F.lit(2.0)) / cells).otherwise(0.0)
     counts = counts.where(F.col("seen") >= LEAST_TEXTS).withColumn("chi2", chi2)
-    named = F.col("word").isin(*EXCHANGED)
-    best = counts.where((F.col("chi2") >= LEAST_CHI2) | named).orderBy(F.desc(named), F.desc("chi2"), "word").limit(MAX_WORDS)
-    words = {r[0] for r in best.select("word").collect()}
-    # at most MAX_LABELLED rows of at most MAX_WORDS chosen words
-    rows = found.select("label", F.filter("words", lambda w: w.isin(*words) if words else F.lit(False)).alias("words")).collect()
-    return WordModel.fit([set(r["words"]) for r in rows], [r["label"] for r in rows])
+    named = F.col("feature").isin(*EXCHANGED)
+    best = counts.where((F.col("chi2") >= LEAST_CHI2) | named)
+    best = best.orderBy(F.desc(named), F.desc("chi2"), "feature").limit(MAX_FEATURES)
+    names = [r[0] for r in best.select("feature").collect()]  # at most MAX_FEATURES
+    wanted = F.split(F.lit("\n".join(names)), "\n")  # one literal
+    only = lambda column: F.array_intersect(column, wanted)
+    # at most MAX_LABELLED rows of at most MAX_FEATURES chosen features
+    rows = found.select("label", only("features").alias("features"), only("swapped").alias("swapped")).collect()
+    texts = [set(r["features"]) for r in rows]
+    exchanged = [t if r["swapped"] is None else set(r["swapped"]) for r, t in zip(rows, texts)]
+    return WordModel.fit(texts, exchanged, [r["label"] for r in rows])
+
+
+def _labelled(batch: list[str]) -> dict[str, list]:
+    found = [labelled_features(t) for t in batch]
+    return {k: pa.array([f[i] for f in found], pa.list_(pa.string())) for i, k in enumerate(("features", "swapped"))}
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
