@@ -247,7 +247,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
     wanted = nodes.join(mates, "node", "left_semi").select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id_key"), "text_key", "node", "n"
     )
-    again = rows.join(wanted, ["id_key", "text_key"]).select("node", "n", "text")
+    # the texts are dealt out by document at every size, as they must be once many are in buckets
+    again = rows.join(wanted.hint("merge"), ["id_key", "text_key"]).select("node", "n", "text")
     sets = materialise(map_texts(again, ["node", "n"], _sets, "numbers binary").dropDuplicates(["node"]), "sets")
     roots = _links(spark, members, sets, percent)
 
