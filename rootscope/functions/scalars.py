@@ -30,8 +30,10 @@ LINE_TIME_RULES = [
     (r"(\d{4}/\d{2}/\d{2} \d{2}:\d{2}:\d{2})", r"^(\d{4})/(\d{2})/(\d{2}) (.*)$", "$1-$2-$3 $4"),
     (r"(\d{2}-\d{2}-\d{4} \d{2}:\d{2}:\d{2})", r"^(\d{2})-(\d{2})-(\d{4}) (.*)$", "$3-$1-$2 $4"),
 ]
+# fixed value: the time stamp of syslog lines, which has no year
 SYSLOG_TIME = r"([\p{L}\p{Nd}_]{3} \d{1,2} \d{2}:\d{2}:\d{2})"
 
+# fixed value: how a message names an address
 LOG_IP = r"\|\s*([\d\.]+)\s*\|"
 
 

@@ -42,11 +42,12 @@ def mrr(ranked: DataFrame, cases: DataFrame, depth: int = 10, match: str = "pref
     )
 
 
-def head_samples(table: DataFrame, n: int | str, order: list[str]) -> DataFrame:
-    """The first ``n`` rows in a stated order, or the whole table."""
+def head_samples(table: DataFrame, n: int | str, order: list[str], block: int = 65_536) -> DataFrame:
+    """The first ``n`` rows in a stated order, whose first column is a number, or the whole table."""
     if n == "whole":
         return table
-    return table.orderBy(*order).limit(int(n))
+    numbered = with_ordinal(table, [], order, block_chunk(order[0], block), "_head")
+    return numbered.where(F.col("_head") <= int(n)).drop("_head")
 
 
 def case_split(

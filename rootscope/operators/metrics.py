@@ -18,9 +18,14 @@ SERIES = ["instance_id", "feature"]
 CELL = ["instance_id", "timestamp", "feature"]
 
 
-def average_cells(metrics: DataFrame, name: str = "metric_name") -> DataFrame:
-    """Mean per instance, time and metric; cells without any value do not exist."""
-    keyed = metrics.where(F.col("value").isNotNull()).select("instance_id", "timestamp", F.col(name).alias("feature"), "value")
+def average_cells(metrics: DataFrame, name: str = "metric_name", keep_empty: bool = False) -> DataFrame:
+    """Mean per instance, time and metric.
+
+    Cells without any value do not exist, as in a pivot of long rows; with ``keep_empty``
+    they stay as NULL, as in wide files, whose empty rows and columns are filled later.
+    """
+    keyed = metrics.select("instance_id", "timestamp", F.col(name).alias("feature"), "value")
+    keyed = keyed if keep_empty else keyed.where(F.col("value").isNotNull())
     return keyed.dropna(subset=CELL).groupBy(*CELL).agg(F.avg("value").alias("value"))
 
 

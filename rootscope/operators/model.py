@@ -22,8 +22,6 @@ from rootscope.operators.scoring import case_labels, ranking_terms, series_windo
 from rootscope.session import materialise
 
 POINT = ["ts", "node_id"]
-# edges up to this number are sent to every executor
-MAX_SENT_EDGES = 2_000_000
 
 
 def neighbour_sum(cube: DataFrame, edges: DataFrame) -> DataFrame:
@@ -56,57 +54,38 @@ class Layer:
 def graph_conv(cube: DataFrame, edges: DataFrame, layers: list[Layer], slope: float = 0.01) -> DataFrame:
     """Graph layers in turn: sum over in-neighbours, linear map, leaky ReLU.
 
-    All nodes of a time go through the layers together, so the cube is shuffled by time
-    once however many layers there are.  A group holds one vector per node.  A graph of
-    more than ``MAX_SENT_EDGES`` edges is not sent out but joined, layer by layer.
+    The graph of a time is that of the nodes which have a vector then: links count for sums
+    and degrees only where both ends exist.  Links by time are found once and stored, and
+    each layer is one join along them and one grouping, for graphs of any size.
     """
-    spark = cube.sparkSession
-    links = materialise(edges.select("src", "dst").distinct(), "edges")
-    if links.count() > MAX_SENT_EDGES:
-        return _graph_conv_by_join(cube, links, layers, slope)
-    shared = spark.sparkContext.broadcast(
-        (
-            [tuple(r) for r in links.orderBy("src", "dst").collect()],
-            [(np.asarray(x.weight), None if x.bias is None else np.asarray(x.bias), x.norm) for x in layers],
-        )
+    points = cube.select(*POINT, "vec")
+    pairs = edges.select("src", "dst").distinct()
+    here = points.select(*POINT)
+    links = (
+        here.withColumnRenamed("node_id", "src")
+        .join(pairs, "src")
+        .join(here.withColumnRenamed("node_id", "dst"), ["ts", "dst"])
+        .select("ts", "src", "dst")
     )
+    links = materialise(links, "links")
+    degrees = {side: links.groupBy("ts", F.col(side).alias("node_id")).agg(F.count(F.lit(1)).alias("_deg")) for side in ("src", "dst")}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        links, steps = shared.value
-        place = {n: i for i, n in enumerate(pdf["node_id"])}
-        here = [(place[a], place[b]) for a, b in links if a in place and b in place]
-        src, dst = (np.array(side, dtype=int) for side in (zip(*here) if here else ((), ())))
-        h = np.stack(pdf["vec"].to_numpy())
-        out_deg = np.maximum(np.bincount(src, minlength=len(h)), 1)
-        in_deg = np.maximum(np.bincount(dst, minlength=len(h)), 1)
-        for weight, bias, norm in steps:
-            sent = h / np.sqrt(out_deg)[:, None] if norm == "both" else h
-            got = np.zeros_like(h)
-            np.add.at(got, dst, sent[src])
-            if norm == "both":
-                got = got / np.sqrt(in_deg)[:, None]
-            h = got @ weight if bias is None else got @ weight + bias
-            h = np.where(h > 0, h, slope * h)
-        return pd.DataFrame({"ts": pdf["ts"], "node_id": pdf["node_id"], "vec": list(h)})
-
-    return cube.select(*POINT, "vec").groupBy("ts").applyInPandas(run, "ts bigint, node_id int, vec array<double>")
-
-
-def _graph_conv_by_join(cube: DataFrame, links: DataFrame, layers: list[Layer], slope: float) -> DataFrame:
-    out_deg = links.groupBy(F.col("src").alias("node_id")).agg(F.count(F.lit(1)).alias("_deg"))
-    in_deg = links.groupBy(F.col("dst").alias("node_id")).agg(F.count(F.lit(1)).alias("_deg"))
-
-    def scaled(table: DataFrame, degrees: DataFrame) -> DataFrame:
+    def scaled(table: DataFrame, side: str) -> DataFrame:
         root = F.sqrt(F.coalesce("_deg", F.lit(1)))
-        return table.join(degrees, "node_id", "left").select(*POINT, F.transform("vec", lambda x: x / root).alias("vec"))
+        return table.join(degrees[side], POINT, "left").select(*POINT, F.transform("vec", lambda x: x / root).alias("vec"))
 
-    now = cube.select(*POINT, "vec")
+    now = points
     for layer in layers:
-        sent = scaled(now, out_deg) if layer.norm == "both" else now
+        sent = scaled(now, "src") if layer.norm == "both" else now
+        along = sent.withColumnRenamed("node_id", "src").join(links, ["ts", "src"])
+        near = along.groupBy("ts", F.col("dst").alias("node_id")).agg(Summarizer.sum(array_to_vector("vec")).alias("_sum"))
         zero = F.transform("vec", lambda x: x * 0.0)
-        got = now.join(neighbour_sum(sent, links), POINT, "left").select(*POINT, F.coalesce("near", zero).alias("vec"))
-        got = scaled(got, in_deg) if layer.norm == "both" else got
-        now = materialise(dense_layers(got, [layer], slope=slope), "layer")
+        got = now.join(near.select(*POINT, vector_to_array("_sum").alias("near")), POINT, "left")
+        got = got.select(*POINT, F.coalesce("near", zero).alias("vec"))
+        got = scaled(got, "dst") if layer.norm == "both" else got
+        now = dense_layers(got, [layer], slope=slope)
+        if layer is not layers[-1]:
+            now = materialise(now, "layer")
     return now
 
 
@@ -184,7 +163,8 @@ class Reconstruction:
 def fit_reconstruction(cube: DataFrame, components: int) -> Reconstruction:
     """Principal components of standardised vectors.
 
-    Spark sums up the (features × features) matrix; only that reaches the driver.
+    Spark sums up the (features × features) matrix; only that reaches the driver, which
+    solves it: good for some thousands of features, of any number of points.
     """
     stats = cube.select(array_to_vector("vec").alias("v")).agg(
         Summarizer.mean(F.col("v")).alias("mean"), Summarizer.std(F.col("v")).alias("std")
@@ -197,8 +177,8 @@ def fit_reconstruction(cube: DataFrame, components: int) -> Reconstruction:
 
 def reconstruct(cube: DataFrame, edges: DataFrame, components: int, train: DataFrame | None = None) -> DataFrame:
     """Fit on ``train`` (default: the cube) with neighbour sums, return the loss per point."""
-    whole = with_neighbours(cube, edges)
-    learn = whole if train is None else with_neighbours(train, edges)
+    whole = materialise(with_neighbours(cube, edges), "neighbours")
+    learn = whole if train is None else materialise(with_neighbours(train, edges), "neighbours")
     return fit_reconstruction(learn, components).loss(whole)
 
 
@@ -254,6 +234,13 @@ def feedback_losses(
     return terms.groupBy("candidate").agg(F.avg("loss").alias("loss"))
 
 
+def best_candidate(losses: DataFrame, candidates: list[tuple]) -> DataFrame:
+    """One row: the candidate of least loss, the first of equal ones, with its two neighbour weights."""
+    least = losses.agg(F.min(F.struct(F.col("loss").isNull().alias("unknown"), "loss", "candidate")).alias("best"))
+    pick = lambda k: F.element_at(F.array(*[F.lit(float(c[k])) for c in candidates]), F.col("best.candidate") + 1)
+    return least.where("best IS NOT NULL").select("best.candidate", pick(2).alias("pre"), pick(3).alias("suc"), "best.loss")
+
+
 def fit_feedback_weights(
     loss: DataFrame,
     cases: DataFrame,
@@ -270,7 +257,7 @@ def fit_feedback_weights(
     for _ in range(rounds):
         candidates = weight_candidates(length, decay, pre, suc)
         table = feedback_losses(loss, cases, nodes, edges, candidates, window, length)
-        top = table.orderBy(F.asc_nulls_last("loss"), "candidate").first()
+        top = best_candidate(table, candidates).first()
         _, weights, p, s = candidates[top["candidate"]]
         d = decay[top["candidate"] // (len(pre) * len(suc))]
         if best is None or (top["loss"] is not None and top["loss"] < best[3]):

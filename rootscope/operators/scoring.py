@@ -115,7 +115,7 @@ def score_cases(
     ``edges`` needs a ``graph_id``.
     """
     means = case_window_mean(loss, cases, window)
-    known = means.select("node").distinct()
+    known = loss.select("node").distinct()
     ids = nodes.join(known, "node", "left_semi")
     scores = with_nodes(cases.select("case_id"), ids).join(means, ["case_id", "node"], "left")
     graph = []

@@ -20,15 +20,6 @@ DAY = 86_400
 _CHUNK = "_chunk"
 
 
-def deal_out(df: DataFrame) -> DataFrame:
-    """A table in fewer partitions than cores, dealt out for work that is heavy per row.
-
-    Large tables have more partitions than cores and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def time_chunk(order: str, seconds: int = DAY) -> Column:
     return F.floor(epoch_seconds(order) / F.lit(seconds))
 
@@ -107,9 +98,10 @@ def previous_in_group(
     carried = ends.select(*keys, _CHUNK, F.lag("_end").over(ends_w).alias("_carry"))
     return (
         base.withColumn("_local", F.lag(value).over(local_w))
+        .withColumn("_first", F.row_number().over(local_w) == 1)
         .join(carried, [*keys, _CHUNK])
-        .withColumn(out, F.coalesce("_local", "_carry"))
-        .drop("_local", "_carry", _CHUNK)
+        .withColumn(out, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_local")))
+        .drop("_local", "_first", "_carry", _CHUNK)
     )
 
 

@@ -64,13 +64,15 @@ def log_features(
 ) -> tuple[DataFrame, DataFrame]:
     """Log rows with ``instance_id`` and ``pos`` to ``(aligned counts, templates)``."""
     within = _scope_of(scope)
+    # masked once; nothing else of a row goes through the matching
     texts = templates.with_text(rows)
-    if within is not None:
-        texts = texts.withColumn("scope", within)
+    names = F.lit("") if within is None else within
+    texts = materialise(texts.select(names.alias("scope"), "instance_id", "timestamp", "pos", "text"), "texts")
     mined = templates.mine_templates(texts, sim_th, empty)
     assigned = templates.assign_templates(texts, mined, sim_th, assign)
     counts = materialise(logs.template_counts(assigned, seconds, zeros=False), "counts")
-    merged = logs.merge_rare(logs.with_zeros(counts), minimum)
+    # rare templates are merged while the table is sparse
+    merged = materialise(logs.with_zeros(logs.merge_rare(counts, minimum)), "merged")
     return align.align_intersection(merged, within), mined
 
 

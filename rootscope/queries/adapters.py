@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootscope.functions.scalars import epoch_seconds, time_floor
-from rootscope.operators.spread import deal_out, previous_in_group, time_chunk
+from rootscope.operators.spread import previous_in_group, time_chunk
 
 SIX_HOURS = 21_600
 MONTH = 2_592_000
@@ -49,7 +49,7 @@ def metrics_uneven(spark, sf):
 
 def logs_short(spark, sf):
     used = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate"]
-    li = deal_out(table(spark, sf, "lineitem").select(*used))
+    li = table(spark, sf, "lineitem").select(*used)
     body = F.concat(
         F.lit("order "), F.col("l_orderkey").cast("string"), F.lit(" line "), F.col("l_linenumber").cast("string"),
         F.lit(" status "), "l_returnflag", "l_linestatus",
@@ -66,7 +66,7 @@ def logs_short(spark, sf):
 
 
 def logs_long(spark, sf):
-    docs = deal_out(table(spark, sf, "documents").select("doc_id", "source", "text"))
+    docs = table(spark, sf, "documents").select("doc_id", "source", "text")
     lines = docs.select("doc_id", "source", F.posexplode(F.split("text", "\n")).alias("line_no", "message"))
     minutes = F.expr("make_dt_interval(0, 0, cast(doc_id AS INT), 0)")
     return lines.select(
@@ -165,7 +165,6 @@ def vectors_sparse(spark, sf):
 def groundtruth(spark, sf):
     return (
         table(spark, sf, "orders")
-        .where("o_orderstatus = 'P' AND o_totalprice > 300000")
         .select(
             F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit(" 00:00:00.123")).alias("st_time"),
             _svc("o_custkey", 10).alias("instance"),
@@ -178,7 +177,7 @@ def groundtruth(spark, sf):
 def cases(spark, sf):
     return (
         table(spark, sf, "events")
-        .where("event_type = 'error' AND value > 200")
+        .where("event_type = 'error'")
         .select(
             F.col("event_id").alias("case_id"),
             epoch_seconds("ts").alias("timestamp"),
@@ -238,9 +237,9 @@ SQL = {
         FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""",
     "vectors_sparse": "SELECT * FROM vectors WHERE vec_id % 7 <> 0",
     "groundtruth": """SELECT strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00.123' AS st_time, 'svc' || (o_custkey % 10) AS instance,
-        o_orderpriority AS anomaly_type, o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 300000""",
+        o_orderpriority AS anomaly_type, o_orderkey FROM orders""",
     "cases": """SELECT event_id AS case_id, CAST(floor(epoch(ts)) AS BIGINT) AS "timestamp", 'svc' || (user_id % 5) AS cmdb_id
-        FROM events WHERE event_type = 'error' AND value > 200""",
+        FROM events WHERE event_type = 'error'""",
     "loss_long": """SELECT CAST(floor(epoch(ts)) AS BIGINT) AS ts, 'svc' || (user_id % 5) AS node, value AS loss FROM events""",
     "nodes": """SELECT DISTINCT 'svc' || (user_id % 5) AS node, CAST(user_id % 5 AS INTEGER) AS node_id FROM events""",
     "edges": """SELECT node_id AS src, CAST((node_id + 1) % 5 AS INTEGER) AS dst FROM nodes

@@ -86,11 +86,17 @@ def _reconstruct(s, d):
 CANDIDATES = M.weight_candidates(8, [1.0, 0.8, 0.5], [0.0, 0.5], [0.0, 0.5])
 
 
-def _fit_weights(s, d):
+def _feedback_losses(s, d):
     small = loss_long(s, d).withColumn("loss", F.col("loss") / 1000.0)
     return rounded(M.feedback_losses(small, cases(s, d), nodes(s, d), edges(s, d), CANDIDATES, 360, 8))
 
 
+def _fit_weights(s, d):
+    """The best candidate of the grid, as the fit chooses it in one round."""
+    small = loss_long(s, d).withColumn("loss", F.col("loss") / 1000.0)
+    return rounded(M.best_candidate(M.feedback_losses(small, cases(s, d), nodes(s, d), edges(s, d), CANDIDATES, 360, 8), CANDIDATES))
+
+
 QUERIES = {
     "modal_join": lambda s, d: _points(
         C.modal_join(*(_modal(s, d, f, n) for f, n in ((vectors, "metric"), (vectors_sparse, "log"), (vectors, "trace")))), "ts", "node_id"
@@ -115,7 +121,9 @@ QUERIES = {
         M.neighbour_sum(vectors(s, d), ring(s, d)).select("ts", "node_id", F.posexplode("near").alias("i", "value"))
     ),
     "graph_conv": lambda s, d: _points(M.graph_conv(vectors(s, d), ring(s, d), [M.Layer(weights(64))]), "ts", "node_id"),
+    "graph_conv_both": lambda s, d: _points(M.graph_conv(vectors_sparse(s, d), ring(s, d), [M.Layer(weights(64), norm="both")]), "ts", "node_id"),
     "reconstruct": _reconstruct,
+    "feedback_losses": _feedback_losses,
     "fit_feedback_weights": _fit_weights,
     "date_to_epoch": lambda s, d: table(s, d, "orders")
     .select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
@@ -174,11 +182,18 @@ _WEIGHTS = {
         row_number() OVER (PARTITION BY candidate, case_id ORDER BY v DESC, node_id) AS rk FROM scaled""",
 }
 
+_LOSSES = """SELECT candidate, avg(loss) AS loss FROM (SELECT CAST(candidate AS INTEGER) AS candidate, case_id,
+        sum(greatest((v - mu) / rk, 0)) AS loss FROM placed GROUP BY 1, 2) GROUP BY 1"""
+
 ORACLE = {
+    "feedback_losses": with_sql(
+        "cases loss_long edges", f"SELECT candidate, round(loss, 6) AS loss FROM ({_LOSSES})", _WEIGHTS
+    ),
     "fit_feedback_weights": with_sql(
         "cases loss_long edges",
-        """SELECT candidate, round(avg(loss), 6) AS loss FROM (SELECT CAST(candidate AS INTEGER) AS candidate, case_id,
-        sum(greatest((v - mu) / rk, 0)) AS loss FROM placed GROUP BY 1, 2) GROUP BY 1""",
+        f"""SELECT candidate, CAST(pre AS DOUBLE) AS pre, CAST(suc AS DOUBLE) AS suc, round(loss, 6) AS loss FROM ({_LOSSES}) l
+        JOIN (SELECT CAST(candidate AS INTEGER) AS candidate, p AS pre, q AS suc FROM candidates) USING (candidate)
+        ORDER BY loss NULLS LAST, candidate LIMIT 1""",
         _WEIGHTS,
     ),
     "modal_join": with_sql("vectors", f"{_flat('ts, node_id', 'vectors')} WHERE ts IS NOT NULL AND (ts - {CUBE_START}) // {CUBE_STEP} * 10 + node_id IN (SELECT vec_id FROM vectors WHERE vec_id % 7 <> 0)"),
@@ -239,5 +254,22 @@ ORACLE = {
         SELECT ts, node_id, j, sum(value * ((i * 7 + j * 3) % 11 - 5) / 10) AS h FROM near CROSS JOIN (SELECT unnest(range({OUT_DIM})) AS j) GROUP BY 1, 2, 3)""",
         _RING,
     ),
+    "graph_conv_both": with_sql(
+        "vectors vectors_sparse",
+        f"""SELECT ts, node_id, CAST(j AS INTEGER) AS i, round(CASE WHEN h > 0 THEN h ELSE 0.01 * h END, 6) + 0.0 AS value FROM (
+        SELECT p.ts, p.node_id, j, sum(coalesce(value, 0) * ((p.i * 7 + j * 3) % 11 - 5) / 10) AS h FROM points p LEFT JOIN scaled s
+        ON s.ts = p.ts AND s.node_id = p.node_id AND s.i = p.i CROSS JOIN (SELECT unnest(range({OUT_DIM})) AS j) GROUP BY 1, 2, 3)""",
+        {
+            "ring": _RING["ring"],
+            "links": """SELECT a.ts, src, dst FROM vectors_sparse a JOIN ring ON src = a.node_id
+                JOIN vectors_sparse b ON b.ts = a.ts AND b.node_id = dst""",
+            "outs": "SELECT ts, src, count(*) AS n FROM links GROUP BY 1, 2",
+            "ins": "SELECT ts, dst, count(*) AS n FROM links GROUP BY 1, 2",
+            "points": "SELECT ts, node_id, unnest(vec) AS x, generate_subscripts(vec, 1) - 1 AS i FROM vectors_sparse",
+            "scaled": """SELECT l.ts, l.dst AS node_id, p.i, sum(p.x / sqrt(o.n)) / sqrt(any_value(k.n)) AS value FROM links l
+                JOIN points p ON p.ts = l.ts AND p.node_id = l.src JOIN outs o ON o.ts = l.ts AND o.src = l.src
+                JOIN ins k ON k.ts = l.ts AND k.dst = l.dst GROUP BY 1, 2, 3""",
+        },
+    ),
     "date_to_epoch": """SELECT DISTINCT strftime(o_orderdate, '%Y-%m-%d') AS day, CAST(epoch(date_trunc('day', o_orderdate)) AS BIGINT) AS epoch FROM orders""",
 }

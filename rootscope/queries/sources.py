@@ -82,32 +82,52 @@ def _discover(s, d):
     return R.discover_files(s, root).select("modality", "date").distinct()
 
 
+#: Steps of time in one JSON document: a history is many documents, each of bounded size.
+PER_DOCUMENT = 64
+
+
+def _in_order(key, value):
+    return F.transform(F.array_sort(F.collect_list(F.struct(key, value))), lambda r: r.getField(value))
+
+
+def _blocks(s, d):
+    """Vectors with the first step of their document; steps are numbered without gaps."""
+    return vectors(s, d).withColumn("block", (F.floor(F.col("t_idx") / PER_DOCUMENT) * PER_DOCUMENT).cast("bigint"))
+
+
 def _vector_file(s, d):
-    """All vectors as one JSON document per node, made by Spark."""
+    """Vectors as JSON documents, one per node and block of time, made by Spark."""
     path = scratch_path(s, "vectors")
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("t_idx", "vec"))), lambda r: r.getField("vec"))
-    docs = vectors(s, d).groupBy("node_id").agg(F.to_json(F.struct(listed.alias("X"))).alias("value"))
-    docs.repartition("node_id").write.partitionBy("node_id").text(path)
+    docs = _blocks(s, d).groupBy("node_id", "block").agg(F.to_json(F.struct(_in_order("t_idx", "vec").alias("X"))).alias("value"))
+    docs.write.partitionBy("block", "node_id").text(path)
     return path
 
 
+def _first_step():
+    return F.regexp_extract("_path", r"block=(\d+)/", 1).cast("bigint")
+
+
 def _window_vectors(s, d):
-    read = R.read_window_vectors(s, f"{_vector_file(s, d)}/*/*.txt", r"node_id=(\d+)/[^/]+$")
+    read = R.read_window_vectors(s, f"{_vector_file(s, d)}/*/*/*.txt", r"node_id=(\d+)/[^/]+$", _first_step())
     return rounded(
         read.select(F.col("instance").cast("int").alias("node_id"), F.col("t_idx").cast("bigint").alias("t_idx"), F.posexplode("vec").alias("i", "value"))
     )
 
 
-def _document(s, d, shape, label):
-    path = scratch_path(s, label)
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("node_id", "vec"))), lambda r: r.getField("vec"))
-    per_t = vectors(s, d).groupBy("t_idx", "ts").agg(rows.alias("_nodes"))
-    if shape == "cube":
-        whole = per_t.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("t_idx", "_nodes"))), lambda r: r.getField("_nodes")).alias("X"))))
-    else:
-        whole = per_t.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("ts").cast("string"), F.col("_nodes"))))))
-    whole.toDF("value").write.text(path)
-    return path
+def _metric_cube(s, d, instances=None):
+    path = scratch_path(s, "cube")
+    steps = _blocks(s, d).groupBy("block", "t_idx").agg(_in_order("node_id", "vec").alias("_nodes"))
+    docs = steps.groupBy("block").agg(F.to_json(F.struct(_in_order("t_idx", "_nodes").alias("X"))).alias("value"))
+    docs.write.partitionBy("block").text(path)
+    return _points(R.read_metric_cube(s, f"{path}/*/*.txt", instances, _first_step()), "t_idx")
+
+
+def _feature_documents(s, d):
+    path = scratch_path(s, "feature")
+    steps = _blocks(s, d).groupBy("block", "ts").agg(_in_order("node_id", "vec").alias("_nodes"))
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("ts").cast("string"), "_nodes")))
+    steps.groupBy("block").agg(F.to_json(entries).alias("value")).select("value").write.text(path)
+    return f"{path}/*.txt"
 
 
 def _points(df, key):
@@ -144,7 +164,7 @@ def _write_results(s, d):
     path = scratch_path(s, "results")
     W.write_results(Q._ranked(s, d), cases(s, d), E.topk_accuracy(Q._ranked(s, d), cases(s, d)), path)
     back = R.load_features_table(s, path, "ranked")
-    return back.select(F.col("case_id").cast("bigint").alias("case_id"), "cmdb_id", *[F.split_part(f"Top{i}", F.lit(":"), F.lit(1)).alias(f"top{i}") for i in range(1, 6)])
+    return back.select(F.col("case_id").cast("bigint").alias("case_id"), "cmdb_id", F.col("rank").cast("int").alias("rank"), "node")
 
 
 def _trace_by_service(s, d):
@@ -173,8 +193,9 @@ QUERIES = {
     "discover_files": _discover,
     "read_groundtruth": _read_groundtruth,
     "read_window_vectors": _window_vectors,
-    "read_metric_cube": lambda s, d: _points(R.read_metric_cube(s, _document(s, d, "cube", "cube"), 7), "t_idx"),
-    "read_feature_json": lambda s, d: _points(R.read_feature_json(s, _document(s, d, "times", "feature")), "ts"),
+    "read_metric_cube": lambda s, d: _metric_cube(s, d),
+    "read_metric_cube_first": lambda s, d: _metric_cube(s, d, 7),
+    "read_feature_json": lambda s, d: _points(R.read_feature_json(s, _feature_documents(s, d)), "ts"),
     "read_timestamp_axis": lambda s, d: C.timestamp_axis(vectors(s, d)),
     "read_vector_csv": _vector_csv,
     "write_features": _write_features,
@@ -209,7 +230,8 @@ ORACLE = {
     ),
     "read_groundtruth": Q.ORACLE["case_project"],
     "read_window_vectors": with_sql("vectors", f"SELECT node_id, t_idx, i, round(value, 6) AS value FROM (SELECT node_id, t_idx, {_POINTS})"),
-    "read_metric_cube": with_sql("vectors", f"SELECT t_idx, node_id, i, round(value, 6) AS value FROM (SELECT node_id, t_idx, {_POINTS}) WHERE node_id < 7"),
+    "read_metric_cube": with_sql("vectors", f"SELECT t_idx, node_id, i, round(value, 6) AS value FROM (SELECT node_id, t_idx, {_POINTS})"),
+    "read_metric_cube_first": with_sql("vectors", f"SELECT t_idx, node_id, i, round(value, 6) AS value FROM (SELECT node_id, t_idx, {_POINTS}) WHERE node_id < 7"),
     "read_feature_json": with_sql("vectors", f"SELECT ts, node_id, i, round(value, 6) AS value FROM (SELECT node_id, ts, {_POINTS})"),
     "read_timestamp_axis": with_sql("vectors", "SELECT row_number() OVER (ORDER BY ts) - 1 AS t_idx, ts FROM (SELECT DISTINCT ts FROM vectors)"),
     "read_vector_csv": with_sql("vectors", f"SELECT ts, node_id, i, round(value, 6) AS value FROM (SELECT node_id, ts, {_POINTS})"),
@@ -225,9 +247,7 @@ ORACLE = {
     ),
     "write_results": with_sql(
         "cases loss_long edges",
-        "SELECT c.case_id, c.cmdb_id, "
-        + ", ".join(f"max(r.node) FILTER (r.rank = {i}) AS top{i}" for i in range(1, 6))
-        + " FROM cases c LEFT JOIN ranked r ON r.case_id = c.case_id GROUP BY 1, 2",
+        "SELECT c.case_id, c.cmdb_id, CAST(r.rank AS INTEGER) AS rank, r.node FROM cases c LEFT JOIN ranked r ON r.case_id = c.case_id",
         Q._RANKED,
     ),
 }

@@ -1,8 +1,8 @@
 """Readers for raw telemetry files.
 
-Each call reads files of one layout: pass one glob or several.  CSV columns go by the
-header; a file whose header differs from the first one of its glob is an error, never
-read in the wrong order.
+Each call reads one glob or several.  CSV columns go by the header.  Metric files have
+a header each, so a folder may hold a file per metric.  Elsewhere a file whose header
+differs from the first one of its glob is an error, never read in the wrong order.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from rootscope.functions import scalars as S
 from rootscope.functions.vectors import parse_vector
+from rootscope.session import materialise
 
 FILE_STEM = r"^([^.]*)"
 
@@ -35,6 +36,55 @@ def _csv(spark: SparkSession, path: str) -> DataFrame:
     return plain.option("enforceSchema", False).schema(schema).csv(path)
 
 
+def _fields(line: Column) -> Column:
+    """Fields of a CSV line; quoted ones may hold commas and doubled quotes."""
+    plain = F.split(line, ",")
+    quoted = F.transform(
+        F.split(line, r',(?=(?:[^"]*"[^"]*")*[^"]*$)'),
+        lambda f: F.replace(F.regexp_replace(f, r'^\s*"(.*)"\s*$', "$1"), F.lit('""'), F.lit('"')),
+    )
+    return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain), lambda f: F.trim(f))
+
+
+def _csv_by_file(spark: SparkSession, path: str) -> DataFrame:
+    """``names``, ``fields``, ``_stem`` of every line of CSV files, each file by its own header.
+
+    One plan for any number of files and headers: the first line of each file is joined to
+    its lines.  The header table has one row per file.
+    """
+    lines = _with_file(spark.read.text(path)).withColumns(
+        {
+            "_at": F.col("_metadata.file_block_start"),
+            "_row": F.monotonically_increasing_id(),
+            "value": F.regexp_replace("value", "^\ufeff|\r$", ""),
+        }
+    )
+    lines = lines.where(F.trim("value") != "")
+    heads = lines.where("_at = 0").groupBy("_file").agg(F.min_by("value", "_row").alias("_head"))
+    heads = materialise(heads, "headers")
+    rows = lines.join(heads, "_file").where(F.col("value") != F.col("_head"))
+    return rows.select(_fields(F.col("_head")).alias("names"), _fields(F.col("value")).alias("fields"), "_file", "_stem")
+
+
+def _cells_by_header(rows: DataFrame, instance_col: str) -> DataFrame:
+    """Metric rows of lines with names: long files as they are, wide ones melted."""
+    field = lambda name: F.nullif(F.get("fields", F.array_position("names", F.lit(name)).cast("int") - 1), F.lit(""))
+    long = F.array_contains("names", "metric_name") & F.array_contains("names", "value")
+    cell = lambda name, value: F.struct(name.alias("metric_name"), value.try_cast("double").alias("value"))
+    melted = F.filter(
+        F.transform("names", lambda n, i: cell(n, F.get("fields", i))),
+        lambda c: ~c["metric_name"].isin("timestamp", instance_col),
+    )
+    instance = F.when(F.array_contains("names", instance_col), field(instance_col)).otherwise(F.col("_stem"))
+    timed = rows.where(F.array_contains("names", "timestamp"))
+    cells = timed.select(
+        instance.alias("instance_id"),
+        event_time(field("timestamp")).alias("timestamp"),
+        F.inline(F.when(long, F.array(cell(field("metric_name"), field("value")))).otherwise(melted)),
+    )
+    return cells.select("instance_id", "timestamp", "metric_name", S.missing_to_null("value").alias("value"))
+
+
 def _json(spark: SparkSession, path: str, lines: bool, schema=None) -> DataFrame:
     reader = spark.read.option("multiLine", not lines)
     if schema is not None:
@@ -68,7 +118,7 @@ def read_metrics(
 ) -> DataFrame:
     """``(instance_id, timestamp, metric_name, value)`` from csv, json or parquet.
 
-    Wide files are melted.  Files without a ``timestamp`` or of another kind are left
+    Wide files are melted; their empty fields are rows without a value.  Files without a ``timestamp`` or of another kind are left
     out with a warning.  Without an instance column the file stem is the instance.
     ``kind`` overrides the extension, for folders.
     """
@@ -76,8 +126,13 @@ def read_metrics(
     for path in _paths(paths):
         ext = kind or _kind(path)
         if ext == "csv":
-            df = _csv(spark, path)
-        elif ext == "json":
+            rows = _csv_by_file(spark, path)
+            timeless = rows.where(~F.array_contains("names", "timestamp")).select("_file").first()
+            if timeless:
+                warnings.warn(f"no timestamp column: {timeless[0]}", stacklevel=2)
+            parts.append(_cells_by_header(rows, instance_col))
+            continue
+        if ext == "json":
             df = _json(spark, path, json_lines)
         elif ext == "parquet":
             df = spark.read.parquet(path)
@@ -303,20 +358,36 @@ def _listed(value: str, depth: int) -> Column:
     )
 
 
-def read_window_vectors(spark: SparkSession, path: str, instance: str = r"/([^/]+)/[^/]+$") -> DataFrame:
-    """``(instance, t_idx, vec)`` from one JSON per instance: ``{"X": [[…]]}`` or a bare list.
+def _counted_on(rows: DataFrame) -> DataFrame:
+    """``t_idx`` counted on from the first step of the document."""
+    return rows.withColumn("t_idx", (F.col("t_idx") + F.col("_first")).cast("bigint")).drop("_first")
+
+
+def read_window_vectors(
+    spark: SparkSession, path: str, instance: str = r"/([^/]+)/[^/]+$", first: Column | None = None
+) -> DataFrame:
+    """``(instance, t_idx, vec)`` from JSON documents of an instance: ``{"X": [[…]]}`` or a bare list.
 
-    A file that cannot be read gives no rows.  ``instance`` finds the name in the path.
+    A file that cannot be read gives no rows.  ``instance`` finds the name in the path.  A long
+    history is many documents: ``first`` is the number of a document's first step, from ``_path``.
     """
-    return _documents(spark, path).select(
-        F.regexp_extract("_path", instance, 1).alias("instance"), F.posexplode(_listed("value", 2)).alias("t_idx", "vec")
+    rows = _documents(spark, path).select(
+        F.regexp_extract("_path", instance, 1).alias("instance"),
+        (F.lit(0) if first is None else first).alias("_first"),
+        F.posexplode(_listed("value", 2)).alias("t_idx", "vec"),
     )
+    return _counted_on(rows)
+
 
+def read_metric_cube(spark: SparkSession, path: str, instances: int | None = None, first: Column | None = None) -> DataFrame:
+    """``(t_idx, node_id, vec)`` from ``{"X": [fault][instance][feature]}``, of all or the first ``instances``.
 
-def read_metric_cube(spark: SparkSession, path: str, instances: int | None = 24) -> DataFrame:
-    """``(t_idx, node_id, vec)`` from ``{"X": [fault][instance][feature]}``."""
-    faults = _documents(spark, path).select(F.posexplode(_listed("value", 3)).alias("t_idx", "_nodes"))
-    points = faults.select(F.col("t_idx").cast("bigint").alias("t_idx"), F.posexplode("_nodes").alias("node_id", "vec"))
+    ``first`` as for ``read_window_vectors``.
+    """
+    faults = _documents(spark, path).select(
+        (F.lit(0) if first is None else first).alias("_first"), F.posexplode(_listed("value", 3)).alias("t_idx", "_nodes")
+    )
+    points = _counted_on(faults).select("t_idx", F.posexplode("_nodes").alias("node_id", "vec"))
     return points if instances is None else points.where(F.col("node_id") < instances)
 
 

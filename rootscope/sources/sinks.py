@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rootscope.operators.cube import cube_metadata
-from rootscope.operators.scoring import rankings_wide
 
 UNKNOWN_DATE = "unknown_date"
 
@@ -19,11 +18,11 @@ def path_date(path: Column | str) -> Column:
 def write_features(features: DataFrame, root: str, fmt: str = "parquet", date: str = "date") -> None:
     """One folder per date and instance, written by one job.
 
-    Long rows are spread by (date, instance, hour) so that a busy instance is written by
-    many tasks, into several files of its folder.
+    Only folders of the given dates and instances are replaced; others stay.  Spark deals the
+    rows out by folder and splits by size, so a busy instance is written by many tasks.
     """
-    hour = F.date_trunc("hour", "timestamp")
-    writer = features.repartition(date, "instance_id", hour).write.mode("overwrite").partitionBy(date, "instance_id")
+    writer = features.hint("rebalance", date, "instance_id").write.mode("overwrite").partitionBy(date, "instance_id")
+    writer = writer.option("partitionOverwriteMode", "dynamic")
     if fmt == "csv":
         writer = writer.option("header", True)
     writer.format(fmt).save(root)
@@ -49,8 +48,11 @@ def write_cube(cube: DataFrame, nodes: DataFrame, path: str, source: str = "gene
     return about
 
 
-def write_results(ranked: DataFrame, cases: DataFrame, metrics: DataFrame, path: str, top: int = 5) -> None:
-    """Ranked cases as CSV, one row per case, and the evaluation as JSON."""
-    wide = cases.join(rankings_wide(ranked, top), "case_id", "left")
-    wide.write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}/ranked")
+def write_results(ranked: DataFrame, cases: DataFrame, metrics: DataFrame, path: str) -> None:
+    """All ranks of all cases as CSV, one row per case and rank, and the evaluation as JSON.
+
+    A case without a ranking has one row without a rank.
+    """
+    long = cases.join(ranked.select("case_id", "rank", "node", "score"), "case_id", "left")
+    long.write.mode("overwrite").option("header", True).csv(f"{path.rstrip('/')}/ranked")
     metrics.write.mode("overwrite").json(f"{path.rstrip('/')}/res")

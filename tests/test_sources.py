@@ -2,11 +2,15 @@
 
 import json
 import os
+from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from rootscope.operators import cube, metrics, model, scoring
+from rootscope.operators.spread import block_chunk, previous_in_group
 from rootscope.operators.traces import parse_spans
-from rootscope.operators import cube, model
 from rootscope.sources import files as R
 from rootscope.sources import sinks as W
 from rootscope.sources.cases import project_cases
@@ -36,6 +40,17 @@ def test_metrics_long_wide_and_stem(spark, tmp_path):
     ]
 
 
+def test_each_file_of_a_glob_has_its_own_header(spark, tmp_path):
+    put(f"{tmp_path}/h1.cpu.csv", "timestamp,cpu\r\n60,1\r\n120,\r\n")
+    put(f"{tmp_path}/h1.mem.csv", "mem,timestamp\n5,60\n\n")
+    put(f"{tmp_path}/x.csv", '\ufeff"timestamp","instance_id","metric_name","value"\n60,h2,"a,""b""",7\n')
+    df = R.read_metrics(spark, f"{tmp_path}/*.csv")
+    got = sorted((r.instance_id, r.timestamp.minute, r.metric_name, r.value) for r in df.collect() if r.value is not None)
+    assert got == [("h1", 1, "cpu", 1.0), ("h1", 1, "mem", 5.0), ("h2", 1, 'a,"b"', 7.0)]
+    kept = metrics.average_cells(df, keep_empty=True).where("feature = 'cpu'").orderBy("timestamp").collect()
+    assert [r.value for r in kept] == [1.0, None]
+
+
 def test_logs_are_numbered_in_file_order(spark, tmp_path):
     put(f"{tmp_path}/b.csv", "timestamp,service,message\n5,s,m3\n6,s,m4\n")
     put(f"{tmp_path}/a.csv", "timestamp,service,message\n9,s,m1\n1,s,m2\n")
@@ -114,11 +129,11 @@ def test_path_date(spark):
     assert [r[0] for r in df.select(W.path_date("p")).collect()] == ["2024-01-02", "unknown_date"]
 
 
-def test_csv_with_another_header_is_an_error(spark, tmp_path):
-    put(f"{tmp_path}/a.csv", "timestamp,metric_name,value\n1,a,2\n")
-    put(f"{tmp_path}/b.csv", "value,metric_name,timestamp\n1,a,2\n")
+def test_log_csv_with_another_header_is_an_error(spark, tmp_path):
+    put(f"{tmp_path}/a.csv", "timestamp,service,message\n1,a,2\n")
+    put(f"{tmp_path}/b.csv", "message,service,timestamp\n1,a,2\n")
     with pytest.raises(Exception):
-        R.read_metrics(spark, f"{tmp_path}/*.csv").collect()
+        R.read_logs(spark, f"{tmp_path}/*.csv").collect()
 
 
 # --- models
@@ -129,14 +144,60 @@ def toy(spark):
     return spark.createDataFrame(rows, "ts bigint, node_id int, vec array<double>")
 
 
-def test_graph_layers_agree_both_ways(spark, monkeypatch):
-    edges = spark.createDataFrame([(0, 1), (1, 2), (2, 2), (0, 2)], "src int, dst int")
+def test_graph_layers_against_matrices(spark):
+    """Degrees and sums of a time see only the nodes of that time."""
+    pairs = [(0, 1), (1, 2), (2, 2), (0, 2), (2, 1)]
+    edges = spark.createDataFrame(pairs, "src int, dst int")
     layers = [model.Layer([[0.5, -1.0], [0.25, 1.0], [-0.5, 0.0]], [0.1, -0.2], "both"), model.Layer([[1.0], [-1.0]])]
-    sent = {(r.ts, r.node_id): r.vec for r in model.graph_conv(toy(spark), edges, layers).collect()}
-    monkeypatch.setattr(model, "MAX_SENT_EDGES", 0)
-    joined = {(r.ts, r.node_id): r.vec for r in model.graph_conv(toy(spark), edges, layers).collect()}
-    assert sent.keys() == joined.keys()
-    assert all(sent[k] == pytest.approx(joined[k]) for k in sent)
+    cube = toy(spark).where("ts % 3 <> node_id")
+    got = {(r.ts, r.node_id): r.vec for r in model.graph_conv(cube, edges, layers).collect()}
+    want, times = {}, {}
+    for r in cube.collect():
+        times.setdefault(r.ts, {})[r.node_id] = np.array(r.vec)
+    for ts, h in times.items():
+        here = [(a, b) for a, b in pairs if a in h and b in h]
+        sent, into = Counter(a for a, _ in here), Counter(b for _, b in here)
+        for x in layers:
+            both = x.norm == "both"
+            near = {n: sum((h[a] / (sent[a] ** 0.5 if both else 1) for a, b in here if b == n), np.zeros_like(v)) for n, v in h.items()}
+            near = {n: v / (max(into[n], 1) ** 0.5 if both else 1) for n, v in near.items()}
+            h = {n: v @ np.array(x.weight) + (0 if x.bias is None else np.array(x.bias)) for n, v in near.items()}
+            h = {n: np.where(v > 0, v, 0.01 * v) for n, v in h.items()}
+        want |= {(ts, n): v.tolist() for n, v in h.items()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_writing_a_day_keeps_other_days(spark, tmp_path):
+    kind = "date string, instance_id string, timestamp string, feature string, value double"
+    for day, value in (("2024-01-01", 1.0), ("2024-01-02", 2.0), ("2024-01-02", 3.0)):
+        rows = spark.createDataFrame([(day, "a", f"{day} 10:00:00", "f", value)], kind)
+        W.write_features(rows.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")), f"{tmp_path}/f")
+    assert sorted(r.value for r in spark.read.parquet(f"{tmp_path}/f").collect()) == [1.0, 3.0]
+
+
+def test_all_ranks_are_written(spark, tmp_path):
+    ranked = spark.createDataFrame([(1, i, f"n{i}", 1.0 / i) for i in range(1, 9)], "case_id int, rank int, node string, score double")
+    cases = spark.createDataFrame([(1, "n3"), (2, "n1")], "case_id int, cmdb_id string")
+    W.write_results(ranked, cases, ranked.limit(1), f"{tmp_path}/r")
+    back = spark.read.option("header", True).csv(f"{tmp_path}/r/ranked").collect()
+    assert sorted((r.case_id, r["rank"] or "") for r in back) == [("1", str(i)) for i in range(1, 9)] + [("2", "")]
+
+
+def test_a_node_with_losses_outside_all_windows_is_ranked(spark):
+    loss = spark.createDataFrame([(100, "a", 1.0), (101, "b", 2.0), (9000, "c", 9.0)], "ts bigint, node string, loss double")
+    cases = spark.createDataFrame([(1, 100, "a"), (2, 5000, "b")], "case_id int, timestamp bigint, cmdb_id string")
+    nodes = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "node string, node_id int")
+    edges = spark.createDataFrame([(0, 1)], "src int, dst int")
+    ranked = scoring.score_cases(loss, cases, nodes, edges, 10).collect()
+    assert sorted((r.case_id, r.node) for r in ranked) == [(i, n) for i in (1, 2) for n in "abc"]
+    assert all(r.score is None for r in ranked if r.case_id == 2)
+
+
+def test_previous_row_may_be_null(spark):
+    rows = spark.createDataFrame([("g", 1, "x"), ("g", 2, None), ("g", 3, "y"), ("g", 12, "z")], "k string, t int, v string")
+    got = previous_in_group(rows, ["k"], ["t"], "v", block_chunk("t", 10), "p").orderBy("t").collect()
+    assert [r.p for r in got] == [None, "x", None, "y"]
 
 
 def test_injected_fault_has_the_largest_loss(spark):
