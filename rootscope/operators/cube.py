@@ -30,9 +30,9 @@ def default_axis(vectors: DataFrame, metric_axis: DataFrame | None = None) -> Da
     last = vectors.agg(F.max("t_idx").alias("_last"))
     if metric_axis is not None:
         return metric_axis.where(F.col("t_idx") <= last.scalar()).select("t_idx", "ts")
-    return last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("t_idx")).withColumn(
-        "ts", F.lit(AXIS_START) + F.col("t_idx") * AXIS_STEP
-    )
+    (end,) = last.first()
+    steps = vectors.sparkSession.range(0 if end is None else end + 1).select(F.col("id").alias("t_idx"))
+    return steps.withColumn("ts", F.lit(AXIS_START) + F.col("t_idx") * AXIS_STEP)
 
 
 def attach_timestamps(vectors: DataFrame, truth: DataFrame, order: list[str], block: int = 65_536, dedupe: str | None = None) -> DataFrame:

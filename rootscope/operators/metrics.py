@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootscope.functions.scalars import epoch_seconds, seconds_to_ts, time_floor
+from rootscope.functions.scalars import epoch_micros, epoch_seconds, seconds_to_ts, time_floor
 from rootscope.operators.spread import DAY, grouped_quantiles, known_neighbours, time_chunk
 from rootscope.session import materialise
 
@@ -96,20 +96,25 @@ def outlier_mask(dense: DataFrame, threshold: float = 3.0, skip_null: bool = Fal
 
     A series with an empty cell has no outliers unless ``skip_null`` is set.
     """
-    stats = dense.groupBy(*SERIES).agg(
+    marked = dense.join(_spread(dense), SERIES).withColumn("is_outlier", _far(threshold, skip_null))
+    return marked.select(*CELL, "value", "is_outlier")
+
+
+def _spread(dense: DataFrame) -> DataFrame:
+    """One row per series."""
+    return dense.groupBy(*SERIES).agg(
         F.avg("value").alias("_mean"),
         F.stddev_pop("value").alias("_std"),
         F.count("value").alias("_known"),
         F.count(F.lit(1)).alias("_all"),
     )
+
+
+def _far(threshold: float, skip_null: bool) -> Column:
     far = F.try_divide(F.abs(F.col("value") - F.col("_mean")), F.col("_std")) > threshold
     if not skip_null:
         far = far & (F.col("_known") == F.col("_all"))
-    return (
-        dense.join(stats, SERIES)
-        .withColumn("is_outlier", F.coalesce(far, F.lit(False)))
-        .select(*CELL, "value", "is_outlier")
-    )
+    return F.coalesce(far, F.lit(False))
 
 
 def series_median(dense: DataFrame) -> DataFrame:
@@ -118,9 +123,10 @@ def series_median(dense: DataFrame) -> DataFrame:
 
 def outlier_replace(dense: DataFrame, threshold: float = 3.0, skip_null: bool = False) -> DataFrame:
     """Outliers become the median of their series (the outliers count in it)."""
-    masked = outlier_mask(dense, threshold, skip_null)
-    value = F.when(F.col("is_outlier"), F.col("median")).otherwise(F.col("value"))
-    return masked.join(series_median(dense), SERIES, "left").select(*CELL, value.alias("value"))
+    # the two rows of a series meet first, so the cells are joined once
+    known = _spread(dense).join(series_median(dense), SERIES, "left")
+    value = F.when(_far(threshold, skip_null), F.col("median")).otherwise(F.col("value"))
+    return dense.join(known, SERIES).select(*CELL, value.alias("value"))
 
 
 def fill_missing(dense: DataFrame, method: str = "forward", fill: float = 0.0, chunk_seconds: int = DAY) -> DataFrame:
@@ -197,13 +203,12 @@ def resample(cells: DataFrame, seconds: int = 60) -> DataFrame:
 
 def tumbling_windows(df: DataFrame, seconds: int = 60, ts: str = "timestamp") -> DataFrame:
     """Windows from the first time on while they start before the last time."""
-    ends = df.agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    step = F.expr(f"INTERVAL '{int(seconds)}' SECOND")
-    return (
-        ends.withColumn("window_start", F.explode(F.sequence("_first", "_last", step)))
-        .where(F.col("window_start") < F.col("_last"))
-        .select("window_start", (F.col("window_start") + step).alias("window_end"))
-    )
+    kind = df.schema[ts].dataType
+    first, last = df.agg(F.min(epoch_micros(ts)), F.max(epoch_micros(ts))).first()
+    step = int(seconds) * 1_000_000
+    count = 0 if first is None else -(-(last - first) // step)
+    at = lambda shift: F.timestamp_micros(F.lit(first) + (F.col("id") + shift) * step).cast(kind)
+    return df.sparkSession.range(count).select(at(0).alias("window_start"), at(1).alias("window_end"))
 
 
 def sort_by_time(df: DataFrame) -> DataFrame:

@@ -123,6 +123,7 @@ QUERIES = {
     "graph_conv": lambda s, d: _points(M.graph_conv(vectors(s, d), ring(s, d), [M.Layer(weights(64))]), "ts", "node_id"),
     "graph_conv_both": lambda s, d: _points(M.graph_conv(vectors_sparse(s, d), ring(s, d), [M.Layer(weights(64), norm="both")]), "ts", "node_id"),
     "reconstruct": _reconstruct,
+    "reconstruct_full": lambda s, d: rounded(M.reconstruct(vectors(s, d).select("ts", "node_id", "vec"), ring(s, d), 128)),
     "feedback_losses": _feedback_losses,
     "fit_feedback_weights": _fit_weights,
     "date_to_epoch": lambda s, d: table(s, d, "orders")
@@ -254,6 +255,8 @@ ORACLE = {
         SELECT ts, node_id, j, sum(value * ((i * 7 + j * 3) % 11 - 5) / 10) AS h FROM near CROSS JOIN (SELECT unnest(range({OUT_DIM})) AS j) GROUP BY 1, 2, 3)""",
         _RING,
     ),
+    # with all components nothing is lost
+    "reconstruct_full": with_sql("vectors", "SELECT ts, node_id, CAST(0 AS DOUBLE) AS loss FROM vectors"),
     "graph_conv_both": with_sql(
         "vectors vectors_sparse",
         f"""SELECT ts, node_id, CAST(j AS INTEGER) AS i, round(CASE WHEN h > 0 THEN h ELSE 0.01 * h END, 6) + 0.0 AS value FROM (
