@@ -18,6 +18,12 @@ def _texts(s, d):
     return T.with_text(L.with_instance(logs_short(s, d))).select("instance_id", "timestamp", "pos", "text")
 
 
+def _parts(s, d):
+    """Part descriptions of three or four words as messages: many templates of each length."""
+    more = F.when(F.col("p_partkey") % 2 == 1, F.concat(F.lit(" "), "p_brand")).otherwise("")
+    return table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" "), "p_type", more).alias("message"))
+
+
 def _dictionary(s, d):
     """All distinct masked messages as given templates, numbered by first position."""
     return T.number_templates(materialise(T.distinct_messages(T.with_text(logs_short(s, d))), "dictionary"))
@@ -110,6 +116,7 @@ QUERIES = {
     "mask_message_short": lambda s, d: T.with_text(logs_short(s, d)).select("pos", "text"),
     "mine_templates": lambda s, d: T.mine_templates(T.with_text(logs_short(s, d))).select("template_id", "pos", "text"),
     "mine_templates_documents": lambda s, d: T.mine_templates(T.with_text(logs_long(s, d))).select("template_id", "pos", "text"),
+    "mine_templates_parts": lambda s, d: T.mine_templates(T.with_text(_parts(s, d))).select("template_id", "pos", "text"),
     "assign_templates": lambda s, d: _assigned(s, d).select("pos", "instance_id", "template_id"),
     "template_counts": lambda s, d: _counts(s, d),
     "merge_rare": lambda s, d: L.merge_rare(_counts(s, d), RARE_BELOW),
@@ -141,6 +148,17 @@ ORACLE = {
         SELECT min(pos) AS pos, arg_min(text, (pos, text)) AS text FROM dictionary GROUP BY len(string_split(text, ' ')))""",
         "dictionary",
     ),
+    # the sequential rule itself: distinct messages in order, each looks at the templates so far
+    "mine_templates_parts": f"""WITH RECURSIVE m AS (SELECT {_mask_sql('message')} AS text, pos FROM (SELECT p_partkey AS pos,
+        p_name || ' ' || p_type || CASE WHEN p_partkey % 2 = 1 THEN ' ' || p_brand ELSE '' END AS message FROM part)),
+        w AS (SELECT row_number() OVER (ORDER BY min(pos), text) AS k, min(pos) AS pos, string_split(text, ' ') AS t,
+            len(string_split(text, ' ')) AS n FROM m GROUP BY text),
+        r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(t VARCHAR[], pos BIGINT)[]) AS found
+            UNION ALL SELECT w.k, CASE WHEN len(list_filter(found, lambda x: len(x.t) = w.n AND
+                list_sum([CAST(p[1] = p[2] AS INTEGER) FOR p IN list_zip(x.t, w.t)]) / w.n >= 0.4)) > 0 THEN found
+                ELSE list_append(found, {{'t': w.t, 'pos': w.pos}}) END FROM r JOIN w ON w.k = r.k + 1)
+        SELECT row_number() OVER (ORDER BY u.pos) - 1 AS template_id, u.pos AS pos, array_to_string(u.t, ' ') AS text
+        FROM (SELECT unnest(found) AS u FROM r WHERE k = (SELECT max(k) FROM r))""",
     "assign_templates": _sql("SELECT pos, instance_id, template_id FROM assigned", "assigned"),
     "template_counts": _sql('SELECT instance_id, "timestamp", feature, value FROM dense', "dense"),
     "merge_rare": _sql('SELECT instance_id, "timestamp", feature, value FROM merged', "merged"),

@@ -24,7 +24,7 @@ def test_no_pairwise_joins(spark, key):
 
 def test_filters_and_columns_reach_the_scan(spark):
     text = plan(all_queries()["case_window_join"](spark, SF))
-    assert "PushedFilters: [IsNotNull(event_type), IsNotNull(value), EqualTo(event_type,error)" in text
+    assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,error)" in text
     assert "props" not in text
 
 
