@@ -1,11 +1,15 @@
 """Operator 8, near duplicates: one-permutation MinHash, banded buckets, star-shaped candidates.
 
-A text is the set of its 5-word shingles, each a 64-bit number. The numbers' top bits deal
-them into ``BINS``; a bin's smallest number is its value (one permutation for all bins), and an
+A text is the set of its 5-word shingles, each a 64-bit number. The numbers are dealt into bins
+by size; a bin's smallest number is its value (one permutation for all bins), and an
 empty bin takes that of the first filled bin on its own fixed random walk (optimal
-densification), so every bin of two texts agrees with probability J. Four bins make a band;
-texts that agree in a band share a bucket. At J = 0.75 two texts miss all 32 buckets with
-probability 5e-6.
+densification), so every bin of two texts agrees with probability J. Some bins make a band;
+texts that agree in a band share a bucket.
+
+Bands are used twice. Of all texts, those that share no bucket of ``COARSE`` bands have no partner:
+at J = 0.75 a pair misses all of them with probability 5e-6. The others are read again and put
+into buckets of ``FINE`` bands, which a pair at 0.75 misses with probability 1e-6 and a pair at 0.4,
+such as two texts with one passage in common, meets once in forty.
 
 Texts with equal sets are one node. A bucket proposes a *star*: its centre with each member, not
 all pairs. Stars are confirmed on the full sets. One star may miss a link between two members
@@ -16,6 +20,11 @@ confirmed links, then 4, 16, 64 ... members picked by hash. Pairs in one compone
 before and pairs whose set sizes rule the link out are left out. So within buckets no link is
 lost, and a bucket of near copies of one text is settled by one or two stars.
 
+From the second star on, pairs are near misses for the most part. So they are confirmed only if
+their sketches, one bit of each of 2048 fine bins, differ in at most ``MOST_DIFFER`` places. At J = 0.75
+they differ in 256 on average with a deviation of 16, so one link in ten million is mistaken
+there. Sets of fewer than ``FEW`` shingles are always confirmed.
+
 Every table that later steps read is written below ``spark.checkpoint.dir``.
 """
 
@@ -26,15 +35,16 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootscope.llm.common import map_texts, whole_text, with_row_number
 from rootscope.session import materialise
 
-WORDS, BANDS, ROWS = 5, 32, 4
-BINS = BANDS * ROWS
-_SHIFT = np.uint64(64 - (BINS.bit_length() - 1))
+WORDS = 5
+#: Numbers of bands, and of bins in a band.
+COARSE, FINE = (32, 4), (240, 10)
+SKETCH, MOST_DIFFER, FEW = 2048, 344, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -58,36 +68,50 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
-@lru_cache(1)
-def _walks() -> np.ndarray:
+@lru_cache(2)
+def _walks(bins: int) -> np.ndarray:
     """For each bin the bins to look into while it is empty."""
-    return np.random.default_rng(8).integers(0, BINS, (BINS, 2048), np.int64)
+    return np.random.default_rng(8).integers(0, bins, (bins, 2048), np.int16)
 
 
-def signature(numbers: np.ndarray) -> np.ndarray:
-    bins = (numbers >> _SHIFT).astype(np.int64)
-    filled, first = np.unique(bins, return_index=True)  # sorted, so the first of a bin is its least
-    values = np.zeros(BINS, np.uint64)
+def signature(numbers: np.ndarray, bins: int) -> np.ndarray:
+    """The values of all bins, for a set that is not empty."""
+    place = ((numbers >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int64)
+    filled, first = np.unique(place, return_index=True)  # sorted, so the first of a bin is its least
+    values = np.zeros(bins, np.uint64)
     values[filled] = numbers[first]
-    has = np.zeros(BINS, bool)
+    has = np.zeros(bins, bool)
     has[filled] = True
-    source = np.arange(BINS)
-    empty = np.flatnonzero(~has)
-    for steps in (slice(0, 16), slice(16, 2048)):
-        if len(empty):
-            walk = _walks()[empty, steps]
-            hit = has[walk]
-            at = hit.argmax(1)
-            found = hit[np.arange(len(empty)), at]
-            source[empty[found]] = walk[np.arange(len(empty)), at][found]
-            empty = empty[~found]
+    source = np.arange(bins)
+    empty, done = np.flatnonzero(~has), 0
+    for upto in (4, 16, 64, 256, 2048):
+        if not len(empty):
+            break
+        walk = _walks(bins)[empty, done:upto]
+        hit = has[walk]
+        at = hit.argmax(1)
+        each = np.arange(len(empty))
+        found = hit[each, at]
+        source[empty[found]] = walk[each, at][found]
+        empty, done = empty[~found], upto
     source[empty] = filled[0]
     return values[source]
 
 
-def _bands(numbers: np.ndarray) -> np.ndarray:
-    rows = signature(numbers).reshape(BANDS, ROWS)
-    return _mixed((rows * _ODD[:ROWS]).sum(1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * _ODD[4])
+def sketch_of(values: np.ndarray) -> np.ndarray:
+    """One bit for each of the first bins, packed; a value's bit depends on its bin too."""
+    bins = np.arange(SKETCH, dtype=np.uint64) * _ODD[1]
+    return np.packbits((_mixed(values[:SKETCH] ^ bins) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+
+
+def bands_of(values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    """One bucket number for each band of a signature."""
+    bands, rows = shape
+    values = values.reshape(bands, rows)
+    total = np.arange(1, bands + 1, dtype=np.uint64) * _ODD[4]
+    for k in range(rows):  # mixed in turn, so that order and band matter
+        total = _mixed(total + values[:, k])
+    return total.view(np.int64)
 
 
 def _signed(texts: list[str]) -> dict[str, list]:
@@ -98,14 +122,24 @@ def _signed(texts: list[str]) -> dict[str, list]:
         # two sums over a set name it: equal sets have equal sums
         out["sum_a"].append(int(_mixed(numbers).sum(dtype=np.uint64).view(np.int64)))
         out["sum_b"].append(int(_mixed(numbers ^ _ODD[0]).sum(dtype=np.uint64).view(np.int64)))
-        out["bands"].append(_bands(numbers).view(np.int64) if len(numbers) else None)
+        out["bands"].append(bands_of(signature(numbers, COARSE[0] * COARSE[1]), COARSE) if len(numbers) else None)
     return {k: pa.array(v, pa.int64()) for k, v in out.items() if k != "bands"} | {
         "bands": pa.array(out["bands"], pa.list_(pa.int64()))
     }
 
 
 def _sets(texts: list[str]) -> dict[str, list]:
-    return {"numbers": pa.array([shingles(t).tobytes() for t in texts], pa.binary())}
+    found = [shingles(t) for t in texts]
+    signed = [signature(f, FINE[0] * FINE[1]) for f in found]
+    return {
+        "numbers": pa.array([f.tobytes() for f in found], pa.binary()),
+        "bands": pa.array([bands_of(s, FINE) for s in signed], pa.list_(pa.int64())),
+        "sketch": pa.array([sketch_of(s) for s in signed], pa.list_(pa.int64())),
+    }
+
+
+def _differ(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
 
 
 def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
@@ -145,18 +179,14 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _seeded(*columns: Column | str) -> Column:
-    return F.xxhash64(*columns)
-
-
 def _centres(open_buckets: DataFrame, round_: int) -> DataFrame:
     """``bucket``, ``centre``: whom to propose this round."""
     if round_ < 2:
-        best = F.max(F.struct("weight", _seeded("node").alias("h"), "node"))
+        best = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node"))
         return open_buckets.groupBy("bucket").agg(best["node"].alias("centre"))
     wanted = 4 ** (round_ - 1)
     left = open_buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"))
-    share = F.pmod(_seeded("node", "bucket", F.lit(round_)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    share = F.pmod(F.xxhash64("node", "bucket", F.lit(round_)), F.lit(1_000_003)) / F.lit(1_000_003.0)
     return (
         open_buckets.join(left, "bucket")
         .where((F.col("left") <= wanted) | (share * F.col("left") < wanted))
@@ -164,11 +194,18 @@ def _centres(open_buckets: DataFrame, round_: int) -> DataFrame:
     )
 
 
-def _links(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _in_buckets(nodes: DataFrame) -> DataFrame:
+    """``bucket``, ``node``, ``size`` of buckets with several members; ``nodes`` is stored."""
+    placed = nodes.select("node", F.explode("bands").alias("bucket"))
+    crowded = materialise(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowded")
+    return materialise(placed.join(crowded, "bucket"), "in-buckets")
+
+
+def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``node``, ``root`` for all nodes of buckets."""
-    sizes = materialise(sets.select("node", "n").distinct(), "sizes")
-    members = materialise(members.join(sizes, "node"), "members")  # bucket, node, weight, n
-    roots = materialise(sizes.select("node", F.col("node").alias("root")), "roots")
+    sizes = sets.select("node", "n", "sketch")
+    members = materialise(members.join(sizes.select("node", "n"), "node"), "members")  # bucket, node, weight, n
+    roots = materialise(sets.select("node", F.col("node").alias("root")), "roots")
     untried, tried, links, round_ = members, None, None, 0
     while True:
         here = untried.join(roots, "node")
@@ -179,12 +216,15 @@ def _links(spark: SparkSession, members: DataFrame, sets: DataFrame, percent: in
         centres = materialise(_centres(untried.join(several, "bucket", "left_semi"), round_), "centres")
         rooted = members.join(several, "bucket", "left_semi").join(roots, "node")
         centre = centres.join(sizes, centres["centre"] == sizes["node"]).join(roots, "node").select(
-            "bucket", "centre", F.col("n").alias("centre_n"), F.col("root").alias("centre_root")
+            "bucket", "centre", F.col("n").alias("centre_n"), F.col("root").alias("centre_root"), F.col("sketch").alias("centre_sketch")
         )
+        if round_:
+            rooted = rooted.join(sets.select("node", "sketch"), "node")
         fits = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
         pairs = (
             rooted.join(centre, "bucket")
             .where((F.col("node") != F.col("centre")) & (F.col("root") != F.col("centre_root")) & fits)
+            .where((F.col("n") < FEW) | (_differ("sketch", "centre_sketch") <= MOST_DIFFER) if round_ else F.lit(True))
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
             .distinct()
         )
@@ -220,7 +260,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
     reach (null only if none there is known); the row with it is kept, of repeated rows one. Only
     ``doc_id``, ``text`` and ``row``, which numbers the rows and is then returned, are read.
     """
-    spark = docs.sparkSession
     number = F.col(row) if row else F.monotonically_increasing_id()
     # id and text hash find the row again in the second reading
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -239,18 +278,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
         ),
         "nodes",
     )
-    placed = nodes.select("node", F.explode("bands").alias("bucket"))
-    crowded = materialise(placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "crowded")
-    members = materialise(placed.join(crowded, "bucket"), "in-buckets")
-    mates = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    members = members.drop("size").join(mates, "node")
-    wanted = nodes.join(mates, "node", "left_semi").select(
+    wanted = nodes.join(_in_buckets(nodes).select("node").distinct(), "node", "left_semi").select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id_key"), "text_key", "node", "n"
     )
     # the texts are dealt out by document at every size, as they must be once many are in buckets
     again = rows.join(wanted.hint("merge"), ["id_key", "text_key"]).select("node", "n", "text")
-    sets = materialise(map_texts(again, ["node", "n"], _sets, "numbers binary").dropDuplicates(["node"]), "sets")
-    roots = _links(spark, members, sets, percent)
+    sets = map_texts(again, ["node", "n"], _sets, "numbers binary, bands array<bigint>, sketch array<bigint>")
+    sets = materialise(sets.dropDuplicates(["node"]), "sets")
+    members = _in_buckets(sets)
+    mates = members.groupBy("node").agg(F.sum("size").alias("weight"))
+    roots = _links(members.drop("size").join(mates, "node"), sets.drop("bands"), percent)
 
     named = nodes.select(*of_set, "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("lowest"))
