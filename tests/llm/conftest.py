@@ -30,6 +30,3 @@ def labels(spark):
         return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
 
     return make
-
-
-ODD_TEXTS = [None, "", " ", "\n", "word", "a\n\n\nb", "é 中 😀 <|endoftext|> x\x1cy", "x " * 3000, "same text", "same text", "1" * 400]

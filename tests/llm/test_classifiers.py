@@ -2,7 +2,7 @@
 
 import pytest
 from compare import data_dir
-from conftest import ODD_TEXTS
+from odd import ODD_TEXTS
 from pyspark.sql import functions as F
 
 from rootscope.llm.quality import NAMES, compiled, drop_low_quality, score_quality, tree_rules, with_statistics

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from conftest import ODD_TEXTS
+from odd import ODD_TEXTS
 
 from rootscope.llm.decontaminate import contamination, drop_contaminated
 

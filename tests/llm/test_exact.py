@@ -1,4 +1,4 @@
-from conftest import ODD_TEXTS
+from odd import ODD_TEXTS
 
 from rootscope.llm.exact import FIRST_DIGIT, GROWTH, drop_exact_duplicates, exact_duplicates
 

@@ -1,6 +1,6 @@
 import random
 
-from conftest import ODD_TEXTS
+from odd import ODD_TEXTS
 
 from rootscope.llm.linededup import remove_repeated_lines
 

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import ODD_TEXTS
+from odd import ODD_TEXTS
 
 from rootscope.llm.neardup import connected, drop_near_duplicates, near_duplicates, shingles, signature
 

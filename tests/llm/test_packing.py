@@ -5,7 +5,7 @@ from itertools import groupby
 import numpy as np
 import public_tokenizers
 import pytest
-from conftest import ODD_TEXTS
+from odd import ODD_TEXTS
 from tokenizers import Tokenizer
 
 from rootscope.llm.packing import LIMIT, POWERS, checksum_after, choose_windows, pack

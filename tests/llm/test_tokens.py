@@ -2,7 +2,7 @@ import random
 
 import public_tokenizers
 import pytest
-from conftest import ODD_TEXTS
+from odd import ODD_TEXTS
 from tokenizers import Tokenizer
 
 from rootscope.llm.tokens import count_tokens, counter, cut_words
