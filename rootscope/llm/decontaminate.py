@@ -46,21 +46,26 @@ def _from(array: Column, i: Column, n: int) -> list[Column]:
     return [F.get(array, i + k) for k in range(n)]
 
 
-def _gram_hashes(words: Column, n: Column, size: int) -> Column:
-    """A hash for each gram; none if there are fewer words."""
-    starts = F.slice(words, 1, F.greatest(n - (size - 1), F.lit(0)))
-    return F.transform(starts, lambda w, i: F.xxhash64(w, *_from(words, i + 1, size - 1)))
+def _grams(size: int, number) -> Column:
+    """``number(words of a gram, place)`` for each gram; none if there are fewer words."""
+    starts = F.slice("words", 1, F.greatest(F.col("n_words") - (size - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: number([w, *_from(F.col("words"), i + 1, size - 1)], i))
+
+
+def _placed(gram: list[Column], i: Column) -> Column:
+    """A hash whose low three bits are the gram's position modulo 8, which tells the grams of a window apart."""
+    return F.xxhash64(*gram).bitwiseAND(F.lit(-8)).bitwiseOR(i.bitwiseAND(F.lit(7)).cast("bigint"))
 
 
 def _with_fingerprints(rows: DataFrame) -> DataFrame:
-    """Adds ``chosen``: for each window its smallest gram hash, whose low three bits are the gram's
-    position modulo 8, which tells the grams of a window apart."""
-    placed = lambda h, i: h.bitwiseAND(F.lit(-8)).bitwiseOR(i.bitwiseAND(F.lit(7)).cast("bigint"))
-    hashed = rows.withColumn("grams", _gram_hashes(F.col("words"), F.col("n_words"), GRAM))
-    hashed = hashed.withColumn("grams", F.transform("grams", placed))
+    """Adds ``chosen``: for each window its smallest gram hash. The minimum of six neighbours comes
+    from that of two."""
+    hashed = rows.withColumn("grams", _grams(GRAM, _placed))
+    pairs = F.transform("grams", lambda h, i: F.least(h, F.get(F.col("grams"), i + 1)))
+    two = hashed.withColumn("grams", pairs)
     starts = F.slice("grams", 1, F.greatest(F.col("n_words") - (WINDOW - 1), F.lit(0)))
-    least = F.transform(starts, lambda h, i: F.least(h, *_from(F.col("grams"), i + 1, GRAMS - 1)))
-    return hashed.withColumn("chosen", least).drop("grams")
+    six = F.transform(starts, lambda h, i: F.least(h, F.get(F.col("grams"), i + 2), F.get(F.col("grams"), i + 4)))
+    return two.withColumn("chosen", six).drop("grams")
 
 
 def _with_words(rows: DataFrame) -> DataFrame:
@@ -83,9 +88,8 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     items = _with_words(
         benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), whole_text().alias("text"))
     )
-    long = _with_fingerprints(items.where(f"n_words >= {WINDOW}")).select(
-        "item", "words", F.posexplode("chosen").alias("start", "chosen")
-    )
+    long = _with_fingerprints(items.where(f"n_words >= {WINDOW}"))
+    long = _exploded(long, ["item", "words"], F.col("chosen"), "start", "chosen")
     text = lambda start, size: F.concat_ws(" ", F.slice("words", start + 1, size))
     long = long.select(
         "item", F.lit(WINDOW).alias("size"), text(F.col("start"), WINDOW).alias("window"), F.shiftright("chosen", 3).alias("mark")
@@ -96,6 +100,12 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return long.unionAll(short).distinct()
 
 
+def _exploded(rows: DataFrame, keep: list[str], array: Column, place: str, value: str) -> DataFrame:
+    """The elements that are not null. The outer form, since for the inner one Spark asks for the
+    array's size first and works the whole expression out again inside its own lambdas."""
+    return rows.select(*keep, F.posexplode_outer(array).alias(place, value)).where(F.col(value).isNotNull())
+
+
 def _hits(docs: DataFrame, marks: DataFrame, short: list[int]) -> DataFrame:
     """Runs of window starts (``low`` to ``high``) to look at: those whose windows hold a shared gram."""
     rows = _with_words(docs)
@@ -103,9 +113,7 @@ def _hits(docs: DataFrame, marks: DataFrame, short: list[int]) -> DataFrame:
     # a gram counts once, in the first of the windows in a row that choose it
     once = F.transform("chosen", lambda h, i: F.when((i == 0) | (h != F.get(F.col("chosen"), i - 1)), h))
     sent = (
-        chosen.select(*KEY, F.posexplode(once).alias("start", "chosen"))
-        .where("chosen IS NOT NULL")
-        .select(
+        _exploded(chosen, KEY, once, "start", "chosen").select(
             *KEY,
             F.shiftright("chosen", 3).alias("mark"),
             F.lit(WINDOW).alias("size"),
@@ -114,16 +122,11 @@ def _hits(docs: DataFrame, marks: DataFrame, short: list[int]) -> DataFrame:
         .withColumn("low", F.col("high") - (GRAMS - 1))
     )
     for size in short:
-        grams = rows.select(*KEY, F.posexplode(_short_hashes(size)).alias("low", "mark"))
+        grams = _exploded(rows, KEY, _grams(size, lambda gram, _: F.xxhash64(F.array(*gram))), "low", "mark")
         sent = sent.unionByName(grams.withColumn("size", F.lit(size)).withColumn("high", F.col("low")))
     return sent.join(marks, ["size", "mark"], "left_semi").select(*KEY, "size", "low", "high")
 
 
-def _short_hashes(size: int) -> Column:
-    starts = F.slice("words", 1, F.greatest(F.col("n_words") - (size - 1), F.lit(0)))
-    return F.transform(starts, lambda w, i: F.xxhash64(F.slice("words", i + 1, size)))
-
-
 def shared_windows(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Documents with ``n_words``; the windows that they share (``start``, ``size``, ``window``); the items' windows."""
     rows = _keyed(docs)
@@ -132,7 +135,8 @@ def shared_windows(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Da
     marks = materialise(items.select("size", "mark").distinct(), "marks")
     hits = _hits(rows, marks, short).groupBy(*KEY).agg(F.collect_set(F.struct("size", "low", "high")).alias("hits"))
     hits = materialise(hits, "hits")
-    read = _with_words(rows.join(hits, KEY, "left"))
+    # the texts are dealt out by document at every size, as they must be once many have hits
+    read = _with_words(rows.join(hits.hint("merge"), KEY, "left"))
     starts = lambda x: F.sequence(
         F.greatest(x["low"], F.lit(0)), F.least(x["high"], F.col("n_words") - x["size"])
     )
