@@ -43,7 +43,9 @@ def _windows(lines: Column) -> Column:
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """For documents that repeat lines: ``id_key``, ``text_key`` and ``starts`` of the windows that go."""
     rows = _documents(docs).select(*KEY, F.split("text", "\n").alias("lines"))
-    seen = rows.select(*KEY, F.posexplode(_windows(F.col("lines"))).alias("start", "w")).select(*KEY, "start", "w.*")
+    # outer, as for the inner form Spark works out the windows twice
+    seen = rows.select(*KEY, F.posexplode_outer(_windows(F.col("lines"))).alias("start", "w"))
+    seen = seen.where("w IS NOT NULL").select(*KEY, "start", "w.*")
     seen = materialise(seen, "line-windows")
     place = F.struct(*KEY, "start")
     often = seen.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last")
@@ -64,7 +66,8 @@ def remove_repeated_lines(docs: DataFrame) -> DataFrame:
     lines = F.split("text", "\n")
     all_ = F.sequence(F.lit(0), F.size("lines") - 1)
     gone = F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (LINES - 1))))
-    rows = _documents(docs).join(found, KEY, "left").withColumn("lines", lines)
+    # the texts are dealt out by document at every size, as they must be once many repeat lines
+    rows = _documents(docs).join(found.hint("merge"), KEY, "left").withColumn("lines", lines)
     rows = rows.withColumn("stay", F.when(F.col("starts").isNotNull(), F.array_except(all_, gone)))
     left = F.concat_ws("\n", F.transform("stay", lambda i: F.get("lines", i)))
     return rows.select(
