@@ -41,8 +41,8 @@ SENTENCE, INSIDE = 8, 64
 LONG, STRIDE = 512, 256
 #: Shorter windows that need no padding.
 POWERS = [512, 1024, 2048]
-#: Words whose ids a worker keeps.
-MAX_WORDS = 600_000
+#: Words of a generation; a worker keeps the ids of two generations.
+MAX_WORDS = 500_000
 #: Separators that str.split knows and the vocabulary's cutter does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
@@ -56,7 +56,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        # two generations: words met again move on to the younger
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         stops = [i for t, i in vocabulary.items() if re.fullmatch(r"[^\w]*[.!?][^\w]*", t.removesuffix("</w>"))]
@@ -70,12 +72,18 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if _ODD_SPACE.search(text):
             return self._encode([text])[0]
-        words, known = text.split(), self.words
-        new = [w for w in set(words) if w not in known]
+        if len(self.words) > MAX_WORDS:
+            self.older, self.words = self.words, {}
+        words, known, older = text.split(), self.words, self.older
+        new = []
+        for w in set(words):
+            if w not in known:
+                ids = older.get(w)
+                if ids is None:
+                    new.append(w)
+                else:
+                    known[w] = ids
         if new:
-            if len(known) > MAX_WORDS:
-                known.clear()
-                new = list(set(words))
             known.update(zip(new, self._encode(new)))
         return b"".join(map(known.__getitem__, words))
 
