@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootscope.llm.common import whole_text, with_row_number
-from rootscope.session import discard, materialise_at, scratch_path
+from rootscope.session import discard, materialise, materialise_at, scratch_path
 
 #: Bytes of the first digit, and the factor of the next ones.
 FIRST_DIGIT, GROWTH = 32, 4
@@ -38,6 +38,7 @@ def _split(rows: DataFrame, width: int) -> DataFrame:
     digit = rows.withColumn("digit", F.substring("rest", 1, width)).withColumn("ended", F.octet_length("rest") <= width)
     key = ["group", "digit", "ended"]
     shared = digit.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), _first().alias("first")).where("n > 1")
+    shared = materialise(shared, "radix-shared")  # so that the join reads plain exchanges, which can be split
     return digit.join(shared, key).select(
         "uid",
         "doc_id",
@@ -56,15 +57,14 @@ def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     null text is empty. The row with the smallest ``doc_id`` stays, a null ``doc_id`` only if
     the group has no other; of repeated rows with that ``doc_id`` one stays. An empty table
     gives no rows; other columns are not read. ``row`` names a column that numbers the rows
-    and is returned as well.
+    and is returned as well; ``docs`` must then be a stored table.
     """
     spark = docs.sparkSession
     body = one_space(whole_text()).cast("binary")
     number = F.col(row) if row else F.monotonically_increasing_id()
-    numbered = docs.select("doc_id", number.alias("uid"), body.alias("rest"))
-    numbered = numbered.withColumn("text_sha256", F.sha2("rest", 256))
-    work_at = scratch_path(spark, "radix")
-    work = materialise_at(numbered, work_at)
+    work = docs.select("doc_id", number.alias("uid"), body.alias("rest")).withColumn("text_sha256", F.sha2("rest", 256))
+    if not row:  # else the rows are stored already
+        work = materialise(work, "radix")
 
     settled, width, read = [], FIRST_DIGIT, None
     rows = work.select("uid", "doc_id", F.lit(0).cast("bigint").alias("group"), "rest")
