@@ -158,15 +158,14 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows predicted 0, all columns kept."""
-    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
-    names = {c: f"_kept_{i}" for i, c in enumerate(columns)}
-    held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    stats = materialise(with_statistics(docs, ["doc_id"]), "quality-statistics")
-    model = learn_quality(stats, labels)
-    rows = held.withColumn("_text", F.col("text")).withColumn("text", whole_text()).withColumn("n", F.length("text"))
-    found = statistics()
-    rows = rows.select("doc_id", "_text", *names.values(), *[found[k].cast("double").alias(k) for k in NAMES])
-    kept = rows.where(model.score() >= THRESHOLD)
-    new = {"text": "_text", "doc_id": "doc_id"} | names
-    return kept.select(*[F.col(new[c]).alias(c) for c in docs.columns])
+    """``docs`` without the rows predicted 0, all columns kept.
+
+    Rows and statistics are stored together: texts are measured once, and the rules read
+    columns, not the expressions behind them.
+    """
+    names = {c: f"_kept_{i}" for i, c in enumerate(docs.columns)}
+    held = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()], F.col("doc_id"), F.col("text"))
+    stored = materialise(with_statistics(held, ["doc_id", *names.values()]), "quality-rows")
+    model = learn_quality(stored.select("doc_id", *NAMES), labels)
+    kept = stored.where(model.score() >= THRESHOLD)
+    return kept.select(*[F.col(n).alias(c) for c, n in names.items()])
