@@ -2,7 +2,9 @@
 
 Markup is stripped to lines, one for each block of text in page order. A line's weight is its
 length; lines of menus, headers, footers, sidebars, notices, adverts, forms and comments weigh
-nothing, and where the page has an article only lines of its largest article weigh. Weights are
+nothing, and where the page has an article only lines of its largest article weigh. Such parts
+are known by their tags and by whole names in class, id and role; inside an article only by clear
+classes and roles. An article in a part known by names counts if no other article is there. Weights are
 summed over windows of ``WINDOW`` neighbouring lines. The text starts where the sums surge from
 nothing, and ends at the dive back to nothing; what lies between is kept, without lines of no
 weight. In a page without an article, lines that are mostly links weigh nothing either, and of
@@ -23,43 +25,77 @@ from pyspark.sql import functions as F
 from rootscope.llm.common import map_texts, whole_text
 
 WINDOW, SHARE = 3, 0.2
+ASIDE, SHUT = -1, -2
 
 #: A comment, a declaration, or a tag; quoted values may hold ``>`` while they are not very long.
 _MARKUP = re.compile(
     r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,5000}"|'[^']{0,5000}')*+|[^>]*+)>)""", re.S
 )
 #: Elements whose content is no text of the page.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "canvas", "object", "math", "select", "option"}
-SKIPPED = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "figcaption", "head"}
-OUTER = {"article", "main", "header", "section", "div", "ul", "ol", "dl", "table", "body", "html", "figure", "blockquote"} | SKIPPED
+RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "canvas", "object", "select", "option", "annotation", "annotation-xml"}
+SKIPPED = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "head"}
+OUTER = {"article", "main", "header", "section", "div", "ul", "ol", "dl", "table", "body", "html", "figure", "figcaption", "blockquote"} | SKIPPED
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
     "time", "tt", "u", "var", "wbr",
 }
-#: Names in class, id and role that mark what is not the article.
+#: Parts of formulas stand apart in their line.
+MATH = {
+    "math", "semantics", "mrow", "mi", "mn", "mo", "ms", "mtext", "mspace", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded",
+    "mphantom", "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mtable", "mtr", "mtd",
+}
+#: Whole names in class, id and role that mark what is not the article.
 _ASIDE = re.compile(
-    r"""(?<![a-z])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|popup|modal|sidebar|side-bar|breadcrumbs?|"""
-    r"""menu|nav|navbar|navigation|footer|comments?|comment-\w+|replies|respond|disqus|related|recommend\w*|share|sharing|social|"""
-    r"""newsletter|subscribe|subscription|signup|login|search|toolbar|pagination|masthead|site-header|page-header|complementary|contentinfo)(?![a-z])"""
+    r"""ads?|advert\w*|sponsor\w*|promo\w*|(?:ad|cookies?|consent|promo|notice|popup|modal|share|sharing|social|newsletter|subscri\w+|signup|login|"""
+    r"""search|nav|menu|footer|comments?|related|recommend\w*|sidebar)-(?:notice|banner|bar|box|popup|modal|overlay|buttons?|links?|icons?|list|"""
+    r"""area|form|section|widget|wrapper|container|unit|slot|menu|posts|articles|signup|inner)|banner|cookies?|consent|notice|popup|modal|"""
+    r"""sidebar|side-bar|breadcrumbs?|menu|nav|navbar|navigation|(?:main|site|top|page|sub|primary|secondary)-(?:nav|navigation|menu|footer|header)|"""
+    r"""footer|comments?|replies|respond|disqus|related|recommend\w*|share|sharing|social|newsletter|subscribe|subscription|signup|login|"""
+    r"""search|toolbar|pagination|masthead|complementary|contentinfo"""
+)
+#: Those among the classes and roles that are clear inside an article too, where a name may be a subject of the text.
+_CLEAR = re.compile(
+    r"""ads?|advert|adverts|advertisement|advertising|adsbygoogle|sponsored|ad-(?:banner|box|container|slot|unit|wrapper)|"""
+    r"""(?:cookies?|consent)-(?:notice|banner|bar|popup|overlay)|(?:share|sharing|social|social-share)-(?:bar|buttons?|links?|icons?)|"""
+    r"""newsletter-(?:signup|form|box)|comments|comments-area|comments?-(?:list|form)|related-(?:posts|articles)|breadcrumbs?|pagination|navbar|sidebar|"""
+    r"""navigation|complementary"""
 )
-_NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden(?![-\w])|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_HIDDEN = re.compile(r"display\s*:\s*none", re.I)
 _RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
 
 
-def _is_aside(name: str, attributes: str, in_article: bool) -> bool:
-    if name in SKIPPED or (name == "header" and not in_article):
-        return True
-    if not attributes or name in ("html", "body", "article", "main"):
-        return False
-    if _HIDDEN.search(attributes):
-        return True
-    return any(_ASIDE.search((a or b or c).lower()) for a, b, c in _NAMED.findall(attributes))
+def _attributes(text: str) -> dict[str, str]:
+    """Lower-case values by name; of equal names the first holds."""
+    found: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(text):
+        found.setdefault(name.lower(), "".join(values).lower())
+    return found
+
+
+def _kind(name: str, attributes: str, in_article: bool) -> int:
+    """``SHUT`` if neither it nor an article in it is text, ``ASIDE`` if only articles in it may be, else 0."""
+    if name in SKIPPED:
+        return ASIDE if name == "form" else SHUT
+    own = _attributes(attributes) if attributes else {}
+    if own and name not in ("html", "body", "article", "main"):
+        classes = own.get("class", "").split()
+        unseen = "hidden" in classes and not any(":" in c for c in classes)
+        if unseen or "hidden" in own or own.get("aria-hidden") == "true" or _HIDDEN.search(own.get("style", "")):
+            return SHUT
+        if in_article:
+            return ASIDE if any(map(_CLEAR.fullmatch, classes + own.get("role", "").split())) else 0
+        if any(map(_ASIDE.fullmatch, classes + own.get("id", "").split() + own.get("role", "").split())):
+            return ASIDE
+    return ASIDE if name == "header" and not in_article else 0
 
 
 def lines(page: str) -> list[tuple[str, int, int, int]]:
-    """``(text, length, length of links, article)`` of each block; article 0 is none, -1 is outside all text."""
+    """``(text, length, length of links, article)`` of each block; article 0 is none, -1 and -2 are outside all text.
+
+    Articles inside a part that is marked as no text have numbers below.
+    """
     found: list[tuple[str, int, int, int]] = []
     parts: list[str] = []
     linked, link_depth = 0, 0
@@ -95,6 +131,9 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             if name == "a":
                 link_depth = 0 if mark[1] else 1
             continue
+        if name in MATH:
+            parts.append(" ")
+            continue
         close_line()
         if name in RAW:
             if not mark[1] and not mark[3].endswith("/"):
@@ -110,11 +149,13 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
                     break
         elif not mark[3].endswith("/"):
             inside = stack[-1][1] if stack else 0
-            if inside < 0 or _is_aside(name, mark[3], inside > 0):
-                inside = -1
-            elif name in ("article", "main") and inside == 0:
-                articles += 1
-                inside = articles
+            if inside != SHUT:
+                kind = _kind(name, mark[3], inside not in (0, ASIDE))
+                if name in ("article", "main") and inside in (0, ASIDE):
+                    articles += 1
+                    inside = SHUT - articles if inside else articles
+                elif kind:
+                    inside = kind
             stack.append((name, inside))
             link_depth = 0
     close_line()
@@ -144,6 +185,12 @@ def main_text(page: str) -> str:
         weight = [size if article == best else 0 for _, size, _, article in found]
     else:
         weight = [size if article == 0 and 2 * linked <= size else 0 for _, size, linked, article in found]
+        # an article in a marked part counts if it is more than all that is unmarked
+        best = max((a for a in totals if a < SHUT), key=lambda a: (totals[a], a), default=0)
+        if best and totals[best] > sum(weight):
+            weight = [size if article == best else 0 for _, size, _, article in found]
+        else:
+            best = 0
     stretches = _surges(weight)
     if not best and stretches:
         most = max(sum(weight[a:b]) for a, b in stretches)

@@ -38,6 +38,33 @@ def test_small_pages(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize("name", ["content has-sidebar", "with-sidebar content", "has-nav", "no-ads", "has-comments"])
+def test_names_are_whole(name):
+    assert main_text(f'<div class="{name}"><article><p>The text</p></article></div>') == "The text"
+    assert main_text(f'<div class="{name}"><p>The text</p></div>') == "The text"
+
+
+@pytest.mark.parametrize("own", ['id="search"', 'id="consent"', 'id="related-work"', 'aria-label="Social history"', 'aria-label="How to share a file"', 'aria-hidden="false"', 'title="hidden"'])
+def test_sections_of_an_article_stay(own):
+    assert main_text(f'<article><p>One</p><section {own}><p>two</p></section><div class="ad">Buy</div></article>') == "One two"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<div class="sidebar"><p>side</p><article>The text</article></div>', "The text"),
+        ("<form><main>The text</main><input></form>", "The text"),
+        ("<article>The text</article><ol class=comments><article>A much longer comment</article></ol>", "The text"),
+        ("<div class=promo><article>Ad</article></div><p>The text</p>", "The text"),
+        ("<aside><article>A much longer teaser</article></aside><p>The text</p>", "The text"),
+        ("<div hidden><article>A much longer text</article></div><p>The text</p>", "The text"),
+        ("<article><figure><img><figcaption>A caption</figcaption></figure>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</article>", "A caption Let x = 1 be"),
+    ],
+)
+def test_articles_in_marked_parts(page, text):
+    assert main_text(page) == text
+
+
 def test_very_long_and_broken_pages_end_soon():
     assert main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("word") == 50_000
     assert isinstance(main_text('<a "' * 3_000), str)
