@@ -31,10 +31,11 @@ ASIDE, SHUT = -1, -2
 _MARKUP = re.compile(
     r"""<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*+>|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]{0,5000}"|'[^']{0,5000}')*+|[^>]*+)>)""", re.S
 )
-#: Elements whose content is no text of the page.
-RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "canvas", "object", "select", "option", "annotation", "annotation-xml"}
-SKIPPED = {"nav", "aside", "footer", "form", "menu", "dialog", "button", "head"}
-OUTER = {"article", "main", "header", "section", "div", "ul", "ol", "dl", "table", "body", "html", "figure", "figcaption", "blockquote"} | SKIPPED
+#: Elements whose content is no text of the page. Without an end tag the first run to the end of the page; of the others, the tag alone is left out.
+TO_THE_END = {"script", "style", "textarea", "title"}
+NESTED = {"noscript", "template", "iframe", "svg", "canvas", "object", "select", "datalist", "annotation", "annotation-xml"}
+SKIPPED = {"nav", "aside", "footer", "form", "menu", "dialog", "button"}
+OUTER = {"article", "main", "header", "head", "section", "div", "ul", "ol", "dl", "table", "body", "html", "figure", "figcaption", "blockquote"} | SKIPPED
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins",
     "kbd", "label", "mark", "q", "ruby", "rb", "rp", "rt", "s", "samp", "small", "span", "strike", "strong", "sub", "sup",
@@ -63,7 +64,16 @@ _CLEAR = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _HIDDEN = re.compile(r"display\s*:\s*none", re.I)
-_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW}
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in TO_THE_END}
+#: Tags of such an element; comments and scripts, that tags in them do not count; and, but for two that may hold a page's parts, edges that none spans.
+_NESTED = {
+    name: re.compile(
+        r"""<!--.*?(?:--!?>|\Z)|<(script|style|textarea|title)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|"""
+        rf"""<(/?)({name}{"" if name in ("noscript", "template") else "|article|main|body"})(?=[\s/>])((?:[^>"']++|"[^"]{{0,5000}}"|'[^']{{0,5000}}')*+|[^>]*+)>""",
+        re.I | re.S,
+    )
+    for name in NESTED
+}
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -91,6 +101,23 @@ def _kind(name: str, attributes: str, in_article: bool) -> int:
     return ASIDE if name == "header" and not in_article else 0
 
 
+def _ends(page: str, name: str, at: int) -> dict[int, int]:
+    """Where elements of this name end, by the end of their start tag; those without an end tag of their own are left out."""
+    ends: dict[int, int] = {}
+    open_: list[int] = []
+    for mark in _NESTED[name].finditer(page, at):
+        if mark[3] is None:
+            continue
+        if mark[3].lower() != name:
+            open_.clear()
+        elif not mark[2]:
+            if not mark[4].endswith("/"):
+                open_.append(mark.end())
+        elif open_:
+            ends[open_.pop()] = mark.end()
+    return ends
+
+
 def lines(page: str) -> list[tuple[str, int, int, int]]:
     """``(text, length, length of links, article)`` of each block; article 0 is none, -1 and -2 are outside all text.
 
@@ -102,6 +129,7 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
     # open outer elements with the article they are in
     stack: list[tuple[str, int]] = []
     articles = 0
+    ends: dict[str, dict[int, int]] = {}
 
     def close_line() -> None:
         nonlocal linked
@@ -135,11 +163,23 @@ def lines(page: str) -> list[tuple[str, int, int, int]]:
             parts.append(" ")
             continue
         close_line()
-        if name in RAW:
+        if name in TO_THE_END:
             if not mark[1] and not mark[3].endswith("/"):
                 end = _RAW_END[name].search(page, at)
                 at = end.end() if end else len(page)
             continue
+        if name in NESTED:
+            if not mark[1] and not mark[3].endswith("/"):
+                if name not in ends:
+                    ends[name] = _ends(page, name, mark.start())
+                at = ends[name].get(at, at)
+            continue
+        if name == "option":
+            # its end tag may be left out, and it holds nothing but text
+            if not mark[1]:
+                following = _MARKUP.search(page, at)
+                at = following.start() if following else len(page)
+            continue
         if name not in OUTER:
             continue
         if mark[1]:

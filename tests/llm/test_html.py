@@ -65,6 +65,40 @@ def test_articles_in_marked_parts(page, text):
     assert main_text(page) == text
 
 
+ARTICLE = "<article><p>The text</p></article>"
+
+
+@pytest.mark.parametrize("name", ["select", "datalist", "object", "svg", "canvas", "iframe", "noscript", "template"])
+def test_elements_without_an_end(name):
+    whole = f"<{name}><b>no</b></{name}>"
+    assert main_text(whole + ARTICLE + whole) == "The text"
+    assert main_text(f"<div><{name} class=x></div>" + ARTICLE) == "The text"
+    assert main_text(f"<div><{name}></div>" + ARTICLE + whole) == "The text"
+    assert main_text(f"<article><{name}>one {whole} two {whole} three</article>") == "one two three"
+    assert main_text(f"<article>one<{name}>no{whole}no</{name}>two</article>") == "one two"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<form><input list=a><datalist id=a><option value=a><option value=b></datalist></form>" + ARTICLE, "The text"),
+        ("<select><option>A<option>B</select>" + ARTICLE + "<select><option>C</option></select>", "The text"),
+        ("<div><select><option>A 1 < 2<option>B</div>" + ARTICLE, "The text"),
+        ("<article>a<!-- <svg> -->b<svg><path/></svg><script>'<svg>'</script>c</article>", "ab c"),
+        ("<head><meta charset=utf-8><title>T</title><body>" + ARTICLE, "The text"),
+        (ARTICLE + "<textarea>never closed", "The text"),
+    ],
+)
+def test_end_tags_left_out(page, text):
+    assert main_text(page) == text
+
+
+def test_many_elements_without_an_end_end_soon():
+    for name in ("select", "svg", "option", "template"):
+        assert main_text("<article>x" + f"<{name}><script>" * 20_000) == "x"
+        assert main_text("<article>x" + f"<{name}>" * 50_000 + "</article>") == "x"
+
+
 def test_very_long_and_broken_pages_end_soon():
     assert main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("word") == 50_000
     assert isinstance(main_text('<a "' * 3_000), str)
