@@ -1,14 +1,20 @@
 """Operator 9, main text of web pages by their line-block distribution.
 
-Markup is stripped to lines, one for each block of text in page order. A line's weight is its
-length; lines of menus, headers, footers, sidebars, notices, adverts, forms and comments weigh
-nothing, and where the page has an article only lines of its largest article weigh. Such parts
-are known by their tags and by whole names in class, id and role; inside an article only by clear
-classes and roles. An article in a part known by names counts if no other article is there. Weights are
-summed over windows of ``WINDOW`` neighbouring lines. The text starts where the sums surge from
-nothing, and ends at the dive back to nothing; what lies between is kept, without lines of no
-weight. In a page without an article, lines that are mostly links weigh nothing either, and of
-several surges those that hold over ``SHARE`` of the largest are kept.
+Markup is stripped to lines, one for each block of text in page order. Lines of menus, headers,
+footers, sidebars, notices, adverts, forms and comments are no text. Such parts are known by
+their tags and by whole names in class, id and role; inside an article only by clear classes
+and roles.
+
+Where the page has articles, tags decide: the text is all lines of the articles of the main
+flow. Left out are articles that are mostly links and those of under ``SHORT`` characters that
+have not ``SHARE`` of the largest one. An article in a part known by names counts if no other
+article is there.
+
+In a page without an article window sums decide. A line's weight is its length, that of a
+line that is mostly links nothing; weights are summed over windows of ``WINDOW`` neighbouring
+lines. A stretch starts where the sums surge from nothing, and ends at the dive back to nothing;
+links amid its lines stay. The text goes from the first to the last stretch that holds over
+``SHARE`` of the largest, with the shorter ones between.
 
 One page is read at a time, in one pass over its characters; no shuffle.
 """
@@ -25,6 +31,8 @@ from pyspark.sql import functions as F
 from rootscope.llm.common import map_texts, whole_text
 
 WINDOW, SHARE = 3, 0.2
+#: Characters from which an article is kept beside any other.
+SHORT = 10
 ASIDE, SHUT = -1, -2
 
 #: A comment, a declaration, or a tag; quoted values may hold ``>`` while they are not very long.
@@ -210,32 +218,45 @@ def _surges(weight: list[int]) -> list[tuple[int, int]]:
         if s and start is None:
             start = i
         elif not s and start is not None:
+            while not weight[start]:
+                start += 1
             stretches.append((start, i))
             start = None
     return stretches
 
 
+def _chosen(found: list[tuple[str, int, int, int]]) -> set[int]:
+    """Articles of the main flow, but for lists of links and such as are both short and small beside the largest."""
+    totals: dict[int, int] = {}
+    links: dict[int, int] = {}
+    for _, size, linked, article in found:
+        if article > 0:
+            totals[article] = totals.get(article, 0) + size
+            links[article] = links.get(article, 0) + linked
+    most = max(totals.values(), default=0)
+    return {a for a, t in totals.items() if t == most or (2 * links[a] <= t and (t >= SHARE * most or t >= SHORT))}
+
+
 def main_text(page: str) -> str:
     found = lines(page)
-    totals: dict[int, int] = {}
-    for _, size, _, article in found:
-        totals[article] = totals.get(article, 0) + size
-    best = max((a for a in totals if a > 0), key=lambda a: (totals[a], -a), default=0)
-    if best:
-        weight = [size if article == best else 0 for _, size, _, article in found]
-    else:
+    articles = _chosen(found)
+    if not articles:
         weight = [size if article == 0 and 2 * linked <= size else 0 for _, size, linked, article in found]
         # an article in a marked part counts if it is more than all that is unmarked
-        best = max((a for a in totals if a < SHUT), key=lambda a: (totals[a], a), default=0)
+        totals: dict[int, int] = {}
+        for _, size, _, article in found:
+            if article < SHUT:
+                totals[article] = totals.get(article, 0) + size
+        best = max(totals, key=lambda a: (totals[a], a), default=0)
         if best and totals[best] > sum(weight):
-            weight = [size if article == best else 0 for _, size, _, article in found]
-        else:
-            best = 0
+            articles = {best}
+    if articles:
+        return " ".join(text for text, _, _, article in found if article in articles)
     stretches = _surges(weight)
-    if not best and stretches:
-        most = max(sum(weight[a:b]) for a, b in stretches)
-        stretches = [(a, b) for a, b in stretches if sum(weight[a:b]) >= SHARE * most]
-    return " ".join(found[i][0] for a, b in stretches for i in range(a, b) if weight[i])
+    most = max((sum(weight[a:b]) for a, b in stretches), default=0)
+    large = [k for k, (a, b) in enumerate(stretches) if sum(weight[a:b]) >= SHARE * most]
+    kept = stretches[large[0] : large[-1] + 1] if large else []
+    return " ".join(found[i][0] for a, b in kept for i in range(a, b) if found[i][3] == 0)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:

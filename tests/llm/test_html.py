@@ -99,6 +99,30 @@ def test_many_elements_without_an_end_end_soon():
         assert main_text("<article>x" + f"<{name}>" * 50_000 + "</article>") == "x"
 
 
+LONG = "A sentence of the text, and it is rather long. " * 9
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f"<article>{LONG}</article><article>A second article that has one sentence.</article>", LONG + "A second article that has one sentence."),
+        ("<article>First of two.</article><hr><article>Second.</article>", "First of two. Second."),
+        (f"<article>{LONG}</article><article><a href=x>A teaser of another page, all of it a link</a></article>", LONG.strip()),
+        (f"<main><article>One</article><article>{LONG}</article></main>", "One " + LONG.strip()),
+    ],
+)
+def test_several_articles(page, text):
+    assert main_text(page) == text
+
+
+def test_between_surges():
+    menu = "<ul>" + "<li><a href=x>A link</a>" * 5 + "</ul>"
+    assert main_text(f"<p>{LONG}</p>{menu}<p>Short.</p>{menu}<p>{LONG}</p>") == f"{LONG}Short. {LONG}".strip()
+    assert main_text(f"<p>{LONG}</p>{menu}<p>Short.</p>") == LONG.strip()
+    assert main_text(f"{menu}<p>{LONG}</p><p><a href=x>See this page</a></p><p>{LONG}</p>{menu}") == f"{LONG}See this page {LONG}".strip()
+    assert main_text(f"<p>{LONG}</p><nav><p>menu</p></nav><p>{LONG}</p>") == f"{LONG}{LONG}".strip()
+
+
 def test_very_long_and_broken_pages_end_soon():
     assert main_text("<article>" + "<p>word</p>" * 50_000 + "</article>").count("word") == 50_000
     assert isinstance(main_text('<a "' * 3_000), str)
