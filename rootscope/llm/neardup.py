@@ -25,12 +25,16 @@ their sketches, one bit of each of 2048 fine bins, differ in at most ``MOST_DIFF
 they differ in 256 on average with a deviation of 16, so one link in ten million is mistaken
 there. Sets of fewer than ``FEW`` shingles are always confirmed.
 
+These numbers are for 75 percent and more. For fewer, bands get shorter and more, and the sketches
+may differ in more places, so that a link at the limit is missed as seldom.
+
 Every table that later steps read is written below ``spark.checkpoint.dir``.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
+import math
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +46,8 @@ from rootscope.llm.common import map_texts, whole_text, with_row_number
 from rootscope.session import materialise
 
 WORDS = 5
-#: Numbers of bands, and of bins in a band.
+#: Numbers of bands, and of bins in a band, for ``USUAL`` percent and more.
+USUAL = 75
 COARSE, FINE = (32, 4), (240, 10)
 SKETCH, MOST_DIFFER, FEW = 2048, 344, 16
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -68,6 +73,27 @@ def shingles(text: str) -> np.ndarray:
     return np.unique(_mixed(total))
 
 
+def bands_for(usual: tuple[int, int], percent: int) -> tuple[int, int]:
+    """Bands that a pair at ``percent`` misses as seldom as a pair at 75 misses the usual ones, the longest in as many bins."""
+    bands, rows = usual
+    if percent >= USUAL:
+        return usual
+    missed = bands * math.log1p(-((USUAL / 100) ** rows))
+    for r in range(rows, 0, -1):
+        wanted = math.ceil(missed / math.log1p(-((percent / 100) ** r)))
+        if wanted * r <= bands * rows or r == 1:
+            return wanted, r
+
+
+def most_differ(percent: int) -> int:
+    """In how many places sketches of a link may differ: five and a half deviations over the mean at ``percent``."""
+    if percent >= USUAL:
+        return MOST_DIFFER
+    apart, usual = (1 - percent / 100) / 2, (1 - USUAL / 100) / 2
+    deviations = (MOST_DIFFER - SKETCH * usual) * math.sqrt(apart * (1 - apart) / (usual * (1 - usual)))
+    return math.ceil(SKETCH * apart + deviations)
+
+
 @lru_cache(2)
 def _walks(bins: int) -> np.ndarray:
     """For each bin the bins to look into while it is empty."""
@@ -107,14 +133,14 @@ def sketch_of(values: np.ndarray) -> np.ndarray:
 def bands_of(values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """One bucket number for each band of a signature."""
     bands, rows = shape
-    values = values.reshape(bands, rows)
+    values = values[: bands * rows].reshape(bands, rows)
     total = np.arange(1, bands + 1, dtype=np.uint64) * _ODD[4]
     for k in range(rows):  # mixed in turn, so that order and band matter
         total = _mixed(total + values[:, k])
     return total.view(np.int64)
 
 
-def _signed(texts: list[str]) -> dict[str, list]:
+def _signed(texts: list[str], shape: tuple[int, int] = COARSE) -> dict[str, list]:
     out = {"n": [], "sum_a": [], "sum_b": [], "bands": []}
     for text in texts:
         numbers = shingles(text)
@@ -122,18 +148,18 @@ def _signed(texts: list[str]) -> dict[str, list]:
         # two sums over a set name it: equal sets have equal sums
         out["sum_a"].append(int(_mixed(numbers).sum(dtype=np.uint64).view(np.int64)))
         out["sum_b"].append(int(_mixed(numbers ^ _ODD[0]).sum(dtype=np.uint64).view(np.int64)))
-        out["bands"].append(bands_of(signature(numbers, COARSE[0] * COARSE[1]), COARSE) if len(numbers) else None)
+        out["bands"].append(bands_of(signature(numbers, shape[0] * shape[1]), shape) if len(numbers) else None)
     return {k: pa.array(v, pa.int64()) for k, v in out.items() if k != "bands"} | {
         "bands": pa.array(out["bands"], pa.list_(pa.int64()))
     }
 
 
-def _sets(texts: list[str]) -> dict[str, list]:
+def _sets(texts: list[str], shape: tuple[int, int] = FINE) -> dict[str, list]:
     found = [shingles(t) for t in texts]
-    signed = [signature(f, FINE[0] * FINE[1]) for f in found]
+    signed = [signature(f, max(shape[0] * shape[1], SKETCH)) for f in found]
     return {
         "numbers": pa.array([f.tobytes() for f in found], pa.binary()),
-        "bands": pa.array([bands_of(s, FINE) for s in signed], pa.list_(pa.int64())),
+        "bands": pa.array([bands_of(s, shape) for s in signed], pa.list_(pa.int64())),
         "sketch": pa.array([sketch_of(s) for s in signed], pa.list_(pa.int64())),
     }
 
@@ -224,7 +250,7 @@ def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         pairs = (
             rooted.join(centre, "bucket")
             .where((F.col("node") != F.col("centre")) & (F.col("root") != F.col("centre_root")) & fits)
-            .where((F.col("n") < FEW) | (_differ("sketch", "centre_sketch") <= MOST_DIFFER) if round_ else F.lit(True))
+            .where((F.col("n") < FEW) | (_differ("sketch", "centre_sketch") <= most_differ(percent)) if round_ else F.lit(True))
             .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
             .distinct()
         )
@@ -260,6 +286,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
     reach (null only if none there is known); the row with it is kept, of repeated rows one. Only
     ``doc_id``, ``text`` and ``row``, which numbers the rows and is then returned, are read.
     """
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be from 1 to 100, not {percent}")
     number = F.col(row) if row else F.monotonically_increasing_id()
     # id and text hash find the row again in the second reading
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -268,7 +296,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
     first = docs.select("doc_id", number.alias("uid"), whole_text().alias("text"))
     first = first.withColumn("text_key", F.xxhash64("text"))
     signed = materialise(
-        map_texts(first, ["uid", "doc_id", "text_key"], _signed, "n bigint, sum_a bigint, sum_b bigint, bands array<bigint>"), "signed"
+        map_texts(first, ["uid", "doc_id", "text_key"], partial(_signed, shape=bands_for(COARSE, percent)), "n bigint, sum_a bigint, sum_b bigint, bands array<bigint>"), "signed"
     )
     one = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid", "text_key")).alias("first")
     of_set = ["n", "sum_a", "sum_b"]
@@ -283,7 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
     )
     # the texts are dealt out by document at every size, as they must be once many are in buckets
     again = rows.join(wanted.hint("merge"), ["id_key", "text_key"]).select("node", "n", "text")
-    sets = map_texts(again, ["node", "n"], _sets, "numbers binary, bands array<bigint>, sketch array<bigint>")
+    sets = map_texts(again, ["node", "n"], partial(_sets, shape=bands_for(FINE, percent)), "numbers binary, bands array<bigint>, sketch array<bigint>")
     sets = materialise(sets.dropDuplicates(["node"]), "sets")
     members = _in_buckets(sets)
     mates = members.groupBy("node").agg(F.sum("size").alias("weight"))

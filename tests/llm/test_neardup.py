@@ -5,7 +5,7 @@ import random
 import pytest
 from odd import ODD_TEXTS
 
-from rootscope.llm.neardup import connected, drop_near_duplicates, near_duplicates, shingles, signature
+from rootscope.llm.neardup import FINE, bands_for, connected, drop_near_duplicates, most_differ, near_duplicates, shingles, signature
 
 
 def brute(rows, percent=75):
@@ -74,6 +74,39 @@ def test_star_around_a_missing_centre(docs):
     check(docs, list(enumerate(copies)))
 
 
+def test_fewer_percent(docs):
+    # copies of one base, and chains whose links are just over the limit
+    rng = random.Random(5)
+    rows = []
+    for g in range(12):
+        text = [f"g{g}w{i}" for i in range(200)]
+        rows.append(" ".join(text))
+        for _ in range(5):
+            at = rng.randrange(5)
+            for k in range(at, 200, 10):
+                text[k] = f"n{rng.randrange(10**9)}"
+            rows.append(" ".join(text))
+    rows = list(enumerate(rows))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs(rows), percent=30).collect()}
+    want = brute(rows, 30)
+    assert got == want
+    assert len({c for _, c in want.values()}) == 12 and len({c for _, c in brute(rows, 75).values()}) > 60
+
+
+def test_numbers_follow_the_percentage():
+    assert bands_for(FINE, 75) == bands_for(FINE, 90) == FINE and most_differ(75) == most_differ(90) == 344
+    for percent in (1, 10, 30, 50, 74):
+        bands, rows = bands_for(FINE, percent)
+        assert (1 - (percent / 100) ** rows) ** bands < 1e-6
+        assert most_differ(percent) > 1024 * (1 - percent / 100) + 70
+
+
+@pytest.mark.parametrize("percent", [0, 101])
+def test_percent_out_of_range(docs, percent):
+    with pytest.raises(ValueError):
+        near_duplicates(docs([(1, "a")]), percent=percent)
+
+
 def test_odd_rows(docs):
     check(docs, [(i, t) for i, t in enumerate(ODD_TEXTS)])
 
