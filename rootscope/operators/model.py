@@ -249,8 +249,13 @@ def fit_feedback_weights(
     window: int = 10,
     length: int | None = None,
     rounds: int = 2,
+    passes: int = 4,
 ) -> tuple[list[float], float, float, float]:
-    """Grid search narrowed around the best candidate: ``(weights, pre, suc, loss)``."""
+    """Grid search narrowed around the best candidate, then ``passes`` of a coordinate search: ``(weights, pre, suc, loss)``.
+
+    A pass tries each series weight and both neighbour weights a step up and down, all in one
+    job, and takes the best; where none is better the step is halved.
+    """
     length = length or window
     decay, pre, suc, step = [1.0, 0.8, 0.5], [0.0, 0.5], [0.0, 0.5], 0.25
     best = None
@@ -265,4 +270,14 @@ def fit_feedback_weights(
         decay = sorted({d, min(1.0, d + step / 2), max(0.05, d - step / 2)})
         pre, suc = sorted({p, p + step, p - step}), sorted({s, s + step, s - step})
         step /= 2
-    return best
+    weights, p, s, least = best
+    point, step = [*weights, p, s], 0.5 / length
+    for _ in range(passes if least is not None else 0):
+        moved = [[*point[:k], x, *point[k + 1 :]] for k in range(length + 2) for x in (point[k] + step, point[k] - step) if x >= 0 or k >= length]
+        candidates = [(i, m[:length], *m[length:]) for i, m in enumerate(moved)]
+        top = best_candidate(feedback_losses(loss, cases, nodes, edges, candidates, window, length), candidates).first()
+        if top["loss"] is not None and top["loss"] < least:
+            point, least = moved[top["candidate"]], top["loss"]
+        else:
+            step /= 2
+    return point[:length], point[length], point[length + 1], least

@@ -220,3 +220,16 @@ def test_weight_search_does_not_get_worse(spark):
     second = model.fit_feedback_weights(loss, cases, nodes, edges, 10, 4, rounds=2)
     assert second[3] <= first[3] and len(second[0]) == 4
     assert cube.modal_spans([1, 1])[-1] == (1, 1)
+
+
+def test_coordinate_search_over_all_weights(spark):
+    cases = spark.createDataFrame([(1, 600, "n1"), (2, 1200, "n2")], "case_id int, timestamp bigint, cmdb_id string")
+    rows = [(t, f"n{n}", float((t // 60 * (n + 1)) % 11) / 10) for t in range(0, 2400, 60) for n in range(3)]
+    loss = spark.createDataFrame(rows, "ts bigint, node string, loss double")
+    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(3)], "node string, node_id int")
+    edges = spark.createDataFrame([(0, 1), (1, 2)], "src int, dst int")
+    grid = model.fit_feedback_weights(loss, cases, nodes, edges, 10, 4, rounds=1, passes=0)
+    weights, pre, suc, least = model.fit_feedback_weights(loss, cases, nodes, edges, 10, 4, rounds=1, passes=3)
+    assert least < grid[3] and len(weights) == 4 and min(weights) >= 0
+    again = model.feedback_losses(loss, cases, nodes, edges, [(0, weights, pre, suc)], 10, 4).first()
+    assert abs(again.loss - least) < 1e-9
