@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rootscope.functions.vectors import weighted_sum
 from rootscope.operators.graph import neighbour_max
+from rootscope.operators.spread import DAY, last_before
 
 
 def case_windows(cases: DataFrame, window: int) -> DataFrame:
@@ -34,38 +35,61 @@ def case_windows(cases: DataFrame, window: int) -> DataFrame:
     )
 
 
-def in_window(table: DataFrame, cases: DataFrame, window: int) -> DataFrame:
-    """``table`` rows (column ``ts``) paired with the case times whose window holds them."""
-    placed = table.withColumn("_bucket", F.floor(F.col("ts") / F.lit(window * 60)))
-    windows = case_windows(cases, window)
-    return (
-        placed.join(windows, "_bucket")
-        .where((F.col("ts") >= F.col("_start")) & (F.col("ts") < F.col("_end")))
-        .drop("_bucket", "_start", "_end")
-    )
+def asked_windows(loss: DataFrame, cases: DataFrame, window: int) -> DataFrame:
+    """Case times and buckets, with every node that has a loss in the bucket."""
+    here = loss.select("node", F.floor(F.col("ts") / F.lit(window * 60)).alias("_bucket")).distinct()
+    return case_windows(cases, window).join(here, "_bucket")
 
 
 def case_window_mean(loss: DataFrame, cases: DataFrame, window: int = 10) -> DataFrame:
     """Mean loss per case and node over ``[case - w*30s, case + w*30s)``.
 
-    Losses are summed per (node, second) before they meet the cases.
+    A window is the end of one bucket and the start of the next.  Losses are summed per (node, second), then
+    running from both ends of every (node, bucket), with the case times sorted among them: a
+    case time meets two sums per node, and no sum is longer than a bucket.
     """
+    width = window * 60
     per_ts = loss.groupBy("node", "ts").agg(F.sum("loss").alias("_sum"), F.count("loss").alias("_n"))
+    placed = per_ts.withColumn("_bucket", F.floor(F.col("ts") / F.lit(width))).withColumn("_row", F.lit(1))
+    is_end = F.col("_bucket") == F.floor(F.col("_start") / F.lit(width))
+    asked = asked_windows(loss, cases, window).select(
+        "node", "_bucket", "timestamp", F.when(is_end, F.col("_start")).otherwise(F.col("_end")).alias("ts"), is_end.alias("_is_end"), F.lit(0).alias("_row")
+    )
+    bucket = Window.partitionBy("node", "_bucket")
+    # a time itself belongs to the window that starts there, not to the one that ends
+    until = bucket.orderBy("ts", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    since = bucket.orderBy(F.desc("ts"), F.desc("_row")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    parts = ["_sum", "_n", "_row"]
+    found = placed.unionByName(asked, allowMissingColumns=True).select(
+        "timestamp", "node", "_is_end", "_row", *[F.sum(c).over(w).alias(f"{c}{k}") for k, w in enumerate((until, since)) for c in parts]
+    )
+    met = found.where("_row = 0").select(
+        "timestamp", "node", *[F.when(F.col("_is_end"), F.col(f"{c}1")).otherwise(F.col(f"{c}0")).alias(f"{c}s") for c in parts]
+    )
     means = (
-        in_window(per_ts, cases, window)
-        .groupBy("timestamp", "node")
-        .agg((F.try_divide(F.sum("_sum"), F.sum("_n"))).alias("score"))
+        met.groupBy("timestamp", "node")
+        .agg(F.try_divide(F.sum("_sums"), F.sum("_ns")).alias("score"), F.sum("_rows").alias("_rows"))
+        .where("_rows > 0")
     )
     return cases.join(means, "timestamp").select("case_id", "node", "score")
 
 
+def _last_samples(rows: DataFrame, cases: DataFrame, value: str, window: int) -> DataFrame:
+    """``(timestamp, last)``: the last of ``value`` in the window of each case time, a struct with ``ts``."""
+    half = window * 30
+    asked = cases.select("timestamp", (F.col("timestamp") + half).alias("ts")).distinct()
+    found = last_before(rows, asked, [], "ts", value, F.floor(F.col("ts") / F.lit(DAY)), 1, "_found")
+    last = F.get("_found", F.lit(0))
+    return found.where(last.getField("ts") >= F.col("timestamp") - half).select("timestamp", last.alias("last"))
+
+
 def graph_for_case(samples: DataFrame, cases: DataFrame, window: int = 10) -> DataFrame:
     """Graph of the last sample in a case's window, else of the first sample of all."""
     per_ts = samples.groupBy("ts").agg(F.max("graph_id").alias("graph_id"))
     first = samples.agg(F.min_by("graph_id", "ts")).scalar()
-    last = in_window(per_ts, cases, window).groupBy("timestamp").agg(F.max_by("graph_id", "ts").alias("_last"))
+    last = _last_samples(per_ts.withColumn("_at", F.struct("ts", "graph_id")), cases, "_at", window)
     return cases.join(last, "timestamp", "left").select(
-        "case_id", F.coalesce("_last", first).alias("graph_id")
+        "case_id", F.coalesce("last.graph_id", first).alias("graph_id")
     )
 
 
@@ -134,29 +158,23 @@ def series_window(loss: DataFrame, cases: DataFrame, window: int = 10, length: i
     """The last ``length`` losses of every case and node, oldest first.
 
     A shorter series repeats its first value at the front.  Cases without any sample
-    are absent; ``cases_without_samples`` reports them.
+    are absent; ``cases_without_samples`` reports them.  Every case time takes the last losses
+    before the end of its window and leaves out what lies before its start.
     """
     length = length or window
-    per_ts = loss.groupBy("node", "ts").agg(F.avg("loss").alias("loss"))
-    latest = Window.partitionBy("timestamp", "node").orderBy(F.desc("ts"))
-    # a window holds at most one row per second and node
-    kept = (
-        in_window(per_ts, cases, window)
-        .withColumn("_back", F.row_number().over(latest))
-        .where(F.col("_back") <= length)
-        .groupBy("timestamp", "node")
-        .agg(F.array_sort(F.collect_list(F.struct("ts", "loss"))).alias("_rows"))
-    )
-    values = F.transform("_rows", lambda r: r.getField("loss"))
-    padded = F.concat(F.array_repeat(values[0], F.lit(length) - F.size(values)), values)
-    return cases.join(kept.select("timestamp", "node", padded.alias("series")), "timestamp").select(
-        "case_id", "node", "series"
-    )
+    per_ts = loss.groupBy("node", "ts").agg(F.avg("loss").alias("loss")).withColumn("_at", F.struct("ts", "loss"))
+    asked = asked_windows(loss, cases, window).select("node", "timestamp", "_start", F.col("_end").alias("ts")).distinct()
+    recent = last_before(per_ts, asked, ["node"], "ts", "_at", F.floor(F.col("ts") / F.lit(DAY)), length, "_recent")
+    inside = F.filter("_recent", lambda r: r.getField("ts") >= F.col("_start"))
+    kept = recent.select("timestamp", "node", F.transform(inside, lambda r: r.getField("loss")).alias("_values"))
+    padded = F.concat(F.array_repeat(F.col("_values")[0], F.lit(length) - F.size("_values")), "_values")
+    kept = kept.where(F.size("_values") > 0).select("timestamp", "node", padded.alias("series"))
+    return cases.join(kept, "timestamp").select("case_id", "node", "series")
 
 
 def cases_without_samples(loss: DataFrame, cases: DataFrame, window: int = 10) -> DataFrame:
-    held = in_window(loss.select("ts").distinct(), cases, window).select("timestamp").distinct()
-    return cases.join(held, "timestamp", "left_anti")
+    times = loss.select("ts").distinct().withColumn("_at", F.struct("ts"))
+    return cases.join(_last_samples(times, cases, "_at", window), "timestamp", "left_anti")
 
 
 def series_weighted(series: DataFrame, weights: list[float] | None = None, length: int = 10) -> DataFrame:

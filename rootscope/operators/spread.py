@@ -122,6 +122,46 @@ def with_ordinal(
     )
 
 
+def last_before(
+    rows: DataFrame, probes: DataFrame, keys: list[str], order: str, value: str, chunk: Column, n: int, out: str
+) -> DataFrame:
+    """Adds to ``probes`` the array ``out``: the last ``n`` of ``value`` before each probe, oldest first.
+
+    Counted are rows of the same ``keys`` whose ``order`` lies before the probe's; ``chunk``, made from
+    ``order``, must rise with it.  Rows and probes are sorted together per (group, chunk).
+    What a chunk lacks comes from the ends of the chunks before it that hold rows, ``n`` of
+    them at most; a chunk hands on one small row.
+    """
+    others = [c for c in probes.columns if c not in (*keys, order)]
+    held = rows.select(*keys, order, F.col(value).alias("_v"), F.lit(True).alias("_is_row"))
+    asked = probes.select(*keys, order, *others, F.lit(False).alias("_is_row"))
+    by_chunk = Window.partitionBy(*keys, _CHUNK)
+    # at equal places the probe comes first; it shares the count of the row before it
+    seen = F.count("_v").over(by_chunk.orderBy(order, "_is_row").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    recent = F.collect_list("_v").over(by_chunk.orderBy("_seen").rangeBetween(-(n - 1), Window.currentRow))
+    base = _chunked(held.unionByName(asked, allowMissingColumns=True), keys, chunk).withColumn("_seen", seen)
+    base = base.withColumn("_recent", recent)
+    end = F.struct(F.col(_CHUNK).alias("at"), F.max_by("_recent", "_seen").alias("values"))
+    chunks = base.groupBy(*keys, _CHUNK).agg(F.when(F.max("_is_row"), end).alias("_end"))
+    in_group = Window.partitionBy(*keys)
+    filled = F.count("_end").over(in_group.orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = F.collect_list("_end").over(in_group.orderBy("_filled").rangeBetween(-n, Window.currentRow))
+    earlier = F.filter("_ends", lambda e: e.getField("at") < F.col(_CHUNK))
+    carried = (
+        chunks.withColumn("_filled", filled)
+        .withColumn("_ends", ends)
+        .select(*keys, _CHUNK, F.flatten(F.transform(F.array_sort(earlier), lambda e: e.getField("values"))).alias("_carried"))
+    )
+    both = F.concat(F.coalesce("_carried", F.array()), "_recent")
+    return (
+        base.where("NOT _is_row")
+        .join(carried, [*keys, _CHUNK], "left")
+        .withColumn(out, both)
+        .withColumn(out, F.slice(out, F.greatest(F.size(out) - n, F.lit(0)) + 1, F.lit(n)))
+        .select(*probes.columns, out)
+    )
+
+
 def _value_scale(value: Column) -> Column:
     """A rising function of the value that is even on a log scale, 64 steps per octave."""
     size = (F.log2(F.abs(value)) + 1100.0) * 64.0

@@ -91,8 +91,8 @@ QUERIES = {
     "rank_nodes": lambda s, d: rounded(
         C.rank_nodes(C.case_window_mean(loss_long(s, d), cases(s, d), WINDOW).join(nodes(s, d), "node"))
     ),
-    # means end in exact halves of the last place: both sides are moved off them
-    "score_cases": lambda s, d: rounded(_ranked(s, d).withColumn("score", F.col("score") + 1e-9)),
+    # means end in exact halves of a decimal place: compared as floats instead
+    "score_cases": lambda s, d: _ranked(s, d).withColumn("score", F.col("score").cast("float").cast("double")),
     "topk_accuracy": lambda s, d: E.topk_accuracy(_ranked(s, d), cases(s, d)),
     "mrr": lambda s, d: E.mrr(_ranked(s, d), cases(s, d)),
     "ranking_loss": lambda s, d: rounded(C.ranking_loss(_labelled(s, d))),
@@ -140,7 +140,7 @@ ORACLE = {
         _MEANS,
     ),
     "score_cases": with_sql(
-        "cases loss_long edges", "SELECT case_id, node, node_id, round(score + 1e-9, 6) AS score, rank FROM ranked", _RANKED
+        "cases loss_long edges", "SELECT case_id, node, node_id, CAST(CAST(score AS FLOAT) AS DOUBLE) AS score, rank FROM ranked", _RANKED
     ),
     "topk_accuracy": with_sql(
         "cases loss_long edges",
