@@ -8,30 +8,35 @@ tie) or opens a new one.  What makes it parallel:
   different length never meet;
 * once the templates opened before some position are known, every message they match
   can be struck out at once.  So each round takes the first undecided messages per
-  length (a bounded batch), runs the rule on them, and strikes out all matches of the
-  new templates on the whole table.  The order of decisions is the order of the rule.
+  length, runs the rule on them, and strikes out all matches of the
+  new templates on the whole table.  The order of decisions is the order of the rule;
+* a round takes twice as many messages as the one before it, so that rounds grow with the logarithm of
+  the templates per length.  ``LARGEST_BATCH`` bounds what one task holds.
+
+Messages and templates meet by an index: a pair that shares k of n tokens shares one of any n-k+1
+positions, so each template is filed under its rarest ones.  One path at every size; Spark
+sends a small index to all tasks and deals a large one out.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from rootscope.functions.scalars import masked_text
 from rootscope.operators.spread import block_chunk, with_ordinal
-from rootscope.session import materialise
+from rootscope.session import discard, materialise, materialise_at, scratch_path
 
 SIM_TH = 0.4
-# first undecided messages per length and round; also the largest rank Spark cuts to
-# before it shuffles
+# undecided messages per length in the first round, and the most in any round
 BATCH = 1000
-# templates up to this many characters are sent to every executor; more are joined
-SEND_CHARS = 32_000_000
-_CELLS = 4_000_000
+LARGEST_BATCH = 65_536
+# steps of the histogram of positions per doubling
+_FINE = 16
 
 
 def with_text(logs: DataFrame) -> DataFrame:
@@ -39,8 +44,10 @@ def with_text(logs: DataFrame) -> DataFrame:
     return logs.where(F.col("message").isNotNull()).withColumn("text", masked_text("message"))
 
 
-def _token_count(text: str):
-    return F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit(""))) + 1
+def token_count(text: str) -> Column:
+    """Number of tokens; an empty text has none."""
+    blanks = F.length(text) - F.length(F.replace(F.col(text), F.lit(" "), F.lit("")))
+    return F.when(F.col(text) == "", 0).otherwise(blanks + 1)
 
 
 def scoped(rows: DataFrame) -> DataFrame:
@@ -50,149 +57,115 @@ def scoped(rows: DataFrame) -> DataFrame:
 
 def distinct_messages(rows: DataFrame) -> DataFrame:
     """``(scope, text, n, pos)``: distinct messages at their first position; ``n`` is 0 for empty."""
-    n = F.when(F.col("text") == "", 0).otherwise(_token_count("text"))
-    return scoped(rows).groupBy("scope", "text").agg(F.min("pos").alias("pos")).withColumn("n", n)
+    return scoped(rows).groupBy("scope", "text").agg(F.min("pos").alias("pos")).withColumn("n", token_count("text"))
 
 
-# --- leader rule on one bounded batch --------------------------------------------
+def named(messages: DataFrame) -> DataFrame:
+    """Messages stored with a number ``mid``; positions may tie."""
+    return materialise(messages.withColumn("mid", F.monotonically_increasing_id()), "messages")
 
 
-def _encode(texts, n: int, vocabulary: dict, grow: bool) -> np.ndarray:
-    """Token ids, one row per text; unknown tokens get -1 unless the vocabulary grows."""
-    flat = " ".join(texts).split(" ")
-    if grow:
-        add = vocabulary.setdefault
-        ids = [add(token, len(vocabulary)) for token in flat]
-    else:
-        ids = [vocabulary.get(token, -1) for token in flat]
-    return np.array(ids, dtype=np.int32).reshape(len(texts), n)
+# --- leader rule on one bounded batch --------------------------------------------
 
 
 def _leaders(sim_th: float):
     def lead(batch: pd.DataFrame) -> pd.DataFrame:
+        """Messages that match no leader before them; leaders are looked up by (position, token)."""
         batch = batch.sort_values(["pos", "text"], kind="stable")
         n = int(batch["n"].iloc[0])
-        ids = _encode(batch["text"].tolist(), n, {}, grow=True)
-        kept = np.empty_like(ids)
+        filed = defaultdict(list)
         chosen: list[int] = []
-        for r in range(len(ids)):
-            equal = (kept[: len(chosen)] == ids[r]).sum(axis=1)
-            if not ((equal > 0) & (equal / n >= sim_th)).any():
-                kept[len(chosen)] = ids[r]
-                chosen.append(r)
-        return batch.iloc[chosen][["scope", "text", "n", "pos"]]
+        for r, text in enumerate(batch["text"]):
+            spots = [(i, token) for i, token in enumerate(text.split(" "))]
+            met = [filed[spot] for spot in spots if spot in filed]
+            if met:
+                equal = np.bincount(np.concatenate(met)).max()
+                if equal / n >= sim_th:
+                    continue
+            for spot in spots:
+                filed[spot].append(len(chosen))
+            chosen.append(r)
+        return batch.iloc[chosen][["scope", "text", "n", "pos", "mid"]]
 
     return lead
 
 
-def _open_templates(undecided: DataFrame, sim_th: float, batch: int) -> DataFrame:
-    first = Window.partitionBy("scope", "n").orderBy("pos", "text")
+def first_undecided(undecided: DataFrame, decided: DataFrame, batch: int) -> DataFrame:
+    """``(scope, n, cut)``: per length the position up to which about ``batch`` messages are undecided.
+
+    ``decided`` holds ``(scope, n, start)``: all messages up to ``start`` are decided.  Distances from it
+    are counted on a log scale, so no length is sorted; a cut holds one message at least
+    and more than ``batch`` only if that one stands alone.
+    """
+    step = F.floor(F.log2((F.col("pos") - F.col("start")).cast("double")) * _FINE)
+    hist = undecided.join(decided, ["scope", "n"]).groupBy("scope", "n", step.alias("_step"))
+    hist = hist.agg(F.count(F.lit(1)).alias("_in"), F.min("pos").alias("_low"), F.max("pos").alias("_high"))
+    in_order = Window.partitionBy("scope", "n").orderBy("_step")
+    running = F.sum("_in").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = hist.withColumn("_upto", running).withColumn("_first", F.row_number().over(in_order) == 1)
+    # of a first step that is too full only the first message is taken
+    cut = F.when(F.col("_upto") <= batch, F.col("_high")).when(F.col("_first"), F.col("_low"))
+    return held.groupBy("scope", "n").agg(F.max(cut).alias("cut"))
+
+
+def _open_templates(undecided: DataFrame, cuts: DataFrame, sim_th: float) -> DataFrame:
     return (
-        undecided.withColumn("_rank", F.row_number().over(first))
-        .where(F.col("_rank") <= batch)
-        .drop("_rank")
+        undecided.join(cuts, ["scope", "n"])
+        .where(F.col("pos") <= F.col("cut"))
+        .select("scope", "text", "n", "pos", "mid")
         .groupBy("scope", "n")
-        .applyInPandas(_leaders(sim_th), "scope string, text string, n int, pos bigint")
+        .applyInPandas(_leaders(sim_th), "scope string, text string, n int, pos bigint, mid bigint")
     )
 
 
 # --- matching messages with templates --------------------------------------------
 
 
-class _Book:
-    """Templates by scope and length, as token id matrices in order of position."""
-
-    def __init__(self, rows):
-        self.words: dict = {}
-        grouped: dict = {}
-        for scope, text, n, pos, tid in sorted(rows, key=lambda r: (r[3], r[4])):
-            grouped.setdefault((scope, n), []).append((text, pos, tid))
-        self.groups = {
-            key: (
-                _encode([g[0] for g in group], key[1], self.words, grow=True),
-                np.array([g[1] for g in group], dtype=np.int64),
-                np.array([g[2] for g in group], dtype=np.int64),
-            )
-            for key, group in grouped.items()
-        }
-
-    def shares(self, texts, key: tuple, sim_th: float):
-        """Slices of the texts with their matrix of equal tokens (0 below the limit)."""
-        ids, n = self.groups[key][0], key[1]
-        step = max(1, _CELLS // len(ids))
-        for at in range(0, len(texts), step):
-            mine = _encode(texts[at : at + step], n, self.words, grow=False)
-            equal = np.zeros((len(mine), len(ids)), dtype=np.int32)
-            for c in range(n):
-                equal += mine[:, c, None] == ids[None, :, c]
-            equal[equal / n < sim_th] = 0
-            yield at, equal
-
-
-def _send(spark, templates: DataFrame, with_id: bool):
-    """The templates as a broadcast book, or None when they are too large to send."""
-    size = templates.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > SEND_CHARS:
-        return None
-    tid = F.col("template_id") if with_id else F.lit(0).cast("bigint")
-    rows = [tuple(r) for r in templates.select("scope", "text", "n", "pos", tid).collect()]
-    return spark.sparkContext.broadcast(_Book(rows))
-
-
-def _strike_out(undecided: DataFrame, new: DataFrame, sim_th: float) -> DataFrame:
-    """Undecided messages that match none of the new templates."""
-    book = _send(undecided.sparkSession, new, with_id=False)
-    if book is None:
-        matched = match_pairs(undecided, new.withColumn("template_id", F.lit(0)), sim_th)
-        return undecided.join(matched.select("scope", "text").distinct(), ["scope", "text"], "left_anti")
-
-    def keep(batches):
-        for pdf in batches:
-            open_ = np.ones(len(pdf), dtype=bool)
-            for key, where in pdf.groupby(["scope", "n"]).indices.items():
-                if key in book.value.groups:
-                    texts = pdf["text"].to_numpy()[where]
-                    for at, equal in book.value.shares(texts, key, sim_th):
-                        open_[where[at : at + len(equal)]] = ~(equal > 0).any(axis=1)
-            yield pdf[open_]
-
-    return undecided.mapInPandas(keep, undecided.schema)
+def spot_keys() -> Column:
+    """One key per token, from scope, length, position and token."""
+    return F.transform(F.split("text", " "), lambda token, i: F.xxhash64("scope", "n", i, token))
 
 
-def match_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> DataFrame:
-    """``(text, template_id, template_pos, equal)`` of all pairs over the limit, by joins.
+def needed(sim_th: float) -> Column:
+    """The least number k of equal tokens, of ``n``, with k / n >= ``sim_th``."""
+    near = F.floor(F.col("n") * sim_th)
+    enough = [F.when((k >= 1) & (k / F.col("n") >= sim_th), k) for k in (near - 1, near, near + 1)]
+    return F.coalesce(*enough, near + 2)
 
-    A pair that shares k of n tokens shares one of any n-k+1 positions of the template.
-    Each template is filed under its n-k+1 rarest tokens, so frequent tokens bring
-    few partners together.
+
+def template_index(templates: DataFrame, sim_th: float) -> DataFrame:
+    """``(key, scope, template_id)``: each template under the keys of its n-k+1 rarest tokens.
+
+    k tokens of n have to be equal, so a message that matches shares one of these keys.  Frequent
+    tokens bring few partners together.
     """
-    token_at = F.posexplode(F.split("text", " ")).alias("i", "token")
-    need = F.array_min(F.filter(F.sequence(F.lit(1), F.col("n")), lambda k: k / F.col("n") >= sim_th))
-    spot = ["scope", "n", "i", "token"]
-    spots = templates.select("scope", "template_id", "n", "text", "pos", need.alias("need"), token_at)
-    rarity = spots.groupBy(*spot).agg(F.count(F.lit(1)).alias("_freq"))
+    spots = templates.select("scope", "template_id", (F.col("n") - needed(sim_th) + 1).alias("_keep"), F.explode(spot_keys()).alias("key"))
+    rarity = spots.groupBy("key").agg(F.count(F.lit(1)).alias("_freq"))
     # one partition per template: as many rows as it has tokens
-    rank = F.row_number().over(Window.partitionBy("scope", "template_id", "pos", "text").orderBy("_freq", "i"))
-    filed = (
-        spots.join(rarity, spot)
-        .withColumn("_rank", rank)
-        .where(F.col("_rank") <= F.col("n") - F.col("need") + 1)
-        .select(*spot, "template_id", F.col("pos").alias("template_pos"), F.col("text").alias("template_text"))
-    )
-    asked = messages.select("scope", "text", "n", token_at)
-    equal = F.aggregate(
-        F.zip_with(F.split("text", " "), F.split("template_text", " "), lambda a, b: (a == b).cast("int")),
-        F.lit(0),
-        lambda acc, x: acc + x,
-    )
-    return (
-        asked.join(filed, spot)
-        .select("scope", "text", "n", "template_id", "template_pos", "template_text")
-        .distinct()
-        .withColumn("equal", equal)
-        .where((F.col("equal") > 0) & (F.col("equal") / F.col("n") >= sim_th))
-        .select("scope", "text", "template_id", "template_pos", "equal")
-    )
+    rank = F.row_number().over(Window.partitionBy("scope", "template_id").orderBy("_freq", "key"))
+    filed = spots.join(rarity, "key").withColumn("_rank", rank).where(F.col("_rank") <= F.col("_keep"))
+    return filed.select("key", "scope", "template_id")
+
+
+def equal_tokens(a: Column, b: Column) -> Column:
+    pairs = F.zip_with(F.split(a, " "), F.split(b, " "), lambda x, y: (x == y).cast("int"))
+    return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
+
+
+def match_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> DataFrame:
+    """``(mid, template_id, template_pos, equal)`` of all pairs over the limit.
+
+    ``messages`` are distinct and ``named``.  What is dealt out are pairs of numbers; texts are
+    looked up for pairs, and every pair is confirmed on them.
+    """
+    index = materialise(template_index(templates, sim_th), "template-index")
+    asked = messages.select("mid", F.explode(spot_keys()).alias("key"))
+    met = asked.join(index, "key").select("mid", "scope", "template_id").distinct()
+    theirs = templates.select("scope", "template_id", "n", F.col("text").alias("_template"), F.col("pos").alias("template_pos"))
+    both = met.join(messages.select("mid", "scope", "n", "text"), ["mid", "scope"]).join(theirs, ["scope", "template_id", "n"])
+    pairs = both.withColumn("equal", equal_tokens(F.col("text"), F.col("_template")))
+    pairs = pairs.where("equal > 0").where(F.col("equal") / F.col("n") >= sim_th)
+    return pairs.select("mid", "template_id", "template_pos", "equal")
 
 
 # --- public operators ------------------------------------------------------------
@@ -206,19 +179,28 @@ def mine_templates(rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own",
     An empty message never matches, so each opens a template of its own; with
     ``empty='merge'`` they share one.
     """
-    messages = materialise(distinct_messages(rows), "messages")
-    undecided = messages.where("n > 0")
-    found = messages.where("n = 0")
+    spark = rows.sparkSession
+    messages = named(distinct_messages(rows))
+    undecided, at = messages.where("n > 0"), None
+    found = messages.where("n = 0").drop("mid")
     if empty == "own" and not found.isEmpty():
         found = scoped(rows).where(F.col("text") == "").select("scope", "text", "pos", F.lit(0).alias("n"))
+    decided = materialise(undecided.groupBy("scope", "n").agg((F.min("pos") - 1).alias("start")), "decided")
     while True:
-        new = materialise(_open_templates(undecided, sim_th, batch), "templates")
-        if new.isEmpty():
-            break
-        found = found.unionByName(new)
-        undecided = materialise(_strike_out(undecided, new, sim_th), "messages")
-        if undecided.isEmpty():
+        cuts = materialise(first_undecided(undecided, decided, batch), "cuts")
+        if cuts.isEmpty():
             break
+        new = materialise(_open_templates(undecided, cuts, sim_th), "templates")
+        found = found.unionByName(new.drop("mid"))
+        left = undecided.join(cuts, ["scope", "n"]).where(F.col("pos") > F.col("cut")).drop("cut")
+        # lengths without further messages are done
+        wanted = new.join(left.select("scope", "n").distinct(), ["scope", "n"], "left_semi").withColumnRenamed("mid", "template_id")
+        matched = match_pairs(left, wanted, sim_th).select("mid")
+        rest_at = scratch_path(spark, "messages")
+        undecided = materialise_at(left.join(matched, "mid", "left_anti").select(*undecided.columns), rest_at)
+        if at:
+            discard(spark, at)
+        at, decided, batch = rest_at, cuts.withColumnRenamed("cut", "start"), min(2 * batch, LARGEST_BATCH)
     return number_templates(materialise(found, "templates"))
 
 
@@ -235,18 +217,15 @@ def assign_templates(rows: DataFrame, templates: DataFrame, sim_th: float = SIM_
 
     ``assign='pos'`` lets a row see the templates opened up to its position, as the
     sequential rule does; ``'final'`` takes the best of all templates, so equal
-    messages always agree.  Small template tables go to the executors and rows are
-    never shuffled; larger ones are joined on rare tokens.
+    messages always agree.  Distinct messages are matched; rows then look up theirs.
     """
     columns = [*rows.columns, "template_id"]
     rows = scoped(rows)
-    worded = templates.where(F.col("text") != "")
-    book = _send(rows.sparkSession, worded, with_id=True)
-    if book is None:
-        done = _assign_by_join(rows, worded, sim_th, assign)
-    else:
-        schema = StructType([*rows.schema.fields, StructField("template_id", LongType())])
-        done = rows.mapInArrow(_assigner(book, sim_th, assign == "pos"), schema)
+    messages = named(distinct_messages(rows).where("n > 0"))
+    found = best_templates(messages, templates.where(F.col("text") != ""), sim_th, assign)
+    done = rows.join(found, ["scope", "text"], "left")
+    seen = F.filter("_steps", lambda s: s.getField("template_pos") <= F.col("pos")) if assign == "pos" else F.col("_steps")
+    done = done.withColumn("template_id", F.array_max(seen).getField("template_id")).drop("_steps")
     # templates are a stored table, so these look-ups are cheap
     empties = templates.where(F.col("text") == "").select("scope", "template_id", "pos")
     if empties.isEmpty():
@@ -259,46 +238,17 @@ def assign_templates(rows: DataFrame, templates: DataFrame, sim_th: float = SIM_
     return done.where(F.col("text") != "").select(*columns).unionByName(own.select(*columns))
 
 
-def _assigner(book, sim_th: float, by_pos: bool):
-    def best(texts, key: tuple, pos, group) -> np.ndarray:
-        """Template id per row: ``group`` is the row's index into ``texts``."""
-        _, opened, names = book.value.groups[key]
-        out = np.full(len(group), -1, dtype=np.int64)
-        cut = np.searchsorted(opened, pos, side="right") - 1 if by_pos else np.full(len(group), len(opened) - 1)
-        for at, equal in book.value.shares(texts, key, sim_th):
-            here = np.flatnonzero((group >= at) & (group < at + len(equal)) & (cut >= 0))
-            top = np.maximum.accumulate(equal, axis=1)
-            rises = np.diff(top, axis=1, prepend=0) > 0
-            last = np.maximum.accumulate(np.where(rises, np.arange(equal.shape[1]), -1), axis=1)
-            picked = last[group[here] - at, cut[here]]
-            out[here] = np.where(picked >= 0, names[picked], -1)
-        return out
-
-    def run(batches):
-        for batch in batches:
-            rows = pd.DataFrame({c: batch.column(batch.schema.get_field_index(c)).to_pandas() for c in ("scope", "text", "pos")})
-            rows["n"] = rows["text"].str.count(" ") + 1
-            ids = np.full(len(rows), -1, dtype=np.int64)
-            for key, where in rows.groupby(["scope", "n"]).indices.items():
-                if key in book.value.groups:
-                    codes, words = pd.factorize(rows["text"].to_numpy()[where])
-                    ids[where] = best(list(words), key, rows["pos"].to_numpy()[where], codes)
-            column = pa.array(ids, type=pa.int64(), mask=ids < 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "template_id"])
-
-    return run
-
-
-def _assign_by_join(texts: DataFrame, templates: DataFrame, sim_th: float, assign: str) -> DataFrame:
-    distinct = texts.select("scope", "text").where(F.col("text") != "").distinct().withColumn("n", _token_count("text"))
-    pairs = match_pairs(distinct, templates, sim_th)
-    key = ["scope", "text"]
+def best_templates(messages: DataFrame, templates: DataFrame, sim_th: float, assign: str) -> DataFrame:
+    """``(scope, text, _steps)``: per message the templates that can win, the largest struct the best.
+
+    Of those with equal shares only the oldest can, so there are at most as many as tokens.
+    """
+    pairs = match_pairs(messages, templates, sim_th)
     if assign == "final":
-        best = F.max_by("template_id", F.struct("equal", -F.col("template_id"))).alias("template_id")
-        return texts.join(pairs.groupBy(*key).agg(best), key, "left")
-    # per share of equal tokens only the oldest template can win: at most n per message
-    oldest = pairs.groupBy(*key, "equal").agg(F.min(F.struct("template_pos", "template_id")).alias("t"))
-    steps = oldest.groupBy(*key).agg(F.collect_list(F.struct("equal", "t")).alias("_steps"))
-    seen = F.filter("_steps", lambda s: s.getField("t").getField("template_pos") <= F.col("pos"))
-    pick = F.array_max(seen).getField("t").getField("template_id")
-    return texts.join(steps, key, "left").withColumn("template_id", pick).drop("_steps")
+        best = F.max(F.struct("equal", (-F.col("template_id")).alias("_age"), "template_pos", "template_id"))
+        steps = pairs.groupBy("mid").agg(F.array(best).alias("_steps"))
+    else:
+        oldest = pairs.groupBy("mid", "equal").agg(F.min(F.struct("template_pos", "template_id")).alias("_t"))
+        step = F.struct("equal", F.lit(0).cast("bigint").alias("_age"), "_t.template_pos", "_t.template_id")
+        steps = oldest.groupBy("mid").agg(F.collect_list(step).alias("_steps"))
+    return messages.select("scope", "text", "mid").join(steps, "mid").drop("mid")

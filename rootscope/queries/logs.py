@@ -15,7 +15,9 @@ RARE_BELOW = 400
 
 
 def _texts(s, d):
-    return T.with_text(L.with_instance(logs_short(s, d))).select("instance_id", "timestamp", "pos", "text")
+    """Masked once: messages and rows are read apart."""
+    rows = T.with_text(L.with_instance(logs_short(s, d))).select("instance_id", "timestamp", "pos", "text")
+    return materialise(rows, "texts")
 
 
 def _parts(s, d):
@@ -24,13 +26,14 @@ def _parts(s, d):
     return table(s, d, "part").select(F.col("p_partkey").alias("pos"), F.concat("p_name", F.lit(" "), "p_type", more).alias("message"))
 
 
-def _dictionary(s, d):
+def _dictionary(texts):
     """All distinct masked messages as given templates, numbered by first position."""
-    return T.number_templates(materialise(T.distinct_messages(T.with_text(logs_short(s, d))), "dictionary"))
+    return T.number_templates(materialise(T.distinct_messages(texts), "dictionary"))
 
 
 def _assigned(s, d):
-    return T.assign_templates(_texts(s, d), _dictionary(s, d), assign="final")
+    texts = _texts(s, d)
+    return T.assign_templates(texts, _dictionary(texts), assign="final")
 
 
 def _counts(s, d):
@@ -104,6 +107,17 @@ _WITH = {
 }
 
 
+# the sequential rule itself, on (pos, text): the distinct messages of a length in order, each looks at the templates so far
+_LEADERS = """w AS (SELECT len(t) AS n, row_number() OVER (PARTITION BY len(t) ORDER BY pos, text) AS k, pos, text, t
+            FROM (SELECT text, min(pos) AS pos, string_split(text, ' ') AS t FROM m WHERE text <> '' GROUP BY text)),
+        r AS (SELECT DISTINCT n, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(t VARCHAR[], pos BIGINT)[]) AS found FROM w
+            UNION ALL SELECT w.n, w.k, CASE WHEN len(list_filter(found, lambda x:
+                list_sum([CAST(p[1] = p[2] AS INTEGER) FOR p IN list_zip(x.t, w.t)]) / w.n >= 0.4)) > 0 THEN found
+                ELSE list_append(found, {'t': w.t, 'pos': w.pos}) END FROM r JOIN w ON w.n = r.n AND w.k = r.k + 1),
+        opened AS (SELECT u.pos AS pos, array_to_string(u.t, ' ') AS text
+            FROM (SELECT unnest(arg_max(found, k)) AS u FROM r GROUP BY n))"""
+
+
 def _sql(body: str, upto: str) -> str:
     names = list(_WITH)
     return with_sql("logs_short", body, {n: _WITH[n] for n in names[: names.index(upto) + 1]})
@@ -122,7 +136,7 @@ QUERIES = {
     "merge_rare": lambda s, d: L.merge_rare(_counts(s, d), RARE_BELOW),
     "template_stats": lambda s, d: rounded(L.template_statistics(L.merge_rare(_counts(s, d), RARE_BELOW))),
     "template_text": lambda s, d: L.template_text(
-        _assigned(s, d).select("pos", (F.col("template_id") + F.col("pos") % 2 * 100).alias("template_id")), _dictionary(s, d)
+        _assigned(s, d).select("pos", (F.col("template_id") + F.col("pos") % 2 * 100).alias("template_id")), _dictionary(_texts(s, d))
     ),
     "row_position": lambda s, d: with_ordinal(
         logs_short(s, d).select("pos").distinct(), [], ["pos"], block_chunk("pos", 8192), "row_no"
@@ -148,17 +162,15 @@ ORACLE = {
         SELECT min(pos) AS pos, arg_min(text, (pos, text)) AS text FROM dictionary GROUP BY len(string_split(text, ' ')))""",
         "dictionary",
     ),
-    # the sequential rule itself: distinct messages in order, each looks at the templates so far
+    "mine_templates_documents": f"""WITH RECURSIVE m AS (SELECT doc_id * 1000000 + i - 1 AS pos, {_mask_sql('line')} AS text FROM (
+        SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+        {_LEADERS}
+        SELECT row_number() OVER (ORDER BY pos, text) - 1 AS template_id, pos, text
+        FROM (SELECT pos, text FROM opened UNION ALL SELECT pos, text FROM m WHERE text = '')""",
     "mine_templates_parts": f"""WITH RECURSIVE m AS (SELECT {_mask_sql('message')} AS text, pos FROM (SELECT p_partkey AS pos,
         p_name || ' ' || p_type || CASE WHEN p_partkey % 2 = 1 THEN ' ' || p_brand ELSE '' END AS message FROM part)),
-        w AS (SELECT row_number() OVER (ORDER BY min(pos), text) AS k, min(pos) AS pos, string_split(text, ' ') AS t,
-            len(string_split(text, ' ')) AS n FROM m GROUP BY text),
-        r AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(t VARCHAR[], pos BIGINT)[]) AS found
-            UNION ALL SELECT w.k, CASE WHEN len(list_filter(found, lambda x: len(x.t) = w.n AND
-                list_sum([CAST(p[1] = p[2] AS INTEGER) FOR p IN list_zip(x.t, w.t)]) / w.n >= 0.4)) > 0 THEN found
-                ELSE list_append(found, {{'t': w.t, 'pos': w.pos}}) END FROM r JOIN w ON w.k = r.k + 1)
-        SELECT row_number() OVER (ORDER BY u.pos) - 1 AS template_id, u.pos AS pos, array_to_string(u.t, ' ') AS text
-        FROM (SELECT unnest(found) AS u FROM r WHERE k = (SELECT max(k) FROM r))""",
+        {_LEADERS}
+        SELECT row_number() OVER (ORDER BY pos) - 1 AS template_id, pos, text FROM opened""",
     "assign_templates": _sql("SELECT pos, instance_id, template_id FROM assigned", "assigned"),
     "template_counts": _sql('SELECT instance_id, "timestamp", feature, value FROM dense', "dense"),
     "merge_rare": _sql('SELECT instance_id, "timestamp", feature, value FROM merged', "merged"),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootscope.operators import templates, traces
+from rootscope.session import materialise
 
 
 def _windowed(rows: DataFrame, watermark: str, seconds: int, *keys: str):
@@ -29,13 +30,27 @@ def metric_means(metrics: DataFrame, seconds: int = 60, watermark: str = "5 minu
 
 
 def template_counts(logs: DataFrame, known: DataFrame, seconds: int = 60, watermark: str = "5 minutes") -> DataFrame:
-    """Counts per instance, window and template of a stored template table.
+    """Counts per instance, window and template of a stored template table of any size.
 
-    Every message takes the best of the known templates, whatever its position.
+    Every message takes the best of the known templates, whatever its position.  Messages look their tokens
+    up in the index of the templates; the best is taken per (window, instance, message), with
+    one row per message that counts it, and the counts are added up per template.
     """
-    texts = templates.with_text(logs.withColumn("pos", F.lit(0).cast("bigint")))
-    assigned = templates.assign_templates(texts, known.where("text <> ''"), assign="final")
-    counts = _windowed(assigned, watermark, seconds, "instance_id", "template_id").agg(F.count(F.lit(1)).alias("value"))
+    worded = templates.scoped(known).where("text <> ''")
+    theirs = worded.select("scope", "template_id", F.col("text").alias("_template"))
+    index = templates.template_index(worded, templates.SIM_TH).join(theirs, ["scope", "template_id"])
+    index = materialise(index, "stream-index")
+    texts = templates.scoped(templates.with_text(logs)).withColumn("n", templates.token_count("text"))
+    itself = F.array(F.lit(None).cast("bigint"))
+    asked = texts.select("timestamp", "instance_id", "scope", "text", "n", F.explode(F.concat(itself, templates.spot_keys())).alias("key"))
+    met = asked.join(index, ["key", "scope"], "left")
+    equal = templates.equal_tokens(F.col("text"), F.col("_template"))
+    met = met.withColumn("_equal", F.when(F.size(F.split("text", " ")) == F.size(F.split("_template", " ")), equal))
+    fits = (F.col("_equal") > 0) & (F.col("_equal") / F.col("n") >= templates.SIM_TH)
+    best = F.max(F.when(fits, F.struct("_equal", (-F.col("template_id")).alias("_age"), "template_id"))).alias("_best")
+    messages = _windowed(met, watermark, seconds, "instance_id", "scope", "text").agg(F.count_if(F.col("key").isNull()).alias("_n"), best)
+    again = F.window("_w", f"{int(seconds)} seconds").alias("_w")
+    counts = messages.groupBy(again, "instance_id", F.col("_best.template_id").alias("template_id")).agg(F.sum("_n").alias("value"))
     name = F.concat(F.lit("template_"), F.coalesce(F.col("template_id").cast("string"), F.lit("unknown")))
     return counts.select("instance_id", _start(), name.alias("feature"), "value")
 

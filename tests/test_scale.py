@@ -28,9 +28,15 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert "props" not in text
 
 
-def test_first_messages_are_cut_before_the_shuffle(spark):
-    rows = templates.distinct_messages(templates.with_text(A.logs_long(spark, SF)))
-    assert "WindowGroupLimit" in plan(templates._open_templates(rows, 0.4, templates.BATCH))
+def test_first_messages_are_found_without_sorting_a_length(spark):
+    rows = templates.distinct_messages(templates.with_text(A.logs_long(spark, SF))).where("n > 0")
+    start = rows.groupBy("scope", "n").agg((F.min("pos") - 1).alias("start"))
+    cuts = templates.first_undecided(rows, start, 100)
+    held = rows.join(cuts, ["scope", "n"]).where("pos <= cut").groupBy("scope", "n").count()
+    assert held.count() == cuts.count() and held.agg(F.max("count")).first()[0] <= 100
+    assert held.agg(F.min("count")).first()[0] >= 1
+    # a window sees counts per step, not messages
+    assert "Window" in plan(cuts) and "pos#" not in next(x for x in plan(cuts).splitlines() if "Window [" in x)
 
 
 def test_fill_reads_its_input_once(spark):

@@ -70,3 +70,31 @@ def test_template_counts(spark, tmp_path):
     total = got.agg(F.sum("value")).first()[0]
     assert 0 < total < rows.count()
     assert {r.feature for r in got.select("feature").distinct().collect()} == {"template_0", "template_1"}
+
+
+def test_template_counts_with_a_dictionary_too_large_to_send(spark, tmp_path):
+    ids = spark.range(0, 20_000)
+    word = lambda k: F.concat(F.lit(k), F.col("id").cast("string"))
+    # letters, as numbers are masked
+    text = F.translate(F.concat_ws(" ", word("a"), word("b"), F.lit("same"), word("c")), "0123456789", "ghijklmnop")
+    known = ids.select(F.col("id").alias("template_id"), F.lit("").alias("scope"), text.alias("text"), F.lit(4).alias("n"), F.col("id").alias("pos"))
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    rows = ids.where("id % 10 = 0 OR id < 50").select(
+        F.concat(F.lit("i"), (F.col("id") % 3).cast("string")).alias("instance_id"),
+        (start + F.expr("make_dt_interval(0, 0, 0, id)")).alias("timestamp"),
+        # the first two tokens of one template, the last of another: half and more of the first
+        F.when(F.col("id") < 50, F.lit("no such line")).otherwise(text).alias("message"),
+    )
+    rows = rows.unionAll(rows.where("message LIKE 'a% same %'").limit(500))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = run(spark, lambda s: S.template_counts(s, known, 60, "1 minute"), rows, tmp_path, "d")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    texts = templates.with_text(rows).withColumn("pos", F.monotonically_increasing_id())
+    assigned = templates.assign_templates(texts, known, assign="final")
+    name = F.concat(F.lit("template_"), F.coalesce(F.col("template_id").cast("string"), F.lit("unknown")))
+    want = assigned.groupBy("instance_id", F.window("timestamp", "60 seconds").start.alias("timestamp"), name.alias("feature")).agg(F.count("*").alias("want"))
+    both = got.join(want, ["instance_id", "timestamp", "feature"])
+    assert both.count() == got.count() > 1500 and both.where("value <> want").count() == 0
+    assert got.where("feature = 'template_unknown'").count() > 0

@@ -46,15 +46,45 @@ def test_matches_sequential_rule(spark, th, batch, parts):
     assert [r.template_id for r in assigned] == ids
 
 
-def test_large_template_tables_are_joined(spark, monkeypatch):
-    monkeypatch.setattr(T, "SEND_CHARS", -1)
+@pytest.mark.parametrize("broadcast", ["10m", "-1"])
+def test_index_sent_or_dealt_out(spark, broadcast):
     lists = random_lists(7, 80)
     opened, ids = leader_rule(lists, 0.4)
     rows = frame(spark, lists)
-    mined = T.mine_templates(rows, 0.4, batch=4)
-    assert sorted((r.template_id, r.text) for r in mined.collect()) == [(i, " ".join(t)) for i, t in enumerate(opened)]
-    assigned = T.assign_templates(rows, mined, 0.4).orderBy("pos").collect()
-    assert [r.template_id for r in assigned] == ids
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        mined = T.mine_templates(rows, 0.4, batch=4)
+        assert sorted((r.template_id, r.text) for r in mined.collect()) == [(i, " ".join(t)) for i, t in enumerate(opened)]
+        assigned = T.assign_templates(rows, mined, 0.4).orderBy("pos").collect()
+        assert [r.template_id for r in assigned] == ids
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rounds_double(spark, monkeypatch):
+    rounds = []
+    first = T.first_undecided
+    monkeypatch.setattr(T, "first_undecided", lambda u, d, batch: rounds.append(batch) or first(u, d, batch))
+    lists = [[f"a{i}", f"b{i}", f"c{i}"] for i in range(900)]
+    assert T.mine_templates(frame(spark, lists), batch=10).count() == 900
+    assert len(rounds) <= 10 and rounds[:4] == [10, 20, 40, 80]
+
+
+def test_equal_positions(spark):
+    rows = spark.createDataFrame([(i // 4, f"{'abcd'[i % 4]} q y{i}") for i in range(40)], "pos bigint, text string")
+    mined = T.mine_templates(rows, batch=3)
+    ids = {r.text: r.template_id for r in mined.collect()}
+    assert len(ids) == 4 and {r.text for r in mined.where("pos = 0").collect()} == set(ids)
+    got = T.assign_templates(rows, mined, assign="final").collect()
+    assert {r.template_id for r in got} == set(ids.values())
+
+
+def test_rounds_over_positions_far_apart(spark):
+    lists = random_lists(5, 60)
+    opened, _ = leader_rule(lists, 0.4)
+    places = [i if i < 20 else 10**12 + i if i < 40 else 2 * 10**17 + i * 10**6 for i in range(60)]
+    rows = spark.createDataFrame([(p, " ".join(x)) for p, x in zip(places, lists)], "pos bigint, text string")
+    assert [r.text for r in T.mine_templates(rows, batch=2).orderBy("template_id").collect()] == [" ".join(t) for t in opened]
 
 
 def test_repeat_moves_to_a_newer_template(spark):
@@ -67,13 +97,16 @@ def test_repeat_moves_to_a_newer_template(spark):
     assert final[1].template_id == final[3].template_id
 
 
-def test_final_assignment_agrees_both_ways(spark, monkeypatch):
-    rows = frame(spark, random_lists(11, 100))
+def test_final_assignment_is_the_best_of_all(spark):
+    lists = random_lists(11, 100)
+    rows = frame(spark, lists)
     mined = T.mine_templates(rows, 0.4)
-    sent = {r.pos: r.template_id for r in T.assign_templates(rows, mined, assign="final").collect()}
-    monkeypatch.setattr(T, "SEND_CHARS", -1)
-    joined = {r.pos: r.template_id for r in T.assign_templates(rows, mined, assign="final").collect()}
-    assert sent == joined
+    opened = [r.text.split(" ") if r.text else [] for r in mined.orderBy("template_id").collect()]
+    got = [r.template_id for r in T.assign_templates(rows, mined, assign="final").orderBy("pos").collect()]
+    for tokens, tid in zip(lists, got):
+        if tokens:
+            shares = [sum(a == b for a, b in zip(t, tokens)) if len(t) == len(tokens) else 0 for t in opened]
+            assert tid == shares.index(max(shares))
 
 
 def test_merged_empty_messages(spark):
