@@ -44,7 +44,7 @@ POWERS = [512, 1024, 2048]
 #: Words of a generation; a worker keeps the ids of two generations.
 MAX_WORDS = 500_000
 #: Separators that str.split knows and the vocabulary's cutter does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+_ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
@@ -70,11 +70,20 @@ class Encoder:
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
     def encode(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
-            return self._encode([text])[0]
+        for odd in _ODD_SPACES:
+            if odd in text:
+                return self._encode([text])[0]
+        words = text.split()
+        try:  # most texts hold no word that is new
+            return b"".join(map(self.words.__getitem__, words))
+        except KeyError:
+            self._learn(words)
+            return b"".join(map(self.words.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> None:
         if len(self.words) > MAX_WORDS:
             self.older, self.words = self.words, {}
-        words, known, older = text.split(), self.words, self.older
+        known, older = self.words, self.older
         new = []
         for w in set(words):
             if w not in known:
@@ -85,7 +94,6 @@ class Encoder:
                     known[w] = ids
         if new:
             known.update(zip(new, self._encode(new)))
-        return b"".join(map(known.__getitem__, words))
 
 
 @lru_cache(1)
@@ -93,35 +101,41 @@ def encoder(name: str) -> Encoder:
     return Encoder(vocabulary_path(name))
 
 
-def places(ids: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Where a document may be cut, its end last; places inside sentences are negative."""
-    ends = np.flatnonzero(stops[ids[:-1]]) + 1
-    ends = np.append(ends[ends < len(ids)], len(ids))
+def places(ids: np.ndarray, stops: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where documents that follow each other in ``ids`` may be cut, and how many places each has.
+
+    Places count from the start of their document, its end last; those inside sentences are negative.
+    """
+    last = np.cumsum(lengths)
+    is_end = stops[ids]
+    is_end[last - 1] = True
+    ends = np.flatnonzero(is_end) + 1
     gaps = np.diff(ends, prepend=0)
-    found = [ends]
-    for k in np.flatnonzero(gaps > LONG):
-        found.append(-np.arange(ends[k] - gaps[k] + STRIDE, ends[k], STRIDE))
-    all_ = np.concatenate(found)
-    return all_[np.argsort(np.abs(all_), kind="stable")]
+    inside = [np.arange(ends[k] - gaps[k] + STRIDE, ends[k], STRIDE) for k in np.flatnonzero(gaps > LONG)]
+    all_ = np.concatenate([ends, *inside])
+    sign = np.where(np.arange(len(all_)) < len(ends), 1, -1)
+    order = np.argsort(all_, kind="stable")
+    doc = np.searchsorted(last, all_[order], "left")
+    return (all_[order] - (last - lengths)[doc]) * sign[order], np.bincount(doc, minlength=len(lengths))
 
 
 def _summaries(vocabulary: str):
     def rule(texts: list[str]) -> dict[str, list]:
         enc = encoder(vocabulary)
         end = np.array([END_ID], "<u4").tobytes()
-        out = {"n": [], "places": [], "sums": []}
-        for text in texts:
-            data = enc.encode(text) + end
-            cuts = places(np.frombuffer(data, "<u4"), enc.stops)
-            sums, total, start = np.empty(len(cuts), np.uint32), 0, 0
-            view = memoryview(data)
-            for i, at in enumerate((np.abs(cuts) * 4).tolist()):
-                total = zlib.crc32(view[start:at], total)
-                sums[i], start = total, at
-            out["n"].append(len(data) // 4)
-            out["places"].append(cuts.astype(np.int32))
-            out["sums"].append(sums.view(np.int32))
-        return {"n": pa.array(out["n"], pa.int64())} | {k: pa.array(out[k], pa.list_(pa.int32())) for k in ("places", "sums")}
+        coded = [enc.encode(text) + end for text in texts]
+        lengths = np.array([len(c) // 4 for c in coded], np.int64)
+        cuts, counts = places(np.frombuffer(b"".join(coded), "<u4"), enc.stops, lengths)
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        ends, sums, crc = (np.abs(cuts) * 4).tolist(), [], zlib.crc32
+        for data, first, after in zip(coded, offsets.tolist(), offsets[1:].tolist()):
+            total, start, view = 0, 0, memoryview(data)
+            for at in ends[first:after]:
+                total = crc(view[start:at], total)
+                sums.append(total)
+                start = at
+        lists = {"places": cuts.astype(np.int32), "sums": np.array(sums, np.uint32).view(np.int32)}
+        return {"n": pa.array(lengths)} | {k: pa.ListArray.from_arrays(offsets, pa.array(v)) for k, v in lists.items()}
 
     return rule
 
