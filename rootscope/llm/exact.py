@@ -6,9 +6,10 @@ fourfold, so a text of n bytes takes log4(n / 24) rounds, and most texts leave i
 Only rows that still share everything read so far are carried on, without the bytes read.
 Equality rests on all bytes; no digest is compared.
 
-One group may hold a third of all rows: a round counts (group, digit) before the shuffle, and
-hands the group's number back by a join that adaptive execution splits where it is skewed.
-Each round is written below ``spark.checkpoint.dir``; a round's rest is deleted once read.
+A round first deals out digits only: they are counted before the shuffle, and rows of a (group, digit)
+that others have too learn its number. The rest of a text is then dealt out by row number, so that
+one group that holds a third of all rows is spread as evenly as any. The plan is the same at every size. Each
+round is written below ``spark.checkpoint.dir`` and deleted once read.
 """
 
 from __future__ import annotations
@@ -33,20 +34,19 @@ def _first() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "uid"))
 
 
-def _split(rows: DataFrame, width: int) -> DataFrame:
-    """One round: rows that share group and digit with another row, with their new group."""
-    digit = rows.withColumn("digit", F.substring("rest", 1, width)).withColumn("ended", F.octet_length("rest") <= width)
+def _digits(rest: Column, width: int) -> list[Column]:
+    """The next digit, whether the text ends in it, and what follows it."""
+    after = F.substr(rest, F.lit(width + 1))
+    return [F.substring(rest, 1, width).alias("digit"), (F.octet_length(rest) <= width).alias("ended"), after.alias("rest")]
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Rows that share group and digit with another row: ``uid``, ``doc_id``, their new ``group``, ``keep_id``, ``n``, ``ended``."""
     key = ["group", "digit", "ended"]
-    shared = digit.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), _first().alias("first")).where("n > 1")
-    shared = materialise(shared, "radix-shared")  # so that the join reads plain exchanges, which can be split
-    return digit.join(shared, key).select(
-        "uid",
-        "doc_id",
-        F.col("first.uid").alias("group"),
-        F.col("first.doc_id").alias("keep_id"),
-        "n",
-        "ended",
-        F.expr(f"substring(rest, {width + 1}, 2147483647)").alias("rest"),
+    often = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), _first().alias("first")).where("n > 1")
+    often = materialise(often, "radix-often")  # so that the join reads plain exchanges, which can be split
+    return rows.select("uid", "doc_id", *key).join(often.hint("merge"), key).select(
+        "uid", "doc_id", F.col("first.uid").alias("group"), F.col("first.doc_id").alias("keep_id"), "n", "ended"
     )
 
 
@@ -60,34 +60,36 @@ def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
     and is returned as well; ``docs`` must then be a stored table.
     """
     spark = docs.sparkSession
-    body = one_space(whole_text()).cast("binary")
-    number = F.col(row) if row else F.monotonically_increasing_id()
-    work = docs.select("doc_id", number.alias("uid"), body.alias("rest")).withColumn("text_sha256", F.sha2("rest", 256))
+    texts = docs.select("doc_id", whole_text().alias("text"), (F.col(row) if row else F.monotonically_increasing_id()).alias("uid"))
+    read = []
     if not row:  # else the rows are stored already
-        work = materialise(work, "radix")
-
-    settled, width, read = [], FIRST_DIGIT, None
-    rows = work.select("uid", "doc_id", F.lit(0).cast("bigint").alias("group"), "rest")
+        read = [scratch_path(spark, "radix-texts")]
+        texts = materialise_at(texts, read[0])
+    body, width = one_space(F.col("text")).cast("binary"), FIRST_DIGIT
+    heads = texts.select("uid", "doc_id", body.alias("body")).withColumn("text_sha256", F.sha2("body", 256))
+    heads = materialise(heads.select("uid", "doc_id", "text_sha256", *_digits(F.col("body"), width)[:2]), "radix-heads")
+
+    rows, groups = heads.withColumn("group", F.lit(0).cast("bigint")), None
+    source, first = texts.select("uid", "text"), True
     while True:
-        open_at, ended_at = scratch_path(spark, "radix-open"), scratch_path(spark, "radix-ended")
-        # the rows that go on are written apart, so that only the ended ones are kept to the end
-        split = materialise_at(_split(rows, width), open_at)
-        settled.append(
-            materialise_at(split.where("ended").select("uid", "keep_id", F.col("group").alias("keep_uid"), "n"), ended_at)
-        )
-        if read:
-            discard(spark, read)
-        read = open_at
-        rows = split.where("NOT ended").select("uid", "doc_id", "group", "rest")
-        if rows.isEmpty():
+        at = scratch_path(spark, "radix-shared")
+        shared = materialise_at(_shared(rows), at)
+        ended = shared.where("ended").select("uid", "keep_id", F.col("group").alias("keep_uid"), "n")
+        groups = ended if groups is None else groups.unionAll(ended)
+        going = shared.where("NOT ended").select("uid", "doc_id", "group")
+        if going.isEmpty():
             break
-        width *= GROWTH
-    discard(spark, read)
-
-    groups = settled[0]
-    for more in settled[1:]:
-        groups = groups.unionAll(more)
-    found = work.select("uid", "doc_id", "text_sha256").join(groups, "uid", "left")
+        met = source.join(going.hint("merge"), "uid")
+        if first:  # the texts themselves are read once more, after the join
+            met = met.withColumn("rest", F.substr(body, F.lit(width + 1)))
+        first, width = False, width * GROWTH
+        next_at = scratch_path(spark, "radix-open")
+        rows = materialise_at(met.select("uid", "doc_id", "group", *_digits(F.col("rest"), width)), next_at)
+        discard(spark, *read)
+        read, source = [next_at], rows.select("uid", "rest")
+    discard(spark, *read)
+
+    found = heads.select("uid", "doc_id", "text_sha256").join(groups, "uid", "left")
     return found.select(
         *([F.col("uid").alias(row)] if row else []),
         "doc_id",
