@@ -23,10 +23,12 @@ import re
 import zlib
 from collections import deque
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,22 +45,35 @@ LONG, STRIDE = 512, 256
 POWERS = [512, 1024, 2048]
 #: Words of a generation; a worker keeps the ids of two generations.
 MAX_WORDS = 500_000
+#: Runs of marks that a worker keeps.
+MAX_MARKS = 10_000
+#: Letters whose normal form is themselves in lower case, between ASCII marks. No apostrophe, as 's and the like are
+#: cut apart, and no <, as special strings begin with it.
+_PLAIN = re.compile(r"""([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)([A-Za-zÀ-ÖØ-öø-įı-ž]+)([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)""")
+#: The model reads bytes as letters: those that print, without the soft hyphen, stand for themselves, the others for 256 and on.
+_PRINT = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_AS_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINT)}
 #: Separators that str.split knows and the vocabulary's cutter does not.
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 
 class Encoder:
     """Ids as little-endian 32-bit bytes. The vocabulary drops white space and never joins text
-    across it, so words between white space are encoded once and remembered."""
+    across it, so words between white space are encoded once and remembered. It also
+    cuts between letters and marks and lowers letters, so a plain word with marks around it is put together
+    from three parts, and its letters go to the library's model by themselves."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        # two generations: words met again move on to the younger
+        # two generations each: words met again move on to the younger
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.older_letters: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
         stops = [i for t, i in vocabulary.items() if re.fullmatch(r"[^\w]*[.!?][^\w]*", t.removesuffix("</w>"))]
@@ -69,31 +84,74 @@ class Encoder:
         found = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def encode(self, text: str) -> bytes:
-        for odd in _ODD_SPACES:
-            if odd in text:
-                return self._encode([text])[0]
-        words = text.split()
-        try:  # most texts hold no word that is new
-            return b"".join(map(self.words.__getitem__, words))
-        except KeyError:
-            self._learn(words)
-            return b"".join(map(self.words.__getitem__, words))
-
-    def _learn(self, words: list[str]) -> None:
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts on end, each with ``END_ID`` behind it, and how many each text has."""
+        if any(odd in text for text in texts for odd in _ODD_SPACES):
+            lists = pa.array([[t] if any(odd in t for odd in _ODD_SPACES) else t.split() for t in texts], pa.list_(pa.large_string()))
+        else:
+            lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = list(map(self.words.get, words))
+        new = [i for i, ids in enumerate(known) if ids is None]
+        if new:
+            self._learn([words[i] for i in new])
+            for i in new:
+                known[i] = self.words[words[i]]
+            self._forget()
+        # words are gathered by number; the last one is the end of a text
+        known.append(np.array([END_ID], "<u4").tobytes())
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        first = np.cumsum(sizes) - sizes
+        per_text = np.diff(lists.offsets.to_numpy())
+        ends = np.cumsum(per_text)
+        order = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends, len(words))
+        counts = sizes[order]
+        upto = np.cumsum(counts)
+        ids = np.frombuffer(b"".join(known), "<u4")[np.arange(upto[-1]) + np.repeat(first[order] - upto + counts, counts)]
+        return ids, np.diff(upto[ends + np.arange(len(texts))], prepend=0)
+
+    def _learn(self, new: list[str]) -> None:
+        known, older, letters, marks = self.words, self.older, self.letters, self.marks
+        odd = []
+        for w in new:
+            ids = older.get(w) if w else b""
+            if ids is None:
+                plain = _PLAIN.fullmatch(w)
+                if plain is None:
+                    odd.append(w)
+                    continue
+                before, word, after = plain.groups()
+                word = word.lower()
+                ids = letters.get(word) or self._letters(word)
+                if before:
+                    ids = (marks.get(before) or self._mark(before)) + ids
+                if after:
+                    ids += marks.get(after) or self._mark(after)
+            known[w] = ids
+        if odd:
+            known.update(zip(odd, self._encode(odd)))
+
+    def _mark(self, run: str) -> bytes:
+        if len(self.marks) > MAX_MARKS:
+            self.marks.clear()
+        ids = self.marks[run] = self._encode([run])[0]
+        return ids
+
+    def _letters(self, word: str) -> bytes:
+        ids = self.older_letters.get(word)
+        if ids is None:
+            plain = word if word.isascii() else word.encode().decode("latin-1").translate(_AS_LETTERS)
+            found = [token.id for token in self.library.model.tokenize(plain)]
+            ids = pack_ids(f"<{len(found)}I", *found)
+        self.letters[word] = ids
+        return ids
+
+    def _forget(self) -> None:
         if len(self.words) > MAX_WORDS:
             self.older, self.words = self.words, {}
-        known, older = self.words, self.older
-        new = []
-        for w in set(words):
-            if w not in known:
-                ids = older.get(w)
-                if ids is None:
-                    new.append(w)
-                else:
-                    known[w] = ids
-        if new:
-            known.update(zip(new, self._encode(new)))
+        if len(self.letters) > MAX_WORDS:
+            self.older_letters, self.letters = self.letters, {}
 
 
 @lru_cache(1)
@@ -122,14 +180,15 @@ def places(ids: np.ndarray, stops: np.ndarray, lengths: np.ndarray) -> tuple[np.
 def _summaries(vocabulary: str):
     def rule(texts: list[str]) -> dict[str, list]:
         enc = encoder(vocabulary)
-        end = np.array([END_ID], "<u4").tobytes()
-        coded = [enc.encode(text) + end for text in texts]
-        lengths = np.array([len(c) // 4 for c in coded], np.int64)
-        cuts, counts = places(np.frombuffer(b"".join(coded), "<u4"), enc.stops, lengths)
+        ids, lengths = enc.encode(texts)
+        cuts, counts = places(ids, enc.stops, lengths)
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        ends, sums, crc = (np.abs(cuts) * 4).tolist(), [], zlib.crc32
-        for data, first, after in zip(coded, offsets.tolist(), offsets[1:].tolist()):
-            total, start, view = 0, 0, memoryview(data)
+        sums, crc, view = [], zlib.crc32, memoryview(ids.astype("<u4", copy=False)).cast("B")
+        begin = np.cumsum(lengths) - lengths
+        ends = ((np.abs(cuts) + np.repeat(begin, counts)) * 4).tolist()
+        start = 0
+        for first, after in zip(offsets.tolist(), offsets[1:].tolist()):
+            total = 0
             for at in ends[first:after]:
                 total = crc(view[start:at], total)
                 sums.append(total)
