@@ -11,22 +11,22 @@ at J = 0.75 a pair misses all of them with probability 5e-6. The others are read
 into buckets of ``FINE`` bands, which a pair at 0.75 misses with probability 1e-6 and a pair at 0.4,
 such as two texts with one passage in common, meets once in forty.
 
-Texts with equal sets are one node. A bucket proposes a *star*: its centre with each member, not
-all pairs. Stars are confirmed on the full sets. One star may miss a link between two members
-that both fail the centre, so buckets go on: a bucket is settled when all members that never
-were its centre are in one component, since any pair in two components then was proposed.
-The first centre is the member with the most bucket mates, the second the one with most
-confirmed links, then 4, 16, 64 ... members picked by hash. Pairs in one component, pairs tried
-before and pairs whose set sizes rule the link out are left out. So within buckets no link is
-lost, and a bucket of near copies of one text is settled by one or two stars.
-
-From the second star on, pairs are near misses for the most part. So they are confirmed only if
-their sketches, one bit of each of 2048 fine bins, differ in at most ``MOST_DIFFER`` places. At J = 0.75
-they differ in 256 on average with a deviation of 16, so one link in ten million is mistaken
-there. Sets of fewer than ``FEW`` shingles are always confirmed.
-
-These numbers are for 75 percent and more. For fewer, bands get shorter and more, and the sketches
-may differ in more places, so that a link at the limit is missed as seldom.
+Texts with equal sets are one node. A bucket proposes a *star*: its centre, the member with the most
+bucket mates, with each member, not all pairs. Stars are confirmed on the full sets. A bucket whose
+members then are in one component is settled. Members of the others that share a centre z are settled
+together, by how they differ from z. With D(x) the shingles that only one of x and z has,
+
+    |x △ y| = |D(x)| + |D(y)| - 2 |D(x) ∩ D(y)|,    linked:  q |x △ y| <= r (|x| + |y|)
+
+for q = 100 + percent and r = 100 - percent. So with slack s(x) = q |D(x)| - r |x| two members are linked
+if and only if s(x) + s(y) <= 2 q |D(x) ∩ D(y)|. If the left side is not positive, both
+are linked with z, whose slack is least, and the star has joined them. Every other link shares some t >= 1 differences, of
+which one is among the rarest |D| - t + 1 of either side: a join on those finds it. Members go by
+classes of slack, so that t is known well; differences that no other member has are left out.
+Only members outside the component of z look for partners. Near copies of one text differ in what is rare, so few
+pairs meet, and within buckets no link is lost.
+
+For fewer than 75 percent bands get shorter and more, so that a link at the limit is missed as seldom.
 
 Every table that later steps read is written below ``spark.checkpoint.dir``.
 """
@@ -43,13 +43,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rootscope.llm.common import map_texts, whole_text, with_row_number
-from rootscope.session import materialise
+from rootscope.session import discard, materialise, scratch_folder
 
 WORDS = 5
 #: Numbers of bands, and of bins in a band, for ``USUAL`` percent and more.
 USUAL = 75
 COARSE, FINE = (32, 4), (240, 10)
-SKETCH, MOST_DIFFER, FEW = 2048, 344, 16
+#: Limits of the classes of slack, in parts of r times the size of the centre's set.
+SLACK = [-0.5, -0.25, 0.0, 0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -85,15 +86,6 @@ def bands_for(usual: tuple[int, int], percent: int) -> tuple[int, int]:
             return wanted, r
 
 
-def most_differ(percent: int) -> int:
-    """In how many places sketches of a link may differ: five and a half deviations over the mean at ``percent``."""
-    if percent >= USUAL:
-        return MOST_DIFFER
-    apart, usual = (1 - percent / 100) / 2, (1 - USUAL / 100) / 2
-    deviations = (MOST_DIFFER - SKETCH * usual) * math.sqrt(apart * (1 - apart) / (usual * (1 - usual)))
-    return math.ceil(SKETCH * apart + deviations)
-
-
 @lru_cache(2)
 def _walks(bins: int) -> np.ndarray:
     """For each bin the bins to look into while it is empty."""
@@ -124,12 +116,6 @@ def signature(numbers: np.ndarray, bins: int) -> np.ndarray:
     return values[source]
 
 
-def sketch_of(values: np.ndarray) -> np.ndarray:
-    """One bit for each of the first bins, packed; a value's bit depends on its bin too."""
-    bins = np.arange(SKETCH, dtype=np.uint64) * _ODD[1]
-    return np.packbits((_mixed(values[:SKETCH] ^ bins) & np.uint64(1)).astype(np.uint8)).view(np.int64)
-
-
 def bands_of(values: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
     """One bucket number for each band of a signature."""
     bands, rows = shape
@@ -156,20 +142,20 @@ def _signed(texts: list[str], shape: tuple[int, int] = COARSE) -> dict[str, list
 
 def _sets(texts: list[str], shape: tuple[int, int] = FINE) -> dict[str, list]:
     found = [shingles(t) for t in texts]
-    signed = [signature(f, max(shape[0] * shape[1], SKETCH)) for f in found]
     return {
         "numbers": pa.array([f.tobytes() for f in found], pa.binary()),
-        "bands": pa.array([bands_of(s, shape) for s in signed], pa.list_(pa.int64())),
-        "sketch": pa.array([sketch_of(s) for s in signed], pa.list_(pa.int64())),
+        "bands": pa.array([bands_of(signature(f, shape[0] * shape[1]), shape) for f in found], pa.list_(pa.int64())),
     }
 
 
-def _differ(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    for x in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(x), F.col("numbers").alias(f"numbers_{x}")), x)
+    return pairs.select("a", "b", "numbers_a", "numbers_b")
 
 
-def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sets are similar enough."""
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Of the pairs those whose sets are similar enough."""
 
     def run(batches):
         for batch in batches:
@@ -181,7 +167,23 @@ def _confirm(pairs: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep, pa.bool_())], ["a", "b", "similar"])
 
-    return pairs.mapInArrow(run, "a bigint, b bigint, similar boolean")
+    judged = _with_sets(pairs, sets).mapInArrow(run, "a bigint, b bigint, similar boolean")
+    return judged.where("similar").select("a", "b")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``a``, ``b``, the sizes of their sets, and ``apart``, the shingles that only one of them has."""
+
+    def run(batches):
+        for batch in batches:
+            xs, ys = ([np.frombuffer(v.as_buffer(), np.uint64) for v in batch.column(f"numbers_{k}")] for k in "ab")
+            apart = [np.setxor1d(x, y, assume_unique=True).view(np.int64) for x, y in zip(xs, ys)]
+            sizes = [pa.array([len(v) for v in side], pa.int64()) for side in (xs, ys)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("a"), batch.column("b"), *sizes, pa.array(apart, pa.list_(pa.int64()))], ["a", "b", "n_a", "n_b", "apart"]
+            )
+
+    return _with_sets(pairs, sets).mapInArrow(run, "a bigint, b bigint, n_a bigint, n_b bigint, apart array<bigint>")
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -205,21 +207,6 @@ def connected(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _centres(open_buckets: DataFrame, round_: int) -> DataFrame:
-    """``bucket``, ``centre``: whom to propose this round."""
-    if round_ < 2:
-        best = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node"))
-        return open_buckets.groupBy("bucket").agg(best["node"].alias("centre"))
-    wanted = 4 ** (round_ - 1)
-    left = open_buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("left"))
-    share = F.pmod(F.xxhash64("node", "bucket", F.lit(round_)), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    return (
-        open_buckets.join(left, "bucket")
-        .where((F.col("left") <= wanted) | (share * F.col("left") < wanted))
-        .select("bucket", F.col("node").alias("centre"))
-    )
-
-
 def _in_buckets(nodes: DataFrame) -> DataFrame:
     """``bucket``, ``node``, ``size`` of buckets with several members; ``nodes`` is stored."""
     placed = nodes.select("node", F.explode("bands").alias("bucket"))
@@ -227,53 +214,77 @@ def _in_buckets(nodes: DataFrame) -> DataFrame:
     return materialise(placed.join(crowded, "bucket"), "in-buckets")
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``node``, ``root`` for all nodes of buckets."""
-    sizes = sets.select("node", "n", "sketch")
-    members = materialise(members.join(sizes.select("node", "n"), "node"), "members")  # bucket, node, weight, n
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``node``, ``root`` after the links have joined components."""
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    merged = connected(links.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    merged = merged.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
+    return materialise(roots.join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")), "roots")
+
+
+def _unsettled(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``centre``, ``node`` of buckets whose members, without the centre, are in several components."""
+    others = members.where("node <> centre").join(roots, "node")
+    several = others.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return others.join(several.select("bucket"), "bucket", "left_semi").select("centre", "node").distinct()
+
+
+def _near_differences(groups: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``a``, ``b``: members of one group that may be linked and are in two components."""
+    q, r = 100 + percent, 100 - percent
+    apart = _differences(groups.select(F.col("centre").alias("a"), F.col("node").alias("b")), sets)
+    root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
+    apart = materialise(apart.join(root("a"), "a").join(root("b"), "b"), "apart")
+    slack = q * F.size("apart") - r * F.col("n_b")
+    unit = F.col("n_a") * max(r, 1)
+    member = apart.select(
+        F.col("a").alias("centre"), F.col("b").alias("node"), F.col("root_b").alias("root"), unit.alias("unit"), slack.alias("slack"),
+        (F.col("root_a") != F.col("root_b")).alias("far"),
+        sum((slack >= limit * unit).cast("int") for limit in SLACK).alias("class"),
+    )
+    each = apart.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.explode("apart").alias("e"))
+    held = each.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    held = materialise(held, "held")
+    by_rarity = F.array_sort(F.collect_list(F.struct("held", "e")))  # of one text
+    rare = each.join(held, ["centre", "e"]).groupBy("centre", "node").agg(by_rarity.alias("rare"))
+    member = materialise(member.join(rare.withColumn("rare", F.transform("rare", lambda x: x["e"])), ["centre", "node"]), "rare")
+
+    def wanted(of_class: Column) -> Column:
+        """How many of ``rare`` are to be looked at for partners of a class."""
+        least = F.get(F.array(*[F.lit(float(x)) for x in [-1.0, *SLACK]]), of_class) * F.col("unit")
+        shared = F.greatest(F.lit(1), F.ceil((F.col("slack") + least) / (2.0 * q)))
+        return F.greatest(F.size("rare") - shared + 1, F.lit(0)).cast("int")
+
+    classes = F.explode(F.sequence(F.lit(0), F.lit(len(SLACK)))).alias("other")
+    placed = member.select("*", F.size("rare").alias("held"), classes)
+    placed = placed.select("centre", "node", "root", "slack", "held", "far", "class", "other", F.explode(F.slice("rare", F.lit(1), wanted(F.col("other")))).alias("e"))
+    key = ["centre", "e", "class_x", "class_y"]
+    side = lambda rows, me, you, x: rows.select(
+        "centre", "e", F.col("class").alias(f"class_{me}"), F.col("other").alias(f"class_{you}"), F.col("node").alias(x),
+        F.col("root").alias(f"root_{x}"), F.col("slack").alias(f"slack_{x}"), F.col("held").alias(f"held_{x}")
+    )
+    total = F.col("slack_a") + F.col("slack_b")
+    met = side(placed.where("far"), "x", "y", "a").join(side(placed, "y", "x", "b"), key)
+    met = met.where((F.col("root_a") != F.col("root_b")) & (total <= 2 * q * F.least("held_a", "held_b")))
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _roots(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``node``, ``root`` for all nodes of buckets; ``members`` has ``bucket``, ``node``, ``weight``."""
+    centre = F.max(F.struct("weight", F.xxhash64("node").alias("h"), "node"))["node"]
+    centres = members.groupBy("bucket").agg(centre.alias("centre"))
+    members = materialise(members.select("bucket", "node").join(centres, "bucket"), "members")
+    sizes = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"))
+    star = members.where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
+    star = star.join(sizes("a"), "a").join(sizes("b"), "b")
+    star = star.where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")).select("a", "b")
     roots = materialise(sets.select("node", F.col("node").alias("root")), "roots")
-    untried, tried, links, round_ = members, None, None, 0
-    while True:
-        here = untried.join(roots, "node")
-        several = here.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-        several = materialise(several.select("bucket"), "open")
-        if several.isEmpty():
-            return roots
-        centres = materialise(_centres(untried.join(several, "bucket", "left_semi"), round_), "centres")
-        rooted = members.join(several, "bucket", "left_semi").join(roots, "node")
-        centre = centres.join(sizes, centres["centre"] == sizes["node"]).join(roots, "node").select(
-            "bucket", "centre", F.col("n").alias("centre_n"), F.col("root").alias("centre_root"), F.col("sketch").alias("centre_sketch")
-        )
-        if round_:
-            rooted = rooted.join(sets.select("node", "sketch"), "node")
-        fits = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")
-        pairs = (
-            rooted.join(centre, "bucket")
-            .where((F.col("node") != F.col("centre")) & (F.col("root") != F.col("centre_root")) & fits)
-            .where((F.col("n") < FEW) | (_differ("sketch", "centre_sketch") <= most_differ(percent)) if round_ else F.lit(True))
-            .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-            .distinct()
-        )
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("numbers").alias(f"numbers_{x}"))
-        judged = materialise(_confirm(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "numbers_a", "numbers_b"), percent), "judged")
-        pairs = judged.select("a", "b").distinct()
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = judged.where("similar").select("a", "b").distinct()
-        links = new if links is None else links.unionByName(new)
-        root = lambda x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}"))
-        merged = connected(new.join(root("a"), "a").join(root("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        merged = merged.select(F.col("node").alias("root"), F.col("root").alias("new_root"))
-        roots = materialise(
-            roots.join(merged, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")), "roots"
-        )
-        untried = untried.join(centres.withColumnRenamed("centre", "node"), ["bucket", "node"], "left_anti")
-        if round_ == 0:
-            ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-            untried = untried.join(ends, "node", "left").withColumn("weight", F.coalesce("links", F.lit(0))).drop("links")
-        untried = materialise(untried, "untried")
-        round_ += 1
+    roots = _joined(roots, materialise(_links(star, sets, percent), "links"))
+    groups = materialise(_unsettled(members, roots), "unsettled")
+    if groups.isEmpty():
+        return roots
+    pairs = materialise(_near_differences(groups, roots, sets, percent), "pairs")
+    return _joined(roots, materialise(_links(pairs, sets, percent), "links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None) -> DataFrame:
@@ -288,6 +299,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
     """
     if not 1 <= percent <= 100:
         raise ValueError(f"percent must be from 1 to 100, not {percent}")
+    spark = docs.sparkSession
     number = F.col(row) if row else F.monotonically_increasing_id()
     # id and text hash find the row again in the second reading
     rows = docs.select("doc_id", whole_text().alias("text")).withColumn("text_key", F.xxhash64("text"))
@@ -309,13 +321,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
     wanted = nodes.join(_in_buckets(nodes).select("node").distinct(), "node", "left_semi").select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))).alias("id_key"), "text_key", "node", "n"
     )
-    # the texts are dealt out by document at every size, as they must be once many are in buckets
-    again = rows.join(wanted.hint("merge"), ["id_key", "text_key"]).select("node", "n", "text")
-    sets = map_texts(again, ["node", "n"], partial(_sets, shape=bands_for(FINE, percent)), "numbers binary, bands array<bigint>, sketch array<bigint>")
-    sets = materialise(sets.dropDuplicates(["node"]), "sets")
-    members = _in_buckets(sets)
-    mates = members.groupBy("node").agg(F.sum("size").alias("weight"))
-    roots = _links(members.drop("size").join(mates, "node"), sets.drop("bands"), percent)
+    with scratch_folder(spark, "near-work") as work:
+        # the texts are dealt out by document at every size, as they must be once many are in buckets
+        again = rows.join(wanted.hint("merge"), ["id_key", "text_key"]).select("node", "n", "text")
+        sets = map_texts(again, ["node", "n"], partial(_sets, shape=bands_for(FINE, percent)), "numbers binary, bands array<bigint>")
+        sets = materialise(sets.dropDuplicates(["node"]), "sets")
+        members = _in_buckets(sets)
+        mates = members.groupBy("node").agg(F.sum("size").alias("weight"))
+        roots = _roots(members.drop("size").join(mates, "node"), sets.drop("bands"), percent)
+    roots = materialise(roots, "roots")
+    discard(spark, work)
 
     named = nodes.select(*of_set, "node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "node")).alias("lowest"))

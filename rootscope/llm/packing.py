@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import deque
 from functools import lru_cache
+from operator import attrgetter
 from struct import pack as pack_ids
 
 import numpy as np
@@ -53,6 +54,8 @@ _PLAIN = re.compile(r"""([!"#$%&()*+,\-./:;=>?@\[\\\]^_`{|}~]*)([A-Za-zÀ-ÖØ-
 #: The model reads bytes as letters: those that print, without the soft hyphen, stand for themselves, the others for 256 and on.
 _PRINT = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _AS_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINT)}
+_ID = attrgetter("id")
+_LENGTHS = [f"<{n}I" for n in range(64)]
 #: Separators that str.split knows and the vocabulary's cutter does not.
 _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
@@ -68,6 +71,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
         # two generations each: words met again move on to the younger
         self.words: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -95,9 +99,8 @@ class Encoder:
         known = list(map(self.words.get, words))
         new = [i for i, ids in enumerate(known) if ids is None]
         if new:
-            self._learn([words[i] for i in new])
-            for i in new:
-                known[i] = self.words[words[i]]
+            for i, ids in zip(new, self._learn([words[i] for i in new])):
+                known[i] = ids
             self._forget()
         # words are gathered by number; the last one is the end of a text
         known.append(np.array([END_ID], "<u4").tobytes())
@@ -111,26 +114,32 @@ class Encoder:
         ids = np.frombuffer(b"".join(known), "<u4")[np.arange(upto[-1]) + np.repeat(first[order] - upto + counts, counts)]
         return ids, np.diff(upto[ends + np.arange(len(texts))], prepend=0)
 
-    def _learn(self, new: list[str]) -> None:
-        known, older, letters, marks = self.words, self.older, self.letters, self.marks
-        odd = []
+    def _learn(self, new: list[str]) -> list[bytes]:
+        older, letters, marks = self.older, self.letters, self.marks
+        out, odd = [], []
         for w in new:
-            ids = older.get(w) if w else b""
+            ids = older.get(w)
             if ids is None:
-                plain = _PLAIN.fullmatch(w)
-                if plain is None:
-                    odd.append(w)
-                    continue
-                before, word, after = plain.groups()
-                word = word.lower()
-                ids = letters.get(word) or self._letters(word)
-                if before:
-                    ids = (marks.get(before) or self._mark(before)) + ids
-                if after:
-                    ids += marks.get(after) or self._mark(after)
-            known[w] = ids
-        if odd:
-            known.update(zip(odd, self._encode(odd)))
+                if w.isascii() and w.isalpha():
+                    word = w.lower()
+                    ids = letters.get(word) or self._letters(word)
+                elif plain := _PLAIN.fullmatch(w):
+                    before, word, after = plain.groups()
+                    word = word.lower()
+                    ids = letters.get(word) or self._letters(word)
+                    if before:
+                        ids = (marks.get(before) or self._mark(before)) + ids
+                    if after:
+                        ids += marks.get(after) or self._mark(after)
+                elif w:
+                    odd.append(len(out))
+                else:
+                    ids = b""
+            out.append(ids)
+        for i, ids in zip(odd, self._encode([new[i] for i in odd]) if odd else ()):
+            out[i] = ids
+        self.words.update(zip(new, out))
+        return out
 
     def _mark(self, run: str) -> bytes:
         if len(self.marks) > MAX_MARKS:
@@ -142,8 +151,8 @@ class Encoder:
         ids = self.older_letters.get(word)
         if ids is None:
             plain = word if word.isascii() else word.encode().decode("latin-1").translate(_AS_LETTERS)
-            found = [token.id for token in self.library.model.tokenize(plain)]
-            ids = pack_ids(f"<{len(found)}I", *found)
+            found = self.model.tokenize(plain)
+            ids = pack_ids(_LENGTHS[len(found)], *map(_ID, found)) if len(found) < len(_LENGTHS) else self._encode([word])[0]
         self.letters[word] = ids
         return ids
 
@@ -229,23 +238,34 @@ def choose_windows(position: list[int], penalty: list[int], limit: int = LIMIT)
     where, cost, back = [0, *position], [0], [-1]
     queue: deque[int] = deque([0])  # places by rising cost(i) + position(i), from left to right
     rank = [0]
-    for j, (p, fine) in enumerate(zip(position, penalty), 1):
-        while where[queue[0]] < p - limit:
+    first = 0  # the queue's first place
+    small, middle, large = POWERS
+    found, push, drop = at.get, queue.append, queue.pop
+    for j, p in enumerate(position, 1):
+        while where[first] < p - limit:
             queue.popleft()
-        i = queue[0]
+            first = queue[0]
+        i = first
         best = rank[i] + limit - p
-        for size in POWERS:
-            k = at.get(p - size)
-            if k is not None and cost[k] < best:
-                best, i = cost[k], k
-        best += fine
+        k = found(p - small)
+        if k is not None and cost[k] < best:
+            best, i = cost[k], k
+        k = found(p - middle)
+        if k is not None and cost[k] < best:
+            best, i = cost[k], k
+        k = found(p - large)
+        if k is not None and cost[k] < best:
+            best, i = cost[k], k
+        best += penalty[j - 1]
         cost.append(best)
         back.append(i)
-        rank.append(best + p)
+        best += p
+        rank.append(best)
         at[p] = j
-        while queue and rank[queue[-1]] >= best + p:
-            queue.pop()
-        queue.append(j)
+        while queue and rank[queue[-1]] >= best:
+            drop()
+        push(j)
+        first = queue[0]
     cuts, j = [], len(position)
     while j:
         cuts.append(where[j])

@@ -11,6 +11,8 @@ from test_decontaminate import brute as brute_windows
 from test_exact import brute as brute_exact
 from test_neardup import brute as brute_near
 
+from rootscope.session import scratch_root
+
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -44,7 +46,11 @@ def test_stages_one_by_one_against_brute_force(spark, tmp_path):
 
 
 def test_run_gives_the_last_stage(spark):
+    root = Path(scratch_root(spark).removeprefix("file:"))
+    before = set(root.iterdir()) if root.exists() else set()
     rows = corpus_pipeline.run(spark, data_dir("sf0.001"))
+    # nothing stays but the table of the last stage
+    assert [p.name.split("-")[:2] for p in set(root.iterdir()) - before] == [["stage", "packing"]]
     assert rows.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     assert rows.agg(F.max("length")).first()[0] <= 4096 and rows.count() > 0
 
@@ -58,3 +64,21 @@ def test_entry_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
 
+
+
+def test_run_on_odd_documents(spark, tmp_path, docs):
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{data_dir('sf0.001')}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    rows = docs([(None, "a b c"), (1, None), (2, ""), (2, ""), (None, None), (3, " word " * 50)])
+    for clash in ("_row", "uid", "bucket"):
+        rows = rows.withColumn(clash, F.lit("x"))
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    corpus_pipeline.run(spark, str(tmp_path)).count()
+    rows.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_stages_chained_without_writing(spark):
+    d = data_dir("sf0.001")
+    chained = corpus_pipeline.exact(spark, corpus_pipeline.quality(spark, spark.read.parquet(f"{d}/documents.parquet"), d), d)
+    assert chained.count() > 0
