@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rootscope.functions.scalars import log_ip, time_floor
+from rootscope.operators.metrics import absent_cells
 
 # Frequency below which a template is rare, and the merged name.
 MIN_FREQUENCY = 10
@@ -47,14 +48,11 @@ def template_counts(assigned: DataFrame, seconds: int = 60, zeros: bool = True)
 
 def with_zeros(counts: DataFrame) -> DataFrame:
     own = counts.groupBy("instance_id").agg(F.collect_set("feature").alias("_own"))
-    rows = counts.groupBy("instance_id", "timestamp").agg(
-        F.map_from_entries(F.collect_list(F.struct("feature", "value"))).alias("_cells")
-    )
-    seen = F.try_element_at("_cells", F.col("feature"))
-    return (
-        rows.join(own, "instance_id")
-        .withColumn("feature", F.explode("_own"))
-        .select(*CELL, F.coalesce(seen, F.lit(0)).alias("value"))
+    rows = counts.groupBy("instance_id", "timestamp").agg(F.collect_list(F.struct("feature", "value")).alias("_cells"))
+    zero = F.lit(0).cast(counts.schema["value"].dataType)
+    cells = F.concat("_cells", absent_cells(F.col("_own"), F.col("_cells"), zero))
+    return rows.join(own, "instance_id").select("instance_id", "timestamp", F.explode(cells).alias("_c")).select(
+        "instance_id", "timestamp", "_c.feature", "_c.value"
     )
 
 

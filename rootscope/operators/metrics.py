@@ -58,12 +58,10 @@ def common_features(cells: DataFrame, scope: Column | None = None) -> DataFrame:
     return seen.join(totals, "_scope").where(F.col("_n") == F.col("_all")).select("_scope", "feature")
 
 
-def _with_feature(rows: DataFrame, names: DataFrame, scope: Column | None) -> DataFrame:
-    """One row per listed feature; ``names`` is ``(_scope, feature)``, as long as the schema is wide."""
-    if scope is None:
-        return rows.withColumn("feature", F.explode(names.agg(F.collect_set("feature")).scalar()))
-    listed = materialise(names.groupBy("_scope").agg(F.collect_set("feature").alias("_names")), "names")
-    return rows.withColumn("_scope", scope).join(listed, "_scope").withColumn("feature", F.explode("_names"))
+def absent_cells(names: Column, cells: Column, value: Column) -> Column:
+    """Cells with ``value`` for the names that no entry of ``cells`` has; linear in both."""
+    have = F.transform(cells, lambda c: c.getField("feature"))
+    return F.transform(F.array_except(names, have), lambda n: F.struct(n.alias("feature"), value.alias("value")))
 
 
 def dense_cells(cells: DataFrame, schema: str = "own", fill: float = 0.0, scope: Column | None = None) -> DataFrame:
@@ -72,22 +70,40 @@ def dense_cells(cells: DataFrame, schema: str = "own", fill: float = 0.0, scope:
     ``schema``: ``own`` keeps every instance's metrics, ``intersection`` the metrics all
     instances have, ``union`` all metrics, with ``fill`` where an instance lacks one.
     ``scope``, an expression of ``instance_id``, bounds what "all instances" means.  One
-    shuffle by (instance, time); the names come as an array, no join with a grid.
+    shuffle by (instance, time); the names come as an array, and only absent cells are
+    made anew: no join with a grid, no look-up per cell.
     """
-    rows = _rows_as_maps(cells)
-    value = F.try_element_at("_cells", F.col("feature"))
+    here = F.lit("") if scope is None else scope
+    cell = F.struct("feature", "value")
+    none, filled = F.lit(None).cast(cells.schema["value"].dataType), F.lit(float(fill))
     if schema == "intersection":
-        return _with_feature(rows, common_features(cells, scope), scope).select(*CELL, value.alias("value"))
-    rows = rows.join(instance_features(cells), "instance_id")
-    if schema == "own":
-        return rows.withColumn("feature", F.explode("own")).select(*CELL, value.alias("value"))
-    every = cells.select((F.lit("") if scope is None else scope).alias("_scope"), "feature").distinct()
-    known = F.array_contains("own", F.col("feature"))
-    return _with_feature(rows, every, scope).select(
-        *CELL, F.when(known, value).otherwise(F.lit(float(fill))).alias("value")
+        names = common_features(cells, scope)
+        kept = cells.withColumn("_scope", here).join(names.withColumn("_kept", F.lit(True)), ["_scope", "feature"], "left")
+        rows = kept.groupBy("_scope", "instance_id", "timestamp").agg(F.collect_list(F.when(F.col("_kept"), cell)).alias("_cells"))
+        rows = _with_names(rows, names).withColumn("_absent", absent_cells(F.col("_names"), F.col("_cells"), none))
+    else:
+        rows = cells.withColumn("_scope", here).groupBy("_scope", "instance_id", "timestamp").agg(F.collect_list(cell).alias("_cells"))
+        own = instance_features(cells)
+        if schema == "union":
+            every = cells.select(here.alias("_scope"), "feature").distinct()
+            own = _with_names(own.withColumn("_scope", here), every).drop("_scope")
+            own = own.select("instance_id", "own", F.array_except("_names", "own").alias("_others"))
+        rows = rows.join(own, "instance_id").withColumn("_absent", absent_cells(F.col("own"), F.col("_cells"), none))
+        if schema == "union":
+            others = F.transform("_others", lambda n: F.struct(n.alias("feature"), filled.alias("value")))
+            rows = rows.withColumn("_absent", F.concat("_absent", others))
+    return rows.select("instance_id", "timestamp", F.explode(F.concat("_cells", "_absent")).alias("_c")).select(
+        "instance_id", "timestamp", "_c.feature", "_c.value"
     )
 
 
+def _with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """Adds ``_names``, the features of the row's ``_scope``: as long as the schema is wide, empty if there are none."""
+    listed = materialise(names.groupBy("_scope").agg(F.collect_set("feature").alias("_names")), "names")
+    none = F.array().cast("array<string>")
+    return rows.join(listed, "_scope", "left").withColumn("_names", F.coalesce("_names", none))
+
+
 # --- cleaning --------------------------------------------------------------------
 
 

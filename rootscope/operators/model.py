@@ -10,7 +10,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -55,20 +54,13 @@ def graph_conv(cube: DataFrame, edges: DataFrame, layers: list[Layer], slope: fl
     """Graph layers in turn: sum over in-neighbours, linear map, leaky ReLU.
 
     The graph of a time is that of the nodes which have a vector then: links count for sums
-    and degrees only where both ends exist.  Links by time are found once and stored, and
-    each layer is one join along them and one grouping, for graphs of any size.
+    and degrees only where both ends exist.  Each layer is one join along the edges and one
+    grouping, which sums before it shuffles, for graphs of any size; only degrees, one row per
+    point, are stored.
     """
     points = cube.select(*POINT, "vec")
     pairs = edges.select("src", "dst").distinct()
-    here = points.select(*POINT)
-    links = (
-        here.withColumnRenamed("node_id", "src")
-        .join(pairs, "src")
-        .join(here.withColumnRenamed("node_id", "dst"), ["ts", "dst"])
-        .select("ts", "src", "dst")
-    )
-    links = materialise(links, "links")
-    degrees = {side: links.groupBy("ts", F.col(side).alias("node_id")).agg(F.count(F.lit(1)).alias("_deg")) for side in ("src", "dst")}
+    degrees = _degrees(points, pairs) if any(layer.norm == "both" for layer in layers) else {}
 
     def scaled(table: DataFrame, side: str) -> DataFrame:
         root = F.sqrt(F.coalesce("_deg", F.lit(1)))
@@ -76,12 +68,10 @@ def graph_conv(cube: DataFrame, edges: DataFrame, layers: list[Layer], slope: fl
 
     now = points
     for layer in layers:
-        sent = scaled(now, "src") if layer.norm == "both" else now
-        along = sent.withColumnRenamed("node_id", "src").join(links, ["ts", "src"])
-        near = along.groupBy("ts", F.col("dst").alias("node_id")).agg(Summarizer.sum(array_to_vector("vec")).alias("_sum"))
+        near = neighbour_sum(scaled(now, "src") if layer.norm == "both" else now, pairs)
         zero = F.transform("vec", lambda x: x * 0.0)
-        got = now.join(near.select(*POINT, vector_to_array("_sum").alias("near")), POINT, "left")
-        got = got.select(*POINT, F.coalesce("near", zero).alias("vec"))
+        # sums for nodes without a vector of their own fall away here
+        got = now.join(near, POINT, "left").select(*POINT, F.coalesce("near", zero).alias("vec"))
         got = scaled(got, "dst") if layer.norm == "both" else got
         now = dense_layers(got, [layer], slope=slope)
         if layer is not layers[-1]:
@@ -89,6 +79,20 @@ def graph_conv(cube: DataFrame, edges: DataFrame, layers: list[Layer], slope: fl
     return now
 
 
+def _degrees(points: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+    """Links that leave and reach each point, both ends present."""
+    here = points.select(*POINT)
+    links = (
+        here.withColumnRenamed("node_id", "src")
+        .join(pairs, "src")
+        .join(here.withColumnRenamed("node_id", "dst"), ["ts", "dst"])
+    )
+    return {
+        side: materialise(links.groupBy("ts", F.col(side).alias("node_id")).agg(F.count(F.lit(1)).alias("_deg")), "degrees")
+        for side in ("src", "dst")
+    }
+
+
 def dense_layers(
     cube: DataFrame, layers: list[Layer], activated: list[bool] | None = None, slope: float = 0.01
 ) -> DataFrame:
@@ -139,14 +143,15 @@ def _standardised(cube: DataFrame, mean, std) -> DataFrame:
 
 @dataclass
 class Reconstruction:
+    """``components`` is (features × components), with orthonormal columns."""
+
     mean: list[float]
     std: list[float]
-    pca: PCAModel
+    components: np.ndarray
 
     def loss(self, cube: DataFrame) -> DataFrame:
         """``(ts, node_id, loss)``: squared error left after projecting on the components."""
-        components = np.asarray(self.pca.pc.toArray())
-        shared = cube.sparkSession.sparkContext.broadcast(components)
+        shared = cube.sparkSession.sparkContext.broadcast(self.components)
 
         def run(batches):
             for pdf in batches:
@@ -160,19 +165,77 @@ class Reconstruction:
         return _standardised(cube, self.mean, self.std).mapInPandas(run, "ts bigint, node_id int, loss double")
 
 
-def fit_reconstruction(cube: DataFrame, components: int) -> Reconstruction:
-    """Principal components of standardised vectors.
+#: Further directions beside the wanted ones, most passes over the data, and when to stop.
+EXTRA, PASSES, CLOSE = 8, 30, 1e-7
 
-    Spark sums up the (features × features) matrix; only that reaches the driver, which
-    solves it: good for some thousands of features, of any number of points.
+
+def _gram_times(rows: DataFrame, block: np.ndarray) -> np.ndarray:
+    """XᵀX times a narrow block, in one pass: tasks add up (features × columns), Spark adds the tasks."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
+    width = block.shape[1]
+
+    def run(batches):
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                x = np.stack(pdf["vec"].to_numpy())
+                here = x.T @ (x @ shared.value)
+                total = here if total is None else total + here
+        if total is not None:
+            yield pd.DataFrame({"i": np.arange(len(total)), "part": list(total)})
+
+    parts = rows.select("vec").mapInPandas(run, "i bigint, part array<double>")
+    added = parts.groupBy("i").agg(*[F.sum(F.get("part", F.lit(k))).alias(f"c{k}") for k in range(width)])
+    found = added.toPandas().sort_values("i")  # features × columns
+    return found.drop(columns="i").to_numpy() if len(found) else np.zeros(block.shape)
+
+
+def top_directions(rows: DataFrame, features: int, components: int, seed: int = 7) -> np.ndarray:
+    """The leading eigenvectors of XᵀX, by a randomised block Krylov range finder.
+
+    Each pass multiplies a block of a few columns by XᵀX and keeps it; the wanted directions are those of
+    the space that the blocks span.  It stops when they are eigenvectors up to ``CLOSE``, or
+    when the blocks span everything.  The driver holds features × (columns of all passes),
+    never features × features.
     """
+    columns = min(features, components + EXTRA)
+    if components >= features:
+        return np.eye(features)
+    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((features, columns)))[0]
+    basis, images = np.empty((features, 0)), np.empty((features, 0))
+    while True:
+        image = _gram_times(rows, block)
+        basis, images = np.hstack([basis, block]), np.hstack([images, image])
+        small = basis.T @ images
+        values, turns = np.linalg.eigh((small + small.T) / 2)
+        top = turns[:, ::-1][:, :components]
+        found, size = basis @ top, values[::-1][:components]
+        left = np.linalg.norm(images @ top - found * size, axis=0)
+        passes = basis.shape[1] // columns
+        if (left <= CLOSE * max(size[0], 1e-300)).all() or passes >= PASSES:
+            return np.linalg.qr(found)[0]
+        rest = image
+        for _ in range(2):  # twice, against rounding
+            rest = rest - basis @ (basis.T @ rest)
+        block, strength, _ = np.linalg.svd(rest, full_matrices=False)
+        block = block[:, strength > 1e-12 * max(values[-1], 1e-300)][:, : features - basis.shape[1]]
+        if not block.shape[1]:
+            return np.linalg.qr(found)[0]
+
+
+def mean_and_deviation(cube: DataFrame) -> tuple[list[float], list[float]]:
+    """Per feature, over all points; the deviation is that of a sample."""
     stats = cube.select(array_to_vector("vec").alias("v")).agg(
         Summarizer.mean(F.col("v")).alias("mean"), Summarizer.std(F.col("v")).alias("std")
     ).first()
-    mean, std = stats["mean"].toArray().tolist(), stats["std"].toArray().tolist()
-    rows = _standardised(cube, mean, std).select(array_to_vector("vec").alias("features"))
-    model = PCA(k=components, inputCol="features", outputCol="projected").fit(rows)
-    return Reconstruction(mean, std, model)
+    return stats["mean"].toArray().tolist(), stats["std"].toArray().tolist()
+
+
+def fit_reconstruction(cube: DataFrame, components: int) -> Reconstruction:
+    """Principal components of standardised vectors, of any number of points and for wide vectors."""
+    mean, std = mean_and_deviation(cube)
+    rows = materialise(_standardised(cube, mean, std), "standardised")
+    return Reconstruction(mean, std, top_directions(rows, len(mean), components))
 
 
 def reconstruct(cube: DataFrame, edges: DataFrame, components: int, train: DataFrame | None = None) -> DataFrame:
@@ -241,6 +304,75 @@ def best_candidate(losses: DataFrame, candidates: list[tuple]) -> DataFrame:
     return least.where("best IS NOT NULL").select("best.candidate", pick(2).alias("pre"), pick(3).alias("suc"), "best.loss")
 
 
+def _neighbour_series(series: DataFrame, edges: DataFrame) -> DataFrame:
+    """Adds the series of all successors and predecessors, self left out: what their maxima are taken of."""
+    links = edges.where("src <> dst").select("src", "dst").distinct()
+    both = links.select(F.col("src").alias("at"), F.col("dst").alias("node_id"), F.lit(True).alias("_out")).unionByName(
+        links.select(F.col("dst").alias("at"), F.col("src").alias("node_id"), F.lit(False).alias("_out"))
+    )
+    near = series.join(both, "node_id").groupBy("case_id", F.col("at").alias("node_id")).agg(
+        F.collect_list(F.when(F.col("_out"), F.col("series"))).alias("after"),
+        F.collect_list(F.when(~F.col("_out"), F.col("series"))).alias("before"),
+    )
+    return series.join(near, ["case_id", "node_id"], "left")
+
+
+def feedback_rows(
+    loss: DataFrame, cases: DataFrame, nodes: DataFrame, edges: DataFrame, window: int = 10, length: int | None = None
+) -> DataFrame:
+    """Stored: per case and node the series, the label, and the series of its neighbours."""
+    series = series_window(loss, cases, window, length or window).join(nodes, "node").select("case_id", "node_id", "series")
+    labels = case_labels(cases, nodes).select("case_id", "node_id", "label")
+    return materialise(_neighbour_series(materialise(series, "series"), edges).join(labels, ["case_id", "node_id"]), "feedback")
+
+
+def feedback_gradient(rows: DataFrame, weights: list[float], pre: float, suc: float) -> tuple[float | None, np.ndarray]:
+    """Mean ranking loss and its gradient by ``(*weights, pre, suc)``, in one Spark aggregate.
+
+    ``rows`` are ``feedback_rows``.  Scores go through neighbour maxima, softmax and min-max scaling; ranks
+    are taken as they are.  A case is worked on as a group, as a ranking is.
+    """
+    length = len(weights)
+    w = np.asarray(weights, float)
+    names = [f"g{k}" for k in range(length + 2)]
+
+    def largest(each) -> tuple[float, np.ndarray]:
+        each = None if each is None or not len(each) else np.stack(each)
+        if each is None:
+            return 0.0, np.zeros(length)
+        best = (each @ w).argmax()
+        return float(each[best] @ w), each[best]
+
+    def grade(case: pd.DataFrame) -> pd.DataFrame:
+        case = case.sort_values("node_id", kind="stable")
+        own = np.stack(case["series"].to_numpy())
+        before, after = ([largest(x) for x in case[c]] for c in ("before", "after"))
+        b, a = (np.array([x[0] for x in side]) for side in (before, after))
+        by = np.hstack([own + pre * np.stack([x[1] for x in before]) + suc * np.stack([x[1] for x in after]), b[:, None], a[:, None]])
+        h = own @ w + pre * b + suc * a
+        soft = np.exp(h - h.max())
+        top, low = soft.argmax(), soft.argmin()
+        spread = soft[top] - soft[low]
+        true = case["label"].to_numpy() == 1
+        total, slope = 0.0, np.zeros(length + 2)
+        if spread > 0 and true.any():
+            s = (soft - soft[low]) / spread
+            d = soft[:, None] * by
+            ds = ((d - d[low]) * spread - (soft - soft[low])[:, None] * (d[top] - d[low])) / spread**2
+            rank = np.empty(len(s))
+            rank[np.argsort(-s, kind="stable")] = np.arange(1, len(s) + 1)
+            gap = s - s[true].mean()
+            total = (np.maximum(gap, 0) / rank).sum()
+            slope = (((ds - ds[true].mean(axis=0)) / rank[:, None])[gap > 0]).sum(axis=0)
+        return pd.DataFrame([[total, *slope]], columns=["loss", *names])
+
+    graded = rows.groupBy("case_id").applyInPandas(grade, ", ".join(f"{c} double" for c in ["loss", *names]))
+    mean = graded.agg(F.avg("loss"), *[F.avg(c) for c in names]).first()
+    if mean[0] is None:
+        return None, np.zeros(length + 2)
+    return mean[0], np.array(mean[1:])
+
+
 def fit_feedback_weights(
     loss: DataFrame,
     cases: DataFrame,
@@ -248,36 +380,31 @@ def fit_feedback_weights(
     edges: DataFrame,
     window: int = 10,
     length: int | None = None,
-    rounds: int = 2,
-    passes: int = 4,
-) -> tuple[list[float], float, float, float]:
-    """Grid search narrowed around the best candidate, then ``passes`` of a coordinate search: ``(weights, pre, suc, loss)``.
-
-    A pass tries each series weight and both neighbour weights a step up and down, all in one
-    job, and takes the best; where none is better the step is halved.
+    steps: int = 20,
+    grid: list[tuple] | None = None,
+) -> tuple[list[float], float, float, float | None]:
+    """Gradient descent from the best candidate of a grid: ``(weights, pre, suc, loss)``.
+
+    A step goes down the gradient of the ranking loss; one that makes the loss larger is taken back and
+    halved.  Each step is one Spark aggregate over stored rows, and the loss never gets worse than
+    that of the grid.
     """
     length = length or window
-    decay, pre, suc, step = [1.0, 0.8, 0.5], [0.0, 0.5], [0.0, 0.5], 0.25
-    best = None
-    for _ in range(rounds):
-        candidates = weight_candidates(length, decay, pre, suc)
-        table = feedback_losses(loss, cases, nodes, edges, candidates, window, length)
-        top = best_candidate(table, candidates).first()
-        _, weights, p, s = candidates[top["candidate"]]
-        d = decay[top["candidate"] // (len(pre) * len(suc))]
-        if best is None or (top["loss"] is not None and top["loss"] < best[3]):
-            best = (weights, p, s, top["loss"])
-        decay = sorted({d, min(1.0, d + step / 2), max(0.05, d - step / 2)})
-        pre, suc = sorted({p, p + step, p - step}), sorted({s, s + step, s - step})
-        step /= 2
-    weights, p, s, least = best
-    point, step = [*weights, p, s], 0.5 / length
-    for _ in range(passes if least is not None else 0):
-        moved = [[*point[:k], x, *point[k + 1 :]] for k in range(length + 2) for x in (point[k] + step, point[k] - step) if x >= 0 or k >= length]
-        candidates = [(i, m[:length], *m[length:]) for i, m in enumerate(moved)]
-        top = best_candidate(feedback_losses(loss, cases, nodes, edges, candidates, window, length), candidates).first()
-        if top["loss"] is not None and top["loss"] < least:
-            point, least = moved[top["candidate"]], top["loss"]
+    grid = grid or weight_candidates(length, [1.0, 0.8, 0.5], [0.0, 0.5], [0.0, 0.5])
+    best = best_candidate(feedback_losses(loss, cases, nodes, edges, grid, window, length), grid).first()
+    _, weights, pre, suc = grid[best["candidate"] if best else 0]
+    point = np.array([*weights, pre, suc], float)
+    rows = feedback_rows(loss, cases, nodes, edges, window, length)
+    least, slope = feedback_gradient(rows, point[:length].tolist(), *point[length:])
+    rate = 0.1
+    for _ in range(steps if least is not None else 0):
+        size = np.linalg.norm(slope)
+        if size == 0 or rate < 1e-4:
+            break
+        there = point - rate * np.linalg.norm(point) * slope / size
+        now, new_slope = feedback_gradient(rows, there[:length].tolist(), *there[length:])
+        if now is not None and now < least:
+            point, least, slope, rate = there, now, new_slope, rate * 1.5
         else:
-            step /= 2
-    return point[:length], point[length], point[length + 1], least
+            rate /= 2
+    return point[:length].tolist(), float(point[length]), float(point[length + 1]), least

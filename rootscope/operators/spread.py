@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rootscope.functions.scalars import epoch_seconds
+from rootscope.session import materialise
 
 DAY = 86_400
 _CHUNK = "_chunk"
@@ -162,6 +163,21 @@ def last_before(
     )
 
 
+def numbered(df: DataFrame, order: list[str], out: str, start: int = 0) -> DataFrame:
+    """``df`` stored with ``out``, the row number by ``order``, whose values have to be distinct.
+
+    Rows are dealt out by ranges of ``order`` and numbered in each; one small row per
+    range carries how many come before it.
+    """
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranged")
+    sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select("_range", F.coalesce(before, F.lit(0)).alias("_offset"))
+    local = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    at = (F.col("_offset") + local + (start - 1)).cast("bigint")
+    return materialise(ranged.join(offsets, "_range").withColumn(out, at).drop("_range", "_offset"), "numbered")
+
+
 def _value_scale(value: Column) -> Column:
     """A rising function of the value that is even on a log scale, 64 steps per octave."""
     size = (F.log2(F.abs(value)) + 1100.0) * 64.0

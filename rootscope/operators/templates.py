@@ -171,13 +171,19 @@ def match_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> Dat
 # --- public operators ------------------------------------------------------------
 
 
-def mine_templates(rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own", batch: int = BATCH) -> DataFrame:
+def mine_templates(
+    rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own", batch: int = BATCH, known: DataFrame | None = None
+) -> DataFrame:
     """``(scope, template_id, pos, n, text)`` from rows with ``text`` and a unique ``pos``.
 
     With a ``scope`` column every scope is mined on its own and numbered from 0.
 
     An empty message never matches, so each opens a template of its own; with
     ``empty='merge'`` they share one.
+
+    ``known`` is the stored result of an earlier run, whose rows all lie before these
+    (``positions_after`` sees to that).  It is continued: its ids stay, its templates match first, and new ones are
+    numbered after them, as one run over both would.
     """
     spark = rows.sparkSession
     messages = named(distinct_messages(rows))
@@ -185,6 +191,13 @@ def mine_templates(rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own",
     found = messages.where("n = 0").drop("mid")
     if empty == "own" and not found.isEmpty():
         found = scoped(rows).where(F.col("text") == "").select("scope", "text", "pos", F.lit(0).alias("n"))
+    if known is not None:
+        known = materialise(scoped(known).select("scope", "template_id", "pos", "n", "text"), "known")
+        if empty == "merge":
+            have = known.where("n = 0").select("scope").distinct()
+            found = found.join(have, "scope", "left_anti")
+        met = match_pairs(undecided, known.where("n > 0"), sim_th).select("mid")
+        undecided = materialise(undecided.join(met, "mid", "left_anti"), "messages")
     decided = materialise(undecided.groupBy("scope", "n").agg((F.min("pos") - 1).alias("start")), "decided")
     while True:
         cuts = materialise(first_undecided(undecided, decided, batch), "cuts")
@@ -201,7 +214,19 @@ def mine_templates(rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own",
         if at:
             discard(spark, at)
         at, decided, batch = rest_at, cuts.withColumnRenamed("cut", "start"), min(2 * batch, LARGEST_BATCH)
-    return number_templates(materialise(found, "templates"))
+    new = number_templates(materialise(found, "templates"))
+    if known is None:
+        return new
+    last = known.groupBy("scope").agg(F.max("template_id").alias("_last"))
+    after = new.join(last, "scope", "left").withColumn("template_id", F.col("template_id") + F.coalesce(F.col("_last") + 1, F.lit(0)))
+    return materialise(known.unionByName(after.drop("_last")), "templates")
+
+
+def positions_after(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` with every ``pos`` moved behind the positions of ``known`` templates."""
+    ends = known.agg(F.coalesce(F.max("pos") + 1, F.lit(0))).scalar()
+    starts = rows.agg(F.coalesce(F.min("pos"), F.lit(0))).scalar()
+    return rows.withColumn("pos", F.col("pos") + F.greatest(ends - starts, F.lit(0)))
 
 
 def number_templates(found: DataFrame) -> DataFrame:

@@ -61,14 +61,21 @@ def log_features(
     assign: str = "pos",
     empty: str = "own",
     scope: str = "all",
+    known: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Log rows with ``instance_id`` and ``pos`` to ``(aligned counts, templates)``."""
+    """Log rows with ``instance_id`` and ``pos`` to ``(aligned counts, templates)``.
+
+    ``known`` are the stored templates of the days before, which are continued; the positions of a day
+    start anew.
+    """
     within = _scope_of(scope)
     # masked once; nothing else of a row goes through the matching
     texts = templates.with_text(rows)
     names = F.lit("") if within is None else within
     texts = materialise(texts.select(names.alias("scope"), "instance_id", "timestamp", "pos", "text"), "texts")
-    mined = templates.mine_templates(texts, sim_th, empty)
+    if known is not None:
+        texts = templates.positions_after(texts, known)
+    mined = templates.mine_templates(texts, sim_th, empty, known=known)
     assigned = templates.assign_templates(texts, mined, sim_th, assign)
     counts = materialise(logs.template_counts(assigned, seconds, zeros=False), "counts")
     # rare templates are merged while the table is sparse

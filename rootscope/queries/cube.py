@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rootscope.functions import scalars as S
@@ -83,6 +84,13 @@ def _reconstruct(s, d):
     return rounded(M.reconstruct(vectors(s, d).select("ts", "node_id", "vec"), ring(s, d), 8))
 
 
+def _reconstruct_given(s, d):
+    """Given components, the first eight axes: what is left are the other features."""
+    whole = M.with_neighbours(vectors(s, d).select("ts", "node_id", "vec"), ring(s, d))
+    mean, std = M.mean_and_deviation(whole)
+    return rounded(M.Reconstruction(mean, std, np.eye(len(mean))[:, :8]).loss(whole))
+
+
 CANDIDATES = M.weight_candidates(8, [1.0, 0.8, 0.5], [0.0, 0.5], [0.0, 0.5])
 
 
@@ -91,12 +99,24 @@ def _feedback_losses(s, d):
     return rounded(M.feedback_losses(small, cases(s, d), nodes(s, d), edges(s, d), CANDIDATES, 360, 8))
 
 
-def _fit_weights(s, d):
-    """The best candidate of the grid, as the fit chooses it in one round."""
+def _best_weights(s, d):
+    """The best candidate of the grid, where the fit starts."""
     small = loss_long(s, d).withColumn("loss", F.col("loss") / 1000.0)
     return rounded(M.best_candidate(M.feedback_losses(small, cases(s, d), nodes(s, d), edges(s, d), CANDIDATES, 360, 8), CANDIDATES))
 
 
+def _fit_weights(s, d):
+    """The whole fit: the loss of the grid, and whether that of the fitted weights, found anew, is no larger."""
+    small = loss_long(s, d).withColumn("loss", F.col("loss") / 1000.0)
+    given = (small, cases(s, d), nodes(s, d), edges(s, d))
+    weights, pre, suc, _ = M.fit_feedback_weights(*given, 360, 8, steps=6, grid=CANDIDATES)
+    both = M.feedback_losses(*given, [*CANDIDATES, (len(CANDIDATES), weights, pre, suc)], 360, 8)
+    fitted = F.col("candidate") == len(CANDIDATES)
+    grid = F.min(F.when(~fitted, F.col("loss")))
+    no_worse = F.max(F.when(fitted, F.col("loss"))) <= grid + 1e-12
+    return rounded(both.agg(grid.alias("grid_loss"), no_worse.alias("no_worse")))
+
+
 QUERIES = {
     "modal_join": lambda s, d: _points(
         C.modal_join(*(_modal(s, d, f, n) for f, n in ((vectors, "metric"), (vectors_sparse, "log"), (vectors, "trace")))), "ts", "node_id"
@@ -123,8 +143,10 @@ QUERIES = {
     "graph_conv": lambda s, d: _points(M.graph_conv(vectors(s, d), ring(s, d), [M.Layer(weights(64))]), "ts", "node_id"),
     "graph_conv_both": lambda s, d: _points(M.graph_conv(vectors_sparse(s, d), ring(s, d), [M.Layer(weights(64), norm="both")]), "ts", "node_id"),
     "reconstruct": _reconstruct,
+    "reconstruct_given": _reconstruct_given,
     "reconstruct_full": lambda s, d: rounded(M.reconstruct(vectors(s, d).select("ts", "node_id", "vec"), ring(s, d), 128)),
     "feedback_losses": _feedback_losses,
+    "best_feedback_weights": _best_weights,
     "fit_feedback_weights": _fit_weights,
     "date_to_epoch": lambda s, d: table(s, d, "orders")
     .select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
@@ -191,6 +213,9 @@ ORACLE = {
         "cases loss_long edges", f"SELECT candidate, round(loss, 6) AS loss FROM ({_LOSSES})", _WEIGHTS
     ),
     "fit_feedback_weights": with_sql(
+        "cases loss_long edges", f"SELECT round(min(loss), 6) AS grid_loss, true AS no_worse FROM ({_LOSSES}) l", _WEIGHTS
+    ),
+    "best_feedback_weights": with_sql(
         "cases loss_long edges",
         f"""SELECT candidate, CAST(pre AS DOUBLE) AS pre, CAST(suc AS DOUBLE) AS suc, round(loss, 6) AS loss FROM ({_LOSSES}) l
         JOIN (SELECT CAST(candidate AS INTEGER) AS candidate, p AS pre, q AS suc FROM candidates) USING (candidate)
@@ -255,6 +280,14 @@ ORACLE = {
         SELECT ts, node_id, j, sum(value * ((i * 7 + j * 3) % 11 - 5) / 10) AS h FROM near CROSS JOIN (SELECT unnest(range({OUT_DIM})) AS j) GROUP BY 1, 2, 3)""",
         _RING,
     ),
+    "reconstruct_given": with_sql(
+        "vectors",
+        """SELECT ts, node_id, round(sum(z * z) / 128, 6) AS loss FROM (
+        SELECT ts, node_id, i, (value - avg(value) OVER w) / CASE WHEN stddev_samp(value) OVER w > 0 THEN stddev_samp(value) OVER w ELSE 1 END AS z
+        FROM (SELECT ts, node_id, i, value FROM own UNION ALL SELECT o.ts, o.node_id, o.i + 64, coalesce(n.value, 0) FROM own o LEFT JOIN near n USING (ts, node_id, i))
+        WINDOW w AS (PARTITION BY i)) WHERE i >= 8 GROUP BY 1, 2""",
+        {**_RING, "own": "SELECT ts, node_id, generate_subscripts(vec, 1) - 1 AS i, unnest(vec) AS value FROM vectors"},
+    ),
     # with all components nothing is lost
     "reconstruct_full": with_sql("vectors", "SELECT ts, node_id, CAST(0 AS DOUBLE) AS loss FROM vectors"),
     "graph_conv_both": with_sql(

@@ -1,8 +1,7 @@
 """Readers for raw telemetry files.
 
-Each call reads one glob or several.  CSV columns go by the header.  Metric files have
-a header each, so a folder may hold a file per metric.  Elsewhere a file whose header
-differs from the first one of its glob is an error, never read in the wrong order.
+Each call reads one glob or several.  CSV columns go by the header, and every file has its own, so
+that a folder may hold a file per metric or files of several versions of an exporter.
 """
 
 from __future__ import annotations
@@ -29,13 +28,6 @@ def _kind(path: str) -> str:
     return name.rsplit(".", 1)[-1].lower() if "." in name else ""
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as text, by header."""
-    plain = spark.read.option("header", True)
-    schema = plain.csv(path).schema
-    return plain.option("enforceSchema", False).schema(schema).csv(path)
-
-
 def _fields(line: Column) -> Column:
     """Fields of a CSV line; quoted ones may hold commas and doubled quotes."""
     plain = F.split(line, ",")
@@ -46,26 +38,54 @@ def _fields(line: Column) -> Column:
     return F.transform(F.when(F.contains(line, F.lit('"')), quoted).otherwise(plain), lambda f: F.trim(f))
 
 
+def _lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Lines of CSV files with their place, and ``(_file, _head)``, the first line of each file.
+
+    Blank lines do not count.  The header table has one row per file and is stored.
+    """
+    lines = _with_file(spark.read.text(path)).withColumn("value", F.regexp_replace("value", "^\ufeff|\r$", ""))
+    lines = _in_file_order(lines.where(F.trim("value") != ""))
+    heads = lines.where("_block = 0").groupBy("_file").agg(F.min_by("value", "_id").alias("_head"))
+    return lines, materialise(heads, "headers")
+
+
 def _csv_by_file(spark: SparkSession, path: str) -> DataFrame:
     """``names``, ``fields``, ``_stem`` of every line of CSV files, each file by its own header.
 
     One plan for any number of files and headers: the first line of each file is joined to
-    its lines.  The header table has one row per file.
+    its lines.
     """
-    lines = _with_file(spark.read.text(path)).withColumns(
-        {
-            "_at": F.col("_metadata.file_block_start"),
-            "_row": F.monotonically_increasing_id(),
-            "value": F.regexp_replace("value", "^\ufeff|\r$", ""),
-        }
-    )
-    lines = lines.where(F.trim("value") != "")
-    heads = lines.where("_at = 0").groupBy("_file").agg(F.min_by("value", "_row").alias("_head"))
-    heads = materialise(heads, "headers")
+    lines, heads = _lines(spark, path)
     rows = lines.join(heads, "_file").where(F.col("value") != F.col("_head"))
     return rows.select(_fields(F.col("_head")).alias("names"), _fields(F.col("value")).alias("fields"), "_file", "_stem")
 
 
+def _csv(spark: SparkSession, path: str, wanted: list[str], complete: bool = False) -> DataFrame:
+    """The wanted columns as text, each file by its own header, with ``_file``, ``_stem``, ``_block`` and ``_id``.
+
+    A column that no file has is left out; where some lack it, it is NULL there.  With ``complete``
+    files that lack one are left out with a warning.  Lines are read by Spark's CSV parser.
+    """
+    lines, heads = _lines(spark, path)
+    width = heads.agg(F.max(F.size(F.split("_head", ",")))).first()[0] or 1
+    schema = ", ".join(f"c{i} string" for i in range(width))
+
+    def fields(rows: DataFrame, line: str, out: str) -> DataFrame:
+        parsed = rows.withColumn("_parsed", F.from_csv(F.col(line), schema))
+        return parsed.withColumn(out, F.array(*[F.col(f"_parsed.c{i}") for i in range(width)])).drop("_parsed")
+
+    heads = fields(heads, "_head", "_names").withColumn("_names", F.transform("_names", lambda n: F.trim(n)))
+    if complete:
+        whole = F.size(F.array_intersect("_names", F.array(*[F.lit(n) for n in wanted]))) == len(wanted)
+        for r in heads.where(~whole).select("_file").limit(3).collect():
+            warnings.warn(f"file without {', '.join(wanted[:-1])} or {wanted[-1]}: {r[0]}", stacklevel=3)
+        heads = heads.where(whole)
+    known = {r[0] for r in heads.select(F.explode("_names")).distinct().collect()}  # names of columns
+    rows = fields(lines.join(heads, "_file").where(F.col("value") != F.col("_head")), "value", "_fields")
+    picks = [F.get("_fields", F.array_position("_names", F.lit(n)).cast("int") - 1).alias(n) for n in wanted if n in known]
+    return rows.select(*picks, "_file", "_stem", "_block", "_id")
+
+
 def _cells_by_header(rows: DataFrame, instance_col: str) -> DataFrame:
     """Metric rows of lines with names: long files as they are, wide ones melted."""
     field = lambda name: F.nullif(F.get("fields", F.array_position("names", F.lit(name)).cast("int") - 1), F.lit(""))
@@ -182,18 +202,15 @@ def read_logs(
     """``(timestamp, service, message, file, pos, ts_ok)`` from csv, json or text files.
 
     ``pos`` numbers the rows in file order.  Text files have no service column: the
-    file stem stands in.
+    file stem stands in.  CSV files without a time, message or service are left out with a warning.
     """
     parts = []
     for path in _paths(paths):
         ext = kind or _kind(path)
         if ext == "csv":
-            df = _csv(spark, path)
-        elif ext == "json":
-            df = _json(spark, path, json_lines)
+            df = _csv(spark, path, ["timestamp", "message", "service"], complete=True)
         else:
-            df = spark.read.text(path)
-        df = _in_file_order(_with_file(df))
+            df = _in_file_order(_with_file(_json(spark, path, json_lines) if ext == "json" else spark.read.text(path)))
         if ext not in ("csv", "json"):
             df = S.parse_log_lines(df, "value", year).withColumn("service", F.col("_stem"))
         elif {"timestamp", "message", "service"} <= set(df.columns):
@@ -273,6 +290,12 @@ def normalise_spans(raw: DataFrame) -> DataFrame:
     return raw.select(*[pick(n) for n in SPAN_FIELDS], tags, process, *extra)
 
 
+def _csv_spans(spark: SparkSession, path: str) -> DataFrame:
+    names = [n for both in SPAN_FIELDS.values() for n in both]
+    raw = _csv(spark, path, [*dict.fromkeys(names), "instance_id", "host", "hostname"])
+    return raw.withColumnRenamed("_file", "file").drop("_stem", "_block", "_id")
+
+
 def read_spans(spark: SparkSession, paths: str | list[str], json_lines: bool = False, kind: str | None = None) -> DataFrame:
     """Normalised spans from JSON or CSV, with their ``file``.
 
@@ -283,7 +306,7 @@ def read_spans(spark: SparkSession, paths: str | list[str], json_lines: bool = F
     parts = []
     for path in _paths(paths):
         if (kind or _kind(path)) == "csv":
-            df = _csv(spark, path).withColumn("file", F.col("_metadata.file_path"))
+            df = _csv_spans(spark, path)
         else:
             df = _json(spark, path, json_lines, schema).withColumn("file", F.col("_metadata.file_path"))
             own = F.struct(*[c for c in df.columns if c not in ("spans", "traces", "file")])
@@ -324,22 +347,26 @@ _BY_SERVICE = r"/(?:[^/=]+=)?([^/]+)/(?:[^/=]+=)?([^/]+)/(?:trace/)?[^/]+$"
 
 def read_trace_by_service(spark: SparkSession, root: str, pattern: str = "*/*/trace/trace.csv") -> DataFrame:
     """Spans of ``root/<service>/<date>/trace/trace.csv`` with the folder's service and date."""
-    raw = _csv(spark, f"{root.rstrip('/')}/{pattern}").withColumn("file", F.col("_metadata.file_path"))
+    raw = _csv_spans(spark, f"{root.rstrip('/')}/{pattern}")
     return normalise_spans(raw).withColumns(
         {"folder_service": F.regexp_extract("file", _BY_SERVICE, 1), "date": F.regexp_extract("file", _BY_SERVICE, 2)}
     )
 
 
+# Columns of ground-truth files.
+TRUTH = ["st_time", "instance", "anomaly_type"]
+
+
 def read_groundtruth(spark: SparkSession, root: str, pattern: str = "*/*/groundtruth.csv") -> DataFrame:
     """All ground-truth files below a root as one table; empty if there are none."""
     try:
-        raw = _csv(spark, f"{root.rstrip('/')}/{pattern}")
+        raw = _csv(spark, f"{root.rstrip('/')}/{pattern}", TRUTH)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         warnings.warn(f"no ground truth below {root}", stacklevel=2)
-        return spark.createDataFrame([], "st_time string, instance string, anomaly_type string")
-    return raw.select("st_time", "instance", "anomaly_type")
+        return spark.createDataFrame([], ", ".join(f"{n} string" for n in TRUTH))
+    return raw.select(*TRUTH)
 
 
 # --- vectors ---------------------------------------------------------------------
@@ -401,9 +428,9 @@ def read_feature_json(spark: SparkSession, path: str) -> DataFrame:
 
 def read_vector_csv(spark: SparkSession, path: str, instance: str = r"/([^/]+)/[^/]+$") -> DataFrame:
     """``(instance, ts, vec)`` from CSV ``(timestamp, value="[…]")`` in one folder per service."""
-    raw = _csv(spark, path).withColumn("_path", F.col("_metadata.file_path"))
+    raw = _csv(spark, path, ["timestamp", "value"])
     return raw.select(
-        F.regexp_extract("_path", instance, 1).alias("instance"),
+        F.regexp_extract("_file", instance, 1).alias("instance"),
         F.col("timestamp").cast("double").cast("bigint").alias("ts"),
         parse_vector("value").alias("vec"),
     )

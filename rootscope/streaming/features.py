@@ -69,3 +69,22 @@ def trace_features(parsed: DataFrame, seconds: int = 60, watermark: str = "5 min
     percentiles = [F.col("_p")[i].alias(f"p{p}_latency") for i, p in enumerate(traces.PERCENTILES)]
     wide = found.select("*", *percentiles)
     return wide.select("instance_id", _start(), *traces.FEATURES)
+
+
+def call_pairs(parsed: DataFrame, watermark: str = "5 minutes", reach: str = "5 minutes") -> DataFrame:
+    """Distinct ``(caller, callee)`` services from parent spans, whichever of the two arrives first.
+
+    Spark keeps parents and children of each trace until the watermark says that no partner can come;
+    the start of a parent lies within ``reach`` of its child's.  Pairs are emitted once.
+    """
+    timed = parsed.withColumn("timestamp", F.col("timestamp").cast("timestamp")).withWatermark("timestamp", watermark)
+    service = F.col("service_name")
+    parents = timed.where(service.isNotNull()).select(
+        F.col("trace_id").alias("_trace"), F.col("span_id").alias("_parent"), F.col("timestamp").alias("_at"), service.alias("caller")
+    )
+    children = timed.where(service.isNotNull() & F.col("parent_span_id").isNotNull()).select(
+        "trace_id", "parent_span_id", "timestamp", service.alias("callee")
+    )
+    near = F.expr(f"_at BETWEEN timestamp - INTERVAL {reach} AND timestamp + INTERVAL {reach}")
+    met = children.join(parents, (F.col("trace_id") == F.col("_trace")) & (F.col("parent_span_id") == F.col("_parent")) & near)
+    return met.select("caller", "callee").dropDuplicates()

@@ -13,6 +13,8 @@ from rootscope.operators.spread import block_chunk, previous_in_group
 from rootscope.operators.traces import parse_spans
 from rootscope.sources import files as R
 from rootscope.sources import sinks as W
+from rootscope.plans import diagnose
+from rootscope.queries import adapters as A
 from rootscope.sources.cases import project_cases
 
 
@@ -129,11 +131,27 @@ def test_path_date(spark):
     assert [r[0] for r in df.select(W.path_date("p")).collect()] == ["2024-01-02", "unknown_date"]
 
 
-def test_log_csv_with_another_header_is_an_error(spark, tmp_path):
-    put(f"{tmp_path}/a.csv", "timestamp,service,message\n1,a,2\n")
-    put(f"{tmp_path}/b.csv", "message,service,timestamp\n1,a,2\n")
-    with pytest.raises(Exception):
-        R.read_logs(spark, f"{tmp_path}/*.csv").collect()
+def test_csv_files_of_one_glob_with_different_headers(spark, tmp_path):
+    put(f"{tmp_path}/l/a.csv", "timestamp,service,message\n60,s1,one\n\n61,s1,\" two, 2\"\n")
+    put(f"{tmp_path}/l/b.csv", "message,level,timestamp, service\nthree,INFO,62,s2\n")
+    put(f"{tmp_path}/l/c.csv", "text,timestamp\nno,63\n")
+    with pytest.warns(UserWarning, match="c.csv"):
+        logs = R.read_logs(spark, f"{tmp_path}/l/*.csv").orderBy("pos").collect()
+    assert [(r.service, r.message, r.pos) for r in logs] == [("s1", "one", 0), ("s1", " two, 2", 1), ("s2", "three", 2)]
+    put(f"{tmp_path}/t/a.csv", "traceId,spanId,serviceName,duration\nt,1,s,5\n")
+    put(f"{tmp_path}/t/b.csv", "service_name,trace_id,span_id,parent_span_id\ns,t,2,1\n")
+    spans = R.read_spans(spark, f"{tmp_path}/t/*.csv").orderBy("span_id").collect()
+    assert [(r.trace_id, r.span_id, r.parent_span_id, r.service_name, r.duration) for r in spans] == [
+        ("t", "1", None, "s", "5"), ("t", "2", "1", "s", None),
+    ]
+    put(f"{tmp_path}/g/d1/x/groundtruth.csv", "st_time,instance,anomaly_type\n2024-01-01 00:00:00,a,cpu\n")
+    put(f"{tmp_path}/g/d2/x/groundtruth.csv", "instance,level,st_time,anomaly_type\nb,1,2024-01-02 00:00:00,mem\n")
+    truth = R.read_groundtruth(spark, f"{tmp_path}/g").orderBy("instance").collect()
+    assert [tuple(r) for r in truth] == [("2024-01-01 00:00:00", "a", "cpu"), ("2024-01-02 00:00:00", "b", "mem")]
+    put(f"{tmp_path}/v/s1/a.csv", 'timestamp,value\n60,"[1, 2]"\n')
+    put(f"{tmp_path}/v/s2/a.csv", 'value,note,timestamp\n"[3]",x,120\n')
+    vectors = R.read_vector_csv(spark, f"{tmp_path}/v/*/a.csv").orderBy("ts").collect()
+    assert [tuple(r) for r in vectors] == [("s1", 60, [1.0, 2.0]), ("s2", 120, [3.0])]
 
 
 # --- models
@@ -210,26 +228,85 @@ def test_injected_fault_has_the_largest_loss(spark):
     assert (top.ts, top.node_id) == (20, 2)
 
 
-def test_weight_search_does_not_get_worse(spark):
-    cases = spark.createDataFrame([(1, 600, "n1"), (2, 1200, "n2")], "case_id int, timestamp bigint, cmdb_id string")
-    rows = [(t, f"n{n}", float((t // 60 * (n + 1)) % 11) / 10) for t in range(0, 2400, 60) for n in range(3)]
+def feedback_case(spark):
+    cases = spark.createDataFrame([(1, 600, "n1"), (2, 1200, "n2"), (3, 900, "other")], "case_id int, timestamp bigint, cmdb_id string")
+    rows = [(t, f"n{n}", float((t // 60 * (n + 1)) % 11) / 10) for t in range(0, 2400, 60) for n in range(4)]
     loss = spark.createDataFrame(rows, "ts bigint, node string, loss double")
-    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(3)], "node string, node_id int")
-    edges = spark.createDataFrame([(0, 1), (1, 2)], "src int, dst int")
-    first = model.fit_feedback_weights(loss, cases, nodes, edges, 10, 4, rounds=1)
-    second = model.fit_feedback_weights(loss, cases, nodes, edges, 10, 4, rounds=2)
-    assert second[3] <= first[3] and len(second[0]) == 4
-    assert cube.modal_spans([1, 1])[-1] == (1, 1)
+    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(4)], "node string, node_id int")
+    edges = spark.createDataFrame([(0, 1), (1, 2), (3, 2), (2, 2)], "src int, dst int")
+    return loss, cases, nodes, edges
+
+
+def test_gradient_of_the_ranking_loss(spark):
+    given = feedback_case(spark)
+    rows = model.feedback_rows(*given, 10, 4)
+    at = np.array([0.1, 0.2, 0.3, 0.4, 0.3, 0.2])
+    least, slope = model.feedback_gradient(rows, at[:4].tolist(), *at[4:])
+    step = 1e-5
+    moved = [at + sign * step * np.eye(6)[k] for k in range(6) for sign in (1, -1)]
+    candidates = [(i, m[:4].tolist(), *m[4:]) for i, m in enumerate([at, *moved])]
+    got = {r.candidate: r.loss for r in model.feedback_losses(*given, candidates, 10, 4).collect()}
+    assert abs(got[0] - least) < 1e-12
+    assert slope == pytest.approx([(got[2 * k + 1] - got[2 * k + 2]) / (2 * step) for k in range(6)], abs=1e-5)
+    assert np.abs(slope).max() > 0.01
+
+
+def test_fit_goes_below_the_grid(spark):
+    given = feedback_case(spark)
+    grid = model.weight_candidates(4, [1.0, 0.5], [0.0, 0.5], [0.0])
+    best = model.best_candidate(model.feedback_losses(*given, grid, 10, 4), grid).first()
+    weights, pre, suc, least = model.fit_feedback_weights(*given, 10, 4, steps=8, grid=grid)
+    assert least < best.loss and len(weights) == 4
+    again = model.feedback_losses(*given, [(0, weights, pre, suc)], 10, 4).first()
+    assert abs(again.loss - least) < 1e-9
+    none = given[0].where("false")
+    assert model.fit_feedback_weights(none, *given[1:], 10, 4, grid=grid)[3] is None
 
 
-def test_coordinate_search_over_all_weights(spark):
-    cases = spark.createDataFrame([(1, 600, "n1"), (2, 1200, "n2")], "case_id int, timestamp bigint, cmdb_id string")
-    rows = [(t, f"n{n}", float((t // 60 * (n + 1)) % 11) / 10) for t in range(0, 2400, 60) for n in range(3)]
-    loss = spark.createDataFrame(rows, "ts bigint, node string, loss double")
-    nodes = spark.createDataFrame([(f"n{i}", i) for i in range(3)], "node string, node_id int")
-    edges = spark.createDataFrame([(0, 1), (1, 2)], "src int, dst int")
-    grid = model.fit_feedback_weights(loss, cases, nodes, edges, 10, 4, rounds=1, passes=0)
-    weights, pre, suc, least = model.fit_feedback_weights(loss, cases, nodes, edges, 10, 4, rounds=1, passes=3)
-    assert least < grid[3] and len(weights) == 4 and min(weights) >= 0
-    again = model.feedback_losses(loss, cases, nodes, edges, [(0, weights, pre, suc)], 10, 4).first()
-    assert abs(again.loss - least) < 1e-9
+def test_directions_equal_principal_components(spark):
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    points = A.vectors(spark, "/root/testdata/sf0.01").select("ts", "node_id", "vec")
+    fitted = model.fit_reconstruction(points, 8)
+    rows = model._standardised(points, fitted.mean, fitted.std)
+    pca = PCA(k=8, inputCol="features", outputCol="out").fit(rows.select(array_to_vector("vec").alias("features")))
+    exact = model.Reconstruction(fitted.mean, fitted.std, np.asarray(pca.pc.toArray()))
+    both = fitted.loss(points).join(exact.loss(points).withColumnRenamed("loss", "want"), ["ts", "node_id"])
+    assert both.count() == points.count() and both.where("abs(loss - want) > 1e-6").count() == 0
+
+
+def test_wide_vectors_are_reconstructed(spark):
+    from pyspark.sql import functions as F
+
+    # three directions in 20,000 features: nothing is left after three components
+    width = 20_000
+    part = lambda k: F.sin(F.col("id") * (k + 1) + k)
+    vec = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: sum(part(k) * F.cos(i * (0.01 * k + 0.002)) for k in range(3)))
+    points = spark.range(0, 60).select(F.col("id").alias("ts"), F.lit(0).alias("node_id"), vec.alias("vec"))
+    fitted = model.fit_reconstruction(points, 3)
+    assert fitted.components.shape == (width, 3)
+    assert fitted.loss(points).agg(F.max("loss")).first()[0] < 1e-6
+    assert model.fit_reconstruction(points, 1).loss(points).agg(F.max("loss")).first()[0] > 1e-3
+
+
+def test_cube_of_very_many_features(spark):
+    from pyspark.sql import functions as F
+
+    n = 150_000
+    cells = spark.range(0, n).select(
+        (F.col("id") % 2).cast("int").alias("k"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("feature"), F.col("id").cast("double").alias("value")
+    )
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    times = spark.range(0, 4).select((start + F.expr("make_dt_interval(0, 0, id, 0)")).alias("timestamp"), F.col("id").alias("t"))
+    metric = cells.join(times).select(F.concat(F.lit("n"), F.col("k").cast("string")).alias("instance_id"), "timestamp", "feature", (F.col("value") + F.col("t")).alias("value"))
+    small = metric.where("feature < 'f000010'").withColumn("feature", F.concat(F.lit("x"), "feature"))
+    nodes = spark.createDataFrame([("n0", 0), ("n1", 1)], "node string, node_id int")
+    cube_ = diagnose.build_cube(metric, small, small, nodes)
+    assert cube_.spans == [(0, n - 1), (n, n + 9), (n + 10, n + 19)] and cube_.layout.count() == n + 20
+    row = cube_.points.where("node_id = 1").orderBy("ts").first()
+    assert len(row.vec) == n + 20 and row.vec[:4] == [0.0, 1.0, 0.0, 3.0] and row.vec[n : n + 4] == [0.0, 1.0, 0.0, 3.0]
+    edges = spark.createDataFrame([(0, 1)], "src int, dst int")
+    cases = spark.createDataFrame([(1, 1_704_067_260, "n1")], "case_id int, timestamp bigint, cmdb_id string")
+    ranked = diagnose.diagnose(cube_, cases, nodes, edges, 2, 10)
+    assert sorted(r.node for r in ranked.collect()) == ["n0", "n1"]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rootscope.operators import templates, traces
+from rootscope.operators import graph, templates, traces
 from rootscope.queries import adapters as A
 from rootscope.streaming import features as S
 
@@ -98,3 +98,21 @@ def test_template_counts_with_a_dictionary_too_large_to_send(spark, tmp_path):
     both = got.join(want, ["instance_id", "timestamp", "feature"])
     assert both.count() == got.count() > 1500 and both.where("value <> want").count() == 0
     assert got.where("feature = 'template_unknown'").count() > 0
+
+
+def test_call_pairs_of_shuffled_arrivals(spark, tmp_path):
+    n = 4_000
+    at = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    spans = spark.range(0, n).select(
+        (at + F.expr("make_dt_interval(0, 0, 0, id)")).alias("timestamp"),
+        (F.col("id") / 40).cast("int").cast("string").alias("trace_id"),
+        F.col("id").cast("string").alias("span_id"),
+        F.when(F.col("id") % 40 > 0, (F.col("id") - 1).cast("string")).alias("parent_span_id"),
+        F.concat(F.lit("s"), F.pmod(F.xxhash64("id"), F.lit(60)).cast("string")).alias("service_name"),
+        # children come up to four minutes before their parents, or after them
+        (F.col("id") + F.pmod(F.xxhash64("id", F.lit(1)), F.lit(240))).alias("arrival"),
+    )
+    got = run(spark, lambda s: S.call_pairs(s, "10 minutes", "5 minutes"), spans, tmp_path, "c", order="arrival")
+    want = {tuple(r) for r in graph.call_pairs(spans).collect()}
+    pairs = [tuple(r) for r in got.collect()]
+    assert len(pairs) == len(set(pairs)) and set(pairs) == want and len(want) > 1_500

@@ -142,3 +142,26 @@ def test_scopes_never_meet(spark):
         got = sorted((r.template_id, r.text) for r in mined.where(F.col("scope") == name).collect())
         assert got == [(i, " ".join(t)) for i, t in enumerate(opened)]
         assert [r.template_id for r in ids.where(F.col("scope") == name).orderBy("pos").collect()] == want
+
+
+@pytest.mark.parametrize("empty", ["own", "merge"])
+def test_a_dictionary_is_continued(spark, empty):
+    lists = random_lists(21, 150)
+    rows = frame(spark, lists)
+    whole = T.mine_templates(rows, empty=empty)
+    known, ids = None, {}
+    for first, last in ((0, 150), (150, 300), (300, 500)):
+        day = rows.where((F.col("pos") >= first) & (F.col("pos") < last))
+        known = T.mine_templates(day, empty=empty, batch=7, known=known)
+        ids |= {r.pos: r.template_id for r in T.assign_templates(day, known).collect()}
+    assert sorted(map(tuple, known.collect())) == sorted(map(tuple, whole.collect()))
+    assert ids == {r.pos: r.template_id for r in T.assign_templates(rows, whole).collect()}
+
+
+def test_days_that_count_from_zero(spark):
+    first, second = frame(spark, [["a", "b"], ["c", "d"]]), frame(spark, [["c", "d"], ["e", "f"], ["a", "b"]])
+    known = T.mine_templates(first)
+    day = T.positions_after(second, known)
+    more = T.mine_templates(day, known=known)
+    assert [r.text for r in more.orderBy("template_id").collect()] == ["a b", "c d", "e f"]
+    assert [r.template_id for r in T.assign_templates(day, more).orderBy("pos").collect()] == [1, 2, 0]
