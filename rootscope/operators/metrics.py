@@ -74,19 +74,21 @@ def dense_cells(cells: DataFrame, schema: str = "own", fill: float = 0.0, scope:
     made anew: no join with a grid, no look-up per cell.
     """
     here = F.lit("") if scope is None else scope
+    within = [] if scope is None else ["_scope"]
     cell = F.struct("feature", "value")
     none, filled = F.lit(None).cast(cells.schema["value"].dataType), F.lit(float(fill))
     if schema == "intersection":
         names = common_features(cells, scope)
-        kept = cells.withColumn("_scope", here).join(names.withColumn("_kept", F.lit(True)), ["_scope", "feature"], "left")
-        rows = kept.groupBy("_scope", "instance_id", "timestamp").agg(F.collect_list(F.when(F.col("_kept"), cell)).alias("_cells"))
-        rows = _with_names(rows, names).withColumn("_absent", absent_cells(F.col("_names"), F.col("_cells"), none))
+        marked = names.select(*within, "feature", F.lit(True).alias("_kept"))
+        kept = cells.withColumn("_scope", here).join(marked, [*within, "feature"], "left")
+        rows = kept.groupBy(*within, "instance_id", "timestamp").agg(F.collect_list(F.when(F.col("_kept"), cell)).alias("_cells"))
+        rows = _with_names(rows, names, within).withColumn("_absent", absent_cells(F.col("_names"), F.col("_cells"), none))
     else:
-        rows = cells.withColumn("_scope", here).groupBy("_scope", "instance_id", "timestamp").agg(F.collect_list(cell).alias("_cells"))
+        rows = cells.groupBy("instance_id", "timestamp").agg(F.collect_list(cell).alias("_cells"))
         own = instance_features(cells)
         if schema == "union":
             every = cells.select(here.alias("_scope"), "feature").distinct()
-            own = _with_names(own.withColumn("_scope", here), every).drop("_scope")
+            own = _with_names(own.withColumn("_scope", here), every, within)
             own = own.select("instance_id", "own", F.array_except("_names", "own").alias("_others"))
         rows = rows.join(own, "instance_id").withColumn("_absent", absent_cells(F.col("own"), F.col("_cells"), none))
         if schema == "union":
@@ -97,11 +99,13 @@ def dense_cells(cells: DataFrame, schema: str = "own", fill: float = 0.0, scope:
     )
 
 
-def _with_names(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """Adds ``_names``, the features of the row's ``_scope``: as long as the schema is wide, empty if there are none."""
-    listed = materialise(names.groupBy("_scope").agg(F.collect_set("feature").alias("_names")), "names")
+def _with_names(rows: DataFrame, names: DataFrame, within: list[str]) -> DataFrame:
+    """Adds ``_names``, the features of the row's scope, if there are scopes: as long as the schema is wide."""
     none = F.array().cast("array<string>")
-    return rows.join(listed, "_scope", "left").withColumn("_names", F.coalesce("_names", none))
+    if not within:
+        return rows.withColumn("_names", F.coalesce(names.agg(F.collect_set("feature")).scalar(), none))
+    listed = materialise(names.groupBy(*within).agg(F.collect_set("feature").alias("_names")), "names")
+    return rows.join(listed, within, "left").withColumn("_names", F.coalesce("_names", none))
 
 
 # --- cleaning --------------------------------------------------------------------
