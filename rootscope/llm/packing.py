@@ -45,7 +45,7 @@ LONG, STRIDE = 512, 256
 #: Shorter windows that need no padding.
 POWERS = [512, 1024, 2048]
 #: Words of a generation; a worker keeps the ids of two generations.
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 #: Runs of marks that a worker keeps.
 MAX_MARKS = 10_000
 #: Letters whose normal form is themselves in lower case, between ASCII marks. No apostrophe, as 's and the like are
@@ -62,9 +62,9 @@ _ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
 class Encoder:
     """Ids as little-endian 32-bit bytes. The vocabulary drops white space and never joins text
-    across it, so words between white space are encoded once and remembered. It also
-    cuts between letters and marks and lowers letters, so a plain word with marks around it is put together
-    from three parts, and its letters go to the library's model by themselves."""
+    across it, so the different words of a slice are encoded once. It also cuts between letters
+    and marks and lowers letters, so a plain word with marks around it is put together from three parts;
+    its letters go to the library's model by themselves and are remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,11 +72,9 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        # two generations each: words met again move on to the younger
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        # two generations: words met again move on to the younger
         self.letters: dict[str, bytes] = {}
-        self.older_letters: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
             vocabulary = json.load(f)["model"]["vocab"]
@@ -96,12 +94,7 @@ class Encoder:
             lists = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
         coded = lists.flatten().dictionary_encode()
         words = coded.dictionary.to_pylist()
-        known = list(map(self.words.get, words))
-        new = [i for i, ids in enumerate(known) if ids is None]
-        if new:
-            for i, ids in zip(new, self._learn([words[i] for i in new])):
-                known[i] = ids
-            self._forget()
+        known = self._each(words)
         # words are gathered by number; the last one is the end of a text
         known.append(np.array([END_ID], "<u4").tobytes())
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
@@ -114,31 +107,30 @@ class Encoder:
         ids = np.frombuffer(b"".join(known), "<u4")[np.arange(upto[-1]) + np.repeat(first[order] - upto + counts, counts)]
         return ids, np.diff(upto[ends + np.arange(len(texts))], prepend=0)
 
-    def _learn(self, new: list[str]) -> list[bytes]:
-        older, letters, marks = self.older, self.letters, self.marks
-        out, odd = [], []
-        for w in new:
-            ids = older.get(w)
-            if ids is None:
-                if w.isascii() and w.isalpha():
-                    word = w.lower()
-                    ids = letters.get(word) or self._letters(word)
-                elif plain := _PLAIN.fullmatch(w):
-                    before, word, after = plain.groups()
-                    word = word.lower()
-                    ids = letters.get(word) or self._letters(word)
-                    if before:
-                        ids = (marks.get(before) or self._mark(before)) + ids
-                    if after:
-                        ids += marks.get(after) or self._mark(after)
-                elif w:
+    def _each(self, words: list[str]) -> list[bytes]:
+        """The ids of each of different words."""
+        if len(self.letters) > MAX_WORDS:
+            self.older, self.letters = self.letters, {}
+        letters, marks, out, odd = self.letters, self.marks, [], []
+        for w in words:
+            if w.isascii() and w.isalpha():
+                word = w.lower()
+                ids = letters.get(word) or self._letters(word)
+            elif plain := _PLAIN.fullmatch(w):
+                before, word, after = plain.groups()
+                word = word.lower()
+                ids = letters.get(word) or self._letters(word)
+                if before:
+                    ids = (marks.get(before) or self._mark(before)) + ids
+                if after:
+                    ids += marks.get(after) or self._mark(after)
+            else:
+                ids = b""
+                if w:
                     odd.append(len(out))
-                else:
-                    ids = b""
             out.append(ids)
-        for i, ids in zip(odd, self._encode([new[i] for i in odd]) if odd else ()):
+        for i, ids in zip(odd, self._encode([words[i] for i in odd]) if odd else ()):
             out[i] = ids
-        self.words.update(zip(new, out))
         return out
 
     def _mark(self, run: str) -> bytes:
@@ -148,7 +140,7 @@ class Encoder:
         return ids
 
     def _letters(self, word: str) -> bytes:
-        ids = self.older_letters.get(word)
+        ids = self.older.get(word)
         if ids is None:
             plain = word if word.isascii() else word.encode().decode("latin-1").translate(_AS_LETTERS)
             found = self.model.tokenize(plain)
@@ -156,12 +148,6 @@ class Encoder:
         self.letters[word] = ids
         return ids
 
-    def _forget(self) -> None:
-        if len(self.words) > MAX_WORDS:
-            self.older, self.words = self.words, {}
-        if len(self.letters) > MAX_WORDS:
-            self.older_letters, self.letters = self.letters, {}
-
 
 @lru_cache(1)
 def encoder(name: str) -> Encoder:
