@@ -62,9 +62,15 @@ def map_texts(
     return df.select(*keep, "text").mapInArrow(run, full)
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, made longer until no column has it, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_row_number(docs: DataFrame, label: str) -> tuple[DataFrame, str]:
     """``docs`` stored with a column that tells repeated rows apart, and that column's name."""
-    row = "_row"
-    while row in docs.columns:
-        row += "_"
+    row = free_name(docs, "_row")
     return materialise(docs.withColumn(row, F.monotonically_increasing_id()), label), row

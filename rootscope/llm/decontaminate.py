@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rootscope.llm.common import ascii_lower, whole_text
+from rootscope.llm.common import ascii_lower, free_name, whole_text
 from rootscope.session import materialise
 
 WINDOW, GRAM = 10, 5
@@ -175,7 +175,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     is ten consecutive words of an item, or the whole of a shorter item; a document word inside
     an occurrence of any window is hit. Null and empty texts have no words: documents with none
     are clean and items with none match nothing. Items with one id count once, an unknown id
-    is the empty string. Repeated documents have repeated rows. Other columns are not read.
+    is the empty string. Repeated documents have repeated rows. An empty table of documents gives no
+    rows, an empty benchmark leaves all clean. Other columns are not read.
     """
     read, shared, items = shared_windows(docs, benchmark)
     words = shared.groupBy(*KEY).agg(_covered().alias("n_hit"))
@@ -196,11 +197,16 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without the rows that share a window with the benchmark, all columns kept."""
+    """``docs`` without the rows that share a window with the benchmark, all columns kept.
+
+    Null and empty texts stay, repeated rows stay or go together; with an empty benchmark all rows
+    stay, an empty table gives none.
+    """
     _, shared, _ = shared_windows(docs, benchmark)
-    bad = shared.select(F.col("id_key").alias("_id_key"), F.col("text_key").alias("_text_key")).distinct()
-    same_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))) == F.col("_id_key")
-    return docs.join(bad, same_id & (F.xxhash64(whole_text()) == F.col("_text_key")), "left_anti")
+    id_key, text_key = free_name(docs, "_id_key"), free_name(docs, "_text_key")
+    bad = shared.select(F.col("id_key").alias(id_key), F.col("text_key").alias(text_key)).distinct()
+    same_id = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63))) == F.col(id_key)
+    return docs.join(bad, same_id & (F.xxhash64(whole_text()) == F.col(text_key)), "left_anti")
 
 
 DECONTAMINATE_SQL = rf"""

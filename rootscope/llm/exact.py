@@ -101,7 +101,11 @@ def exact_duplicates(docs: DataFrame, row: str | None = None) -> DataFrame:
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
+    """``docs`` with one row of each group of equal texts, all columns kept.
+
+    The smallest ``doc_id`` stays, null last, of repeated rows one; null and empty texts are one group.
+    An empty table gives no rows.
+    """
     rows, row = with_row_number(docs, "exact-rows")
     kept = exact_duplicates(rows, row).where("kept").select(row)
     return rows.join(kept, row, "left_semi").select(*docs.columns)

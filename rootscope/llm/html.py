@@ -264,7 +264,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     A null or empty page, or one without text, gives an empty text. Character references are
     decoded once, white space in a block becomes one space, and blocks are joined by one space.
-    Repeated rows give repeated results; other columns are not read.
+    Repeated rows give repeated results, an empty table none; other columns are not read.
     """
     rows = pages.select("page_id", "url", whole_text("html").alias("text"))
     renamed = rows.select("page_id", "url", "text")

@@ -294,7 +294,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
     of five words, or its whole sequence if it has fewer; a null, empty or blank text has the
     empty set and is linked with nothing. Rows are linked if 100 times the intersection is at
     least ``percent`` times the union. ``component_id`` is the smallest ``doc_id`` that links
-    reach (null only if none there is known); the row with it is kept, of repeated rows one. Only
+    reach (null only if none there is known); the row with it is kept, of repeated rows one. An empty
+    table gives no rows. Only
     ``doc_id``, ``text`` and ``row``, which numbers the rows and is then returned, are read.
     """
     if not 1 <= percent <= 100:
@@ -346,6 +347,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75, row: str | None = None)
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component, all columns kept."""
+    """``docs`` with one row of each component, all columns kept.
+
+    The smallest ``doc_id`` stays, null last, of repeated rows one; texts without words are linked with
+    nothing and all stay. An empty table gives no rows.
+    """
     rows, row = with_row_number(docs, "near-rows")
     return rows.join(near_duplicates(rows, row=row).where("kept").select(row), row, "left_semi").select(*docs.columns)

@@ -44,8 +44,10 @@ SENTENCE, INSIDE = 8, 64
 LONG, STRIDE = 512, 256
 #: Shorter windows that need no padding.
 POWERS = [512, 1024, 2048]
+#: Bytes of texts that are encoded at once.
+SLICE = 6_000_000
 #: Words of a generation; a worker keeps the ids of two generations.
-MAX_WORDS = 250_000
+MAX_WORDS = 400_000
 #: Runs of marks that a worker keeps.
 MAX_MARKS = 10_000
 #: Letters whose normal form is themselves in lower case, between ASCII marks. No apostrophe, as 's and the like are
@@ -301,7 +303,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json") -> DataFrame:
     """
     order = ["doc_id", "n", "last"]
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
-    found = map_texts(texts, ["doc_id"], _summaries(vocabulary), "n bigint, places array<int>, sums array<int>")
+    found = map_texts(texts, ["doc_id"], _summaries(vocabulary), "n bigint, places array<int>, sums array<int>", SLICE)
     found = found.withColumn("last", F.element_at("sums", -1))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialise(

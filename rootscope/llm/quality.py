@@ -149,7 +149,7 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The score is the probability of ``quality`` 1; null and empty texts are scored as empty.
     Labels that are null or other than 0 and 1 teach nothing; without both labels all rows get
-    one score. Repeated rows score alike; other columns are not read.
+    one score. Repeated rows score alike; an empty table gives no rows; other columns are not read.
     """
     stats = materialise(with_statistics(docs, ["doc_id"]), "quality-statistics")
     model = learn_quality(stats, labels)
@@ -160,6 +160,8 @@ def score_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted 0, all columns kept.
 
+    Null texts count as empty; repeated rows stay or go together. Without both labels all rows
+    get one score and stay or go together; an empty table gives no rows.
     Rows and statistics are stored together: texts are measured once, and the rules read
     columns, not the expressions behind them.
     """

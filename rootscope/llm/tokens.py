@@ -267,7 +267,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
     """``doc_id``, ``n_bytes``, ``n_tokens``, ``over_limit`` of every row.
 
     A null or empty text has no tokens. Repeated rows give repeated results; a null
-    ``doc_id`` passes; other columns are not read. ``vocabulary`` is a byte-level BPE
+    ``doc_id`` passes; an empty table gives no rows; other columns are not read. ``vocabulary`` is a byte-level BPE
     file of public_tokenizers or a path that every executor has. No shuffle.
     """
     texts = docs.select("doc_id", F.octet_length(whole_text()).cast("bigint").alias("n_bytes"), whole_text().alias("text"))

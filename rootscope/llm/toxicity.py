@@ -199,7 +199,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The score is the probability of ``toxic`` 1; null and empty texts get the score of no words.
     Labels that are null or other than 0 and 1 teach nothing; without both labels all rows get
-    one score. Repeated rows score alike; other columns are not read.
+    one score. Repeated rows score alike; an empty table gives no rows; other columns are not read.
     """
     model = learn_toxicity(docs, labels)
     texts = docs.select("doc_id", held_out().alias("held_out"), whole_text().alias("text"))

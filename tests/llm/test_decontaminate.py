@@ -4,6 +4,9 @@ import re
 
 from odd import ODD_TEXTS
 
+from rootscope.llm.exact import drop_exact_duplicates
+from rootscope.llm.neardup import drop_near_duplicates
+from rootscope.llm.quality import drop_low_quality
 from rootscope.llm.decontaminate import contamination, drop_contaminated
 
 
@@ -65,8 +68,18 @@ def test_empty_tables(spark, docs):
 def test_unknown_ids_and_stage(spark, docs):
     bench = spark.createDataFrame([(None, "one two three four")], "item_id bigint, text string")
     rows = docs([(None, "zero one two three four"), (3, "clean text"), (3, "clean text"), (4, "ONE two, three four!")])
-    rows = rows.withColumnRenamed("lang", "text_key").withColumnRenamed("source", "id_key")
+    rows = rows.withColumnRenamed("lang", "text_key").withColumnRenamed("source", "id_key").withColumnRenamed("n_chars", "_ID_key")
+    rows = rows.withColumn("_text_key", rows["doc_id"])
     assert sorted(r.n_items for r in contamination(rows, bench).collect()) == [0, 0, 1, 1]
     kept = drop_contaminated(rows, bench)
     assert kept.columns == rows.columns
     assert [r.doc_id for r in kept.collect()] == [3, 3]
+
+
+def test_stages_on_empty_tables(spark, docs, labels):
+    none, some = docs([]), docs([(1, "a b c"), (None, None)])
+    bench = spark.createDataFrame([(1, "a b c")], "item_id bigint, text string")
+    assert drop_contaminated(none, bench).count() == drop_exact_duplicates(none).count() == 0
+    assert drop_near_duplicates(none).count() == drop_low_quality(none, labels([])).count() == 0
+    assert drop_contaminated(some, bench.limit(0)).count() == drop_exact_duplicates(some).count() == drop_near_duplicates(some).count() == 2
+    assert drop_low_quality(some, labels([])).columns == some.columns
