@@ -135,10 +135,17 @@ def with_neighbours(cube: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _standardised(cube: DataFrame, mean, std) -> DataFrame:
-    centre = F.array(*[F.lit(float(x)) for x in mean])
-    scale = F.array(*[F.lit(float(x) if x > 0 else 1.0) for x in std])
-    scaled = F.zip_with(F.zip_with("vec", centre, lambda x, m: x - m), scale, lambda x, s: x / s)
-    return cube.select(*POINT, scaled.alias("vec"))
+    """Means and deviations go to the tasks as arrays: vectors may be very wide."""
+    mean, std = np.asarray(mean), np.asarray(std)
+    shared = cube.sparkSession.sparkContext.broadcast((mean, np.where(std > 0, std, 1.0)))
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                centre, scale = shared.value
+                yield pdf.assign(vec=list((np.stack(pdf["vec"].to_numpy()) - centre) / scale))
+
+    return cube.select(*POINT, "vec").mapInPandas(run, "ts bigint, node_id int, vec array<double>")
 
 
 @dataclass

@@ -372,22 +372,83 @@ def read_groundtruth(spark: SparkSession, root: str, pattern: str = "*/*/groundt
 # --- vectors ---------------------------------------------------------------------
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file: these formats keep a whole array in one document."""
-    return spark.read.option("wholetext", True).text(path).withColumn("_path", F.col("_metadata.file_path"))
+def _vectors(spark: SparkSession, path: str, depth: int) -> DataFrame:
+    """``(_path, key, t, k, vec)``: the innermost lists of JSON documents, ``depth`` lists deep.
 
-
-def _listed(value: str, depth: int) -> Column:
-    kind = "array<" * depth + "double" + ">" * depth
-    text = F.ltrim(value)
-    return F.when(text.startswith("["), F.from_json(value, kind)).otherwise(
-        F.from_json(value, f"struct<X: {kind}>").getField("X")
+    ``key`` names the top-level list (NULL of a bare one), ``t`` counts the lists one level up in it,
+    ``k`` the vectors in such a list.  Documents are cut at every closing bracket and so are
+    read by as many tasks as their size asks for; how deep a piece is, and what came before it, follows from running
+    sums, one small row per file block.  Keys hold no brackets.  A document that cannot be read gives no rows.
+    """
+    pieces = _in_file_order(spark.read.option("lineSep", "]").text(path).withColumn("_path", F.col("_metadata.file_path")))
+    opens = F.length("value") - F.length(F.replace("value", F.lit("["), F.lit("")))
+    text = F.substring_index("value", "[", -1)
+    before = F.when(opens > 0, F.left("value", F.length("value") - F.length(text))).otherwise(F.col("value"))
+    key = F.regexp_extract("value", r'"([^"]*)"\s*:\s*\[', 1)
+    pieces = pieces.select(
+        "_path", "_block", "_id", "value", opens.alias("_opens"), text.alias("_text"),
+        F.regexp_count(before, F.lit("null")).alias("_nulls"), F.nullif(key, F.lit("")).alias("_key"),
+    )
+    # the closing bracket that ends a piece is the one that the piece's own depth counts
+    pieces = _running(pieces, "_block", {"_opened": F.col("_opens"), "_pieces": F.lit(1)})
+    pieces = pieces.withColumn("_depth", F.col("_opened") - F.col("_pieces") + 1)
+    inner, outer = F.col("_depth") == depth, F.col("_depth") == depth - 1
+    nulls = F.when((inner & (F.col("_opens") == 1)) | (outer & (F.col("_opens") == 0)), F.col("_nulls")).otherwise(0)
+    vec = F.from_json(F.concat(F.lit("["), "_text", F.lit("]")), "array<double>")
+    pieces = pieces.withColumns({"_none": nulls, "_vec": F.when(inner, vec), "_inner": inner, "_outer": outer, "_top": F.col("_depth") == 1})
+    pieces = _running(pieces, "_block", {"_elements": F.col("_none") + inner.cast("int"), "_lists": outer.cast("int")})
+    upto = {"_from": F.when(F.col("_outer"), F.col("_elements")), "_first": F.when(F.col("_top"), F.col("_lists"))}
+    pieces = _last_known(pieces, "_block", {**upto, "_named": F.col("_key")})
+    here = F.col("_none") + F.col("_inner").cast("int")
+    rows = pieces.where(here > 0).select(
+        "_path",
+        F.col("_named").alias("key"),
+        (F.col("_lists") - F.col("_outer").cast("int") - F.coalesce("_first", F.lit(0))).alias("t"),
+        (F.col("_elements") - here - F.coalesce("_from", F.lit(0))).alias("_k"),
+        F.posexplode(
+            F.concat(F.array_repeat(F.lit(None).cast("array<double>"), F.col("_none").cast("int")), F.when(F.col("_inner"), F.array("_vec")).otherwise(F.array().cast("array<array<double>>")))
+        ).alias("_i", "vec"),
     )
-
-
-def _counted_on(rows: DataFrame) -> DataFrame:
-    """``t_idx`` counted on from the first step of the document."""
-    return rows.withColumn("t_idx", (F.col("t_idx") + F.col("_first")).cast("bigint")).drop("_first")
+    rest = F.regexp_replace("value", r"\s+", "")
+    broken = (F.col("_inner") & F.col("_vec").isNull()) | ((F.col("_opens") == 0) & F.endswith(rest, F.lit(",")))
+    place = F.struct("_block", "_id")
+    whole = pieces.groupBy("_path").agg(
+        F.count(F.lit(1)).alias("_n"), F.sum("_opens").alias("_all"), F.min_by(rest, place).alias("_head"),
+        F.max_by(rest, place).alias("_tail"), (F.count_if(broken) > 0).alias("_broken"),
+    )
+    # what follows the last closing bracket is a piece of its own, if there is anything
+    in_object = F.startswith("_head", F.lit("{")) & (F.col("_n") == F.col("_all") + 1) & F.endswith("_tail", F.lit("}"))
+    bare = F.startswith("_head", F.lit("[")) & ((F.col("_n") == F.col("_all")) | ((F.col("_n") == F.col("_all") + 1) & (F.col("_tail") == "")))
+    whole = whole.withColumn("_even", in_object | bare)
+    good = materialise(whole.where("_even AND NOT _broken").select("_path"), "documents")
+    return rows.join(good, "_path").select("_path", "key", F.col("t").cast("bigint").alias("t"), (F.col("_k") + F.col("_i")).cast("bigint").alias("k"), "vec")
+
+
+def _running(rows: DataFrame, block: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds sums over the rows of a file up to and with each row."""
+    order = Window.partitionBy("_path", block).orderBy("_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy("_path").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_path", block).agg(*[F.sum(c).alias(f"{n}_in") for n, c in sums.items()])
+    starts = blocks.select("_path", block, *[F.coalesce(F.sum(f"{n}_in").over(earlier), F.lit(0)).alias(f"{n}_at") for n in sums])
+    rows = rows.select("*", *[F.sum(c).over(order).alias(n) for n, c in sums.items()]).join(starts, ["_path", block])
+    return rows.withColumns({n: F.col(n) + F.col(f"{n}_at") for n in sums}).drop(*[f"{n}_at" for n in sums])
+
+
+def _last_known(rows: DataFrame, block: str, values: dict[str, Column]) -> DataFrame:
+    """Adds the last value that is not NULL: counts of rows before, keys of rows up to each row."""
+    in_block = Window.partitionBy("_path", block).orderBy("_id")
+    earlier = Window.partitionBy("_path").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    ends = {n: F.max_by(c, F.when(c.isNotNull(), F.col("_id"))) for n, c in values.items()}
+    blocks = rows.groupBy("_path", block).agg(*[c.alias(f"{n}_in") for n, c in ends.items()])
+    carried = blocks.select("_path", block, *[F.last(f"{n}_in", ignorenulls=True).over(earlier).alias(f"{n}_at") for n in values])
+    before = in_block.rowsBetween(Window.unboundedPreceding, -1)
+    upto = in_block.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = [F.last(c, ignorenulls=True).over(upto if n == "_named" else before).alias(n) for n, c in values.items()]
+    rows = rows.select("*", *local).join(carried, ["_path", block])
+    return rows.withColumns({n: F.coalesce(n, f"{n}_at") for n in values}).drop(*[f"{n}_at" for n in values])
+
+
+_LISTED = "key IS NULL OR key = 'X'"
 
 
 def read_window_vectors(
@@ -395,15 +456,12 @@ def read_window_vectors(
 ) -> DataFrame:
     """``(instance, t_idx, vec)`` from JSON documents of an instance: ``{"X": [[…]]}`` or a bare list.
 
-    A file that cannot be read gives no rows.  ``instance`` finds the name in the path.  A long
-    history is many documents: ``first`` is the number of a document's first step, from ``_path``.
+    A file that cannot be read gives no rows.  ``instance`` finds the name in the path.  A
+    history may be many documents: ``first`` is the number of a document's first step, from ``_path``.
     """
-    rows = _documents(spark, path).select(
-        F.regexp_extract("_path", instance, 1).alias("instance"),
-        (F.lit(0) if first is None else first).alias("_first"),
-        F.posexplode(_listed("value", 2)).alias("t_idx", "vec"),
-    )
-    return _counted_on(rows)
+    start = F.lit(0) if first is None else first
+    rows = _vectors(spark, path, 2).where(_LISTED)
+    return rows.select(F.regexp_extract("_path", instance, 1).alias("instance"), (F.col("k") + start).cast("bigint").alias("t_idx"), "vec")
 
 
 def read_metric_cube(spark: SparkSession, path: str, instances: int | None = None, first: Column | None = None) -> DataFrame:
@@ -411,19 +469,15 @@ def read_metric_cube(spark: SparkSession, path: str, instances: int | None = Non
 
     ``first`` as for ``read_window_vectors``.
     """
-    faults = _documents(spark, path).select(
-        (F.lit(0) if first is None else first).alias("_first"), F.posexplode(_listed("value", 3)).alias("t_idx", "_nodes")
-    )
-    points = _counted_on(faults).select("t_idx", F.posexplode("_nodes").alias("node_id", "vec"))
+    start = F.lit(0) if first is None else first
+    rows = _vectors(spark, path, 3).where(_LISTED)
+    points = rows.select((F.col("t") + start).cast("bigint").alias("t_idx"), F.col("k").cast("int").alias("node_id"), "vec")
     return points if instances is None else points.where(F.col("node_id") < instances)
 
 
 def read_feature_json(spark: SparkSession, path: str) -> DataFrame:
     """``(ts, node_id, vec)`` from ``{"<epoch seconds>": [[…] per instance]}``."""
-    times = _documents(spark, path).select(
-        F.explode(F.from_json("value", "map<string,array<array<double>>>")).alias("_ts", "_nodes")
-    )
-    return times.select(F.col("_ts").cast("bigint").alias("ts"), F.posexplode("_nodes").alias("node_id", "vec"))
+    return _vectors(spark, path, 2).select(F.col("key").try_cast("bigint").alias("ts"), F.col("k").cast("int").alias("node_id"), "vec")
 
 
 def read_vector_csv(spark: SparkSession, path: str, instance: str = r"/([^/]+)/[^/]+$") -> DataFrame:

@@ -310,3 +310,30 @@ def test_cube_of_very_many_features(spark):
     cases = spark.createDataFrame([(1, 1_704_067_260, "n1")], "case_id int, timestamp bigint, cmdb_id string")
     ranked = diagnose.diagnose(cube_, cases, nodes, edges, 2, 10)
     assert sorted(r.node for r in ranked.collect()) == ["n0", "n1"]
+
+
+def test_json_arrays_are_read_in_pieces(spark, tmp_path):
+    r = np.random.default_rng(4)
+    vectors = [[round(float(x), 3) for x in r.normal(size=r.integers(0, 5))] for _ in range(400)]
+    vectors[7] = None
+    vectors[399] = None
+    faults = [[vectors[(i * 5 + k) % 400] or [] for k in range(r.integers(0, 6))] for i in range(120)]
+    times = {str(1000 + 60 * i): faults[i] for i in range(120)}
+    put(f"{tmp_path}/w/i1/a.json", {"meta": [[9, 9]], "X": vectors, "y": [[1]]})
+    put(f"{tmp_path}/w/i2/a.json", vectors[:50])
+    put(f"{tmp_path}/w/i3/a.json", json.dumps({"X": vectors})[:-20])
+    put(f"{tmp_path}/w/i4/a.json", '{"X": [[1, x], [2]]}')
+    put(f"{tmp_path}/c.json", {"other": [[[1]], [[2]]], "X": faults})
+    put(f"{tmp_path}/f.json", json.dumps(times, indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    try:
+        got = R.read_window_vectors(spark, f"{tmp_path}/w/*/a.json")
+        assert spark.read.option("lineSep", "]").text(f"{tmp_path}/w/i1/a.json").rdd.getNumPartitions() > 5
+        rows = {(x.instance, x.t_idx): x.vec for x in got.collect()}
+        assert rows == {("i1", i): v for i, v in enumerate(vectors)} | {("i2", i): v for i, v in enumerate(vectors[:50])}
+        cube_rows = {(x.t_idx, x.node_id): x.vec for x in R.read_metric_cube(spark, f"{tmp_path}/c.json").collect()}
+        assert cube_rows == {(i, k): v for i, fault in enumerate(faults) for k, v in enumerate(fault)}
+        found = {(x.ts, x.node_id): x.vec for x in R.read_feature_json(spark, f"{tmp_path}/f.json").collect()}
+        assert found == {(int(t), k): v for t, fault in times.items() for k, v in enumerate(fault)}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
