@@ -109,7 +109,7 @@ def _fit_weights(s, d):
     """The whole fit: the loss of the grid, and whether that of the fitted weights, found anew, is no larger."""
     small = loss_long(s, d).withColumn("loss", F.col("loss") / 1000.0)
     given = (small, cases(s, d), nodes(s, d), edges(s, d))
-    weights, pre, suc, _ = M.fit_feedback_weights(*given, 360, 8, steps=6, grid=CANDIDATES)
+    weights, pre, suc, _ = M.fit_feedback_weights(*given, 360, 8, steps=3, grid=CANDIDATES)
     both = M.feedback_losses(*given, [*CANDIDATES, (len(CANDIDATES), weights, pre, suc)], 360, 8)
     fitted = F.col("candidate") == len(CANDIDATES)
     grid = F.min(F.when(~fitted, F.col("loss")))
