@@ -79,7 +79,10 @@ class Encoder:
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            rules = json.load(f)
+        vocabulary, shape = rules["model"]["vocab"], rules.get("normalizer") or {}
+        if "Lowercase" not in [n["type"] for n in shape.get("normalizers", [shape])] or not rules["model"].get("end_of_word_suffix"):
+            raise ValueError(f"packing takes vocabularies of whole words in lower case, not {path}")
         stops = [i for t, i in vocabulary.items() if re.fullmatch(r"[^\w]*[.!?][^\w]*", t.removesuffix("</w>"))]
         self.stops = np.zeros(max(self.library.get_vocab_size(), max(vocabulary.values()) + 1), bool)
         self.stops[stops] = True
