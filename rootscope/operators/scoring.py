@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rootscope.functions.vectors import weighted_sum
 from rootscope.operators.graph import neighbour_max
 from rootscope.operators.spread import DAY, last_before
+from rootscope.session import materialise
 
 
 def case_windows(cases: DataFrame, window: int) -> DataFrame:
@@ -83,6 +84,20 @@ def _last_samples(rows: DataFrame, cases: DataFrame, value: str, window: int) ->
     return found.where(last.getField("ts") >= F.col("timestamp") - half).select("timestamp", last.alias("last"))
 
 
+def distinct_cases(cases: DataFrame, of: list[str]) -> DataFrame:
+    """``(case_id, unit, asked)`` over stored tables, one row per case id; ids that ask the same share a ``unit``.
+
+    ``asked`` holds the ``of`` of all rows of an id.  Rows without an id have no unit.
+    """
+    each = cases.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct(*of))).alias("asked"))
+    each = materialise(each, "asked")
+    units = each.where("case_id IS NOT NULL").select("asked").distinct()
+    units = materialise(units.withColumn("unit", F.monotonically_increasing_id()), "units")
+    named = each.where("case_id IS NOT NULL").join(units, "asked").select("case_id", "unit", "asked")
+    nameless = each.where("case_id IS NULL").select("case_id", F.lit(None).cast("bigint").alias("unit"), "asked")
+    return named.unionByName(nameless)
+
+
 def graph_for_case(samples: DataFrame, cases: DataFrame, window: int = 10) -> DataFrame:
     """Graph of the last sample in a case's window, else of the first sample of all."""
     per_ts = samples.groupBy("ts").agg(F.max("graph_id").alias("graph_id"))
@@ -203,14 +218,19 @@ def feedback_score(
 ) -> DataFrame:
     """Ranked softmax scores with given series and graph weights.
 
-    Here ``pre`` weighs predecessors and ``suc`` successors.
+    Here ``pre`` weighs predecessors and ``suc`` successors.  Cases of one time have one ranking, which is
+    made once.
     """
     length = length or window
-    series = series_weighted(series_window(loss, cases, window, length), weights, length)
+    asked = distinct_cases(cases, ["timestamp"])
+    one = asked.select("unit", "asked").distinct().select(F.col("unit").alias("case_id"), F.inline("asked"))
+    series = series_weighted(series_window(loss, one, window, length), weights, length)
     scores = series.join(nodes, "node")
     near = neighbour_max(scores, edges, ["case_id"])
     total = F.col("score") + pre * F.col("predecessor_max") + suc * F.col("successor_max")
-    return rank_nodes(softmax(near.select("case_id", "node", "node_id", total.alias("score"))))
+    ranked = rank_nodes(softmax(near.select("case_id", "node", "node_id", total.alias("score"))))
+    ranked = materialise(ranked.withColumnRenamed("case_id", "_unit"), "ranked")
+    return asked.join(ranked, F.col("unit").eqNullSafe(F.col("_unit"))).select("case_id", "node", "node_id", "score", "rank")
 
 
 def ranking_terms(labelled: DataFrame, by: list[str], score: str | Column = "score") -> DataFrame:
