@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rootscope.functions.scalars import log_ip, time_floor
 from rootscope.operators.metrics import absent_cells
+from rootscope.session import materialise
 
 # Frequency below which a template is rare, and the merged name.
 MIN_FREQUENCY = 10
@@ -19,13 +20,14 @@ def with_instance(logs: DataFrame, file: str = "file") -> DataFrame:
     """Adds ``ip`` and ``instance_id``.
 
     In a file where any message names an ip the instance is ``service_ip`` (``NA`` where
-    a message has none), else the service.  One flag per file is joined back.
+    a message has none), else the service.  One stored flag per file is joined back: few
+    files do not gather the rows in few tasks.
     """
     logs = logs.withColumn("ip", log_ip("message"))
     flags = logs.groupBy(file).agg(F.bool_or(F.col("ip").isNotNull()).alias("_any_ip"))
     named = F.concat("service", F.lit("_"), F.coalesce("ip", F.lit("NA")))
     return (
-        logs.join(flags, file)
+        logs.join(materialise(flags, "flags"), file)
         .withColumn("instance_id", F.when(F.col("_any_ip"), named).otherwise(F.col("service")))
         .drop("_any_ip")
     )

@@ -248,7 +248,8 @@ def assign_templates(rows: DataFrame, templates: DataFrame, sim_th: float = SIM_
     rows = scoped(rows)
     messages = named(distinct_messages(rows).where("n > 0"))
     found = best_templates(messages, templates.where(F.col("text") != ""), sim_th, assign)
-    done = rows.join(found, ["scope", "text"], "left")
+    # stored: few distinct messages do not gather the rows in few tasks
+    done = rows.join(materialise(found, "best"), ["scope", "text"], "left")
     seen = F.filter("_steps", lambda s: s.getField("template_pos") <= F.col("pos")) if assign == "pos" else F.col("_steps")
     done = done.withColumn("template_id", F.array_max(seen).getField("template_id")).drop("_steps")
     # templates are a stored table, so these look-ups are cheap
