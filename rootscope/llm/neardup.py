@@ -22,8 +22,8 @@ for q = 100 + percent and r = 100 - percent. So with slack s(x) = q |D(x)| - r |
 if and only if s(x) + s(y) <= 2 q |D(x) ∩ D(y)|. If the left side is not positive, both
 are linked with z, whose slack is least, and the star has joined them. Every other link shares some t >= 1 differences, of
 which one is among the rarest |D| - t + 1 of either side: a join on those finds it. Members go by
-classes of slack, so that t is known well; differences that no other member has are left out.
-Only members outside the component of z look for partners. Near copies of one text differ in what is rare, so few
+classes of slack, so that t is known well; differences that only members of one component have, or only such as
+are in that of z, are left out. Only members outside the component of z look for partners. Near copies of one text differ in what is rare, so few
 pairs meet, and within buckets no link is lost.
 
 For fewer than 75 percent bands get shorter and more, so that a link at the limit is missed as seldom.
@@ -243,7 +243,10 @@ def _near_differences(groups: DataFrame, roots: DataFrame, sets: DataFrame, perc
         sum((slack >= limit * unit).cast("int") for limit in SLACK).alias("class"),
     )
     each = apart.select(F.col("a").alias("centre"), F.col("b").alias("node"), F.explode("apart").alias("e"))
-    held = each.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    # of no use: what no two components share, or only such as are joined with the centre
+    each = each.join(member.select("centre", "node", "root", "far"), ["centre", "node"])
+    held = each.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("held"), F.min("root").alias("low"), F.max("root").alias("high"), F.bool_or("far").alias("met"))
+    held = held.where(F.col("met") & (F.col("low") != F.col("high"))).select("centre", "e", "held")
     held = materialise(held, "held")
     by_rarity = F.array_sort(F.collect_list(F.struct("held", "e")))  # of one text
     rare = each.join(held, ["centre", "e"]).groupBy("centre", "node").agg(by_rarity.alias("rare"))
@@ -255,8 +258,10 @@ def _near_differences(groups: DataFrame, roots: DataFrame, sets: DataFrame, perc
         shared = F.greatest(F.lit(1), F.ceil((F.col("slack") + least) / (2.0 * q)))
         return F.greatest(F.size("rare") - shared + 1, F.lit(0)).cast("int")
 
-    classes = F.explode(F.sequence(F.lit(0), F.lit(len(SLACK)))).alias("other")
-    placed = member.select("*", F.size("rare").alias("held"), classes)
+    # one of two partners is far, so others ask for classes of far members only; none asks for a class that is not there
+    at_hand = member.groupBy("centre").agg(F.collect_set("class").alias("all"), F.collect_set(F.when(F.col("far"), F.col("class"))).alias("of_far"))
+    classes = F.explode(F.when(F.col("far"), F.col("all")).otherwise(F.col("of_far"))).alias("other")
+    placed = member.join(at_hand, "centre").select(*member.columns, F.size("rare").alias("held"), classes)
     placed = placed.select("centre", "node", "root", "slack", "held", "far", "class", "other", F.explode(F.slice("rare", F.lit(1), wanted(F.col("other")))).alias("e"))
     key = ["centre", "e", "class_x", "class_y"]
     side = lambda rows, me, you, x: rows.select(
