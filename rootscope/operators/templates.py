@@ -10,20 +10,24 @@ tie) or opens a new one.  What makes it parallel:
   can be struck out at once.  So each round takes the first undecided messages per
   length, runs the rule on them, and strikes out all matches of the
   new templates on the whole table.  The order of decisions is the order of the rule;
-* a round takes twice as many messages as the one before it, so that rounds grow with the logarithm of
-  the templates per length.  ``LARGEST_BATCH`` bounds what one task holds.
+* a round takes as many messages of a length as one task holds (``LARGEST_BATCH``, ``LARGEST_TOKENS``), or twice as
+  many as the round before if the caller asks for fewer at first.
 
-Messages and templates meet by an index: a pair that shares k of n tokens shares one of any n-k+1
-positions, so each template is filed under its rarest ones.  One path at every size; Spark
-sends a small index to all tasks and deals a large one out.
+Messages and templates meet by an index: where k of n tokens are equal, all tokens of one of a few small sets of
+positions are (``position_sets``).  Two or three tokens together are rare even if each is frequent, so few
+pairs meet that do not match.  One path at every size; Spark sends a small index to all tasks and deals a large one
+out.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +36,13 @@ from rootscope.operators.spread import block_chunk, with_ordinal
 from rootscope.session import discard, materialise, materialise_at, scratch_path
 
 SIM_TH = 0.4
-# undecided messages per length in the first round, and the most in any round
-BATCH = 1000
-LARGEST_BATCH = 65_536
+# the most undecided messages, and tokens of them, that a round takes per length
+LARGEST_BATCH = 1 << 20
+LARGEST_TOKENS = 1 << 24
+# messages in the first step of a task, how much steps grow, and the largest
+_STEP, _STEPS_GROW, _LARGEST_STEP = 1000, 8, 65_536
+# numbers that a matrix of keys or tokens of pairs holds at most
+_NUMBERS = 1 << 22
 # steps of the histogram of positions per doubling
 _FINE = 16
 
@@ -68,23 +76,126 @@ def named(messages: DataFrame) -> DataFrame:
 # --- leader rule on one bounded batch --------------------------------------------
 
 
+def enough(n: int, sim_th: float) -> int | None:
+    """The least number k of equal tokens, of ``n``, with k / n >= ``sim_th``; none if all are too few."""
+    near = int(n * sim_th)
+    return next((k for k in (near - 1, near, near + 1) if 1 <= k <= n and k / n >= sim_th), None)
+
+
+@lru_cache(256)
+def position_sets(n: int, k: int) -> list[np.ndarray]:
+    """Sets of positions such that, where k of n tokens are equal, all tokens of one set are; matrices, a set a row.
+
+    With m blocks of positions and (t - 1) * m < k one block has t equal tokens: the sets are all t positions of a
+    block.  t is 3 or 2 unless that makes too many sets, else single positions do.
+    """
+    for together in (3, 2):
+        blocks = (k - 1) // (together - 1)
+        if blocks:
+            sizes = [len(range(b, n, blocks)) for b in range(blocks)]
+            ways = [x * (x - 1) * (x - 2) // 6 if together == 3 else x * (x - 1) // 2 for x in sizes]
+            if sum(ways) <= 6 * n:
+                found = [np.array(list(combinations(range(b, n, blocks), together))) for b, w in enumerate(ways) if w]
+                return np.array_split(np.concatenate(found), -(-sum(ways) // 64))
+    return np.array_split(np.arange(n - k + 1)[:, None], -(-(n - k + 1) // 64))
+
+
+def _set_keys(spots: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """One key per row of ``spots`` and set of positions."""
+    keys = np.repeat(sets.astype(np.uint64).dot(np.array([1, 1 << 20, 1 << 40][: sets.shape[1]], np.uint64))[None], len(spots), 0)
+    for j in range(sets.shape[1]):
+        keys = (keys ^ spots[:, sets[:, j]].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        keys ^= keys >> np.uint64(29)
+    return keys
+
+
+def _pieces(sets: list[np.ndarray], rows: int):
+    """The sets, so few at a time that their keys for ``rows`` rows are a small matrix."""
+    for part in sets:
+        yield from np.array_split(part, min(len(part), -(-rows * len(part) // _NUMBERS)))
+
+
+def _in_turn(codes: np.ndarray, k: int, sets: list[np.ndarray]) -> np.ndarray:
+    """Rows that share k tokens with no such row before them."""
+    rows, keys, known = [], [], 0
+    for part in _pieces(sets, len(codes)):
+        _, number, times = np.unique(_set_keys(codes, part), return_inverse=True, return_counts=True)
+        row, at = np.nonzero((times > 1)[number := number.reshape(len(codes), -1)])
+        rows.append(row)
+        keys.append(number[row, at] + known)
+        known += len(times)
+    rows, keys = np.concatenate(rows), np.concatenate(keys)
+    order = np.argsort(rows, kind="stable")
+    keys, ends = keys[order], np.searchsorted(rows[order], np.arange(len(codes) + 1))
+    filed: dict[int, list[int]] = {}
+    chosen = []
+    for r in range(len(codes)):
+        mine = keys[ends[r] : ends[r + 1]].tolist()
+        met = set().union(*[filed[key] for key in mine if key in filed]) if mine else ()
+        if met and ((codes[list(met)] == codes[r]).sum(axis=1) >= k).any():
+            continue
+        for key in mine:
+            filed.setdefault(key, []).append(r)
+        chosen.append(r)
+    return np.array(chosen, np.int64)
+
+
+def _left(codes: np.ndarray, leaders: np.ndarray, rest: np.ndarray, k: int, sets: list[np.ndarray]) -> np.ndarray:
+    """Of the rows ``rest`` those that share k tokens with none of the rows ``leaders``."""
+    for part in _pieces(sets, max(len(leaders), len(rest))):
+        theirs = _set_keys(codes[leaders], part).ravel()
+        order = np.argsort(theirs)
+        theirs, whose = theirs[order], leaders[order // len(part)]
+        mine = _set_keys(codes[rest], part).ravel()
+        first = np.searchsorted(theirs, mine)
+        times = np.searchsorted(theirs, mine, "right") - first
+        ask = np.flatnonzero(times)
+        upto = np.cumsum(times[ask])
+        struck = np.zeros(len(rest), bool)
+        size, at, done = max(1, _NUMBERS // codes.shape[1]), 0, 0
+        while at < len(ask):
+            end = max(at + 1, np.searchsorted(upto, done + size, "right"))
+            some, n = ask[at:end], times[ask[at:end]]
+            row = np.repeat(some // len(part), n)
+            spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[some], n)
+            fresh = np.flatnonzero(~struck[row])
+            for i in range(0, len(fresh), size):
+                one = fresh[i : i + size]
+                like = (codes[rest[row[one]]] == codes[whose[spot[one]]]).sum(axis=1) >= k
+                struck[row[one][like]] = True
+            at, done = end, upto[end - 1]
+        rest = rest[~struck]
+    return rest
+
+
+def token_codes(texts, n: int) -> np.ndarray:
+    """Texts of n tokens as a matrix of numbers, equal for equal tokens."""
+    tokens = pc.list_flatten(pc.split_pattern(pa.array(texts, pa.large_string()), " "))
+    return tokens.dictionary_encode().indices.to_numpy(zero_copy_only=False).reshape(-1, n)
+
+
+def leader_rows(codes: np.ndarray, sim_th: float) -> np.ndarray:
+    """Rows that match no leader before them, in steps like those of the rounds."""
+    n = codes.shape[1]
+    k = enough(n, sim_th)
+    rest, found, step = np.arange(len(codes)), [], _STEP
+    if k is None:
+        return rest
+    sets = position_sets(n, k)
+    while len(rest):
+        now, rest = rest[:step], rest[step:]
+        new = now[_in_turn(codes[now], k, sets)]
+        found.append(new)
+        if len(rest):
+            rest = _left(codes, new, rest, k, sets)
+        step = min(step * _STEPS_GROW, _LARGEST_STEP)
+    return np.concatenate(found)
+
+
 def _leaders(sim_th: float):
     def lead(batch: pd.DataFrame) -> pd.DataFrame:
-        """Messages that match no leader before them; leaders are looked up by (position, token)."""
         batch = batch.sort_values(["pos", "text"], kind="stable")
-        n = int(batch["n"].iloc[0])
-        filed = defaultdict(list)
-        chosen: list[int] = []
-        for r, text in enumerate(batch["text"]):
-            spots = [(i, token) for i, token in enumerate(text.split(" "))]
-            met = [filed[spot] for spot in spots if spot in filed]
-            if met:
-                equal = np.bincount(np.concatenate(met)).max()
-                if equal / n >= sim_th:
-                    continue
-            for spot in spots:
-                filed[spot].append(len(chosen))
-            chosen.append(r)
+        chosen = leader_rows(token_codes(batch["text"], int(batch["n"].iloc[0])), sim_th)
         return batch.iloc[chosen][["scope", "text", "n", "pos", "mid"]]
 
     return lead
@@ -93,6 +204,7 @@ def _leaders(sim_th: float):
 def first_undecided(undecided: DataFrame, decided: DataFrame, batch: int) -> DataFrame:
     """``(scope, n, cut)``: per length the position up to which about ``batch`` messages are undecided.
 
+    Of long messages fewer are taken, with ``LARGEST_TOKENS`` tokens in all.
     ``decided`` holds ``(scope, n, start)``: all messages up to ``start`` are decided.  Distances from it
     are counted on a log scale, so no length is sorted; a cut holds one message at least
     and more than ``batch`` only if that one stands alone.
@@ -103,8 +215,9 @@ def first_undecided(undecided: DataFrame, decided: DataFrame, batch: int) -> Dat
     in_order = Window.partitionBy("scope", "n").orderBy("_step")
     running = F.sum("_in").over(in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     held = hist.withColumn("_upto", running).withColumn("_first", F.row_number().over(in_order) == 1)
+    most = F.least(F.lit(batch), F.greatest(F.lit(1), F.floor(LARGEST_TOKENS / F.col("n"))))
     # of a first step that is too full only the first message is taken
-    cut = F.when(F.col("_upto") <= batch, F.col("_high")).when(F.col("_first"), F.col("_low"))
+    cut = F.when(F.col("_upto") <= most, F.col("_high")).when(F.col("_first"), F.col("_low"))
     return held.groupBy("scope", "n").agg(F.max(cut).alias("cut"))
 
 
@@ -152,15 +265,43 @@ def equal_tokens(a: Column, b: Column) -> Column:
     return F.aggregate(pairs, F.lit(0), lambda acc, x: acc + x)
 
 
+def with_set_keys(rows: DataFrame, ids: list[str], sim_th: float) -> DataFrame:
+    """``ids`` and ``key``, one row for each of the ``position_sets`` of a text."""
+    rows = rows.select(*ids, "n", spot_keys().alias("_spots"))
+    schema = rows.select(*ids).withColumn("keys", F.array(F.lit(0).cast("bigint"))).schema
+
+    def run(batches):
+        for batch in batches:
+            ns = batch.column("n").to_numpy()
+            for n in np.unique(ns).tolist():
+                k = enough(n, sim_th)
+                if k is None:
+                    continue
+                part = batch.filter(pa.array(ns == n))
+                spots = pc.list_flatten(part.column("_spots")).to_numpy().reshape(-1, n)
+                rows_at_once = max(1, _NUMBERS // (6 * n))
+                for at in range(0, len(spots), rows_at_once):
+                    keys = np.hstack([_set_keys(spots[at : at + rows_at_once], s) for s in position_sets(n, k)]).view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * keys.shape[1], pa.int32()), pa.array(keys.ravel()))
+                    some = part.slice(at, rows_at_once)
+                    yield pa.RecordBatch.from_arrays([*[some.column(c) for c in ids], lists], [*ids, "keys"])
+
+    return rows.mapInArrow(run, schema).select(*ids, F.explode("keys").alias("key"))
+
+
+def met_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> DataFrame:
+    """``(mid, scope, template_id)`` of all pairs that may match, each once."""
+    index = materialise(with_set_keys(templates, ["scope", "template_id"], sim_th), "template-index")
+    return with_set_keys(messages, ["mid"], sim_th).join(index, "key").select("mid", "scope", "template_id").distinct()
+
+
 def match_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> DataFrame:
     """``(mid, template_id, template_pos, equal)`` of all pairs over the limit.
 
     ``messages`` are distinct and ``named``.  What is dealt out are pairs of numbers; texts are
     looked up for pairs, and every pair is confirmed on them.
     """
-    index = materialise(template_index(templates, sim_th), "template-index")
-    asked = messages.select("mid", F.explode(spot_keys()).alias("key"))
-    met = asked.join(index, "key").select("mid", "scope", "template_id").distinct()
+    met = met_pairs(messages, templates, sim_th)
     theirs = templates.select("scope", "template_id", "n", F.col("text").alias("_template"), F.col("pos").alias("template_pos"))
     both = met.join(messages.select("mid", "scope", "n", "text"), ["mid", "scope"]).join(theirs, ["scope", "template_id", "n"])
     pairs = both.withColumn("equal", equal_tokens(F.col("text"), F.col("_template")))
@@ -172,7 +313,7 @@ def match_pairs(messages: DataFrame, templates: DataFrame, sim_th: float) -> Dat
 
 
 def mine_templates(
-    rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own", batch: int = BATCH, known: DataFrame | None = None
+    rows: DataFrame, sim_th: float = SIM_TH, empty: str = "own", batch: int = LARGEST_BATCH, known: DataFrame | None = None
 ) -> DataFrame:
     """``(scope, template_id, pos, n, text)`` from rows with ``text`` and a unique ``pos``.
 
@@ -206,6 +347,8 @@ def mine_templates(
         new = materialise(_open_templates(undecided, cuts, sim_th), "templates")
         found = found.unionByName(new.drop("mid"))
         left = undecided.join(cuts, ["scope", "n"]).where(F.col("pos") > F.col("cut")).drop("cut")
+        if left.isEmpty():
+            break
         # lengths without further messages are done
         wanted = new.join(left.select("scope", "n").distinct(), ["scope", "n"], "left_semi").withColumnRenamed("mid", "template_id")
         matched = match_pairs(left, wanted, sim_th).select("mid")

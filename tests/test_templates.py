@@ -70,6 +70,65 @@ def test_rounds_double(spark, monkeypatch):
     assert len(rounds) <= 10 and rounds[:4] == [10, 20, 40, 80]
 
 
+def common_words(seed, n, longest=24):
+    """Messages of frequent words that hardly ever match, and some that do."""
+    r = random.Random(seed)
+    lists = [[f"w{int(40 * r.random() ** 2)}" for _ in range(r.choice([3, 8, longest]))] for _ in range(n)]
+    for _ in range(n // 5):
+        copy = list(r.choice(lists))
+        for at in r.sample(range(len(copy)), len(copy) // 2):
+            copy[at] = "x"
+        lists.insert(r.randrange(len(lists)), copy)
+    return lists
+
+
+@pytest.mark.parametrize("th", [0.05, 0.4, 0.8, 1.0])
+@pytest.mark.parametrize("n", [1, 2, 5, 8, 17, 40])
+def test_texts_that_match_agree_in_a_set_of_positions(n, th):
+    r = random.Random(n)
+    k = T.enough(n, th)
+    assert k / n >= th and (k == 1 or (k - 1) / n < th)
+    sets = [set(row) for part in T.position_sets(n, k) for row in part.tolist()]
+    assert len(sets) <= 6 * n
+    for _ in range(300):
+        equal = set(r.sample(range(n), k))
+        assert any(s <= equal for s in sets)
+
+
+def test_frequent_words_bring_few_together(spark):
+    messages = T.named(T.distinct_messages(frame(spark, common_words(1, 800))))
+    long = messages.where("n = 24")
+    templates = long.withColumnRenamed("mid", "template_id")
+    met = T.met_pairs(long, templates, 0.4).count()
+    # one frequent word in common brought nearly all pairs together
+    assert long.count() <= met < long.count() ** 2 / 10
+
+
+def test_steps_of_a_task(monkeypatch):
+    monkeypatch.setattr(T, "_STEP", 5)
+    monkeypatch.setattr(T, "_LARGEST_STEP", 60)
+    monkeypatch.setattr(T, "_NUMBERS", 700)
+    for n in (3, 8, 24):
+        lists = [x for x in common_words(n, 300) if len(x) == n]
+        codes = T.token_codes([" ".join(x) for x in lists], n)
+        for th in (0.2, 0.4, 1.0, 1.5):
+            opened, _ = leader_rule(lists, th)
+            assert [lists[i] for i in T.leader_rows(codes, th)] == opened
+
+
+def test_one_round_for_as_many_as_a_task_holds(spark, monkeypatch):
+    rounds = []
+    first = T.first_undecided
+    monkeypatch.setattr(T, "first_undecided", lambda u, d, batch: rounds.append(batch) or first(u, d, batch))
+    lists = common_words(2, 3000, 9)
+    opened, _ = leader_rule([list(x) for x in lists], 0.4)
+    got = T.mine_templates(frame(spark, lists)).orderBy("template_id").collect()
+    assert [r.text for r in got] == [" ".join(t) for t in opened] and len(rounds) == 1
+    monkeypatch.setattr(T, "LARGEST_TOKENS", 900)
+    got = T.mine_templates(frame(spark, lists)).orderBy("template_id").collect()
+    assert [r.text for r in got] == [" ".join(t) for t in opened] and len(rounds) > 3
+
+
 def test_equal_positions(spark):
     rows = spark.createDataFrame([(i // 4, f"{'abcd'[i % 4]} q y{i}") for i in range(40)], "pos bigint, text string")
     mined = T.mine_templates(rows, batch=3)
