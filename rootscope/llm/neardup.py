@@ -252,25 +252,26 @@ def _near_differences(groups: DataFrame, roots: DataFrame, sets: DataFrame, perc
     rare = each.join(held, ["centre", "e"]).groupBy("centre", "node").agg(by_rarity.alias("rare"))
     member = materialise(member.join(rare.withColumn("rare", F.transform("rare", lambda x: x["e"])), ["centre", "node"]), "rare")
 
-    def wanted(of_class: Column) -> Column:
+    def wanted(of_class: Column, mine: str = "") -> Column:
         """How many of ``rare`` are to be looked at for partners of a class."""
         least = F.get(F.array(*[F.lit(float(x)) for x in [-1.0, *SLACK]]), of_class) * F.col("unit")
-        shared = F.greatest(F.lit(1), F.ceil((F.col("slack") + least) / (2.0 * q)))
-        return F.greatest(F.size("rare") - shared + 1, F.lit(0)).cast("int")
-
-    # one of two partners is far, so others ask for classes of far members only; none asks for a class that is not there
-    at_hand = member.groupBy("centre").agg(F.collect_set("class").alias("all"), F.collect_set(F.when(F.col("far"), F.col("class"))).alias("of_far"))
-    classes = F.explode(F.when(F.col("far"), F.col("all")).otherwise(F.col("of_far"))).alias("other")
-    placed = member.join(at_hand, "centre").select(*member.columns, F.size("rare").alias("held"), classes)
-    placed = placed.select("centre", "node", "root", "slack", "held", "far", "class", "other", F.explode(F.slice("rare", F.lit(1), wanted(F.col("other")))).alias("e"))
-    key = ["centre", "e", "class_x", "class_y"]
-    side = lambda rows, me, you, x: rows.select(
-        "centre", "e", F.col("class").alias(f"class_{me}"), F.col("other").alias(f"class_{you}"), F.col("node").alias(x),
-        F.col("root").alias(f"root_{x}"), F.col("slack").alias(f"slack_{x}"), F.col("held").alias(f"held_{x}")
-    )
+        shared = F.greatest(F.lit(1), F.ceil((F.col(f"slack{mine}") + least) / (2.0 * q)))
+        return F.greatest(F.col(f"held{mine}") - shared + 1, F.lit(0)).cast("int")
+
+    # the lower its class, the more of a member's differences a partner asks for; of two partners one is far, so others
+    # ask for classes of far members only
+    at_hand = member.groupBy("centre").agg(F.min("class").alias("all"), F.min(F.when(F.col("far"), F.col("class"))).alias("of_far"))
+    lowest = F.when(F.col("far"), F.col("all")).otherwise(F.col("of_far"))
+    placed = member.withColumn("held", F.size("rare")).join(at_hand, "centre").withColumn("rare", F.slice("rare", F.lit(1), wanted(lowest)))
+    placed = placed.select("centre", "node", "root", "unit", "slack", "held", "far", "class", F.posexplode("rare").alias("at", "e"))
+    placed = materialise(placed, "placed")
+    side = lambda rows, x: rows.select(
+        "centre", "unit", "e", *[F.col(c).alias(f"{c}_{x}") for c in ("root", "slack", "held", "class", "at")], F.col("node").alias(x)
+    )
     total = F.col("slack_a") + F.col("slack_b")
-    met = side(placed.where("far"), "x", "y", "a").join(side(placed, "y", "x", "b"), key)
+    met = side(placed.where("far"), "a").join(side(placed, "b").drop("unit"), ["centre", "e"])
     met = met.where((F.col("root_a") != F.col("root_b")) & (total <= 2 * q * F.least("held_a", "held_b")))
+    met = met.where((F.col("at_a") < wanted(F.col("class_b"), "_a")) & (F.col("at_b") < wanted(F.col("class_a"), "_b")))
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

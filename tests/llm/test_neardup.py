@@ -92,6 +92,26 @@ def test_hot_group_of_near_copies(docs, with_base, monkeypatch):
     assert len(met) == 2 and met[1] < 12_000
 
 
+def test_a_difference_is_placed_once(docs, monkeypatch):
+    # not once for each class of slack that may ask for it
+    rows = {}
+    store = neardup.materialise
+
+    def counted(df, label):
+        stored = store(df, label)
+        if label in ("rare", "placed"):
+            rows[label] = sum(len(r.rare) for r in stored.select("rare").collect()) if label == "rare" else stored.count()
+        return stored
+
+    monkeypatch.setattr(neardup, "materialise", counted)
+    rng = random.Random(13)
+    base = [f"b{i}" for i in range(150)]
+    families = [edited(rng, base, rng.randrange(5, 14)) for _ in range(10)]
+    texts = [" ".join(edited(rng, rng.choice(families), rng.randrange(0, 12))) for _ in range(120)]
+    check(docs, list(enumerate(texts)))
+    assert 0 < rows["placed"] <= rows["rare"]
+
+
 @pytest.mark.parametrize("percent", [60, 85, 100])
 def test_other_percentages_in_a_hot_group(docs, percent):
     rng = random.Random(percent)
