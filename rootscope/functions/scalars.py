@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ MASK_RULES = [
     ),
 ]
 
+# what every match of a rule holds
+_MASK_HOLDS = ["-:", ".", "", ""]
+
 # Time stamps looked for in a text log line, in this order, with the
 # groups that make up an ISO date and time.
 LINE_TIME_RULES = [
@@ -129,21 +135,22 @@ def _once(value: Column, rule) -> Column:
 
 
 def _mask(message: Column) -> Column:
-    masked = message
-    for pattern, name in MASK_RULES[:-1]:
-        masked = F.regexp_replace(masked, pattern, name)
-    pattern, name = MASK_RULES[-1]
+    def rule(pattern: str, name: str, holds: str):
+        def apply(text: Column) -> Column:
+            masked = F.regexp_replace(text, pattern, name)
+            return F.when(reduce(and_, [text.contains(c) for c in holds]), masked).otherwise(text) if holds else masked
 
-    def ids(text: Column) -> Column:
-        return F.when(text.like("%-%-%-%-%"), F.regexp_replace(text, pattern, name)).otherwise(text)
+        return apply
 
-    return _once(F.when(message.rlike(r"\p{Nd}"), masked).otherwise(message), ids)
+    stamps, addresses, numbers, ids = [rule(*r, holds) for r, holds in zip(MASK_RULES, _MASK_HOLDS)]
+    masked = numbers(_once(_once(message, stamps), addresses))
+    return _once(F.when(message.rlike(r"\p{Nd}"), masked).otherwise(message), lambda text: F.when(text.like("%-%-%-%-%"), ids(text)).otherwise(text))
 
 
 def mask_message(message: Column | str) -> Column:
     """Time stamps, addresses, numbers and ids replaced by their names.
 
-    Rules that need a digit, or the dashes of an id, are skipped where there is none.
+    Rules that need a digit, or the marks of a time, an address or an id, are skipped where there is none.
     """
     return _once(_col(message), _mask)
 

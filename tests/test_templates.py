@@ -1,10 +1,12 @@
 """The parallel miner against a plain statement of the sequential rule."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from rootscope.functions import scalars as S
 from rootscope.operators import templates as T
 
 
@@ -191,6 +193,22 @@ def test_masking_order(spark):
     ]
 
 
+def test_rules_that_are_skipped_change_nothing(spark, monkeypatch):
+    r = random.Random(9)
+    parts = ["2024-01-02 03:04:05", "10.0.0.1", "1.2.3", "7", "-", ":", ".", "a", " ", "abcdefab-abcd-abcd-abcd-abcdefabcdef", "\u0664\u0663", "\n", "x-y"]
+    lines = ["".join(r.choice(parts) for _ in range(r.randrange(7))) for _ in range(400)]
+    want = []
+    for text in lines:
+        for pattern, name in S.MASK_RULES:
+            text = re.sub(pattern.replace(r"\p{Nd}", r"\d"), name, text)
+        want.append(text)
+    df = spark.createDataFrame(list(enumerate(lines)), "i int, message string")
+    rows = df.select("i", S.mask_message("message").alias("masked"))
+    assert [x.masked for x in rows.orderBy("i").collect()] == want
+    # time stamps and addresses are looked for only where their marks are
+    assert "contains" in rows._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_scopes_never_meet(spark):
     a, b = random_lists(3, 60), random_lists(4, 60)
     rows = frame(spark, a).withColumn("scope", F.lit("a")).unionByName(frame(spark, b).withColumn("scope", F.lit("b")))
