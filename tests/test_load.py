@@ -2,9 +2,10 @@
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from rootscope.operators import logs, model, scoring
+from rootscope.operators import logs, model, scoring, templates
 from rootscope.queries import logs as queries
 
 
@@ -35,6 +36,16 @@ def test_few_files_do_not_gather_rows(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
+@pytest.mark.parametrize("assign", ["pos", "final"])
+def test_few_texts_do_not_gather_rows(spark, assign):
+    text = F.concat(F.lit("order <NUM> line <NUM> status s"), F.col("id") % 3)
+    rows = spark.range(100_000).select(F.col("id").alias("pos"), text.alias("text"))
+    done = templates.assign_templates(rows, templates.mine_templates(rows), assign=assign)
+    plan = done._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [tuple(r) for r in done.groupBy("template_id").count().collect()] == [(0, 100_000)]
+
+
 def test_texts_are_masked_once(spark, monkeypatch):
     calls, real = [], queries._texts
     monkeypatch.setattr(queries, "_texts", lambda s, d: calls.append(1) or real(s, d))
